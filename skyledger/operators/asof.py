@@ -42,7 +42,7 @@ def asof_join(
     ).where(F.col("_t").isNotNull())
     probe = left.select(*on, F.unix_micros(left_time).alias("_t"), F.struct("*").alias("_left"))
 
-    wanted = ["backward", "forward"] if direction == "nearest" else [direction]
+    wanted = ["backward", "forward"] if direction in ("nearest", "both") else [direction]
     slots = {}
     for way in wanted:
         slots[way] = _carries(probe, picked, on, slice_us, way)
@@ -82,6 +82,8 @@ def asof_join(
         picks["_fore"] = F.last(usable, ignorenulls=True).over(order)
     matched = everything.withColumns(picks).where(F.col("_left").isNotNull())
 
+    if direction == "both":
+        return matched.select("_left.*", F.col("_back").alias(f"{prefix}before"), F.col("_fore").alias(f"{prefix}after"))
     if direction == "nearest":
         back, fore = F.col("_back"), F.col("_fore")
         behind, ahead = F.col("_t") - back["_rt"], fore["_rt"] - F.col("_t")
@@ -96,6 +98,12 @@ def asof_join(
         "_left.*", F.col("_m._rt").alias(f"{prefix}matched_us"), *[F.col(f"_m.{n}").alias(f"{prefix}{n}") for n in names])
 
 
+def both_sides(left: DataFrame, right: DataFrame, on: list[str], left_time: Column, right_time: Column, take: dict[str, Column],
+               tie: list[Column] | None = None, slice_us: int = DAY) -> DataFrame:
+    """The matches on both sides of the left time from one pass: structs `before` and `after`, each with its time `_rt`."""
+    return asof_join(left, right, on, left_time, right_time, take, "both", tie=tie, slice_us=slice_us)
+
+
 def _carries(probe: DataFrame, picked: DataFrame, on: list[str], slice_us: int, way: str) -> DataFrame:
     """One row per (key, slice): the nearest right row outside the slice on the side the direction looks to."""
     slot = F.floor(F.col("_t") / slice_us).alias("_slice")
@@ -126,3 +134,13 @@ def asof_latest(decisions: DataFrame, observations: DataFrame, on: list[str], de
     """Latest row already available at the decision; a latest row older than the bound gives null."""
     return asof_join(decisions, observations, on, decision_time, available_at, take, tolerance_us=max_age_us,
                      tie=tie, slice_us=slice_us)
+
+
+def asof_between(left: DataFrame, right: DataFrame, on: list[str], left_time: Column, right_time: Column,
+                 take: dict[str, Column], oldest_us: int, newest_us: int, tie: list[Column] | None = None) -> DataFrame:
+    """Last right row whose time lies between `oldest_us` and `newest_us` before the left time.
+
+    The latest row up to the near end is the only candidate, so it is one backward as-of with the span as tolerance.
+    """
+    near = F.timestamp_micros(F.unix_micros(left_time) - newest_us)
+    return asof_join(left, right, on, near, right_time, take, tolerance_us=oldest_us - newest_us, tie=tie)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.operators import scan
+from skyledger.session import materialize
 
 LEVELS = "array<struct<price:string,size:string>>"
 PAYLOAD = (f"struct<bids:{LEVELS},asks:{LEVELS},side:string,price:string,size:string,"
@@ -53,51 +54,48 @@ def parse_events(events: DataFrame, strict: bool = False) -> DataFrame:
     }).drop("_c")
 
 
-def book_validity(events: DataFrame, strict: bool = False, slice_by: Column | None = None) -> DataFrame:
-    """Each event with its epoch (sequence of the full book in force), `valid` and `invalid_reason` after it.
+def book_validity(events: DataFrame, strict: bool = False, slice_by: Column | None = None, reasons: bool = True) -> DataFrame:
+    """Each event with its epoch (sequence of the full book in force), `valid` after it and its number in the token.
 
     A well-formed full book cures any state; anything in `bad_reason` invalidates until the next full book; a delta
-    that meets an invalid book is never applied and names `delta_before_full_book`.
+    that meets an invalid book is never applied and names `delta_before_full_book`. The reason of an invalid state costs
+    a second pass and can be left out.
     """
     parsed = parse_events(events, strict)
     key, seq = ["token_id"], F.col("receipt_sequence")
     slices = scan.day_slice(F.col("received_at")) if slice_by is None else slice_by
-    marks = {
-        "epoch": ("max", F.when(F.col("is_full"), seq)),
-        "_last_bad": ("max", F.when(F.col("bad_reason").isNotNull(), seq)),
-    }
-    run = scan.running(parsed, key, slices, [seq], marks)
-    valid = F.col("epoch").isNotNull() & (F.col("_last_bad").isNull() | (F.col("epoch") > F.col("_last_bad")))
-    run = run.withColumn("valid", valid)
-    # a bad delta may itself be the event that ended validity, so the state before it decides its reason
-    first_bad_here = (F.col("bad_reason").isNotNull()) & (F.col("_last_bad") == seq)
-    before = scan.running(run, key, slices, [seq], {
-        "_bad_before": ("max", F.when(F.col("bad_reason").isNotNull(), seq))}, inclusive=False)
-    open_before = F.col("epoch").isNotNull() & (
-        F.col("_bad_before").isNull() | (F.col("epoch") > F.col("_bad_before")))
-    names = F.when(F.col("is_delta") & ~open_before, F.lit("delta_before_full_book")).otherwise(F.col("bad_reason"))
-    before = before.withColumns({
-        "applied": F.col("is_full") | (F.col("is_delta") & open_before & ~first_bad_here),
-        "_names": names,
-    })
+    bad = F.when(F.col("bad_reason").isNotNull(), seq)
+    run = scan.running(parsed, key, slices, [seq], {
+        "epoch": ("max", F.when(F.col("is_full"), seq)), "_last_bad": ("max", bad), "_bad_before": ("max", bad, False),
+        "event_number": ("sum", F.lit(1))})
+
+    def live(last_bad: Column) -> Column:
+        return F.col("epoch").isNotNull() & (last_bad.isNull() | (F.col("epoch") > last_bad))
+    open_before = live(F.col("_bad_before"))
+    run = run.withColumns({
+        "valid": live(F.col("_last_bad")),
+        "applied": F.col("is_full") | (F.col("is_delta") & open_before & F.col("bad_reason").isNull()),
+        "_names": F.when(F.col("is_delta") & ~open_before, F.lit("delta_before_full_book")).otherwise(F.col("bad_reason")),
+    }).drop("_last_bad", "_bad_before")
+    if not reasons:
+        return run.drop("_names")
     setter = F.when(F.col("_names").isNotNull(), F.struct(seq.alias("s"), F.col("_names").alias("r")))
-    named = scan.running(before, key, slices, [seq], {"_why": ("max", setter)})
+    named = scan.running(run, key, slices, [seq], {"_why": ("max", setter)})
     why = F.when(~F.col("valid") & (F.col("epoch").isNull() | (F.col("_why.s") > F.col("epoch"))), F.col("_why.r"))
-    return named.withColumn("invalid_reason", why).drop("_last_bad", "_bad_before", "_names", "_why")
+    return named.withColumn("invalid_reason", why).drop("_names", "_why")
 
 
 def level_updates(validity: DataFrame) -> DataFrame:
     """One row per level set or delete that took effect: (token_id, epoch, seq, received_at, side, price, size)."""
-    base = ["token_id", "epoch", "receipt_sequence", "received_at"]
-
-    def side_rows(field: str, side: str) -> DataFrame:
-        rows = validity.where("is_full").select(*base, F.explode(f"_p.{field}").alias("_l"))
-        return rows.select(*base, F.lit(side).alias("side"), _number(F.col("_l.price")).alias("price"),
-                           _number(F.col("_l.size")).alias("size"))
-    deltas = validity.where("is_delta and applied").select(
-        *base, F.col("delta_side").alias("side"), F.col("delta_price").alias("price"), F.col("delta_size").alias("size"))
-    rows = side_rows("bids", "BUY").unionByName(side_rows("asks", "SELL")).where("price is not null and size > 0")
-    return rows.unionByName(deltas)
+    def levels(field: str, side: str) -> Column:
+        rows = F.transform(F.col(f"_p.{field}"), lambda x: F.struct(
+            F.lit(side).alias("side"), _number(x["price"]).alias("price"), _number(x["size"]).alias("size")))
+        return F.filter(rows, lambda x: x["price"].isNotNull() & (x["size"] > 0))
+    delta = F.array(F.struct(F.col("delta_side").alias("side"), F.col("delta_price").alias("price"), F.col("delta_size").alias("size")))
+    changes = F.when(F.col("is_full"), F.concat(levels("bids", "BUY"), levels("asks", "SELL"))).when(
+        F.col("is_delta") & F.col("applied"), delta)
+    return validity.select("token_id", "epoch", "receipt_sequence", "received_at", F.explode(changes).alias("_l")).select(
+        "token_id", "epoch", "receipt_sequence", "received_at", "_l.*")
 
 
 def book_at(events: DataFrame, boundary: Column, strict: bool = False) -> DataFrame:
@@ -106,7 +104,7 @@ def book_at(events: DataFrame, boundary: Column, strict: bool = False) -> DataFr
     Levels are the last update per (token, side, price) of the epoch in force, a partial aggregate; the arrays are as
     long as the book is deep.
     """
-    upto = book_validity(events.where(boundary), strict)
+    upto = materialize(book_validity(events.where(boundary), strict))
     state = upto.groupBy("token_id").agg(F.max_by(
         F.struct("epoch", "valid", "invalid_reason", F.col("receipt_sequence").alias("as_of_sequence")),
         "receipt_sequence").alias("s")).select("token_id", "s.*")
@@ -127,17 +125,39 @@ def _arrays(levels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def level_intervals(validity: DataFrame) -> DataFrame:
-    """Each level with the time span it stood: until its next update or the next full book of the token."""
+    """Each level with the span it stood: from its update to its next update or the token's next full book."""
     rows = level_updates(validity)
-    slices = -scan.day_slice(F.col("received_at"))
-    down = [F.col("receipt_sequence").desc()]
-    same = scan.previous(rows, ["token_id", "epoch", "side", "price"], slices, down, "_next", F.col("received_at"))
-    fulls = validity.where("is_full").select("token_id", "epoch", "received_at", "receipt_sequence")
-    ends = scan.previous(fulls, ["token_id"], slices, down, "_epoch_end", F.col("received_at")).select(
-        "token_id", "epoch", "_epoch_end")
+    slices, order = scan.day_slice(F.col("received_at")), [F.col("receipt_sequence")]
+    here = F.struct(F.col("receipt_sequence").alias("q"), F.col("received_at").alias("t"))
+    same = scan.neighbour(rows, ["token_id", "epoch", "side", "price"], slices, order, "_next", here, following=True)
+    fulls = validity.where("is_full").select("token_id", F.col("receipt_sequence").alias("epoch"), "received_at", "receipt_sequence")
+    ends = scan.neighbour(fulls, ["token_id"], slices, order, "_stop", here, following=True).select("token_id", "epoch", "_stop")
+    until = F.least("_next", "_stop")
     return same.join(ends, ["token_id", "epoch"], "left").where("size > 0").select(
-        "token_id", "epoch", "side", "price", "size", F.col("received_at").alias("started_at"),
-        F.least("_next", "_epoch_end").alias("ended_at"))
+        "token_id", "epoch", "side", "price", "size", F.col("receipt_sequence").alias("from_seq"),
+        F.col("received_at").alias("started_at"), until["q"].alias("to_seq"), until["t"].alias("ended_at"))
+
+
+def books_at_events(validity: DataFrame, points: DataFrame) -> DataFrame:
+    """Sorted level arrays at chosen events (token_id, receipt_sequence, received_at), by a range join on level spans."""
+    from skyledger.operators.intervals import bucketed_range_join
+
+    spans = level_intervals(validity)
+    joined = bucketed_range_join(
+        points.select("token_id", "receipt_sequence", "received_at"), spans, ["token_id"], F.unix_micros("received_at"),
+        F.unix_micros("started_at"), F.unix_micros("ended_at"))
+    live = joined.where((F.col("receipt_sequence") >= F.col("from_seq")) & (
+        F.col("to_seq").isNull() | (F.col("receipt_sequence") < F.col("to_seq"))))
+    return _arrays(live, ["token_id", "receipt_sequence"])
+
+
+def checkpoints(validity: DataFrame, every: int) -> DataFrame:
+    """Full book after each full-book event and after every `every` events of a token, while the book is valid."""
+    marks = validity.where(F.col("valid") & (F.col("is_full") | (F.col("event_number") % every == 0)))
+    books = books_at_events(validity, marks)
+    return marks.select("token_id", "receipt_sequence", "received_at").join(books, ["token_id", "receipt_sequence"], "left").select(
+        "token_id", F.col("receipt_sequence").alias("event_offset"), F.col("received_at").alias("captured_at"),
+        *[F.coalesce(F.col(c), F.array().cast(BOOK_LEVEL)).alias(c) for c in ("bids", "asks")])
 
 
 # ---- ladder kernels over sorted arrays ----

@@ -18,12 +18,11 @@ def bucketed_range_join(points: DataFrame, intervals: DataFrame, on: list[str],
     """
     pts = points.withColumns({"_p": point_us, "_b": F.floor(point_us / bucket_us)})
     last = points.agg(F.max(point_us).alias("_last"))
-    ivs = intervals.withColumns({"_s": start_us, "_e": end_us})
-    if intervals.where(F.lit(False)).select(end_us.alias("e")).schema["e"].nullable:
-        ivs = ivs.join(F.broadcast(last), F.lit(True)).withColumn("_e", F.coalesce("_e", F.greatest("_last", "_s"))).drop("_last")
+    ivs = intervals.withColumns({"_s": start_us, "_e": end_us}).join(F.broadcast(last), F.lit(True))
+    ivs = ivs.withColumn("_e", F.greatest("_s", F.coalesce("_e", "_last"))).drop("_last")
     ivs = ivs.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / bucket_us), F.floor(F.col("_e") / bucket_us))))
     ivs = ivs.select(*[F.col(k).alias(f"_i_{k}") for k in on], F.col("_b").alias("_i_b"), "_s", "_e",
-                     *[c for c in intervals.columns if c not in on])
+                     *[F.col(c) for c in intervals.columns if c not in on])
     cond = [F.col(k) == F.col(f"_i_{k}") for k in on] + [
         F.col("_b") == F.col("_i_b"), F.col("_p") >= F.col("_s"), F.col("_p") <= F.col("_e")]
     return pts.join(ivs, cond, how).drop("_p", "_b", "_i_b", "_s", "_e", *[f"_i_{k}" for k in on])
@@ -52,10 +51,10 @@ def trailing_totals(decisions: DataFrame, events: DataFrame, on: list[str], deci
 
 def state_intervals(events: DataFrame, keys: list[str], ts: str, order: list[Column], state: str) -> DataFrame:
     """Maximal runs of one state per key; a run ends where the next begins, the last one stays open."""
-    prior = scan.previous(events, keys, scan.day_slice(F.col(ts)), order, "_before", F.col(state))
+    prior = scan.neighbour(events, keys, scan.day_slice(F.col(ts)), order, "_before", F.col(state))
     starts = prior.where(F.col("_before").isNull() | (F.col("_before") != F.col(state)))
-    nxt = scan.previous(
-        starts, keys, -scan.day_slice(F.col(ts)), [c.desc() for c in order], "ended_at", F.col(ts))
+    nxt = scan.neighbour(
+        starts, keys, scan.day_slice(F.col(ts)), order, "ended_at", F.col(ts), following=True)
     return nxt.select(*keys, F.col(state).alias("state"), F.col(ts).alias("started_at"), "ended_at")
 
 
@@ -65,3 +64,24 @@ def coverage_gaps(intervals: DataFrame, keys: list[str], start: str, end: str) -
                             {"_reach": ("max", F.unix_micros(F.col(end)))}, inclusive=False)
     gap = (F.unix_micros(F.col(start)) - F.col("_reach")) / 1e6
     return furthest.withColumn("gap_seconds", F.when(F.col("_reach").isNotNull(), F.greatest(F.lit(0.0), gap))).drop("_reach")
+
+
+def covering_interval(points: DataFrame, intervals: DataFrame, on: list[str], start_by: Column, until_us: Column,
+                      start: str, end: str, ident: str, slice_us: int = 86_400_000_000) -> DataFrame:
+    """Add `interval_id` and `interval_start`: an interval begun by `start_by` that lasts to `until_us`, else null.
+
+    The latest begun interval is taken when it reaches far enough, else the furthest reaching one, so the answer is
+    whole even where intervals of one key overlap. An open interval never ends.
+    """
+    from skyledger.operators.asof import asof_join
+
+    far = 2**62
+    ends = intervals.withColumn("_end_us", F.coalesce(F.unix_micros(F.col(end)), F.lit(far)))
+    reach = scan.running(ends, on, scan.day_slice(F.col(start)), [F.col(start), F.col(ident)], {
+        "_reach": ("max", F.struct(F.col("_end_us").alias("e"), F.unix_micros(F.col(start)).alias("s"), F.col(ident).alias("i")))})
+    take = {"_iv": F.struct(F.col("_end_us").alias("e"), F.unix_micros(F.col(start)).alias("s"), F.col(ident).alias("i")), "_rv": F.col("_reach")}
+    rows = asof_join(points, reach, on, start_by, F.col(start), take, tie=[F.col(ident)], slice_us=slice_us, prefix="_c")
+    best = F.when(F.col("_c_iv.e") >= until_us, F.col("_c_iv")).when(F.col("_c_rv.e") >= until_us, F.col("_c_rv"))
+    return rows.withColumn("_best", best).withColumns({
+        "interval_id": F.col("_best.i"), "interval_start": F.timestamp_micros("_best.s"),
+        "latest_interval_end_us": F.col("_c_iv.e")}).drop("_best", "_c_iv", "_c_rv", "_cmatched_us")

@@ -22,43 +22,41 @@ def day_slice(ts: Column) -> Column:
 
 
 def running(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column],
-            aggregates: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
-    """Add running columns `{name: (sum|max|min, input)}` in row order per key."""
-    sliced = df.withColumn("_slice", slice_by)
-    inputs = {f"_in_{n}": c for n, (_, c) in aggregates.items()}
-    sliced = sliced.withColumns(inputs)
-    end = Window.currentRow if inclusive else -1
-    frame = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    local = sliced.withColumns({f"_at_{n}": COMBINE[k][0](f"_in_{n}").over(frame) for n, (k, _) in aggregates.items()})
-    totals = sliced.groupBy(*keys, "_slice").agg(
-        *[COMBINE[k][0](f"_in_{n}").alias(f"_tot_{n}") for n, (k, _) in aggregates.items()])
+            aggregates: dict[str, tuple], inclusive: bool = True) -> DataFrame:
+    """Add running columns `{name: (sum|max|min, input[, inclusive])}` in row order per key, in one pass."""
+    kinds = {n: (spec[0], spec[2] if len(spec) > 2 else inclusive) for n, spec in aggregates.items()}
+    sliced = df.withColumn("_slice", slice_by).withColumns({f"_in_{n}": spec[1] for n, spec in aggregates.items()})
+    part = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    upto = {True: part.rowsBetween(Window.unboundedPreceding, 0), False: part.rowsBetween(Window.unboundedPreceding, -1)}
+    local = sliced.withColumns({f"_at_{n}": COMBINE[k][0](f"_in_{n}").over(upto[i]) for n, (k, i) in kinds.items()})
+    totals = sliced.groupBy(*keys, "_slice").agg(*[COMBINE[k][0](f"_in_{n}").alias(f"_tot_{n}") for n, (k, _) in kinds.items()])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_k_slice"), *[
-        COMBINE[k][0](f"_tot_{n}").over(before).alias(f"_carry_{n}") for n, (k, _) in aggregates.items()])
+        COMBINE[k][0](f"_tot_{n}").over(before).alias(f"_carry_{n}") for n, (k, _) in kinds.items()])
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_slice") == F.col("_k_slice")]
     joined = local.join(carry, on, "left")
-    out = {n: COMBINE[k][1](F.col(f"_at_{n}"), F.col(f"_carry_{n}")) for n, (k, _) in aggregates.items()}
+    out = {n: COMBINE[k][1](F.col(f"_at_{n}"), F.col(f"_carry_{n}")) for n, (k, _) in kinds.items()}
     drop = ["_slice", "_k_slice", *[f"_k_{k}" for k in keys]]
     for n in aggregates:
         drop += [f"_in_{n}", f"_at_{n}", f"_carry_{n}"]
     return joined.withColumns(out).drop(*drop)
 
 
-def previous(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], name: str,
-             value: Column) -> DataFrame:
-    """Value of the row before, per key, across slices (a lag that does not put a key in one task)."""
-    sliced = df.withColumns({"_slice": slice_by, "_val": F.struct(value.alias("v"))})
-    rank = F.struct(*order)
-    frame = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    local = sliced.withColumn("_prev", F.lag("_val").over(frame))
-    last = sliced.groupBy(*keys, "_slice").agg(F.max_by("_val", rank).alias("_last"))
+def neighbour(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], name: str, value: Column,
+              following: bool = False) -> DataFrame:
+    """Value of the row before (or after) per key across slices: a lag or lead that never puts a key in one task."""
+    sliced = df.withColumns({"_slice": slice_by, "_val": F.struct(value.alias("v")), "_rank": F.struct(*order)})
+    step = F.lead if following else F.lag
+    local = sliced.withColumn("_near", step("_val").over(Window.partitionBy(*keys, "_slice").orderBy("_rank")))
+    edge = F.min_by if following else F.max_by
+    ends = sliced.groupBy(*keys, "_slice").agg(edge("_val", "_rank").alias("_edge"))
     by_slice = Window.partitionBy(*keys).orderBy("_slice")
-    carry = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_k_slice"),
-                        F.lag("_last").over(by_slice).alias("_carry"))
+    carry = ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_k_slice"),
+                        step("_edge").over(by_slice).alias("_carry"))
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_slice") == F.col("_k_slice")]
     joined = local.join(carry, on, "left")
-    return joined.withColumn(name, F.coalesce("_prev", "_carry")["v"]).drop(
-        "_slice", "_val", "_prev", "_k_slice", "_carry", *[f"_k_{k}" for k in keys])
+    return joined.withColumn(name, F.coalesce("_near", "_carry")["v"]).drop(
+        "_slice", "_val", "_rank", "_near", "_k_slice", "_carry", *[f"_k_{k}" for k in keys])
 
 
 def drawdown(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], pnl: Column) -> DataFrame:
