@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.functions.arrays import let, total
 from skyledger.functions.prob import normal_cdf
 from skyledger.operators import scan
 
@@ -14,15 +15,12 @@ CELLS = HIGH - LOW + 1
 
 
 
-def total(p: Column) -> Column:
-    return F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def normalize(p: Column) -> Column:
     """Array divided by its sum; null when there is no positive mass or a negative cell."""
-    mass = total(p)
-    ok = (mass > 0) & ~F.exists(p, lambda x: x.isNull() | F.isnan(x) | (x < 0))
-    return F.when(ok, F.transform(p, lambda x: x / mass))
+    def scaled(cells: Column) -> Column:
+        bad = F.exists(cells, lambda x: x.isNull() | F.isnan(x) | (x < 0))
+        return let(total(cells), lambda mass: F.when((mass > 0) & ~bad, F.transform(cells, lambda x: x / mass)))
+    return let(p, scaled)
 
 
 def normalize_ladder(df: DataFrame, keys: list[str], score: str, name: str) -> DataFrame:
@@ -104,11 +102,13 @@ def normal_bucket_prob(mu: Column, sigma: Column, lower: Column, upper: Column)
 def normal_support(mu: Column, sigma: Column, low: int = LOW, high: int = HIGH) -> Column:
     """Normal mass per integer cell with half-degree edges; end cells hold the tails; sigma at least one half."""
     scale = F.greatest(sigma, F.lit(0.5))
-    def cdf(edge: Column) -> Column:
-        return normal_cdf(edge, mu, scale)
-    cells = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda v: (
-        F.when(v == high, F.lit(1.0)).otherwise(cdf(v + 0.5)) - F.when(v == low, F.lit(0.0)).otherwise(cdf(v - 0.5))))
-    return normalize(F.transform(cells, lambda x: F.greatest(x, F.lit(0.0))))
+    edges = F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda v: normal_cdf(v + 0.5, mu, scale))
+
+    def cells(cuts: Column) -> Column:
+        upto = F.concat(cuts, F.array(F.lit(1.0)))
+        below = F.concat(F.array(F.lit(0.0)), cuts)
+        return F.zip_with(upto, below, lambda u, b: F.greatest(u - b, F.lit(0.0)))
+    return normalize(let(edges, cells))
 
 
 def monotone_bucket_prob(df: DataFrame, ladder: list[str]) -> DataFrame:
@@ -124,15 +124,15 @@ def monotone_bucket_prob(df: DataFrame, ladder: list[str]) -> DataFrame:
     means = points.where("_c.t is not null and _c.s is not null").groupBy(*ladder, F.col("_c.t").alias("t")).agg(
         F.least(F.greatest(F.avg("_c.s"), F.lit(0.0)), F.lit(1.0)).alias("s"))
     curves = means.groupBy(*ladder).agg(F.array_sort(F.collect_list(F.struct("t", "s"))).alias("_curve"))
+    # prefix sums once per ladder, so the mean of cutpoints k..j is one subtraction
+    values = F.transform("_curve", lambda x: x["s"])
+    sums = F.transform(F.sequence(F.lit(0), F.size("_curve")), lambda i: total(F.slice(values, 1, i)))
+    curves = curves.withColumn("_sums", sums)
     n = F.size("_curve")
 
-    def mean_of(k: Column, j: Column) -> Column:
-        part = F.slice(F.transform("_curve", lambda x: x["s"]), k, j - k + 1)
-        return total(part) / (j - k + 1)
-
     def fitted(i: Column) -> Column:
         return F.array_min(F.transform(F.sequence(F.lit(1), i), lambda k: F.array_max(
-            F.transform(F.sequence(i, n), lambda j: mean_of(k, j)))))
+            F.transform(F.sequence(i, n), lambda j: (F.get("_sums", j) - F.get("_sums", k - 1)) / (j - k + 1)))))
     fits = curves.select(*ladder, F.map_from_arrays(
         F.transform("_curve", lambda x: x["t"]),
         F.transform(F.sequence(F.lit(1), n), fitted)).alias("_fit"))
@@ -146,28 +146,30 @@ def condition_lower(p: Column, value: Column, low: int = LOW) -> Column:
     """Zero mass below an observed whole value and renormalise; a point mass there when nothing is left."""
     at = F.rint(value).cast("int") - low
     kept = F.transform(p, lambda x, i: F.when(i >= at, x).otherwise(0.0))
-    mass = total(kept)
     point = F.transform(p, lambda x, i: F.when(i == at, 1.0).otherwise(0.0))
-    return F.when(mass > 0, F.transform(kept, lambda x: x / mass)).otherwise(point)
+    return let(kept, lambda cells: let(total(cells), lambda mass: F.when(
+        mass > 0, F.transform(cells, lambda x: x / mass)).otherwise(point)))
 
 
 def shift_distribution(p: Column, correction: Column) -> Column:
     """Move mass by a fractional number of degrees, split linearly; mass leaving the support stays at its end."""
-    n = F.size(p)
     whole = F.floor(correction).cast("int")
-    part = correction - whole
+    part = correction - F.floor(correction)
+
+    def moved(cells: Column) -> Column:
+        n = F.size(cells)
 
-    def gather(offset: Column, weight: Column, i: Column) -> Column:
-        # cell i receives source i-offset; the ends also receive everything that would fall outside
-        source = i - offset
-        inside = F.when((source >= 0) & (source < n), F.try_element_at(p, (source + 1).cast("int"))).otherwise(0.0)
-        below = F.when(i == 0, total(F.slice(p, 1, F.greatest(F.least(-offset, n), F.lit(0))))).otherwise(0.0)
-        over = F.greatest(F.least(offset, n), F.lit(0))
-        above = F.when(i == n - 1, total(F.slice(p, n - over + 1, over))).otherwise(0.0)
-        return weight * (inside + below + above)
-    moved = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (
-        gather(whole, 1.0 - part, i) + F.when(part > 0, gather(whole + 1, part, i)).otherwise(0.0)))
-    return normalize(moved)
+        def gather(offset: Column, weight: Column, i: Column) -> Column:
+            # cell i receives source i-offset; the ends also receive everything that would fall outside
+            source = i - offset
+            inside = F.when((source >= 0) & (source < n), F.get(cells, source)).otherwise(0.0)
+            below = F.when(i == 0, total(F.slice(cells, 1, F.greatest(F.least(-offset, n), F.lit(0))))).otherwise(0.0)
+            over = F.greatest(F.least(offset, n), F.lit(0))
+            above = F.when(i == n - 1, total(F.slice(cells, n - over + 1, over))).otherwise(0.0)
+            return weight * (inside + below + above)
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: (
+            gather(whole, 1.0 - part, i) + F.when(part > 0, gather(whole + 1, part, i)).otherwise(0.0)))
+    return normalize(let(p, moved))
 
 
 def hurdle_distribution(peak: Column, deltas: Column, high: Column, low: int = LOW, top: int = HIGH) -> Column:
@@ -187,8 +189,8 @@ def hurdle_distribution(peak: Column, deltas: Column, high: Column, low: int = L
 def ordinal_deltas(survival: Column) -> Column:
     """Mass per delta from survival P(delta >= k), k = 1.., made non-increasing by a running minimum."""
     falling = F.transform(survival, lambda x, i: F.array_min(F.slice(survival, 1, i + 1)))
-    return F.transform(falling, lambda x, i: F.greatest(
-        x - F.when(i + 1 < F.size(survival), F.try_element_at(falling, i + 2)).otherwise(0.0), F.lit(0.0)))
+    return let(falling, lambda f: F.transform(f, lambda x, i: F.greatest(
+        x - F.when(i + 1 < F.size(f), F.get(f, i + 1)).otherwise(0.0), F.lit(0.0))))
 
 
 def ladder_to_support(df: DataFrame, ladder: list[str], price: str, low: int = LOW, high: int = HIGH) -> DataFrame:
@@ -252,10 +254,8 @@ TEMPERATURES = tuple(0.25 * 32.0 ** (i / 79) for i in range(80))
 def with_temperature(p: Column, temperature: Column) -> Column:
     """softmax(log p / T) of an array; equal to the normalised powers p^(1/T)."""
     logits = F.transform(p, lambda x: F.log(F.least(F.greatest(x, F.lit(1e-6)), F.lit(1.0 - 1e-6))) / temperature)
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    mass = total(powers)
-    return F.transform(powers, lambda x: x / mass)
+    powers = let(logits, lambda z: let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top))))
+    return let(powers, lambda e: let(total(e), lambda mass: F.transform(e, lambda x: x / mass)))
 
 
 def fit_temperatures(df: DataFrame, p: str, target_index: str, minimum: int, model: str = "model_name",

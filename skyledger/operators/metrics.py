@@ -255,8 +255,9 @@ def score_distributions(df: DataFrame, p: str, target_index: Column, date: str,
     """Log loss, ranked probability score, threshold Brier, top-cell accuracy and entropy, date-equal."""
     cells = F.col(p)
     n = F.size(cells)
-    total = F.aggregate(cells, F.lit(0.0), lambda a, x: a + x)
-    norm = df.withColumn("_m", F.transform(cells, lambda x: x / total)).withColumn("_i", target_index)
+    from skyledger.operators.dists import normalize
+
+    norm = df.withColumns({"_m": normalize(cells), "_i": target_index})
     chosen = F.least(F.greatest(F.try_element_at("_m", F.col("_i") + 1), F.lit(1e-12)), F.lit(1.0))
     start = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("s"), F.lit(0).alias("k"))
     rps = F.aggregate("_m", start, lambda a, x: F.struct(

@@ -59,7 +59,7 @@ OBS = f"""
 user_id % 20 AS station
 | event_id AS obs_id
 | CASE WHEN {K} % 10 = 0 THEN NULL ELSE round(20 + value / 5, 2) END AS tmpf
-| round(10 + value / 8, 2) AS dwpf
+| round(10 + value * 0.12, 2) AS dwpf
 | CAST({K} AS DOUBLE) AS relh
 | CAST({K} * 3.6 AS DOUBLE) AS drct
 | {K} AS k
