@@ -11,19 +11,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6):
-    """Register `fn(spark, sf_dir)`; the named double columns are rounded on both sides."""
-    cols = doubles.split()
+def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6, dates: str = ""):
+    """Register `fn(spark, sf_dir)`; the named double columns are rounded and dates become text on both sides."""
+    cols, days = doubles.split(), dates.split()
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
-            return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in cols}) if cols else df
+            shown = {c: F.round(F.col(c), digits) + F.lit(0.0) for c in cols} | {c: F.col(c).cast("string") for c in days}
+            return df.withColumns(shown) if shown else df
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
         QUERIES[name] = run
         if sql is not None:
-            swaps = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
-            ORACLES[name] = f"SELECT * REPLACE ({swaps}) FROM ({sql})" if cols else sql
+            swaps = ", ".join([f"round({c}, {digits}) + 0.0 AS {c}" for c in cols] + [f"CAST({c} AS VARCHAR) AS {c}" for c in days])
+            ORACLES[name] = f"SELECT * REPLACE ({swaps}) FROM ({sql})" if swaps else sql
         return fn
     return wrap
