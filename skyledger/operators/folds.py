@@ -107,3 +107,26 @@ def edge_improve(df: DataFrame, keys: list[str], slice_by: Column, order: list[s
 
     folded = ordered_fold(slim, keys, order, lambda: {"first": True, "last": None}, step, [edge], "kept boolean")
     return folded.where("kept").drop("kept")
+
+
+def two_cap_fold(df: DataFrame, keys: list[str], inner: list[str], order: list[str], cost: str, outer_cap: float,
+                 inner_cap: float) -> DataFrame:
+    """Whole-row rejection under an outer cap per `keys` and an inner cap per `keys + inner`; adds `cap_reason` (null = taken).
+
+    Both remainders only fall, so beyond the first `inner_cap/cost` rows of one cost in an inner group nothing can be taken; those
+    rows get their reason without entering the fold. The reason of such a row is the inner cap unless the outer one is already full.
+    """
+    order_cols = [F.col(c) for c in order]
+    pruned = prune_for_cap(df, [*keys, *inner], order_cols, F.col(cost), inner_cap)
+    inner_at = len(inner)
+
+    def step(state, value):
+        amount, group = value[0], value[1:1 + inner_at]
+        if state["outer"] + amount > outer_cap + 1e-9:
+            return ("OUTER_CAP",)
+        if state["inner"].get(group, 0.0) + amount > inner_cap + 1e-9:
+            return ("INNER_CAP",)
+        state["outer"] += amount
+        state["inner"][group] = state["inner"].get(group, 0.0) + amount
+        return (None,)
+    return ordered_fold(pruned, keys, order, lambda: {"outer": 0.0, "inner": {}}, step, [cost, *inner], "cap_reason string")
