@@ -110,23 +110,32 @@ def edge_improve(df: DataFrame, keys: list[str], slice_by: Column, order: list[s
 
 
 def two_cap_fold(df: DataFrame, keys: list[str], inner: list[str], order: list[str], cost: str, outer_cap: float,
-                 inner_cap: float) -> DataFrame:
+                 inner_cap: float, slice_by: Column) -> DataFrame:
     """Whole-row rejection under an outer cap per `keys` and an inner cap per `keys + inner`; adds `cap_reason` (null = taken).
 
-    Both remainders only fall, so beyond the first `inner_cap/cost` rows of one cost in an inner group nothing can be taken; those
-    rows get their reason without entering the fold. The reason of such a row is the inner cap unless the outer one is already full.
+    `order` must identify a row inside its group and `slice_by` must not decrease along it. Both remainders only fall, so beyond
+    the first `inner_cap/cost` rows of one cost in an inner group nothing can be taken: only the others enter the fold. Every row
+    comes back: a rejected one is blamed on the outer cap if that was too full for it at its place, else on the inner one.
     """
+    from skyledger.operators import scan
+
     order_cols = [F.col(c) for c in order]
-    pruned = prune_for_cap(df, [*keys, *inner], order_cols, F.col(cost), inner_cap)
-    inner_at = len(inner)
+    slim = df.select(*keys, *inner, *order, cost)
+    pruned = prune_for_cap(slim, [*keys, *inner], order_cols, F.col(cost), inner_cap)
+    width = len(inner)
 
     def step(state, value):
-        amount, group = value[0], value[1:1 + inner_at]
-        if state["outer"] + amount > outer_cap + 1e-9:
-            return ("OUTER_CAP",)
-        if state["inner"].get(group, 0.0) + amount > inner_cap + 1e-9:
-            return ("INNER_CAP",)
+        amount, group = value[0], value[1:1 + width]
+        held = state["inner"].get(group, 0.0)
+        if state["outer"] + amount > outer_cap + 1e-9 or held + amount > inner_cap + 1e-9:
+            return (False,)
         state["outer"] += amount
-        state["inner"][group] = state["inner"].get(group, 0.0) + amount
-        return (None,)
-    return ordered_fold(pruned, keys, order, lambda: {"outer": 0.0, "inner": {}}, step, [cost, *inner], "cap_reason string")
+        state["inner"][group] = held + amount
+        return (True,)
+    run = ordered_fold(pruned, keys, order, lambda: {"outer": 0.0, "inner": {}}, step, [cost, *inner], "_taken boolean")
+    ident = list(dict.fromkeys([*keys, *inner, *order]))
+    full = df.join(run.where("_taken").select(*ident, "_taken"), ident, "left")
+    spent = F.when(F.col("_taken"), F.col(cost)).otherwise(0.0)
+    placed = scan.running(full, keys, slice_by, order_cols, {"_used": ("sum", spent, False)})
+    reason = F.when(F.col("_taken"), None).when(F.col("_used") + F.col(cost) > outer_cap + 1e-9, "OUTER_CAP").otherwise("INNER_CAP")
+    return placed.withColumn("cap_reason", reason.cast("string")).drop("_taken", "_used")

@@ -121,7 +121,8 @@ def evaluate_candidates(rows: DataFrame, candidates: DataFrame, position_cost: f
     first = matching_signals(rows, candidates)
     sized = first.withColumn("cost", F.least(F.lit(position_cost), F.col("liquidity")))
     run = folds.two_cap_fold(sized.select("candidate_id", "station", "market_date", *ORDER, "cost", "best_ask", "label"),
-                             ["candidate_id", "market_date"], ["station"], ORDER, "cost", daily_cap, station_cap)
+                             ["candidate_id", "market_date"], ["station"], ORDER, "cost", daily_cap, station_cap,
+                             scan.day_slice(F.col("ts")))
     taken = F.col("cap_reason").isNull()
     total = first.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("matched"))
     pnl = F.when(F.col("label") == 1, F.col("cost") / F.col("best_ask") - F.col("cost")).when(F.col("label") == 0, -F.col("cost"))
@@ -155,7 +156,7 @@ def shared_caps(executions: DataFrame, daily_cap: float, station_cap: float) ->
 
     Every cap key contains the date, so dates are independent and the fold runs per date over pruned rows.
     """
-    run = folds.two_cap_fold(executions, ["market_date"], ["station"], ["activation_rank", *ORDER], "cost", daily_cap, station_cap)
+    run = folds.two_cap_fold(executions, ["market_date"], ["station"], ["activation_rank", *ORDER], "cost", daily_cap, station_cap, F.col("activation_rank"))
     return run.withColumn("cap_reason", F.when(F.col("cap_reason") == "OUTER_CAP", "SHARED_DAILY_RISK_CAP").when(
         F.col("cap_reason") == "INNER_CAP", "SHARED_STATION_DATE_CAP"))
 
@@ -184,13 +185,14 @@ def portfolio_replay(rows: DataFrame, caps: PortfolioCaps) -> DataFrame:
     bucket = ["market_date", "market_family", "station", "selected_bucket", "selected_side"]
     slim = select.top_n(usable, bucket, [F.col(c) for c in order], int(caps.bucket // caps.minimum)).drop("rank")
 
+    minimum, limits = caps.minimum, (caps.daily, caps.station_date, caps.side, caps.bucket)
+
     def step(state, value):
         want, family, station, bucket_label, side = value
         keys = (("d",), ("sd", family, station), ("sds", family, station, side), ("b", family, station, bucket_label, side))
-        limits = (caps.daily, caps.station_date, caps.side, caps.bucket)
         room = min(limit - state.get(k, 0.0) for k, limit in zip(keys, limits))
         size = min(want, room)
-        if size < caps.minimum or size <= 0:
+        if size < minimum or size <= 0:
             return (0.0,)
         for k in keys:
             state[k] = state.get(k, 0.0) + size
