@@ -61,12 +61,13 @@ def m11(spark, sf):
     return out.groupBy("model_name").agg(F.count(F.lit(1)).alias("n"), F.avg("mass_calibrated").alias("by_mass"), F.avg("context_calibrated").alias("by_context"))
 
 
-LATE = F.lit("2000-01-01").cast("date")
+def day(text):
+    return F.lit(text).cast("date")
 
 
 @query("m04_train_threshold")
 def m04(spark, sf):
-    out = models.train_threshold(resolved(spark, sf), ["entry", "fair", "minute_of_day", "book_age"], "correct", "market_date", F.lit("1999-01-01").cast("date"), LATE, 5, 3)
+    out = models.train_threshold(resolved(spark, sf), ["entry", "fair", "minute_of_day", "book_age"], "correct", "market_date", day("1999-01-01"), day("2000-01-01"), 5, 3)
     return metrics.binary_metrics(out, "calibrated_probability", "correct", "market_date")
 
 
@@ -81,32 +82,29 @@ def daily_rows(spark, sf):
     return features.next_day(features.daily_station(local_obs(spark, sf))).withColumns({"hour": F.dayofmonth("local_date") % 16, "delta": F.rint(F.col("target_value") - F.col("final_high")).cast("int")})
 
 
-DAYS = F.lit("2024-01-22").cast("date")
-
-
 @query("m06_train_regressor")
 def m06(spark, sf):
-    scored, _ = models.train_regressor(daily_rows(spark, sf), ["final_high", "prior_day", "prior_3day_mean"], "target_value", "local_date", "hour", DAYS, 5)
+    scored, _ = models.train_regressor(daily_rows(spark, sf), ["final_high", "prior_day", "prior_3day_mean"], "target_value", "local_date", "hour", day("2024-01-22"), 5)
     return models.regressor_report(scored, "target_value")
 
 
 @query("m07_train_next_day")
 def m07(spark, sf):
     df = daily_rows(spark, sf).withColumn("y", (F.col("target_value") >= F.col("final_high")).cast("int"))
-    out = models.train_threshold(df, ["final_high", "prior_day", "prior_7day_mean"], "y", "local_date", F.lit("2024-01-16").cast("date"), DAYS, 5, 3)
+    out = models.train_threshold(df, ["final_high", "prior_day", "prior_7day_mean"], "y", "local_date", day("2024-01-16"), day("2024-01-22"), 5, 3)
     return metrics.binary_metrics(out, "calibrated_probability", "y", "local_date")
 
 
 @query("m08_fit_hurdle")
 def m08(spark, sf):
-    out = models.fit_hurdle(daily_rows(spark, sf), ["final_high", "prior_day", "prior_3day_mean"], "delta", "local_date", DAYS, 8)
+    out = models.fit_hurdle(daily_rows(spark, sf), ["final_high", "prior_day", "prior_3day_mean"], "delta", "local_date", day("2024-01-22"), 8)
     return out.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.avg("peak_probability").alias("peak"), F.avg(F.aggregate("delta_mass", F.lit(0.0), lambda a, x: a + x)).alias("mass"))
 
 
 @query("m09_fit_spatial")
 def m09(spark, sf):
     df = daily_rows(spark, sf).withColumn("residual", F.col("target_value") - F.col("final_high"))
-    out = models.fit_spatial(df, ["final_high", "prior_day", "prior_7day_mean"], "residual", F.col("prior_day").isNotNull(), "local_date", DAYS)
+    out = models.fit_spatial(df, ["final_high", "prior_day", "prior_7day_mean"], "residual", F.col("prior_day").isNotNull(), "local_date", day("2024-01-22"))
     return out.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.avg("correction").alias("correction"))
 
 
@@ -118,7 +116,7 @@ def cohort(spark, sf):
 
 @query("m10_fit_surprise")
 def m10(spark, sf):
-    out = models.fit_surprise(cohort(spark, sf), ["fair", "entry"], "surprise", "regime", "correct", "market_date", LATE)
+    out = models.fit_surprise(cohort(spark, sf), ["fair", "entry"], "surprise", "regime", "correct", "market_date", day("2000-01-01"))
     return metrics.paired_delta(out, "challenger_probability", "baseline_probability", "correct", "market_date").agg(
         F.count(F.lit(1)).alias("dates"), F.avg("log_loss_delta").alias("log_loss_delta"), F.avg("brier_delta").alias("brier_delta"))
 
@@ -128,7 +126,7 @@ def p22(spark, sf):
     return cohort(spark, sf).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg("surprise").alias("surprise"), F.avg("correct").alias("rate"))
 
 
-@query("p17_policy_search", f"""WITH {SIGNAL_SQL}, g AS (SELECT s.*, d.delay, w.n AS win, b.n AS band, c.scope FROM v_signal s, (VALUES ('all', 0, 1440), ('morning', 360, 720)) w(n, a, z), (VALUES ('low', 0.0, 0.3), ('any', 0.0, 1.0)) b(n, lo, hi), (VALUES ('station_date'), ('station_date_bucket_side')) c(scope), LATERAL (SELECT unnest(['ANY', s.obs_delay_bucket]) AS delay) d WHERE minute_of_day >= w.a AND minute_of_day < w.z AND entry >= b.lo AND entry <= b.hi),
+@query("p17_policy_search", f"""WITH {SIGNAL_SQL}, g AS (SELECT s.*, d.delay, w.n AS win, b.n AS band, c.scope FROM v_signal s, (VALUES ('all', 0, 1440), ('morning', 360, 720)) w(n, a, z), (VALUES ('low', 0.0, 0.3), ('any', 0.0, 1.0)) b(n, lo, hi), (VALUES ('station_date'), ('station_date_bucket_side')) c(scope), day("2000-01-01")RAL (SELECT unnest(['ANY', s.obs_delay_bucket]) AS delay) d WHERE minute_of_day >= w.a AND minute_of_day < w.z AND entry >= b.lo AND entry <= b.hi),
   r AS (SELECT *, row_number() OVER (PARTITION BY model_name, strategy_bucket, delay, win, band, scope, station, market_date, market_family, CASE WHEN scope <> 'station_date' THEN selected_bucket END, CASE WHEN scope <> 'station_date' THEN selected_side END ORDER BY ts, id, liquidity) AS rn FROM g)
   SELECT model_name, strategy_bucket, delay, win AS "window", band, scope, count(*) AS n, count(pnl) AS resolved, sum(pnl) AS pnl FROM r WHERE rn = 1 GROUP BY ALL""", "pnl")
 def p17(spark, sf):

@@ -10,7 +10,7 @@ from skyledger.plans import leaderboard as lb
 from skyledger.queries.registry import query
 from skyledger.queries.views import SIGNAL_SQL, signals
 
-ORDER = [F.col("ts"), F.col("id"), F.col("liquidity")]
+ORDER = ["ts", "id", "liquidity"]
 SQL_ORDER = "ts, id, liquidity"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skyledger.operators.books import parse_events
+from skyledger.operators.books import _number, parse_events
 
 OUTPUT = ("token_id string, receipt_sequence long, received_at timestamp, kind string, coverage string, bids array<struct<price:double,size:double>>, "
           "asks array<struct<price:double,size:double>>")
@@ -29,7 +29,7 @@ def stream_books(events: DataFrame, every: int = 100, idle: str = "1 hour") -> D
     rows = parsed.select(
         "token_id", "receipt_sequence", "received_at", "is_full", "is_delta", "bad_reason", "delta_side",
         F.col("delta_price").cast("double").alias("delta_price"), F.col("delta_size").cast("double").alias("delta_size"),
-        *[F.transform(f"_p.{c}", lambda x: F.struct(x["price"].try_cast("double").alias("price"), x["size"].try_cast("double").alias("size"))).alias(f"full_{c}") for c in ("bids", "asks")])
+        *[F.transform(f"_p.{c}", lambda x: F.struct(_number(x["price"]).cast("double").alias("price"), _number(x["size"]).cast("double").alias("size"))).alias(f"full_{c}") for c in ("bids", "asks")])
 
     def ladder(levels) -> dict[float, float]:
         return {float(x["price"]): float(x["size"]) for x in (levels if levels is not None else []) if x["price"] is not None and x["size"] is not None and x["size"] > 0}
