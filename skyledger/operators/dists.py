@@ -151,25 +151,22 @@ def condition_lower(p: Column, value: Column, low: int = LOW) -> Column:
         mass > 0, F.transform(cells, lambda x: x / mass)).otherwise(point)))
 
 
+def _shift_whole(p: Column, steps: Column) -> Column:
+    """Move an array by whole cells; what would leave it is added to its end cell."""
+    n = F.size(p)
+    right, left = F.least(F.greatest(steps, F.lit(0)), n), F.least(F.greatest(-steps, F.lit(0)), n)
+    zero = F.lit(0.0)
+    core = F.concat(F.array_repeat(zero, right), F.slice(p, left + 1, n - right - left), F.array_repeat(zero, left))
+    ends = F.struct(total(F.slice(p, 1, left)).alias("low"), total(F.slice(p, n - right + 1, right)).alias("high"))
+    return let(ends, lambda e: F.transform(core, lambda x, i: x + F.when(i == 0, e["low"]).otherwise(0.0) + F.when(i == n - 1, e["high"]).otherwise(0.0)))
+
+
 def shift_distribution(p: Column, correction: Column) -> Column:
     """Move mass by a fractional number of degrees, split linearly; mass leaving the support stays at its end."""
     whole = F.floor(correction).cast("int")
     part = correction - F.floor(correction)
-
-    def moved(cells: Column) -> Column:
-        n = F.size(cells)
-
-        def gather(offset: Column, weight: Column, i: Column) -> Column:
-            # cell i receives source i-offset; the ends also receive everything that would fall outside
-            source = i - offset
-            inside = F.when((source >= 0) & (source < n), F.get(cells, source)).otherwise(0.0)
-            below = F.when(i == 0, total(F.slice(cells, 1, F.greatest(F.least(-offset, n), F.lit(0))))).otherwise(0.0)
-            over = F.greatest(F.least(offset, n), F.lit(0))
-            above = F.when(i == n - 1, total(F.slice(cells, n - over + 1, over))).otherwise(0.0)
-            return weight * (inside + below + above)
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: (
-            gather(whole, 1.0 - part, i) + F.when(part > 0, gather(whole + 1, part, i)).otherwise(0.0)))
-    return normalize(let(p, moved))
+    return normalize(let(p, lambda cells: F.zip_with(
+        _shift_whole(cells, whole), _shift_whole(cells, whole + 1), lambda a, b: a * (1.0 - part) + b * part)))
 
 
 def hurdle_distribution(peak: Column, deltas: Column, high: Column, low: int = LOW, top: int = HIGH) -> Column:

@@ -298,9 +298,12 @@ def p05(spark, sf):
         F.coalesce("spread_maximum", F.lit(-1.0)).alias("spread_max"), "trades", "effective_dates", "cost", "pnl", "rr", "mean_daily_rr", "lcb_daily_rr", "populated_folds", "positive_folds", "penalized_lcb")
 
 
-@query("k04_family_representatives")
+@query("k04_family_representatives", f"""WITH {SCORE_SQL}, z AS (SELECT *, round(lcb - 0.01 * complexity, 6) AS pl FROM tt), r AS (SELECT *, row_number() OVER (PARTITION BY model_id, side, cap ORDER BY pl DESC, round(pnl, 6) DESC, complexity) AS rn FROM z)
+  SELECT model_id, side, CAST(cap AS DOUBLE) AS cap, pl AS penalized_lcb, round(pnl, 6) AS pnl, complexity::BIGINT AS complexity FROM r WHERE rn = 1""", "cap penalized_lcb pnl", 4)
 def k04(spark, sf):
-    return discovery.family_representatives(_scored(spark, sf).withColumn("passes", F.lit(True)), 12)
+    rules = grid(spark).select("rule_id", "model_id", F.col("selected_side").alias("side"), F.col("entry_max").alias("cap"))
+    best = discovery.family_representatives(_scored(spark, sf).withColumn("passes", F.lit(True)))
+    return best.join(rules, ["rule_id"]).select("model_id", "side", "cap", "penalized_lcb", "pnl", F.col("complexity").cast("long").alias("complexity"))
 
 
 @query("p07_evaluate_holdout")

@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), name in LARGE)
+
+
+LARGE = ("lineitem", "events")
+
+
+def spread(df: DataFrame, large: bool) -> DataFrame:
+    """Use all cores when a large table comes as fewer files than cores; with enough files nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if large and len(df.inputFiles()) < min(cores, 64) else df
 
 
 # ---- signals: one model decision per line item ----
