@@ -292,3 +292,31 @@ def ladder_fill(orders: DataFrame, asks: str, mode: str, minimum_usd: float, cap
         "fill_cost": F.when(filled, F.col("_w.cost")).otherwise(0.0),
         "fill_price": F.when(filled, F.col("_w.avg_price")),
     }).drop("_w")
+
+
+def execution_modes(df: DataFrame, min_edge: float, keep_edge: float, slippage: float, targets: tuple[float, ...], order_usd: float = 10.0,
+                    total_usd: float = 50.0, step: float = 0.01, span: float = 0.05) -> DataFrame:
+    """Ask-sweep and post-only bid-ladder plans beside each row (asks, bids, selected_side, fair), or the reason there is none.
+
+    The bid ladder starts at the best post-only price and steps down within the span until the total notional is placed.
+    """
+    from skyledger.functions.money import q_price, q_usdc
+
+    ask, bid = F.try_element_at("asks", F.lit(1))["price"], F.try_element_at("bids", F.lit(1))["price"]
+    rows = df.withColumns({"best_ask": ask, "best_bid": bid})
+    reason = (
+        F.when(F.col("selected_side").isNull() | ~F.col("selected_side").isin("BUY_YES", "BUY_NO"), "SKIP").when(F.col("fair").isNull(), "MISSING_FAIR")
+        .when(F.col("asks").isNull(), "MISSING_BOOK").when(F.col("best_ask").isNull(), "MISSING_ASK")
+        .when(F.col("fair") - F.col("best_ask") < min_edge, "EDGE_BELOW_MINIMUM"))
+    cap = q_price(F.least(F.col("best_ask") + slippage, F.col("fair") - keep_edge))
+    rows = rows.withColumns({"reason": reason, "price_cap": cap})
+    ok = F.col("reason").isNull()
+    sweeps = {f"sweep_{int(t)}": F.when(ok, walk_ladder(F.col("asks"), F.col("best_ask"), F.lit(float(t)), F.col("price_cap"))) for t in targets}
+    top = q_price(F.least(F.col("fair") - keep_edge, F.col("best_ask") - 0.01))
+    count = int(round(span / step)) + 1
+    rungs = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(
+        q_price(top - i * step).alias("price"), q_usdc(F.least(F.lit(order_usd), total_usd - i * order_usd)).alias("notional")))
+    placed = F.filter(rungs, lambda x: (x["price"] > 0) & (x["notional"] > 0))
+    return rows.withColumns(sweeps | {
+        "bid_reason": F.coalesce("reason", F.when(top <= 0, "NO_POST_ONLY_PRICE")),
+        "bid_ladder": F.when(ok & (top > 0), placed), "depth_to_cap": F.when(ok, depth_at_cap(F.col("asks"), F.col("price_cap")))})

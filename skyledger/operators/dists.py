@@ -303,3 +303,16 @@ def prune_duplicates(names: DataFrame, edges: DataFrame, limit: int = 50) -> Dat
     return names.join(labels, names["position"] == labels["node"]).join(heads, ["label"]).select(
         "name", "representative",
         F.when(F.col("name") == F.col("representative"), "RETAIN").otherwise("COLLAPSE_DUPLICATE").alias("decision"))
+
+
+def ladders_from_json(df: DataFrame, ident: str, candidates: str, bounds: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame:
+    """Model and market distributions on the support from a JSON candidate list and the inclusive bounds of its markets.
+
+    `bounds`: market_id, lower, upper. An inclusive upper end becomes half-open by adding one degree.
+    """
+    parsed = F.from_json(F.col(candidates), "array<struct<market_id:string,fair_yes:double,yes_ask:double>>")
+    rows = df.select(ident, F.explode(parsed).alias("c")).select(ident, "c.*").join(bounds, ["market_id"])
+    rows = rows.withColumns({"bucket_lower": F.col("lower"), "bucket_upper": F.col("upper") + 1.0})
+    model = ladder_to_support(rows, [ident], "fair_yes", low, high).select(ident, F.col("p").alias("model_p"), F.col("reason").alias("model_reason"))
+    market = ladder_to_support(rows, [ident], "yes_ask", low, high).select(ident, F.col("p").alias("market_p"), F.col("reason").alias("market_reason"))
+    return model.join(market, [ident])

@@ -222,3 +222,31 @@ def w05b(spark, sf):
     from skyledger.operators.select import first_by_scope, scope_columns
 
     return first_by_scope(positions(spark, sf), scope_columns("station_date_bucket_side", True), ORDER).groupBy("model_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b07_execution_modes")
+def b07(spark, sf):
+    from skyledger.operators import books
+    from skyledger.queries.views import tape
+
+    book = books.book_at(tape(spark, sf), F.col("received_at") <= F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    rows = book.withColumns({"selected_side": F.lit("BUY_YES"), "fair": (F.col("token_id").cast("int") % 40 + 60) / 100.0})
+    out = books.execution_modes(rows, 0.05, 0.02, 0.05, (25.0, 50.0))
+    return out.select("token_id", F.coalesce("bid_reason", F.lit("OK")).alias("reason"), F.col("sweep_25.cost").alias("sweep_25"), F.col("sweep_50.cost").alias("sweep_50"), F.size("bid_ladder").alias("rungs"))
+
+
+@query("x15_ladders_from_json")
+def x15(spark, sf):
+    from skyledger.operators import dists
+    from skyledger.queries.views import observations
+
+    obs = observations(spark, sf)
+    cut = F.col("k") % 10 + 5
+    entry = lambda name, fair: F.struct(F.concat_ws(":", F.lit(name), (F.col("k") % 10).cast("string")).alias("market_id"), fair.alias("fair_yes"), (fair / 2 + 0.1).alias("yes_ask"))
+    rows = obs.select("obs_id", F.to_json(F.array(entry("lo", F.lit(0.3)), entry("hi", 0.2 + F.col("k") / 200))).alias("raw"))
+    days = obs.select((F.col("k") % 10).alias("d"), cut.alias("cut")).distinct()
+    bounds = days.select(F.explode(F.array(
+        F.struct(F.concat_ws(":", F.lit("lo"), F.col("d").cast("string")).alias("market_id"), F.lit(None).cast("double").alias("lower"), (F.col("cut") - 1).cast("double").alias("upper")),
+        F.struct(F.concat_ws(":", F.lit("hi"), F.col("d").cast("string")).alias("market_id"), F.col("cut").cast("double").alias("lower"), F.lit(None).cast("double").alias("upper")))).alias("b")).select("b.*")
+    out = dists.ladders_from_json(rows, "obs_id", "raw", bounds, 0, 20)
+    return out.groupBy(F.coalesce("model_reason", F.lit("OK")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.element_at("model_p", 1)).alias("first_cell"))
