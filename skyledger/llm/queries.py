@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import packing
+from skyledger.llm import decontaminate, packing, simhash
 from skyledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +22,21 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in an occurrence of ten consecutive words of a benchmark item."""
+    hits = decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(hits)
+
+
 @query("op2_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the whole table in sequences of at most 2048 tokens, one row per piece."""
     return packing.packing_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op6_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest doc_id that links of at most 3 differing bits reach."""
+    near = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", simhash.hex_fingerprint(near.fp).alias("fingerprint"), "component_id")
