@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import decontaminate, langid, packing, simhash, toxicity
+from skyledger.llm import decontaminate, huffman, langid, packing, simhash, toxicity
 from skyledger.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as they are read back from the Huffman-coded files, in the order of doc_id."""
+    return huffman.digest(*huffman.write_files(table(spark, sf_dir, "documents")))

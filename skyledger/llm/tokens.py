@@ -13,7 +13,8 @@ import numpy as np
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-MOST_WORDS = 300_000  # words a worker remembers; words met later are encoded for their batch only
+SLICE_CHARS = 1_000_000
+MOST_WORDS = 250_000  # words a worker remembers; words met later are encoded for their batch only
 MARK = "\x01"  # stands between words of one call; a word that holds it is encoded alone
 CONTROLS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 WIDE_BLANKS = re.compile("[ ᠎ -‏ -  -⁠　﻿]")
@@ -108,11 +109,19 @@ class WordEncoder:
             return not WIDE_BLANKS.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = self._encode_joined(texts) if self.blank_joins else self._encode_parted(texts)
-        for known, words in self.passing:
-            for w in words:
-                known.pop(w, None)
-        self.passing = []
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):  # the words of a slice are in memory at once, not those of a whole batch
+            end, size = at, 0
+            while end < len(texts) and size < SLICE_CHARS:
+                size += len(texts[end])
+                end += 1
+            out += self._encode_joined(texts[at:end]) if self.blank_joins else self._encode_parted(texts[at:end])
+            for known, words in self.passing:
+                for w in words:
+                    known.pop(w, None)
+            self.passing = []
+            at = end
         return out
 
     def _encode_parted(self, texts: list[str]) -> list[bytes]:
