@@ -28,18 +28,9 @@ def word_array(text: Column) -> Column:
 
 def shingle_hashes(words: Column, width: int) -> Column:
     """Hash of each run of `width` words by position, apart for each width; fewer words give an empty array."""
-    runs = {1: F.transform(words, lambda w: F.xxhash64(F.lit(width), w))}
-
-    def joined(k: int) -> Column:
-        # a run is its first half and what follows that; where the words run out is cut below
-        if k not in runs:
-            half = k // 2 if k % 2 == 0 else k - 1
-            rest = joined(k - half)
-            runs[k] = F.zip_with(joined(half), F.slice(rest, half + 1, F.greatest(F.size(rest) - half, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-        return runs[k]
-
-    n = F.size(words) - width + 1
-    return F.when(n > 0, F.slice(joined(width), 1, F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<long>"))
+    last = F.size(words) - width
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.lit(width), *[F.get(words, i + k) for k in range(width)]))
+    return F.when(last >= 0, runs).otherwise(F.array().cast("array<long>"))
 
 
 def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import decontaminate, huffman, langid, packing, simhash, toxicity
+from skyledger.llm import decontaminate, huffman, langid, media, packing, sharding, simhash, toxicity
 from skyledger.llm.common import held_out, table
 
+SHARD_BYTES = 1 << 20  # texts of one shard in op4; a store of 100 TB would take 256 MB
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -62,3 +64,32 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids as they are read back from the Huffman-coded files, in the order of doc_id."""
     return huffman.digest(*huffman.write_files(table(spark, sf_dir, "documents")))
+
+
+@query(
+    "op4_extendible_sharding",
+    f"""
+    WITH RECURSIVE rows AS (
+      SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
+             CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS hash
+      FROM documents
+    ), sums AS (
+      SELECT depth, hash >> (60 - depth) AS node, sum(n_bytes) AS bytes FROM rows, range(0, 25) d(depth) GROUP BY 1, 2
+    ), leaves AS (
+      SELECT r.doc_id, r.n_bytes, r.hash, min(s.depth) AS depth
+      FROM rows r JOIN sums s ON s.node = r.hash >> (60 - s.depth) WHERE s.bytes <= {SHARD_BYTES} GROUP BY 1, 2, 3
+    )
+    SELECT l.doc_id, l.n_bytes, CAST(l.depth AS INTEGER) AS depth, right(lpad(bin(l.hash >> (60 - l.depth)), 64, '0'), CAST(l.depth AS INTEGER)) AS shard, CAST(s.bytes AS BIGINT) AS shard_bytes
+    FROM leaves l JOIN sums s ON s.depth = l.depth AND s.node = l.hash >> (60 - l.depth)
+    """,
+)
+def extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document; a shard's texts take at most SHARD_BYTES."""
+    placed = sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return placed.select("doc_id", "n_bytes", "depth", "shard", "shard_bytes")
+
+
+@query("op10_media_columns")
+def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an ISO media file, read back, with what its boxes say."""
+    return media.digest(table(spark, sf_dir, "documents"))
