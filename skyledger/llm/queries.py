@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import decontaminate, huffman, langid, media, packing, sharding, simhash, toxicity
+from skyledger.llm import decontaminate, huffman, langid, media, packing, secrets, sharding, simhash, toxicity
 from skyledger.llm.common import held_out, table
 
 SHARD_BYTES = 1 << 20  # texts of one shard in op4; a store of 100 TB would take 256 MB
@@ -93,3 +93,10 @@ def extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as an ISO media file, read back, with what its boxes say."""
     return media.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op3_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate string of every document with the forest's verdict; trained on findings of the other four folds."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out().alias("held_out"), "nth", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "secret")
