@@ -54,8 +54,9 @@ def _document_shingles(docs: DataFrame, widths: list[int]) -> DataFrame:
     """(doc_id, text_key, words, pos, hash): `pos` 0 stands for the document, then come all runs of each width in turn."""
     words = docs.select("doc_id", text_key().alias("text_key"), word_array(F.col("text")).alias("words"))
     hashes = F.concat(F.array(F.lit(0).cast("long")), *[shingle_hashes(F.col("words"), k) for k in widths])
-    # the array is a column of its own: the generator then reads it inside generated code and copies no row that finds nothing
-    return words.withColumn("hashes", hashes).select("doc_id", "text_key", "words", F.posexplode("hashes").alias("pos", "hash"))
+    # the array is a column of its own: the generator then reads it inside generated code and copies no row that finds nothing;
+    # it is never empty, and the outer form keeps Spark from adding a filter that would build it twice
+    return words.withColumn("hashes", hashes).select("doc_id", "text_key", "words", F.posexplode_outer("hashes").alias("pos", "hash"))
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
