@@ -30,7 +30,7 @@ LEAST_WORDS = 30
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no, hash, words) of lines that have words; rows alike in id and text count once."""
     rows = docs.filter("text is not null and doc_id is not null").select("doc_id", text_key().cast("long").alias("text_key"), F.split("text", "\n").alias("lines"))
-    lines = rows.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line")).withColumn("line", F.trim("line"))
+    lines = rows.select("doc_id", "text_key", F.posexplode_outer("lines").alias("line_no", "line")).withColumn("line", F.trim("line"))
     words = F.size(F.split("line", " +"))
     return lines.filter("line <> ''").select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("hash"), words.alias("words"))
 

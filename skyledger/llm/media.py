@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import from_arrow_type
 
 from skyledger.session import materialize
 
@@ -187,7 +188,6 @@ def padded(text: str | None, frame: int = FRAME) -> tuple[bytes, int]:
 
 # -- columns ----------------------------------------------------------------------------------------------------
 
-DESCRIPTION = "struct<brand:string,handler:string,codec:string,timescale:long,duration_s:double,n_samples:long,keyframes:array<struct<start:long,stop:long>>,media:array<struct<start:long,stop:long>>>"
 ARROW_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 ARROW_DESCRIPTION = pa.struct([("brand", pa.string()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", ARROW_RANGES), ("media", ARROW_RANGES)])
 
@@ -218,7 +218,7 @@ def described(files: DataFrame, column: str = "media") -> DataFrame:
                 found = pa.array([describe(m.as_py()) for m in part.column(at)], ARROW_DESCRIPTION)
                 yield pa.RecordBatch.from_arrays([*part.columns, found], [*kept, "description"])
 
-    return files.select(*kept).mapInArrow(walk, files.select(*kept).schema.add("description", DESCRIPTION))
+    return files.select(*kept).mapInArrow(walk, files.select(*kept).schema.add("description", from_arrow_type(ARROW_DESCRIPTION)))
 
 
 def payload_of(content: bytes, description: dict) -> bytes:

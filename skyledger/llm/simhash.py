@@ -215,7 +215,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_key, fp, component_id): component_id is the smallest doc_id reachable over links.
+    """(doc_id, text_key, fp, root, component_id): the class's smallest fingerprint and the smallest doc_id of it.
 
     Fingerprints link at `radius` or fewer differing bits; equal ones are one node. A row without an id counts as larger
     than all others; a class of such rows alone has a null component. Rows that repeat an id each count.
@@ -225,8 +225,8 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) ->
     roots = components(hamming_links(nodes, radius))
     rooted = materialize(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"))
     classes = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = materialize(rooted.join(classes, "root").select("fp", "component_id"))
-    return fps.join(ids, "fp").select("doc_id", "text_key", "fp", "component_id")
+    ids = materialize(rooted.join(classes, "root").select("fp", "root", "component_id"))
+    return fps.join(ids, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:

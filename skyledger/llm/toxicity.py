@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyledger.llm.common import first_ranked, held_out
 
@@ -30,6 +31,7 @@ STEPS = 40
 MOST_WORDS = 250_000  # words a worker remembers before it starts anew
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 STOPS = ".!?\n"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 
 
 def units(word: str) -> list[str]:
@@ -37,8 +39,14 @@ def units(word: str) -> list[str]:
     return [word, *(word[:k] + "|" for k in BEGINNINGS if len(word) > k)]
 
 
+def folded(text: str) -> str:
+    """Lower case, of equal length so that offsets hold."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    return TOKEN.findall(folded(text))
 
 
 def chain(emission: np.ndarray, stop: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,12 +231,10 @@ class Tagger:
 
     def spans(self, text: str | None, least: float = 0.5) -> list[tuple[int, int]]:
         """Character offsets [start, end) of runs of tokens whose marginal is at least `least`."""
-        if not text or len(text.lower()) != len(text):
-            text = "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")
         p, _ = self.texts([text])
         out: list[tuple[int, int]] = []
         joined = False
-        for m, q in zip(TOKEN.finditer(text.lower()), p.tolist(), strict=False):
+        for m, q in zip(TOKEN.finditer(folded(text or "")), p.tolist(), strict=False):
             if q >= least:
                 if joined:
                     out[-1] = (out[-1][0], m.end())
@@ -247,8 +253,7 @@ def fit(rows: list[tuple[int, str]], prior: float) -> ToxicModel:
     docs = list(once.values())
     chain_docs, other = [d for k, d in enumerate(docs) if k % 3 < 2], [d for k, d in enumerate(docs) if k % 3 == 2]
     if not {0, 1} <= {d[0] for d in chain_docs} or not {0, 1} <= {d[0] for d in other}:
-        base = math.log(max(prior, 1e-4) / max(1 - prior, 1e-4)) if rows else -4.0
-        return ToxicModel({}, -20.0, np.ones((2, 2)), np.array([base, 0.0, 0.0, 0.0]))
+        return ToxicModel({}, -20.0, np.ones((2, 2)), np.array([-4.0, 0.0, 0.0, 0.0]))  # nothing to tell apart: all score low
     marked = telling_units([(label, [w for w in ws if w not in STOPS]) for label, ws in chain_docs])
     clean = [d for d in chain_docs if not d[0]]
     weights, bias, trans = fit_chain([d for d in chain_docs if d[0]] + clean[: len(chain_docs) - len(clean)], marked)
@@ -287,7 +292,7 @@ def score(docs: DataFrame, model: ToxicModel, with_spans: bool = False) -> DataF
     kept = [c for c in docs.columns if c not in ("toxic_score", "toxic_spans")]
     schema = docs.select(*kept).schema.add("toxic_score", "double", False)
     if with_spans:
-        schema = schema.add("toxic_spans", "array<struct<start:int,stop:int>>")
+        schema = schema.add("toxic_spans", SPANS)
     text_at = kept.index("text")
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
