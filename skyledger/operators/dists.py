@@ -272,7 +272,7 @@ def fit_temperatures(df: DataFrame, p: str, target_index: str, minimum: int, mod
         F.min("_loss").alias("log_loss"), F.max("snapshots").alias("snapshots"))
 
 
-def prune_duplicates(names: DataFrame, edges: DataFrame, limit: int = 50) -> DataFrame:
+def prune_duplicates(names: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components over duplicate edges; the earliest name of a component represents it.
 
     `names(name, position)`, `edges(a, b)`. Labels spread to the smallest position over edges and then jump to their
@@ -286,7 +286,7 @@ def prune_duplicates(names: DataFrame, edges: DataFrame, limit: int = 50) -> Dat
         F.col("_pa").alias("u"), F.col("_pb").alias("v"))
     links = cut_lineage(links)
     labels = cut_lineage(names.select(F.col("position").alias("node"), F.col("position").alias("label")))
-    for _ in range(limit):
+    while True:
         near = links.join(labels.select(F.col("node").alias("v"), F.col("label").alias("_l")), ["v"]).groupBy(
             F.col("u").alias("node")).agg(F.min("_l").alias("_m"))
         hop = labels.join(near, ["node"], "left").withColumn("label2", F.least("label", F.coalesce("_m", "label")))
@@ -297,8 +297,6 @@ def prune_duplicates(names: DataFrame, edges: DataFrame, limit: int = 50) -> Dat
         labels = new.select("node", F.col("new").alias("label"))
         if not moved:
             break
-    else:
-        raise RuntimeError("duplicate pruning did not settle; raise the round limit")
     heads = names.select(F.col("position").alias("label"), F.col("name").alias("representative"))
     return names.join(labels, names["position"] == labels["node"]).join(heads, ["label"]).select(
         "name", "representative",

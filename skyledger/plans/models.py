@@ -74,12 +74,12 @@ def regressor_report(scored: DataFrame, final: str) -> DataFrame:
     return scored.groupBy("window").agg(F.count(F.lit(1)).alias("rows"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("bias"))
 
 
-def fit_hurdle(df: DataFrame, features: list[str], delta: str, date: str, boundary: Column, top: int) -> DataFrame:
+def fit_hurdle(df: DataFrame, features: list[str], delta: str, date: str, boundary: Column) -> DataFrame:
     """Peak (delta = 0) by a binary logistic and the positive delta by a multinomial one, both with Laplace-smoothed fallback.
 
-    Adds `peak_probability` and `delta_mass` (array for +1..top) to the newer dates.
+    Adds `peak_probability` and `delta_mass` to the newer dates; its cells are +1 to the largest step of the training dates.
     """
-    rows = _doubles(df, features).withColumns({"_peak": (F.col(delta) <= 0).cast("double"), "_delta": F.least(F.greatest(F.col(delta), F.lit(1)), F.lit(top)) - 1.0})
+    rows = _doubles(df, features).withColumns({"_peak": (F.col(delta) <= 0).cast("double"), "_delta": F.greatest(F.col(delta), F.lit(1)) - 1.0})
     train, newer = rows.where(F.col(date) < boundary), rows.where(F.col(date) >= boundary)
     peak = Pipeline(stages=[*_features(features), LogisticRegression(labelCol="_peak", regParam=0.01, probabilityCol="_pp", rawPredictionCol="_pr", predictionCol="_pq")]).fit(train)
     climbing = train.where(F.col(delta) > 0)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +41,34 @@ def dedupe_training(df: DataFrame, key: list[str], role: str, order: list[Column
     return select.first_by_scope(df, key, [rank, *order])
 
 
-def uncertainty_reserve(daily: DataFrame, keys: list[str], date: str, residual: str, quantile: float, minimum: float) -> DataFrame:
-    """Higher quantile `ceil(q*n)-1` of the positive parts of all earlier dates' residuals, never under the minimum.
+def uncertainty_reserve(daily: DataFrame, keys: list[str], date: str, residual: str, quantile: float, minimum: float,
+                        decided_at: str | None = None, resolved_at: str | None = None) -> DataFrame:
+    """Higher quantile `ceil(q*n)-1` of the positive parts of earlier dates' residuals, never under the minimum.
 
-    The input has one row per key and date, so the history of a key is as long as the calendar.
+    With the two clocks a date counts only once its labels were all resolved (`resolved_at`) before the first decision of the
+    date at hand (`decided_at`). The input has one row per key and date, so a key's rows are as many as the calendar's dates;
+    they pass once, in order, through a sorted list.
     """
-    before = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
-    past = F.array_sort(F.collect_list(F.greatest(F.col(residual), F.lit(0.0))).over(before))
-    rows = daily.withColumn("_past", past)
-    n = F.size("_past")
-    place = F.greatest(F.lit(0), F.ceil(F.lit(quantile) * n) - 1).cast("int")
-    value = F.when(n > 0, F.get("_past", place)).otherwise(0.0)
-    return rows.select(*keys, date, n.cast("long").alias("prior_dates"), F.greatest(F.lit(minimum), value).alias("reserve"))
+    clocks = [decided_at, resolved_at] if decided_at and resolved_at else []
+    schema = daily.select(*keys, date).schema.add("prior_dates", "long").add("reserve", "double")
+
+    def running(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(date)
+        waiting: list[tuple] = []  # (when it may count, positive part), smallest first
+        counted: list[float] = []
+        priors, reserves = [], []
+        for row in rows.itertuples(index=False):
+            now = getattr(row, decided_at) if clocks else getattr(row, date)
+            while waiting and waiting[0][0] < now:
+                bisect.insort(counted, heapq.heappop(waiting)[1])
+            n = len(counted)
+            priors.append(n)
+            reserves.append(max(minimum, counted[max(0, math.ceil(quantile * n) - 1)] if n else 0.0))
+            if getattr(row, residual) is not None:
+                heapq.heappush(waiting, (getattr(row, resolved_at) if clocks else now, max(float(getattr(row, residual)), 0.0)))
+        return rows[[*keys, date]].assign(prior_dates=priors, reserve=reserves)
+
+    return daily.select(*keys, date, residual, *clocks).groupBy(*keys).applyInPandas(running, schema)
 
 
 def price_sheet(rows: DataFrame, min_profit: float = 0.02, known_cost: float = 0.01, tick: float = 0.01, min_quote: float = 0.01,
@@ -116,40 +137,59 @@ def v2_dataset(rows: DataFrame, frozen: Column, scope: list[str], order: list[Co
     return weighted.unionByName(dropped)
 
 
-def post_only_quotes(sheets: DataFrame, specs: list[dict], minimum_age: float = 600.0) -> DataFrame:
+def post_only_quotes(sheets: DataFrame, specs: list[dict], min_notional: float = 1.0) -> DataFrame:
     """One row per sheet and quote spec: post-only price, the reason to skip and the notional queued ahead.
 
-    Sheets carry token_id, max_quote, best_bid, best_ask, bids (best first), book_age. Specs are a short list of
-    (name, improve_ticks, size_usd); they are exploded from literals.
+    Sheets carry token_id, eligible, reject_reason, max_quote, best_ask and bids (best first). Specs are a short list of (name,
+    ask_offset_cents, size_usd); they are exploded from literals. The price stays at least one cent under the ask.
     """
-    grid = F.array(*[F.struct(F.lit(s["name"]).alias("spec"), F.lit(int(s["improve_ticks"])).alias("ticks"), F.lit(float(s["size_usd"])).alias("size_usd")) for s in specs])
+    grid = F.array(*[F.struct(F.lit(s["name"]).alias("spec"), F.lit(int(s["ask_offset_cents"])).alias("offset"), F.lit(float(s["size_usd"])).alias("size_usd")) for s in specs])
     rows = sheets.withColumn("_q", F.explode(grid)).select("*", "_q.*").drop("_q")
-    wanted = F.coalesce("best_bid", F.lit(0.0)) + F.col("ticks") * 0.01
-    price = floor_tick(F.least(F.col("max_quote"), wanted, F.col("best_ask") - 0.01), 0.01)
-    reason = (
-        F.when(F.col("max_quote").isNull(), "NO_MAX_QUOTE").when(F.col("best_ask").isNull(), "MISSING_ASK").when(F.col("book_age") > minimum_age, "STALE_BOOK")
-        .when(price <= 0, "NO_POST_ONLY_PRICE").when(F.col("max_quote") < F.coalesce("best_bid", F.lit(0.0)), "BELOW_BEST_BID"))
-    rows = rows.withColumns({"quote_price": F.when(reason.isNull(), price), "skip_reason": reason})
+    under = F.col("best_ask") - F.greatest(F.col("offset"), F.lit(1)) / 100.0
+    price = F.when(F.col("max_quote").isNotNull() & under.isNotNull(), F.floor(F.least("max_quote", under) * 100 + 1e-9) / 100)
+    rows = rows.withColumn("_price", price)
+    checks = {  # in order; the first that holds is the reason
+        "MISSING_TOKEN": F.col("token_id").isNull(), "MISSING_BOOK_OR_ASK": F.col("best_ask").isNull(),
+        "NO_POST_ONLY_PRICE": F.coalesce(F.col("_price") <= 0, F.lit(True)), "WOULD_CROSS_SPREAD": F.col("_price") >= F.col("best_ask") - 1e-9,
+        "QUOTE_SIZE_BELOW_MIN": F.col("size_usd") < min_notional}
+    reason = F.coalesce(F.when(~F.col("eligible"), F.coalesce("reject_reason", F.lit("PRICE_SHEET_INELIGIBLE"))), *[F.when(c, F.lit(n)) for n, c in checks.items()])
+    rows = rows.withColumn("skip_reason", reason).withColumn("quote_price", F.when(F.col("skip_reason").isNull(), F.col("_price"))).drop("_price")
     ahead = F.aggregate(F.filter("bids", lambda x: x["price"] >= F.col("quote_price")), F.lit(0.0), lambda a, x: a + x["price"] * x["size"])
     return rows.withColumn("queue_ahead_usd", F.when(F.col("quote_price").isNotNull(), ahead))
 
 
-def size_candidates(df: DataFrame, exposure: DataFrame, base_usd: float = 25.0, step: float = 5.0, minimum: float = 5.0,
-                    caps: dict[str, float] | None = None) -> DataFrame:
-    """Order size: base times multipliers, cut by six caps and the visible depth, floored to a step, or a blocked reason."""
-    caps = caps or {"order": 100.0, "station_date": 150.0, "station_date_side": 120.0, "bucket": 80.0, "daily": 500.0, "total": 1000.0}
-    rows = df.join(exposure, ["station", "market_date", "selected_side"], "left").fillna(0.0, [
-        "station_date_used", "side_used", "bucket_used", "daily_used", "total_used"])
-    multiplier = F.when(F.col("entry") < 0.1, 0.5).when(F.col("entry") < 0.5, 1.0).otherwise(1.5) * F.when(F.col("selected_side") == "BUY_NO", 1.25).otherwise(1.0)
-    room = {
-        "order": F.lit(caps["order"]), "station_date": caps["station_date"] - F.col("station_date_used"),
-        "station_date_side": caps["station_date_side"] - F.col("side_used"), "bucket": caps["bucket"] - F.col("bucket_used"),
-        "daily": caps["daily"] - F.col("daily_used"), "total": caps["total"] - F.col("total_used")}
-    raw = F.least(base_usd * multiplier, F.col("liquidity"), *room.values())
-    size = F.floor(F.greatest(raw, F.lit(0.0)) / step) * step
-    reason = F.coalesce(*[F.when(v <= 0, f"CAP_{k.upper()}") for k, v in room.items()], F.when(F.col("liquidity") < minimum, "INSUFFICIENT_DEPTH"),
-                        F.when(size < minimum, "BELOW_MINIMUM"))
-    return rows.withColumns({"size_usd": F.when(reason.isNull(), size).otherwise(0.0), "blocked_reason": reason})
+# Fixed values of order sizing: multipliers by entry price (below each bound; the third bound is included), by kind of strategy, the
+# stake of long shots, the rounding step, and the reasons in the order the caps are applied.
+PRICE_STEPS = [(0.10, 0.25), (0.25, 0.60), (0.75, 1.00)]
+PRICE_ABOVE, CONSENSUS, CONSENSUS_YES, LONG_SHOT_USD, SIZE_STEP = 0.60, 0.6, 0.5, 2.0, 0.5
+CAP_REASONS = {
+    "order": "per_order", "total": "RISK_TOTAL_OPEN_CAP", "daily": "RISK_DAILY_NEW_CAP", "station_date": "RISK_STATION_DATE_CAP",
+    "station_date_side": "RISK_STATION_DATE_SIDE_CAP", "bucket": "RISK_EXACT_BUCKET_SIDE_CAP"}
+
+
+def size_candidates(df: DataFrame, exposure: DataFrame, keys: list[str], base_usd: float = 25.0, minimum: float = 1.0, caps: dict[str, float] | None = None) -> DataFrame:
+    """Order size: a stake by strategy, price and side, cut by six caps and the visible depth, floored to a step, or a reason.
+
+    Rows carry strategy_name, selected_side, entry and depth (null where unknown); `exposure` has `used_<cap>` per `keys`, and a
+    missing one counts as zero. The first exhausted cap is the reason; a size under the minimum names depth where depth is short.
+    """
+    caps = caps or {"order": 100.0, "total": 1000.0, "daily": 500.0, "station_date": 150.0, "station_date_side": 120.0, "bucket": 80.0}
+    rows = df.join(exposure, keys, "left").fillna(0.0, [c for c in exposure.columns if c.startswith("used_")])
+    name, yes = F.lower("strategy_name"), F.col("selected_side") == "BUY_YES"
+    (low, at_low), (mid, at_mid), (high, at_high) = PRICE_STEPS
+    by_price = F.when(F.col("entry") < low, at_low).when(F.col("entry") < mid, at_mid).when(F.col("entry") <= high, at_high).otherwise(PRICE_ABOVE)
+    by_policy = F.when(F.col("strategy_name").contains("consensus"), CONSENSUS).otherwise(1.0)
+    long_shot = name.contains("moonshot") | name.contains("entry_05_10")
+    by_side = F.when(yes & name.contains("consensus"), CONSENSUS_YES).otherwise(1.0)
+    wanted = F.when(long_shot, LONG_SHOT_USD).otherwise(base_usd * by_policy * by_price) * by_side
+    room = {k: F.greatest(F.lit(caps[k]) - (F.col(f"used_{k}") if f"used_{k}" in exposure.columns else F.lit(0.0)), F.lit(0.0)) for k in CAP_REASONS}
+    depth = F.when(F.col("depth").isNotNull(), F.greatest(F.col("depth"), F.lit(0.0)))  # unknown depth limits nothing
+    target = F.least(wanted, *room.values(), F.coalesce(depth, F.lit(float("inf"))))
+    size = F.floor((F.greatest(target, F.lit(0.0)) + 1e-9) / SIZE_STEP) * SIZE_STEP
+    rows = rows.withColumns({"target_usd": wanted, "size_usd": size})
+    exhausted = [F.when(room[k] <= 0, F.lit(reason)) for k, reason in CAP_REASONS.items()] + [F.when(depth <= 0, F.lit("INSUFFICIENT_DEPTH"))]
+    small = F.when(F.col("size_usd") < minimum, F.when(depth < minimum, F.lit("INSUFFICIENT_DEPTH")).otherwise(F.lit("RISK_MIN_ORDER_NOTIONAL")))
+    return rows.withColumn("blocked_reason", F.coalesce(*exhausted, small))
 
 
 def bucket_from_survival(lower: Column, upper: Column, at_lower: Column, above_upper: Column, so_far: Column) -> Column:

@@ -327,15 +327,32 @@ def mark_to_latest(positions: DataFrame, markets: DataFrame, book_rows: DataFram
     return rows.withColumn("token_id", token).join(latest, ["token_id"], "left").withColumn("mark", F.col("bid") - F.col("entry"))
 
 
-def select_strategy(rows: DataFrame, keys: list[str], strategy: str) -> DataFrame:
-    """Best bucket of a station-date group: highest fair, largest edge, or the bucket holding the progress value."""
-    ties = [F.col("selected_bucket"), F.col("id")]
-    if strategy == "max_edge":
-        return select.first_by_scope(rows, keys, [F.col("edge").desc_nulls_last(), *ties])
-    if strategy == "best_single":
+# What a bucket's better side must show for each strategy, unless other limits are given.
+STRATEGIES = {
+    "HIGH_CONVICTION": {"min_probability": 0.75, "min_edge": 0.10},
+    "TAIL": {"min_probability": 0.08, "max_probability": 0.25, "max_ask": 0.10, "min_relative_value": 2.0, "min_edge": 0.05},
+    "BEST_BUCKET": {},
+    "MAX_SO_FAR": {},
+}
+
+
+def select_strategy(rows: DataFrame, keys: list[str], strategy: str, ties: list[Column], limits: dict[str, float] | None = None) -> DataFrame:
+    """One bucket per group, with its better side as best_side, best_fair, best_edge and best_ask.
+
+    Rows are buckets with fair, entry and edge of YES, the same with `_no` for NO, and holds_progress. BEST_BUCKET takes the
+    highest YES probability and MAX_SO_FAR the bucket that holds the progress value; the others take the largest edge among
+    buckets whose better side (YES where equal, or where NO has no edge) keeps the limits.
+    """
+    known = STRATEGIES[strategy] | (limits or {})
+    yes = F.coalesce(F.col("edge") >= F.col("edge_no"), F.col("edge_no").isNull())
+    rows = rows.withColumns({"best_side": F.when(yes, "BUY_YES").otherwise("BUY_NO"), **{f"best_{n}": F.when(yes, F.col(c)).otherwise(F.col(f"{c}_no")) for n, c in (("fair", "fair"), ("edge", "edge"), ("ask", "entry"))}})
+    if strategy == "BEST_BUCKET":
         return select.first_by_scope(rows, keys, [F.col("fair").desc_nulls_last(), *ties])
-    if strategy == "progress":
-        return select.first_by_scope(rows.where("holds_progress"), keys, [F.col("fair").desc_nulls_last(), *ties])
-    if strategy == "high_conviction":
-        return select.first_by_scope(rows.where((F.col("fair") >= 0.6) & (F.col("edge") >= 0.1)), keys, [F.col("edge").desc_nulls_last(), *ties])
-    raise ValueError(f"unknown strategy: {strategy}")
+    if strategy == "MAX_SO_FAR":
+        return select.first_by_scope(rows.where("holds_progress"), keys, ties)
+    tests = {
+        "min_probability": lambda v: F.col("best_fair") >= v, "max_probability": lambda v: F.col("best_fair") <= v, "max_ask": lambda v: F.col("best_ask") <= v,
+        "min_relative_value": lambda v: F.col("best_fair") / F.col("best_ask") >= v, "min_edge": lambda v: F.col("best_edge") >= v}
+    for name, value in known.items():
+        rows = rows.where(tests[name](value))
+    return select.first_by_scope(rows, keys, [F.col("best_edge").desc_nulls_last(), *ties])

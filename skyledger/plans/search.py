@@ -30,13 +30,12 @@ def policy_search(rows: DataFrame, windows: list[tuple[str, int, int]], bands: l
     return metrics.summarize_slice(first, policy, minimum)
 
 
-def wide_search(rows: DataFrame, dimensions: list[str], minimum_rows: int, row_budget: int, date: str, station: str, pnl: str, risk: str,
+def wide_search(rows: DataFrame, dimensions: list[str], minimum_rows: int, date: str, station: str, pnl: str, risk: str,
                 folds: DataFrame) -> DataFrame:
     """Level-wise rule lattice: each dimension is left open or fixed to a row's value; scored with the strict gate.
 
     After every level the states are pruned by size and states selecting the same rows collapse to the least complex one, found by
-    additive fingerprints. The matched rows of a level are written once. The total is held to `row_budget`: a level that would pass
-    it stops the search with an error, so nothing is dropped silently.
+    additive fingerprints. The matched rows of a level are written once, so a level costs its states' rows and no more.
     """
     base = rows.select(F.xxhash64(*[F.col(c) for c in ("row_id",)]).alias("_row"), date, station, pnl, risk, *[F.col(d).cast("string").alias(d) for d in dimensions])
     level = materialize(base.withColumns({"state": F.lit(""), "complexity": F.lit(0)}))
@@ -47,9 +46,6 @@ def wide_search(rows: DataFrame, dimensions: list[str], minimum_rows: int, row_b
         prints = grown.groupBy("state", "complexity").agg(F.count(F.lit(1)).alias("_n"), F.sum(a).alias("_a"), F.sum(b).alias("_b"))
         kept = select.first_by_scope(prints.where(F.col("_n") >= minimum_rows), ["_n", "_a", "_b"], [F.col("complexity"), F.col("state")])
         kept = materialize(kept.select("state", "_n"))
-        size = kept.agg(F.sum("_n")).first()[0] or 0
-        if size > row_budget:
-            raise ValueError(f"the search would hold {size} matched rows at dimension {d}; raise the row budget or the minimum size")
         level = materialize(grown.join(kept.select("state"), ["state"], "left_semi"))
     daily = level.groupBy("state", "complexity", date).agg(F.count(F.lit(1)).alias("_n"), F.sum(pnl).alias("_p"), F.sum(risk).alias("_r"))
     per_fold = daily.join(folds, [date]).where("fold is not null").groupBy("state", "fold").agg(F.sum("_p").alias("_fp"))

@@ -128,10 +128,11 @@ def d06(spark, sf):
 
 
 @query("d07_monotone_bucket_prob", f"""WITH {LINES_SQL}, pt AS (SELECT ladder_id, line AS t, s1 AS s FROM v_lines UNION ALL SELECT ladder_id, line + 1, s2 FROM v_lines),
-  c AS (SELECT ladder_id, t, least(greatest(avg(s), 0), 1) AS s FROM pt GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY ladder_id ORDER BY t) AS i, sum(s) OVER (PARTITION BY ladder_id ORDER BY t) AS cs FROM c),
-  kj AS (SELECT a.ladder_id, a.i AS k, b.i AS j, (b.cs - a.cs + a.s) / (b.i - a.i + 1) AS m FROM r a JOIN r b ON a.ladder_id = b.ladder_id AND b.i >= a.i),
-  mx AS (SELECT r.ladder_id, r.i, kj.k, max(m) AS mm FROM r JOIN kj ON kj.ladder_id = r.ladder_id AND kj.k <= r.i AND kj.j >= r.i GROUP BY ALL), f AS (SELECT ladder_id, i, min(mm) AS fit FROM mx GROUP BY ALL),
-  z AS (SELECT r.ladder_id, r.t, f.fit FROM r JOIN f ON f.ladder_id = r.ladder_id AND f.i = r.i)
+  c AS (SELECT ladder_id, t, least(greatest(avg(s), 0), 1) AS s FROM pt GROUP BY ALL), q AS (SELECT *, row_number() OVER w AS i, sum(s) OVER w AS upto, count(*) OVER (PARTITION BY ladder_id) AS n FROM c WINDOW w AS (PARTITION BY ladder_id ORDER BY t)),
+  g AS (SELECT ladder_id, max(n) AS n, list_prepend(0.0, list(upto ORDER BY i)) AS cs FROM q GROUP BY ladder_id),
+  kj AS (SELECT ladder_id, k, j, (cs[j + 1] - cs[k]) / (j - k + 1) AS m FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM g), LATERAL (SELECT unnest(range(k, n + 1)) AS j) x),
+  ki AS (SELECT ladder_id, k, j AS i, max(m) OVER (PARTITION BY ladder_id, k ORDER BY j DESC) AS most FROM kj), f AS (SELECT ladder_id, i, min(most) AS fit FROM ki GROUP BY ALL),
+  z AS (SELECT q.ladder_id, q.t, f.fit FROM q JOIN f ON f.ladder_id = q.ladder_id AND f.i = q.i)
   SELECT v.ladder_id, line, partkey, price, greatest(a.fit - b.fit, 0) AS probability FROM v_lines v JOIN z a ON a.ladder_id = v.ladder_id AND a.t = line JOIN z b ON b.ladder_id = v.ladder_id AND b.t = line + 1""", "probability")
 def d07(spark, sf):
     rows = lines(spark, sf).select("ladder_id", "line", "partkey", "price", F.col("line").cast("double").alias("lower_threshold"), F.col("s1").alias("lower_survival"),

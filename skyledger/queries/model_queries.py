@@ -97,7 +97,7 @@ def m07(spark, sf):
 
 @query("m08_fit_hurdle")
 def m08(spark, sf):
-    out = models.fit_hurdle(daily_rows(spark, sf), ["final_high", "prior_day", "prior_3day_mean"], "delta", "local_date", day("2024-01-22"), 8)
+    out = models.fit_hurdle(daily_rows(spark, sf), ["final_high", "prior_day", "prior_3day_mean"], "delta", "local_date", day("2024-01-22"))
     return out.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.avg("peak_probability").alias("peak"), F.avg(F.aggregate("delta_mass", F.lit(0.0), lambda a, x: a + x)).alias("mass"))
 
 
@@ -138,7 +138,7 @@ def p17(spark, sf):
 def p08(spark, sf):
     df = resolved(spark, sf).select(F.struct("id", "liquidity").alias("row_id"), "market_date", "station", "pnl", "entry", "model_name", "selected_side", bands.entry_band(F.col("entry")).alias("band"), "strategy_bucket")
     fold = discovery.date_folds(df, "market_date", 4, 40)
-    return search.wide_search(df, ["model_name", "selected_side", "band", "strategy_bucket"], 50, 50_000_000, "market_date", "station", "pnl", "entry", fold)
+    return search.wide_search(df, ["model_name", "selected_side", "band", "strategy_bucket"], 50, "market_date", "station", "pnl", "entry", fold)
 
 
 def cards(spark, sf):
@@ -195,13 +195,17 @@ def x20(spark, sf):
     return pricing.mark_positions(pos, rows, F.lit("2002-01-01").cast("timestamp")).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("mark_pnl").alias("mark_pnl"))
 
 
-@query("x16_post_only_quotes", f"""WITH {SIGNAL_SQL}, s AS (SELECT *, entry - 0.03 AS bid FROM v_signal), g AS (SELECT s.*, q.spec, q.ticks FROM s, (VALUES ('join', 0), ('improve', 1)) q(spec, ticks)), p AS (SELECT *, floor(least(fair, bid + ticks * 0.01, entry - 0.01) / 0.01 + 1e-12) * 0.01 AS price FROM g)
-  SELECT spec, count(*) AS n, count(*) FILTER (WHERE book_age <= 120 AND price > 0 AND fair >= bid) AS posted, sum(CASE WHEN book_age <= 120 AND price > 0 AND fair >= bid THEN price END) AS price FROM p GROUP BY spec""", "price", 4)
+@query("x16_post_only_quotes", f"""WITH {SIGNAL_SQL}, s AS (SELECT *, CASE WHEN minute_of_day % 11 = 0 THEN NULL ELSE entry END AS ask, minute_of_day % 13 <> 0 AS eligible, CASE WHEN minute_of_day % 17 = 0 THEN NULL ELSE id END AS token FROM v_signal), g AS (SELECT s.*, q.spec, q.off, q.usd FROM s, (VALUES ('near', 0, 25.0), ('far', 3, 50.0), ('small', 1, 0.5)) q(spec, off, usd)),
+  p AS (SELECT *, CASE WHEN ask IS NOT NULL THEN floor(least(fair - 0.06, ask - greatest(off, 1) / 100.0) * 100 + 1e-9) / 100 END AS price FROM g),
+  r AS (SELECT *, CASE WHEN NOT eligible THEN CASE WHEN minute_of_day % 2 = 0 THEN 'SHEET' ELSE 'PRICE_SHEET_INELIGIBLE' END WHEN token IS NULL THEN 'MISSING_TOKEN' WHEN ask IS NULL THEN 'MISSING_BOOK_OR_ASK' WHEN price <= 0 THEN 'NO_POST_ONLY_PRICE' WHEN price >= ask - 1e-9 THEN 'WOULD_CROSS_SPREAD' WHEN usd < 1 THEN 'QUOTE_SIZE_BELOW_MIN' END AS reason FROM p)
+  SELECT spec, reason AS skip_reason, count(*) AS n, sum(CASE WHEN reason IS NULL THEN price END) AS price FROM r GROUP BY ALL""", "price", 4)
 def x16(spark, sf):
-    sheets = signals(spark, sf).select(F.col("id").alias("token_id"), F.col("fair").alias("max_quote"), (F.col("entry") - 0.03).alias("best_bid"), F.col("entry").alias("best_ask"), "book_age",
-                                       F.array(F.struct((F.col("entry") - 0.03).alias("price"), F.col("cost").alias("size"))).alias("bids"))
-    out = pricing.post_only_quotes(sheets, [{"name": "join", "improve_ticks": 0, "size_usd": 25}, {"name": "improve", "improve_ticks": 1, "size_usd": 50}], 120.0)
-    return out.groupBy("spec").agg(F.count(F.lit(1)).alias("n"), F.count("quote_price").alias("posted"), F.sum("quote_price").alias("price"))
+    every = F.col("minute_of_day")
+    sheets = signals(spark, sf).select(
+        F.when(every % 17 != 0, F.col("id")).alias("token_id"), (every % 13 != 0).alias("eligible"), F.when(every % 2 == 0, "SHEET").alias("reject_reason"), (F.col("fair") - 0.06).alias("max_quote"),
+        F.when(every % 11 != 0, F.col("entry")).alias("best_ask"), F.array(F.struct((F.col("entry") - 0.03).alias("price"), F.col("cost").alias("size"))).alias("bids"))
+    specs = [{"name": "near", "ask_offset_cents": 0, "size_usd": 25}, {"name": "far", "ask_offset_cents": 3, "size_usd": 50}, {"name": "small", "ask_offset_cents": 1, "size_usd": 0.5}]
+    return pricing.post_only_quotes(sheets, specs).groupBy("spec", "skip_reason").agg(F.count(F.lit(1)).alias("n"), F.sum("quote_price").alias("price"))
 
 
 @query("s12_row_set_hash")

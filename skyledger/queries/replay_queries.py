@@ -465,14 +465,22 @@ def x18(spark, sf):
     return out.groupBy("station").agg(F.sum(F.col("eligible").cast("int")).alias("eligible"), F.sum("maximum_quote").alias("quotes"))
 
 
-@query("x23_size_candidates", f"""WITH {SIGNAL_SQL}, u AS (SELECT station, market_date, selected_side, sum(cost) AS used FROM v_signal WHERE model_name = 'm3' GROUP BY ALL), r AS (SELECT s.*, coalesce(used, 0) AS used, 25 * CASE WHEN entry < 0.1 THEN 0.5 WHEN entry < 0.5 THEN 1.0 ELSE 1.5 END * CASE WHEN s.selected_side = 'BUY_NO' THEN 1.25 ELSE 1.0 END AS want FROM v_signal s LEFT JOIN u ON u.station = s.station AND u.market_date = s.market_date AND u.selected_side = s.selected_side WHERE model_name = 'm0'),
-  z AS (SELECT *, floor(greatest(least(want, liquidity, 100, 150 - used, 120 - used, 80, 500, 1000), 0) / 5) * 5 AS size FROM r) SELECT station, count(*) FILTER (WHERE 150 - used > 0 AND 120 - used > 0 AND liquidity >= 5 AND size >= 5) AS sized, sum(CASE WHEN 120 - used > 0 AND liquidity >= 5 AND size >= 5 THEN size ELSE 0 END) AS usd FROM z GROUP BY station""", "usd")
+# a strategy name for each signal, so that every kind of stake occurs
+STAKE_SQL = """CASE WHEN minute_of_day % 10 = 0 THEN 'moonshot' WHEN minute_of_day % 3 = 0 THEN 'consensus_pair' ELSE 'core' END"""
+
+
+@query("x23_size_candidates", f"""WITH {SIGNAL_SQL}, u AS (SELECT station, market_date, selected_side, sum(cost) / 2 AS used FROM v_signal GROUP BY ALL), n AS (SELECT *, {STAKE_SQL} AS strategy_name, CASE WHEN minute_of_day % 7 = 0 THEN NULL ELSE liquidity - 8 END AS depth FROM v_signal),
+  r AS (SELECT n.*, used, CASE WHEN strategy_name = 'moonshot' THEN 2.0 ELSE 25 * CASE WHEN entry < 0.1 THEN 0.25 WHEN entry < 0.25 THEN 0.6 WHEN entry <= 0.75 THEN 1.0 ELSE 0.6 END * CASE WHEN strategy_name = 'consensus_pair' THEN 0.6 ELSE 1.0 END END * CASE WHEN strategy_name = 'consensus_pair' AND n.selected_side = 'BUY_YES' THEN 0.5 ELSE 1.0 END AS want
+    FROM n JOIN u ON u.station = n.station AND u.market_date = n.market_date AND u.selected_side = n.selected_side),
+  z AS (SELECT *, floor((greatest(least(want, 100, 150 - used, 120 - used, 80, CASE WHEN depth IS NULL THEN 1e18 ELSE greatest(depth, 0) END), 0) + 1e-9) / 0.5) * 0.5 AS size FROM r),
+  w AS (SELECT *, CASE WHEN 150 - used <= 0 THEN 'RISK_STATION_DATE_CAP' WHEN 120 - used <= 0 THEN 'RISK_STATION_DATE_SIDE_CAP' WHEN depth <= 0 THEN 'INSUFFICIENT_DEPTH' WHEN size < 1 AND depth < 1 THEN 'INSUFFICIENT_DEPTH' WHEN size < 1 THEN 'RISK_MIN_ORDER_NOTIONAL' END AS reason FROM z)
+  SELECT station, strategy_name, reason AS blocked_reason, count(*) AS n, sum(want) AS target, sum(size) AS usd FROM w GROUP BY ALL""", "target usd")
 def x23(spark, sf):
     df = signals(spark, sf)
-    used = df.where("model_name = 'm3'").groupBy("station", "market_date", "selected_side").agg(F.sum("cost").alias("station_date_used")).withColumns({
-        "side_used": F.col("station_date_used"), "bucket_used": F.lit(0.0), "daily_used": F.lit(0.0), "total_used": F.lit(0.0)})
-    out = pricing.size_candidates(df.where("model_name = 'm0'"), used)
-    return out.groupBy("station").agg(F.sum(F.col("blocked_reason").isNull().cast("int")).alias("sized"), F.sum("size_usd").alias("usd"))
+    used = df.groupBy("station", "market_date", "selected_side").agg((F.sum("cost") / 2).alias("used_station_date")).withColumn("used_station_date_side", F.col("used_station_date"))
+    rows = df.withColumns({"strategy_name": F.expr(STAKE_SQL), "depth": F.when(F.col("minute_of_day") % 7 != 0, F.col("liquidity") - 8)})
+    out = pricing.size_candidates(rows, used, ["station", "market_date", "selected_side"])
+    return out.groupBy("station", "strategy_name", "blocked_reason").agg(F.count(F.lit(1)).alias("n"), F.sum("target_usd").alias("target"), F.sum("size_usd").alias("usd"))
 
 
 @query("j19_mark_to_latest", """WITH b AS (SELECT l_partkey % 50 AS tok, max((l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) AS bid_id, arg_max(l_discount, ((l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey, l_extendedprice)) AS bid FROM lineitem GROUP BY ALL)
@@ -492,12 +500,16 @@ def j20(spark, sf):
     return replay.active_candidates(versions, events, ("F", "O")).groupBy("segment", "to_role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k05_select_strategy", f"""WITH {SIGNAL_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY station, market_date ORDER BY edge DESC, selected_bucket, id) AS a, row_number() OVER (PARTITION BY station, market_date ORDER BY fair DESC, selected_bucket, id) AS b FROM v_signal)
-  SELECT 'max_edge' AS strategy, count(*) AS n, sum(edge) AS edge, sum(fair) AS fair FROM r WHERE a = 1 UNION ALL SELECT 'best_single', count(*), sum(edge), sum(fair) FROM r WHERE b = 1""", "edge fair")
+@query("k05_select_strategy", f"""WITH {SIGNAL_SQL}, e AS (SELECT *, 1 - fair AS fair_no, 1.02 - entry AS entry_no, round(entry - fair - 0.02, 4) AS edge_no FROM v_signal),
+  s AS (SELECT *, edge >= edge_no AS yes, CASE WHEN edge >= edge_no THEN fair ELSE fair_no END AS f, CASE WHEN edge >= edge_no THEN edge ELSE edge_no END AS g, CASE WHEN edge >= edge_no THEN entry ELSE entry_no END AS ask FROM e),
+  m AS (SELECT *, 'HIGH_CONVICTION' AS strategy, g AS rank FROM s WHERE f >= 0.75 AND g >= 0.10 UNION ALL SELECT *, 'TAIL', g FROM s WHERE f BETWEEN 0.08 AND 0.25 AND ask <= 0.10 AND f / ask >= 2.0 AND g >= 0.05 UNION ALL SELECT *, 'BEST_BUCKET', fair FROM s UNION ALL SELECT *, 'MAX_SO_FAR', 0.0 FROM s WHERE minute_of_day % 4 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY strategy, station, market_date ORDER BY rank DESC, selected_bucket, id, liquidity) AS rn FROM m)
+  SELECT strategy, count(*) AS n, count(*) FILTER (WHERE yes) AS yes, sum(g) AS edge, sum(f) AS fair FROM r WHERE rn = 1 GROUP BY strategy""", "edge fair")
 def k05(spark, sf):
-    df = signals(spark, sf)
+    rows = signals(spark, sf).withColumns({"fair_no": 1 - F.col("fair"), "entry_no": 1.02 - F.col("entry"), "edge_no": F.round(F.col("entry") - F.col("fair") - 0.02, 4), "holds_progress": F.col("minute_of_day") % 4 == 0})
     out = None
-    for name in ("max_edge", "best_single"):
-        part = replay.select_strategy(df, ["station", "market_date"], name).agg(F.lit(name).alias("strategy"), F.count(F.lit(1)).alias("n"), F.sum("edge").alias("edge"), F.sum("fair").alias("fair"))
+    for name in replay.STRATEGIES:
+        part = replay.select_strategy(rows, ["station", "market_date"], name, [F.col("selected_bucket"), F.col("id"), F.col("liquidity")]).groupBy(F.lit(name).alias("strategy")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum((F.col("best_side") == "BUY_YES").cast("int")).alias("yes"), F.sum("best_edge").alias("edge"), F.sum("best_fair").alias("fair"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), name in LARGE)
+    """The table as it is stored. Where a session names `skyledger.scan.partitions`, the larger tables are dealt over so many
+    partitions first: for local runs whose tables are single files of one row group, which no setting of Spark splits."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    dealt = spark.conf.get("skyledger.scan.partitions", None)
+    return df.repartition(int(dealt)) if dealt and name in LARGE else df
 
 
 LARGE = ("lineitem", "events")
 
 
-def spread(df: DataFrame, large: bool) -> DataFrame:
-    """Use all cores when a large table comes as fewer files than cores; with enough files nothing is moved."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if large and len(df.inputFiles()) < min(cores, 64) else df
-
-
 # ---- signals: one model decision per line item ----
 
 SIGNAL = """

@@ -25,6 +25,7 @@ def local_session(app: str = "skyledger", cores: int | str = "*", partitions: in
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("skyledger.scan.partitions", str(partitions))
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -22,7 +22,9 @@ def tape(spark, rows):
     return df.withColumn("received_at", F.timestamp_seconds(F.col("receipt_sequence") * 40_000))
 
 
-BOOK = ("book", "RESYNCING", full([("0.4", "10"), ("0.3", "5")], [("0.6", "8"), ("0.5", "7")]))
+# three bids and two asks, given worst first so that order is shown to be made, not kept
+BOOK = ("book", "RESYNCING", full([("0.21", "40"), ("0.33", "4"), ("0.37", "21")], [("0.62", "9"), ("0.58", "13")]))
+BIDS, ASKS = [(0.37, 21.0), (0.33, 4.0), (0.21, 40.0)], [(0.58, 13.0), (0.62, 9.0)]
 
 
 def state(spark, rows):
@@ -34,51 +36,49 @@ def book(spark, rows):
     return books.book_at(tape(spark, rows), F.lit(True)).first()
 
 
-def test_full_book_then_delta(spark):
-    b = book(spark, [BOOK, ("price_change", "VALID", delta("BUY", "0.40", "12"))])
-    assert b.valid and b.invalid_reason is None
-    assert [(x.price, x.size) for x in b.bids] == [(0.4, 12.0), (0.3, 5.0)]
-    assert [(x.price, x.size) for x in b.asks] == [(0.5, 7.0), (0.6, 8.0)]
+def levels(side):
+    return [(x.price, x.size) for x in side]
 
 
-def test_delta_before_book(spark):
-    assert state(spark, [("price_change", "VALID", delta("BUY", "0.4", "1"))]) == [(False, "delta_before_full_book")]
+def change(side, price, size):
+    return ("price_change", "VALID", delta(side, price, size))
 
 
-def test_gap_is_never_bridged_until_next_full_book(spark):
-    rows = [BOOK, ("gap", "GAPPED", "{}"), ("price_change", "VALID", delta("BUY", "0.4", "99")), BOOK]
-    assert state(spark, rows) == [(True, None), (False, "coverage_gapped"), (False, "delta_before_full_book"), (True, None)]
-    # the delta inside the gap was not applied
-    assert [(x.price, x.size) for x in book(spark, rows[:3]).bids] == [(0.4, 10.0), (0.3, 5.0)]
+def test_changes_replace_add_and_remove_levels(spark):
+    b = book(spark, [BOOK, change("BUY", "0.330", "17.5"), change("BUY", "0.35", "2"), change("SELL", "0.58", "0"), ("last_trade_price", "VALID", "{}")])
+    assert b.valid and b.invalid_reason is None
+    assert levels(b.bids) == [(0.37, 21.0), (0.35, 2.0), (0.33, 17.5), (0.21, 40.0)] and levels(b.asks) == ASKS[1:]
+    untouched = book(spark, [BOOK])
+    assert levels(untouched.bids) == BIDS and levels(untouched.asks) == ASKS
 
 
-def test_malformed_payloads_name_their_reason(spark):
-    bad = [
-        (("book", "VALID", json.dumps({"bids": "x", "asks": []})), "malformed_full_book"),
-        (("price_change", "VALID", delta("HOLD", "0.4", "1")), "unknown_price_change_side"),
-        (("price_change", "VALID", delta("BUY", "0.4", "-1")), "negative_level_size"),
-        (("price_change", "VALID", json.dumps({"price_change": {"side": "BUY", "price": "x", "size": "1"}})), "malformed_price_change"),
-    ]
-    for event, reason in bad:
-        assert state(spark, [BOOK, event])[1] == (False, reason)
+def test_nothing_counts_before_a_book_or_inside_a_gap(spark):
+    early = change("SELL", "0.7", "3")
+    assert state(spark, [early]) == [(False, "delta_before_full_book")]
+    rows = [BOOK, ("gap", "GAPPED", "{}"), change("SELL", "0.58", "77"), BOOK]
+    assert state(spark, rows) == [(True, None), (False, "coverage_gapped"), (False, "delta_before_full_book"), (True, None)]
+    assert levels(book(spark, rows[:3]).asks) == ASKS  # the change inside the gap left no trace
 
 
-def test_size_zero_deletes_and_trade_changes_nothing(spark):
-    b = book(spark, [BOOK, ("price_change", "VALID", delta("SELL", "0.5", "0")), ("last_trade_price", "VALID", "{}")])
-    assert b.valid and [(x.price, x.size) for x in b.asks] == [(0.6, 8.0)]
+@pytest.mark.parametrize(("event", "reason"), [
+    (("book", "VALID", json.dumps({"bids": [], "asks": 5})), "malformed_full_book"),
+    (change("BID", "0.3", "1"), "unknown_price_change_side"),
+    (change("SELL", "0.3", "-0.5"), "negative_level_size"),
+    (("price_change", "VALID", json.dumps({"price_change": {"side": "SELL", "price": "0.6", "size": None}})), "malformed_price_change")])
+def test_bad_payloads_name_their_reason(spark, event, reason):
+    assert state(spark, [BOOK, event])[1] == (False, reason)
 
 
 def test_strict_rules_refuse_bad_levels(spark):
-    rows = tape(spark, [("book", "VALID", full([("0", "1")], []))])
-    assert not books.book_validity(rows, strict=True).first().valid
-    assert books.book_validity(rows).first().valid
+    free = tape(spark, [("book", "VALID", full([], [("0", "6")]))])
+    assert not books.book_validity(free, strict=True).first().valid
+    assert books.book_validity(free).first().valid
 
 
 def test_checkpoints_and_coverage(spark):
-    rows = tape(spark, [BOOK, ("price_change", "VALID", delta("BUY", "0.4", "12")), ("gap", "GAPPED", "{}"), BOOK])
-    v = books.book_validity(rows)
-    chk = {r.event_offset: [(x.price, x.size) for x in r.bids] for r in books.checkpoints(v, 2).collect()}
-    assert chk == {1: [(0.4, 10.0), (0.3, 5.0)], 2: [(0.4, 12.0), (0.3, 5.0)], 4: [(0.4, 10.0), (0.3, 5.0)]}
+    v = books.book_validity(tape(spark, [BOOK, change("BUY", "0.37", "30"), ("gap", "GAPPED", "{}"), BOOK]))
+    shown = {r.event_offset: levels(r.bids) for r in books.checkpoints(v, 2).collect()}
+    assert shown == {1: BIDS, 2: [(0.37, 30.0), *BIDS[1:]], 4: BIDS}
     runs = tape_joins.coverage_intervals(v).orderBy("started_at").collect()
     assert [r.state for r in runs] == ["VALID", "GAPPED", "VALID"] and runs[-1].ended_at is None and runs[0].ended_at == runs[1].started_at
 
