@@ -119,11 +119,11 @@ def d05(spark, sf):
     return rows.select("obs_id", dists.normal_bucket_prob(F.col("tmpf"), 1.0 + F.col("k") % 7, lo, hi).alias("probability"))
 
 
-@query("d06_normal_support", f"""WITH {OBS_SQL}, c AS (SELECT obs_id, tmpf AS mu, greatest(0.2 + k % 7, 0.5) AS s, v FROM v_obs, (SELECT unnest(range(-20, 131)) AS v) WHERE tmpf IS NOT NULL AND k % 4 = 1),
+@query("d06_normal_support", f"""WITH {OBS_SQL}, c AS (SELECT obs_id, tmpf AS mu, greatest(0.2 + k % 7, 0.5) AS s, v FROM v_obs, (SELECT unnest(range(-20, 131)) AS v) WHERE tmpf IS NOT NULL),
   m AS (SELECT obs_id, v, greatest(CASE WHEN v = 130 THEN 1.0 ELSE {cdf_sql('(v + 0.5)', 'mu', 's')} END - CASE WHEN v = -20 THEN 0.0 ELSE {cdf_sql('(v - 0.5)', 'mu', 's')} END, 0) AS p FROM c)
   SELECT obs_id, sum(p * (v + 21.0) ** 2) / sum(p) AS digest FROM m GROUP BY obs_id""", "digest", 5)
 def d06(spark, sf):
-    rows = observations(spark, sf).where("tmpf is not null and k % 4 = 1")
+    rows = observations(spark, sf).where("tmpf is not null")
     return rows.select("obs_id", weighted(dists.normal_support(F.col("tmpf"), 0.2 + F.col("k") % 7), "digest"))
 
 

@@ -70,11 +70,11 @@ def x07(spark, sf):
     return observations(spark, sf).groupBy("station").agg(F.sum(toa).alias("total"), F.sum((toa > 0).cast("int")).alias("lit"))
 
 
-@query("x08_dsr_window", f"""WITH {OBS_SQL}, d AS (SELECT obs_id, station, valid FROM v_obs WHERE k % 3 = 0), j AS (SELECT d.obs_id AS decision_id, s.tmpf AS dsr, s.valid AS e FROM d JOIN v_obs s ON s.station = d.station AND s.tmpf IS NOT NULL AND s.valid BETWEEN d.valid - INTERVAL 6 HOUR AND d.valid AND s.valid + INTERVAL 2 MINUTE <= d.valid)
+@query("x08_dsr_window", f"""WITH {OBS_SQL}, d AS (SELECT obs_id, station, valid FROM v_obs), j AS (SELECT d.obs_id AS decision_id, s.tmpf AS dsr, s.valid AS e FROM d JOIN v_obs s ON s.station = d.station AND s.tmpf IS NOT NULL AND s.valid BETWEEN d.valid - INTERVAL 6 HOUR AND d.valid AND s.valid + INTERVAL 2 MINUTE <= d.valid)
   SELECT decision_id, count(*) AS scan_count, quantile_cont(dsr, 0.5) AS dsr_median, avg(dsr) AS dsr_mean, stddev_pop(dsr) AS dsr_std, arg_max(dsr, e) AS dsr_latest, arg_max(dsr, e) - arg_min(dsr, e) AS dsr_change FROM j GROUP BY decision_id HAVING count(*) >= 3""", "dsr_median dsr_mean dsr_std dsr_latest dsr_change")
 def x08(spark, sf):
     obs = observations(spark, sf)
-    d = obs.where("k % 3 = 0").selectExpr("obs_id AS decision_id", "station", "valid AS decided_at")
+    d = obs.selectExpr("obs_id AS decision_id", "station", "valid AS decided_at")
     scans = obs.where("tmpf is not null").selectExpr("station", "valid AS scan_end", "valid + INTERVAL 2 MINUTES AS available_at", "tmpf AS dsr", "obs_id AS scan_id")
     return features.dsr_window(d, scans, 360, 3).drop("latest_scan_end")
 
@@ -142,7 +142,7 @@ def a28(spark, sf):
 @query("j15_neighbor_features")
 def j15(spark, sf):
     obs = observations(spark, sf)
-    d = obs.where("k < 20").selectExpr("obs_id AS decision_id", "station", "valid AS decided_at", "tmpf AS target_temp", "drct AS target_wind", "relh / 5 AS target_speed")
+    d = obs.selectExpr("obs_id AS decision_id", "station", "valid AS decided_at", "tmpf AS target_temp", "drct AS target_wind", "relh / 5 AS target_speed")
     stations = obs.select("station").distinct()
     sites = stations.select("station", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("step")).select(
         "station", ((F.col("station") + F.col("step")) % 20).alias("site"), (F.col("station") * 0.3 + 30).alias("lat"), F.lit(-90.0).alias("lon"),
@@ -186,12 +186,12 @@ def u02(spark, sf):
 
 # ---- truth sources and artifacts ----
 
-TRUTH_SQL = SIGNAL_SQL + """, v_truth AS (SELECT station, market_date, 'S' || substr(model_name, 2) AS source, max(60 + cost % 8) AS value FROM v_signal WHERE model_name <> 'm3' AND minute_of_day < 700 GROUP BY ALL), v_venue AS (SELECT station, market_date, min(60 + cost % 8) AS lo FROM v_signal WHERE model_name = 'm3' GROUP BY ALL)"""
+TRUTH_SQL = SIGNAL_SQL + """, v_truth AS (SELECT station, market_date, 'S' || substr(model_name, 2) AS source, max(60 + cost % 8) AS value FROM v_signal WHERE model_name <> 'm3' GROUP BY ALL), v_venue AS (SELECT station, market_date, min(60 + cost % 8) AS lo FROM v_signal WHERE model_name = 'm3' GROUP BY ALL)"""
 
 
 def truths(spark, sf):
     df = signals(spark, sf)
-    t = df.where("model_name <> 'm3' and minute_of_day < 700").groupBy("station", "market_date", F.concat(F.lit("S"), F.substring("model_name", 2, 9)).alias("source")).agg(F.max(60 + F.col("cost") % 8).alias("value"))
+    t = df.where("model_name <> 'm3'").groupBy("station", "market_date", F.concat(F.lit("S"), F.substring("model_name", 2, 9)).alias("source")).agg(F.max(60 + F.col("cost") % 8).alias("value"))
     t = t.withColumns({"value_lower": F.lit(None).cast("double"), "value_upper": F.lit(None).cast("double"), "error": F.lit(None).cast("string")})
     v = df.where("model_name = 'm3'").groupBy("station", "market_date").agg(F.min(60 + F.col("cost") % 8).alias("lo"))
     return t, v.select("station", "market_date", F.struct(F.col("lo").alias("lower"), (F.col("lo") + 4).alias("upper")).alias("bucket"))

@@ -30,23 +30,23 @@ def decisions(df):
         "CASE WHEN k % 3 = 0 THEN received_at + INTERVAL 10 MINUTES END AS termination", "k / 101D AS fair")
 
 
-@query("j02_asof_latest", f"""WITH {OBS_SQL}, d AS (SELECT obs_id, station, valid FROM v_obs WHERE k < 30), a AS (
+@query("j02_asof_latest", f"""WITH {OBS_SQL}, d AS (SELECT obs_id, station, valid FROM v_obs), a AS (
   SELECT d.obs_id, d.station, d.valid, o.tmpf, o.valid AS seen FROM d ASOF LEFT JOIN (SELECT * FROM v_obs WHERE tmpf IS NOT NULL) o ON o.station = d.station AND o.valid + INTERVAL 5 MINUTE <= d.valid)
   SELECT station, count(*) AS n, count(*) FILTER (WHERE date_diff('microsecond', seen + INTERVAL 5 MINUTE, valid) <= 5400000000) AS fresh,
    sum(CASE WHEN date_diff('microsecond', seen + INTERVAL 5 MINUTE, valid) <= 5400000000 THEN tmpf END) AS total FROM a GROUP BY station""", "total")
 def j02(spark, sf):
     obs = observations(spark, sf)
     known = obs.where("tmpf is not null").withColumn("available", F.expr("valid + INTERVAL 5 MINUTES"))
-    rows = asof.asof_latest(obs.where("k < 30").select("obs_id", "station", "valid"), known, ["station"], F.col("valid"), F.col("available"),
+    rows = asof.asof_latest(obs.select("obs_id", "station", "valid"), known, ["station"], F.col("valid"), F.col("available"),
                             {"tmpf": F.col("tmpf")}, 5_400_000_000)
     return rows.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.count("matched_us").alias("fresh"), F.sum("tmpf").alias("total"))
 
 
 @query("j02_asof_rows", f"""WITH {OBS_SQL} SELECT d.obs_id, coalesce(epoch_us(o.valid), -1) AS matched_us, coalesce(o.obs_id, -1) AS matched_id
-  FROM (SELECT * FROM v_obs WHERE k < 30) d ASOF LEFT JOIN (SELECT * FROM v_obs WHERE k >= 60) o ON o.station = d.station AND o.valid < d.valid""")
+  FROM v_obs d ASOF LEFT JOIN v_obs o ON o.station = d.station AND o.valid < d.valid""")
 def j02b(spark, sf):
     obs = observations(spark, sf)
-    rows = asof.asof_join(obs.where("k < 30").select("obs_id", "station", "valid"), obs.where("k >= 60"), ["station"], F.col("valid"), F.col("valid"),
+    rows = asof.asof_join(obs.select("obs_id", "station", "valid"), obs, ["station"], F.col("valid"), F.col("valid"),
                           {"matched_id": F.col("obs_id")}, exact=False)
     return rows.select("obs_id", F.coalesce("matched_us", F.lit(-1)).alias("matched_us"), F.coalesce("matched_id", F.lit(-1)).alias("matched_id"))
 
@@ -63,12 +63,12 @@ def j01(spark, sf):
     return rows.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.count("change").alias("matched"), F.sum("change").alias("total"))
 
 
-@query("j03_asof_between", f"""WITH {OBS_SQL}, l AS (SELECT * FROM v_obs WHERE tmpf IS NOT NULL AND k < 50), p AS (
+@query("j03_asof_between", f"""WITH {OBS_SQL}, l AS (SELECT * FROM v_obs WHERE tmpf IS NOT NULL), p AS (
   SELECT l.obs_id, arg_max(o.tmpf, o.valid) AS prev, count(*) AS n FROM l JOIN v_obs o ON o.station = l.station AND o.tmpf IS NOT NULL AND o.valid >= l.valid - INTERVAL 120 MINUTE AND o.valid <= l.valid - INTERVAL 30 MINUTE GROUP BY l.obs_id)
   SELECT station, count(p.obs_id) AS found, sum(tmpf - prev) AS change FROM l LEFT JOIN p ON p.obs_id = l.obs_id GROUP BY station""", "change")
 def j03(spark, sf):
     obs = observations(spark, sf).where("tmpf is not null")
-    rows = asof.asof_between(obs.where("k < 50").select("obs_id", "station", "valid", "tmpf"), obs, ["station"], F.col("valid"), F.col("valid"),
+    rows = asof.asof_between(obs.select("obs_id", "station", "valid", "tmpf"), obs, ["station"], F.col("valid"), F.col("valid"),
                              {"prev": F.col("tmpf")}, 120 * 60_000_000, 30 * 60_000_000)
     return rows.groupBy("station").agg(F.count("prev").alias("found"), F.sum(F.col("tmpf") - F.col("prev")).alias("change"))
 
