@@ -140,11 +140,11 @@ def d07(spark, sf):
     return dists.monotone_bucket_prob(rows, ["ladder_id"]).select("ladder_id", "line", "partkey", "price", "probability")
 
 
-@query("d08_condition_lower", f"""WITH {DIST_SQL}, h AS (SELECT *, CAST(round_even((obs_id % 25) * 0.75 - 1.25, 0) AS INTEGER) AS hi FROM v_p), c AS (SELECT *, CASE WHEN cell >= greatest(hi, 0) THEN p ELSE 0 END AS kept FROM h WHERE hi BETWEEN 0 AND 20), t AS (SELECT *, sum(kept) OVER (PARTITION BY obs_id) AS m FROM c)
+@query("d08_condition_lower", f"""WITH {DIST_SQL}, h AS (SELECT *, CAST(round_even((obs_id % 25) * 0.75 - 1.25, 0) AS INTEGER) AS hi FROM v_p), c AS (SELECT *, CASE WHEN cell >= greatest(hi, 0) THEN p ELSE 0 END AS kept FROM h), t AS (SELECT *, sum(kept) OVER (PARTITION BY obs_id) AS m FROM c)
   SELECT obs_id, sum(CASE WHEN m > 0 THEN kept / m WHEN cell = hi THEN 1.0 ELSE 0 END * (cell + 1.0) ** 2) AS digest FROM t GROUP BY obs_id""", "digest")
 def d08(spark, sf):
     high = (F.col("obs_id") % 25) * 0.75 - 1.25
-    rows = dist(spark, sf).where((F.rint(high) >= 0) & (F.rint(high) <= 20))
+    rows = dist(spark, sf)
     return rows.select("obs_id", weighted(dists.condition_lower(F.col("p"), high, 0), "digest"))
 
 
