@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import decontaminate, huffman, langid, media, packing, secrets, sharding, simhash, toxicity
+from skyledger.llm import decontaminate, huffman, langid, linededup, media, packing, secrets, sharding, simhash, toxicity
 from skyledger.llm.common import held_out, table
 
 SHARD_BYTES = 1 << 20  # texts of one shard in op4; a store of 100 TB would take 256 MB
@@ -25,7 +25,27 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-@query("op1_benchmark_decontamination")
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORD}')"
+
+
+@query(
+    "op1_benchmark_decontamination",
+    f"""
+    WITH doc AS (SELECT doc_id, coalesce({_words_sql('text')}, []) AS w FROM documents),
+    item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words_sql('text')} AS w FROM benchmark),
+    cut AS (SELECT item, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS t FROM cut),
+    place AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
+    spot AS (SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS t FROM place),
+    hit AS (SELECT doc_id, spot.k AS k, i, item FROM spot JOIN win ON win.k = spot.k AND win.t = spot.t),
+    word AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS at FROM hit) GROUP BY doc_id),
+    held AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(held.n, 0) AS BIGINT) AS n_items,
+           sha256(coalesce(held.items, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated
+    FROM doc d LEFT JOIN word ON word.doc_id = d.doc_id LEFT JOIN held ON held.doc_id = d.doc_id
+    """,
+)
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in an occurrence of ten consecutive words of a benchmark item."""
     hits = decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -89,6 +109,13 @@ def extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "n_bytes", "depth", "shard", "shard_bytes")
 
 
+@query("op9_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after line dedup: what is left of its text."""
+    left = linededup.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("op10_media_columns")
 def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as an ISO media file, read back, with what its boxes say."""
