@@ -32,15 +32,15 @@ def _words_sql(text: str) -> str:
 @query(
     "op1_benchmark_decontamination",
     f"""
-    WITH doc AS (SELECT doc_id, coalesce({_words_sql('text')}, []) AS w FROM documents),
+    WITH doc AS (SELECT doc_id, coalesce({_words_sql("text")}, CAST([] AS VARCHAR[])) AS w FROM documents),
     item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words_sql('text')} AS w FROM benchmark),
     cut AS (SELECT item, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0),
     win AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS t FROM cut),
-    place AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
+    place AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM win) x WHERE len(w) >= k),
     spot AS (SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS t FROM place),
     hit AS (SELECT doc_id, spot.k AS k, i, item FROM spot JOIN win ON win.k = spot.k AND win.t = spot.t),
-    word AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS at FROM hit) GROUP BY doc_id),
-    held AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+    word AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) h GROUP BY doc_id),
+    held AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) h GROUP BY doc_id)
     SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(held.n, 0) AS BIGINT) AS n_items,
            sha256(coalesce(held.items, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated
     FROM doc d LEFT JOIN word ON word.doc_id = d.doc_id LEFT JOIN held ON held.doc_id = d.doc_id
