@@ -7,14 +7,15 @@ and hands a text whole to the tokenizer where white space is not single blanks a
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-SLICE_CHARS = 1_000_000
-MOST_WORDS = 250_000  # words a worker remembers; words met later are encoded for their batch only
+SLICE_CHARS = 3_000_000
+MOST_WORDS = 500_000  # words a worker remembers; words met later are encoded for their batch only
 MARK = "\x01"  # stands between words of one call; a word that holds it is encoded alone
 CONTROLS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 WIDE_BLANKS = re.compile("[ ᠎ -‏ -  -⁠　﻿]")
@@ -109,6 +110,15 @@ class WordEncoder:
             return not WIDE_BLANKS.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()  # only strings and lists of them are made here, in great number; no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
         while at < len(texts):  # the words of a slice are in memory at once, not those of a whole batch
