@@ -25,13 +25,27 @@ def rank_sum_auc(df: DataFrame, keys: list[str], score: str, label: str) -> Data
     return seen.groupBy(*keys).agg(F.when((pos > 0) & (neg > 0), wins / (pos * neg)).alias("auc"))
 
 
+def _cumulated(df: DataFrame, keys: list[str], value: str, slice_by: Column) -> DataFrame:
+    """One row per distinct value with its count `_n`, the count up to it `_upto` and the group's `_total`."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = scan.running(counts, keys, slice_by, [F.col(value)], {"_upto": ("sum", F.col("_n"))})
+    return scan.with_totals(upto, keys, _total=F.sum("_n"))
+
+
+def _holds(index: Column) -> Column:
+    return (F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index)
+
+
 def order_statistic(df: DataFrame, keys: list[str], value: str, slice_by: Column, index: Column, name: str) -> DataFrame:
     """Value at a 0-based index of the sorted group; the index is an expression over `_total`.
 
     Equal values are merged first, so the sorted list is as long as the distinct values of a slice.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = scan.running(counts, keys, slice_by, [F.col(value)], {"_upto": ("sum", F.col("_n"))})
-    sized = scan.with_totals(upto, keys, _total=F.sum("_n"))
-    hit = (F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index)
-    return sized.where(hit).groupBy(*keys).agg(F.min(value).alias(name))
+    return _cumulated(df, keys, value, slice_by).where(_holds(index)).groupBy(*keys).agg(F.min(value).alias(name))
+
+
+def median(df: DataFrame, keys: list[str], value: str, slice_by: Column, name: str) -> DataFrame:
+    """Mean of the middle one or two values of a group of any size."""
+    middle = (F.col("_total") - 1) / 2
+    hit = _holds(F.floor(middle)) | _holds(F.ceil(middle))
+    return _cumulated(df, keys, value, slice_by).where(hit).groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias(name))

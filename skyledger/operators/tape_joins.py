@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.operators import books, intervals, scan
+from skyledger.operators import books, intervals, ranks, scan
 from skyledger.operators.asof import asof_join, both_sides
 from skyledger.session import materialize
 
@@ -220,11 +220,15 @@ def edge_decay(points: DataFrame, target: float = 25.0) -> DataFrame:
     """Valid, fillable and censored counts and the net edge by offset."""
     ok = (F.col("status") == "VALID") & F.col("net_edge").isNotNull()
     edge = F.when(ok, F.col("net_edge"))
-    return points.groupBy("offset_seconds").agg(
+    # the median is the mean of the middle one or two edges, found by running counts over slices of the edge
+    points = materialize(points.select("offset_seconds", "status", "net_edge"))
+    kept = points.where(ok).select("offset_seconds", "net_edge")
+    middles = ranks.median(kept, ["offset_seconds"], "net_edge", F.floor(F.col("net_edge") * 256), "median_net_edge")
+    out = points.groupBy("offset_seconds").agg(
         F.count(F.lit(1)).alias("selected_rows"), F.sum((F.col("status") == "VALID").cast("int")).alias("valid_rows"),
         F.count(edge).alias("fillable_rows"), (F.count(F.lit(1)) - F.count(edge)).alias("censored_rows"),
-        F.percentile(edge, F.lit(0.5)).alias("median_net_edge"), F.avg(edge).alias("mean_net_edge"),
-        F.avg((edge > 0).cast("double")).alias("positive_rate"))
+        F.avg(edge).alias("mean_net_edge"), F.avg((edge > 0).cast("double")).alias("positive_rate"))
+    return out.join(middles, ["offset_seconds"], "left")
 
 
 def censor_reasons(points: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def _dot(params: Column, xs: list[Column]) -> Column:
     return total
 
 
-def fit_logistic(examples: DataFrame, groups: list[str], xs: list[str], y: str, w: str, l2: float = 1.0, iterations: int = 25,
+def fit_logistic(examples: DataFrame, groups: list[str], xs: list[str], y: str, w: str, l2: float = 1.0, iterations: int = 100,
                  tolerance: float = 1e-9, train_date: str | None = None, eval_dates: DataFrame | None = None) -> DataFrame:
     """Weighted logistic fits with a free intercept: `groups`, `coefficients` (intercept first), `status`, `rows`, `weight`.
 
@@ -113,7 +113,7 @@ def walk_forward_calibration(rows: DataFrame, date: str, p: str, y: str, w: str,
     fits = fit_logistic(ready.select(date, *xs, y, w), [], list(xs), y, w, l2, train_date=date, eval_dates=dates)
     fits = fits.withColumnRenamed("eval_date", date).withColumnRenamed("rows", "train_rows").drop("weight")
     joined = ready.join(fits, [date], "left")
-    usable = (F.col("status") == "FITTED") & (F.col("train_rows") >= min_rows)
+    usable = F.col("status").isin("FITTED", "NOT_CONVERGED") & (F.col("train_rows") >= min_rows)  # the last coefficients stand; the reason tells
     value = sigmoid(_dot(F.col("coefficients"), [F.col(x) for x in xs]))
     reason = F.when(F.col("status").isNull(), "NO_PRIOR_DATES").when(F.col("train_rows") < min_rows, "INSUFFICIENT_ROWS").when(
         F.col("status") != "FITTED", F.col("status"))
@@ -126,7 +126,7 @@ def fit_platt(examples: DataFrame, p: str, y: str, scopes: list[str], min_rows:
     base = examples.select(*scopes, logit(F.col(p)).alias("_x"), F.col(y).alias("_y"), F.lit(1.0).alias("_wt"))
     wide = base.withColumns({c: F.lit("*") for c in rest})
     fits = fit_logistic(base.unionByName(wide), scopes, ["_x"], "_y", "_wt", l2)
-    return fits.where((F.col("rows") >= min_rows) & (F.col("status") == "FITTED")).select(
+    return fits.where((F.col("rows") >= min_rows) & F.col("status").isin("FITTED", "NOT_CONVERGED")).select(
         *scopes, F.col("coefficients")[0].alias("intercept"), F.col("coefficients")[1].alias("slope"), "rows")
 
 

@@ -215,7 +215,7 @@ def portfolio_summary(rows: DataFrame, allocated: DataFrame, keys: list[str]) ->
 def transition_decisions(cards: DataFrame, z: float = 1.645, station_share: float = 0.5, date_share: float = 0.5) -> DataFrame:
     """Booleans and one ordered decision per scorecard row (base and conservative columns side by side)."""
     negative = F.col("enough_evidence") & (F.col("venue_resolved") > 0) & ((F.col("base_pnl") <= 0) | (F.col("conservative_pnl") <= 0))
-    hard = (F.col("disagreements") > 0) | F.col("blockers").contains("INVALID_OR_MISSING_")
+    hard = (F.col("disagreements") > 0) | F.col("blockers").rlike("(^|[^A-Z_])INVALID_OR_MISSING_")
     def sure(name: str) -> Column:
         return (F.col(f"{name}_cost") > 0) & (F.col(f"{name}_pnl") > 0) & (F.col(f"{name}_mean") - z * F.col(f"{name}_se") > 0)
     ready = (F.col("review_state") == "READY") & (F.col("blockers") == "") & sure("base") & sure("conservative") & (

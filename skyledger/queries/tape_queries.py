@@ -369,3 +369,42 @@ def t08(spark, sf):
     listing = tape(spark, sf).where("event_type = 'book'").withColumn("refresh", F.date_trunc("day", "received_at"))
     return tape_joins.subscription_generations(listing, "session_id", "refresh", "token_id").select(
         "session_id", F.unix_micros("refresh").alias("refresh_us"), "members", "changed", "generation")
+
+
+# snapshots for the broad view: every trade asks for its token's book, and every reason against a row occurs
+BROAD_SQL = f"""{COV_SQL}, {CHK_SQL}, v_snap AS (SELECT receipt_sequence AS snapshot_id, CASE WHEN k % 19 = 0 THEN NULL ELSE token_id END AS token_id, received_at AS snapshot_at, received_at + INTERVAL 1500 MILLISECOND AS quote_ready,
+  CASE WHEN k % 23 = 0 THEN received_at + INTERVAL 1 SECOND ELSE received_at END AS decision_at, received_at - INTERVAL 20 MINUTE AS observed_at, CASE WHEN k % 29 = 0 THEN received_at WHEN k % 5 > 0 THEN received_at + INTERVAL 3 DAY END AS resolved_at,
+  CASE WHEN k % 31 = 0 THEN NULL ELSE k / 101.0 END AS fair, CASE WHEN k % 37 = 0 THEN 'HOLD' WHEN k % 2 = 0 THEN 'BUY_YES' ELSE 'BUY_NO' END AS selected_side, CASE WHEN k % 5 > 0 THEN 60.0 + k % 9 END AS outcome,
+  CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'yes' WHEN 2 THEN 'BUY_NO' ELSE 'NO' END AS venue_side FROM v_tape WHERE event_type = 'last_trade_price')"""
+
+
+@query("p03_broad_view", f"""WITH {BROAD_SQL}, g AS (SELECT s.snapshot_id, s.token_id, h.label, h.pre, s.quote_ready + to_seconds(h.secs) AS ready FROM v_snap s, (VALUES ('', 0, 60), ('2m', 120, 120), ('3h', 10800, 10800)) h(label, secs, pre) WHERE s.token_id IS NOT NULL),
+  a AS (SELECT g.*, c.captured_at, c.event_offset FROM g ASOF LEFT JOIN v_chk c ON c.token_id = g.token_id AND c.captured_at >= g.ready),
+  b AS (SELECT a.*, v.started_at AS st, v.ended_at AS en FROM a ASOF LEFT JOIN (SELECT * FROM v_cov WHERE state = 'VALID') v ON v.token_id = a.token_id AND v.started_at <= a.ready - to_seconds(a.pre)),
+  r AS (SELECT *, CASE WHEN captured_at IS NULL THEN 'no_post_ready_checkpoint' WHEN date_diff('microsecond', ready, captured_at) / 1e6 > 36000 THEN 'post_ready_checkpoint_delay_exceeded' WHEN st IS NULL OR coalesce(en, TIMESTAMP '2999-01-01') < captured_at THEN 'no_continuous_valid_interval_through_execution' END AS reason FROM b),
+  q AS (SELECT r.snapshot_id, r.label, r.reason, max(tick) FILTER (WHERE side = 'BUY') / 100.0 AS bid, min(tick) FILTER (WHERE side = 'SELL') / 100.0 AS ask FROM r LEFT JOIN v_chklv l ON r.reason IS NULL AND l.token_id = r.token_id AND l.event_offset = r.event_offset GROUP BY ALL),
+  sw AS (SELECT r.snapshot_id, tick / 100.0 AS price, size, coalesce(sum(tick / 100.0 * size) OVER (PARTITION BY r.snapshot_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r JOIN v_chklv l ON r.reason IS NULL AND r.label = '' AND l.token_id = r.token_id AND l.event_offset = r.event_offset AND side = 'SELL' AND tick / 100.0 <= 0.62),
+  t AS (SELECT snapshot_id, sum(greatest(least(25 - before, price * size), 0)) AS cost FROM sw GROUP BY snapshot_id),
+  m AS (SELECT snapshot_id, max(CASE WHEN label = '2m' AND reason IS NULL THEN (bid + ask) / 2 END) AS m1, max(CASE WHEN label = '3h' AND reason IS NULL THEN (bid + ask) / 2 END) AS m2, max(CASE WHEN label = '' THEN reason END) AS reason, max(CASE WHEN label = '' THEN bid END) AS bid, max(CASE WHEN label = '' THEN ask END) AS ask FROM q GROUP BY snapshot_id),
+  x AS (SELECT s.*, m.reason, bid, ask, coalesce(t.cost, 0) AS cost, CASE WHEN m1 IS NULL THEN 0 WHEN m2 IS NULL THEN 1 ELSE 2 END AS marks, m1, CASE WHEN outcome IS NULL THEN NULL WHEN selected_side = 'BUY_YES' THEN (outcome BETWEEN 62 AND 65)::INT ELSE (NOT outcome BETWEEN 62 AND 65)::INT END AS rl, CASE WHEN venue_side IS NOT NULL THEN (selected_side = 'BUY_' || CASE WHEN venue_side = 'yes' THEN 'YES' ELSE 'NO' END)::INT END AS vl FROM v_snap s LEFT JOIN m USING (snapshot_id) LEFT JOIN t USING (snapshot_id)),
+  y AS (SELECT *, list_sort(list_filter([CASE WHEN observed_at > decision_at OR decision_at > snapshot_at THEN 'INVALID_CAUSAL_TIMESTAMP_ORDER' END, CASE WHEN resolved_at <= snapshot_at THEN 'NONCAUSAL_OUTCOME_RESOLUTION' END, CASE WHEN fair IS NULL THEN 'MISSING_RAW_MODEL_FAIR' END, CASE WHEN selected_side NOT IN ('BUY_YES', 'BUY_NO') THEN 'INVALID_SELECTED_SIDE' END,
+    CASE WHEN token_id IS NULL THEN 'TOKEN_NOT_CATALOGED' END, 'TAPE:' || reason, CASE WHEN bid > ask THEN 'TAPE:CROSSED_BOOK' END, CASE WHEN cost <= 0 THEN 'TAPE:NO_ASKS_AT_OR_BELOW_DISCOVERY_CAP' END, CASE WHEN rl IS NULL AND vl IS NULL THEN 'MISSING_SETTLEMENT_LABEL' END, CASE WHEN rl <> vl THEN 'SETTLEMENT_DISAGREEMENT' END], lambda z: z IS NOT NULL)) AS reasons FROM x)
+  SELECT snapshot_id, array_to_string(reasons, '|') AS reasons, len(reasons) = 0 AS eligible, coalesce(bid, -1) AS best_bid, coalesce(ask, -1) AS best_ask, cost, marks::BIGINT AS markouts, CASE WHEN marks > 0 THEN m1 ELSE -1 END AS first_mid, coalesce(rl, -1) AS research_label, coalesce(vl, -1) AS venue_label FROM y""", "best_bid best_ask cost first_mid")
+def p03(spark, sf):
+    from skyledger.plans.broad import broad_view
+
+    df = tape(spark, sf)
+    state = validity(df)
+    chk, cov = materialize(books.checkpoints(state, 5)), materialize(tape_joins.coverage_intervals(state))
+    snapshots = df.where("event_type = 'last_trade_price'").selectExpr(
+        "receipt_sequence AS snapshot_id", "CASE WHEN k % 19 <> 0 THEN token_id END AS token_id", "received_at AS snapshot_at", "received_at + INTERVAL 1500 MILLISECONDS AS quote_ready",
+        "CASE WHEN k % 23 = 0 THEN received_at + INTERVAL 1 SECOND ELSE received_at END AS decision_at", "received_at - INTERVAL 20 MINUTES AS observed_at",
+        "CASE WHEN k % 29 = 0 THEN received_at WHEN k % 5 > 0 THEN received_at + INTERVAL 3 DAYS END AS resolved_at", "CASE WHEN k % 31 <> 0 THEN k / 101D END AS fair",
+        "CASE WHEN k % 37 = 0 THEN 'HOLD' WHEN k % 2 = 0 THEN 'BUY_YES' ELSE 'BUY_NO' END AS selected_side", "'62-65F' AS selected_bucket", "CASE WHEN k % 5 > 0 THEN 60D + k % 9 END AS outcome",
+        "CASE k % 4 WHEN 1 THEN 'yes' WHEN 2 THEN 'BUY_NO' WHEN 3 THEN 'NO' END AS venue_side")
+    rows = broad_view(snapshots, lambda asked: tape_joins.book_at_post_ready(asked, chk, cov, F.col("pre_seconds"), 36000.0), cap=0.62, horizons={"2m": 120, "3h": 10_800})
+    missing = F.lit(-1.0)
+    return rows.select(
+        "snapshot_id", F.array_join("reasons", "|").alias("reasons"), "eligible", F.coalesce("best_bid", missing).alias("best_bid"), F.coalesce("best_ask", missing).alias("best_ask"), F.col("taker.cost").alias("cost"),
+        F.coalesce(F.size("markout_midpoints"), F.lit(0)).cast("long").alias("markouts"), F.coalesce(F.get("markout_midpoints", F.lit(0))["mid"], missing).alias("first_mid"),
+        F.coalesce("research_label", F.lit(-1)).alias("research_label"), F.coalesce("venue_label", F.lit(-1)).alias("venue_label"))
