@@ -22,7 +22,6 @@ from skyledger.llm.tokens import public_path
 
 PIECES = "piece_bpe_32k.model"
 DOCS_A_LANGUAGE = 400  # labelled rows the fit takes of each language, at most
-CHARS_A_DOCUMENT = 20_000  # of a training text; texts to predict are always whole
 LONGEST = 8  # letters of a piece
 ROUNDS = 3
 FLOOR = 1e-7  # probability of a letter that is no piece, and of a piece a language never used
@@ -152,7 +151,7 @@ def fit(texts: list[tuple[str, str]], totals: dict[str, int], pieces: list[str],
     languages = sorted(totals)
     bags = {lang: Counter() for lang in languages}
     for lang, text in texts:
-        bags[lang].update(words_of(text[:CHARS_A_DOCUMENT]))
+        bags[lang].update(words_of(text))
     words = sorted({w for bag in bags.values() for w in bag})
     counts = np.array([[bags[lang][w] for lang in languages] for w in words], float).reshape(len(words), len(languages))
     table = np.full((len(pieces) + 1, len(languages)), 1.0 / len(pieces))
@@ -173,7 +172,7 @@ def learn(docs: DataFrame, pieces: list[str] | None = None, most: int = DOCS_A_L
     totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     ranked = first_ranked(labelled.filter("text is not null").select("lang", "doc_id").distinct(), "lang", F.struct(F.xxhash64("doc_id"), "doc_id"), most)
     chosen = labelled.filter("text is not null").join(F.broadcast(ranked.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi")  # at most `most` short rows a language
-    texts = [(r.lang, r.text) for r in chosen.select("lang", F.substring("text", 1, CHARS_A_DOCUMENT).alias("text")).collect()]
+    texts = [(r.lang, r.text) for r in chosen.select("lang", "text").collect()]
     return fit(sorted(texts), totals, pieces or letter_pieces())
 
 

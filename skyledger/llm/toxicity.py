@@ -23,8 +23,7 @@ from pyspark.sql import types as T
 
 from skyledger.llm.common import first_ranked, held_out
 
-MOST_TOXIC, MOST_CLEAN = 1200, 3600  # labelled documents the fit takes, at most, in the order of a hash of their ids
-CHARS_A_DOCUMENT = 20_000  # of a training text; texts to score are always whole
+MOST_TOXIC, MOST_CLEAN = 1200, 3000  # labelled documents the fit takes, at most, in the order of a hash of their ids
 BEGINNINGS = (3, 4, 5, 6)
 LEAST_DOCUMENTS = 4
 STEPS = 40
@@ -248,7 +247,7 @@ def fit(rows: list[tuple[int, str]], prior: float) -> ToxicModel:
     """From (label, text) rows; `prior` is the share of toxic among all labelled training documents."""
     once: dict[tuple[int, int], tuple[int, list[str]]] = {}
     for label, text in rows:
-        ws = tokens(text[:CHARS_A_DOCUMENT])
+        ws = tokens(text)
         once.setdefault((label, _near_key(ws)), (label, ws))
     docs = list(once.values())
     chain_docs, other = [d for k, d in enumerate(docs) if k % 3 < 2], [d for k, d in enumerate(docs) if k % 3 == 2]
@@ -277,7 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     order = F.struct(F.xxhash64("doc_id"), "doc_id")
     chosen = first_ranked(with_text, "toxic", order, max(MOST_TOXIC, MOST_CLEAN)).withColumn("nth", F.xxhash64("doc_id"))
     picked = first_ranked(chosen.filter("toxic = 1"), "toxic", order, MOST_TOXIC).unionByName(chosen.filter("toxic <> 1")).select("doc_id", "toxic", "nth")
-    rows = docs.select("doc_id", F.substring("text", 1, CHARS_A_DOCUMENT).alias("text")).filter("text is not null").join(F.broadcast(picked), "doc_id")  # a few thousand ids at most
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")  # a few thousand ids at most
     texts = sorted((r.nth, int(r.toxic == 1), r.text) for r in rows.collect())
     toxic = totals.get(1, 0)
     return fit([(label, text) for _, label, text in texts], toxic / max(1, sum(totals.values())))
