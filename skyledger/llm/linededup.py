@@ -151,10 +151,13 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     """
     cuts = materialize(repeated_lines(docs, least_words))
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key().cast("long").alias("key"), "text")
-    joined = packed.join(cuts.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "cut"), ["id", "key"], "left")
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("cut", i))
+    # texts move once, at every size: the list of cuts has no bound that would let it be broadcast
+    joined = packed.join(cuts.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "cut").hint("merge"), ["id", "key"], "left")
+    # a column of its own, as each kept line is taken from it by number
+    parted = joined.withColumn("lines", F.when(F.col("cut").isNotNull(), F.split("text", "\n")))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "cut"), lambda i: F.get("lines", i))
     text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    changed = joined.select("row", text.alias("text"), "cut")
+    changed = parted.select("row", text.alias("text"), "cut")
     columns = []
     for f in docs.schema:
         if f.name == "text":
