@@ -18,20 +18,26 @@ BLOCK = 512  # lanes that are compared at once
 TILE = 1024  # larger groups of candidates are dealt as pairs of tiles of about this many
 
 
-def fingerprint(text: str, width: int = SHINGLE) -> int:
-    """Majority bits of the XXH64 hashes (seed 42) of a text's word shingles, as a signed long; no words: 0."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 hashes (seed 42) of a text's word shingles in order; fewer words than `width` are one shingle, no words none."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes fold A-Z and split at ASCII blanks only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[:-1].tolist()]
     stops = (ends - 1).tolist()
     k = max(1, len(words) - width + 1)
     stops = stops[width - 1 :] if len(words) >= width else stops[-1:]
-    hashes = np.fromiter((hashed(joined[a:b], FINGERPRINT_SEED) for a, b in zip(starts[:k], stops, strict=True)), np.uint64, k)
+    return np.fromiter((hashed(joined[a:b], FINGERPRINT_SEED) for a, b in zip(starts[:k], stops, strict=True)), np.uint64, k)
+
+
+def fingerprint(text: str, width: int = SHINGLE) -> int:
+    """Majority bits of the hashes of a text's word shingles, as a signed long; no words: 0."""
+    hashes = shingle_hashes(text, width)
+    k = len(hashes)
     votes = np.zeros(64, np.int64)
     for at in range(0, k, 65_536):
         bits = np.unpackbits(hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
