@@ -8,6 +8,10 @@ Alignment of a document with an owner is a patience diff: lines that stand once
 anchors cross (the longest rising run of owner positions, weighted by rarity), blocks grow from anchors over equal
 neighbouring lines, and blocks of `least_words` words or more are deleted. Document frequency of a line is counted over
 all documents; it never excludes a line.
+
+An alignment with the owners of single lines can part a passage that one earlier document holds whole, and drops anchors
+that cross. So every run of lines that just reaches `least_words`, from each line forwards and backwards, is looked up too:
+any block of `least_words` that stands line by line in an earlier document, wherever and how often, is a union of such runs.
 """
 
 from __future__ import annotations
@@ -94,8 +98,87 @@ def common_blocks(here: list[int], hashes: list[int], there: list[int], once_the
     return blocks
 
 
+def least_runs(line_no: list[int], words: list[int], least_words: int) -> list[tuple[int, int]]:
+    """Index ranges (first, last) of consecutive lines: from each line the shortest run of `least_words` or more, forwards
+    and backwards. Every line of a longer run is in one of those that lie inside it."""
+    out: set[tuple[int, int]] = set()
+    start = 0
+    for stop in range(1, len(line_no) + 1):
+        if stop < len(line_no) and line_no[stop] == line_no[stop - 1] + 1:
+            continue
+        sums = [0]
+        for w in words[start:stop]:
+            sums.append(sums[-1] + w)
+        for k in range(stop - start):
+            last = bisect.bisect_left(sums, sums[k] + least_words)
+            if last < len(sums):
+                out.add((start + k, start + last - 1))
+            first = bisect.bisect_right(sums, sums[k + 1] - least_words) - 1
+            if first >= 0:
+                out.add((start + first, start + k))
+        start = stop
+    return sorted(out)
+
+
+def by_group(batches: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch]:
+    """`done` of each slice of whole groups; rows come sorted by the column `group`."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None and rest.num_rows:
+            table = pa.concat_tables([rest, table])
+        groups = table.column("group").to_numpy()
+        other = np.flatnonzero(groups != groups[-1]) if len(groups) else []
+        split = int(other[-1]) + 1 if len(other) else 0
+        if split:
+            yield done(table.slice(0, split))
+        rest = table.slice(split)
+    if rest is not None and rest.num_rows:
+        yield done(rest)
+
+
+def whole_runs(held: DataFrame, least_words: int) -> DataFrame:
+    """(doc_id, text_key, cut) of runs of `least_words` or more that an earlier document holds line by line.
+
+    `held` are the lines that several documents hold, with those of their owners.
+    """
+    kind = held.schema["doc_id"].dataType.simpleString()
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(table: pa.Table) -> pa.RecordBatch:
+            import xxhash
+
+            c = {n: table.column(n).to_pylist() for n in ("doc_id", "text_key", "line_no", "words")}
+            hashes = table.column("hash").to_numpy()
+            ids = list(zip(c["doc_id"], c["text_key"], strict=True))
+            rows, keys, firsts, lasts = [], [], [], []
+            at = 0
+            while at < len(ids):
+                end = at + 1
+                while end < len(ids) and ids[end] == ids[at]:
+                    end += 1
+                for first, last in least_runs(c["line_no"][at:end], c["words"][at:end], least_words):
+                    rows.append(at)
+                    keys.append(xxhash.xxh64_intdigest(hashes[at + first : at + last + 1].tobytes()))
+                    firsts.append(c["line_no"][at + first])
+                    lasts.append(c["line_no"][at + last])
+                at = end
+            taken = table.select(["doc_id", "text_key"]).take(pa.array(rows, pa.int64())).combine_chunks()
+            columns = [pa.array(taken.column(n).to_pylist(), table.schema.field(n).type) for n in ("doc_id", "text_key")]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], ["doc_id", "text_key", "run", "first", "last"])
+
+        return by_group(batches, found)
+
+    placed = held.select(F.xxhash64("doc_id", "text_key").alias("group"), "doc_id", "text_key", "line_no", "hash", "words")
+    found = materialize(placed.repartition("group").sortWithinPartitions("group", "doc_id", "text_key", "line_no").mapInArrow(runs, f"doc_id {kind}, text_key long, run long, first int, last int"))
+    owners = found.groupBy("run").agg(F.min(F.struct("doc_id", "text_key")).alias("o"), F.count("*").alias("times")).filter("times > 1")
+    owners = materialize(owners.select("run", F.col("o.doc_id").alias("owner"), F.col("o.text_key").alias("owner_key")))
+    return found.join(owners, "run").filter("doc_id <> owner or text_key <> owner_key").select("doc_id", "text_key", F.sequence("first", "last").alias("cut"))
+
+
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text_key, cut): line numbers that go from each later document; only documents that lose lines.
+    """(doc_id, text_key, cut): line numbers that go from each later document; only documents that
+    lose lines.
 
     Rows without id or text lose nothing and own nothing. Rows alike in id and text are one document and stay as they are.
     """
@@ -104,7 +187,8 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     held = lines.groupBy("hash", "doc_id", "text_key").agg(F.min("line_no").alias("line_no"), F.count("*").alias("times"))
     owners = held.groupBy("hash").agg(F.min(F.struct("doc_id", "text_key", "line_no", "times")).alias("o"), F.count("*").alias("holders")).filter("holders > 1")
     owners = materialize(owners.select("hash", F.col("o.doc_id").alias("owner"), F.col("o.text_key").alias("owner_key"), F.col("o.line_no").alias("there"), (F.col("o.times") == 1).alias("once_there"), "holders"))
-    shared = lines.join(owners, "hash").filter("doc_id <> owner or text_key <> owner_key")
+    several = materialize(lines.join(owners, "hash"))
+    shared = several.filter("doc_id <> owner or text_key <> owner_key")
     kind = docs.schema["doc_id"].dataType.simpleString()
     group = F.xxhash64("doc_id", "text_key")
 
@@ -126,22 +210,12 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
                     out.append((doc, key, sorted(gone)))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], table.schema.field("doc_id").type), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int32()))], ["doc_id", "text_key", "cut"])
 
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None and rest.num_rows:
-                table = pa.concat_tables([rest, table])
-            groups = table.column("group").to_numpy()
-            other = np.flatnonzero(groups != groups[-1]) if len(groups) else []
-            split = int(other[-1]) + 1 if len(other) else 0
-            if split:
-                yield cut(table.slice(0, split))
-            rest = table.slice(split)
-        if rest is not None and rest.num_rows:
-            yield cut(rest)
+        return by_group(batches, cut)
 
     placed = shared.select(group.alias("group"), "doc_id", "text_key", "line_no", "hash", "words", "owner", "owner_key", "there", "once_there", "holders")
-    return placed.repartition("group").sortWithinPartitions("group", "doc_id", "text_key", "line_no").mapInArrow(align, f"doc_id {kind}, text_key long, cut array<int>")
+    aligned = placed.repartition("group").sortWithinPartitions("group", "doc_id", "text_key", "line_no").mapInArrow(align, f"doc_id {kind}, text_key long, cut array<int>")
+    cuts = aligned.unionByName(whole_runs(several, least_words))
+    return cuts.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

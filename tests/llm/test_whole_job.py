@@ -4,7 +4,7 @@ import collections
 import random
 
 import pytest
-from skyledger.llm import nearcopies, simhash, stages
+from skyledger.llm import linededup, nearcopies, simhash, stages
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +53,34 @@ def test_stage_drops_copies_beyond_three_bits_and_keeps_other_texts(spark):
     far = [i for i in range(1, len(texts)) if i % 6 == 1 and similarity(texts[i], texts[i - 1]) >= 0.8 and (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[i - 1])).bit_count() > 3]
     assert far and not kept & set(far)
     assert all(i in kept for i, a in enumerate(texts) if all(similarity(a, b) < 0.8 for b in texts[:i]))
+
+
+def line(name, words):
+    return " ".join(f"{name}{i}" for i in range(words))
+
+
+def left_of(spark, *texts):
+    out = linededup.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r.text for r in sorted(out)]
+
+
+def test_a_passage_is_looked_up_whole(spark):
+    """Its second line has an earlier owner than the others, and several short lines make it."""
+    one, two, three = line("a", 25), line("b", 9), line("c", 25)
+    passage = "\n".join([one, two, three])
+    assert left_of(spark, two, passage, passage) == [two, passage, ""]
+    short = [line(f"s{i}x", 7) for i in range(9)]
+    owners = short[1::2]  # every other line stands alone in an earlier document
+    assert left_of(spark, *owners, "\n".join(short), "\n".join(["own", *short, "end"]))[-2:] == ["\n".join(short), "own\nend"]
+
+
+def test_least_runs_cover_every_longer_block():
+    draw = random.Random(1)
+    for _ in range(200):
+        words = [draw.randrange(1, 12) for _ in range(12)]
+        runs = linededup.least_runs(list(range(12)), words, 30)
+        assert all(sum(words[a : b + 1]) >= 30 for a, b in runs)
+        for a in range(12):
+            for b in range(a, 12):
+                inside = {i for x, y in runs if a <= x and y <= b for i in range(x, y + 1)}
+                assert inside == (set(range(a, b + 1)) if sum(words[a : b + 1]) >= 30 else set())
