@@ -12,6 +12,7 @@ all documents; it never excludes a line.
 An alignment with the owners of single lines can part a passage that one earlier document holds whole, and drops anchors
 that cross. So every run of lines that just reaches `least_words`, from each line forwards and backwards, is looked up too:
 any block of `least_words` that stands line by line in an earlier document, wherever and how often, is a union of such runs.
+Blank lines are not counted in a block; those inside one go with it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import text_key
@@ -32,11 +33,17 @@ LEAST_WORDS = 30
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, hash, words) of lines that have words; rows alike in id and text count once."""
-    rows = docs.filter("text is not null and doc_id is not null").select("doc_id", text_key().cast("long").alias("text_key"), F.split("text", "\n").alias("lines"))
-    lines = rows.select("doc_id", "text_key", F.posexplode_outer("lines").alias("line_no", "line")).withColumn("line", F.trim("line"))
+    """(doc_id, text_key, line_no, hash, words) of lines that have words, numbered without the blank ones; rows alike in id
+    and text count once."""
+    rows = docs.filter("text is not null and doc_id is not null").select("doc_id", text_key().cast("long").alias("text_key"), _filled("text").alias("lines"))
+    lines = rows.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line"))
     words = F.size(F.split("line", " +"))
-    return lines.filter("line <> ''").select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("hash"), words.alias("words"))
+    return lines.select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("hash"), words.alias("words"))
+
+
+def _filled(text: str) -> Column:
+    """The trimmed lines of a text that are not empty."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def rising(positions: list[int]) -> list[int]:
@@ -177,7 +184,7 @@ def whole_runs(held: DataFrame, least_words: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text_key, cut): line numbers that go from each later document; only documents that
+    """(doc_id, text_key, cut): line numbers (blank lines not counted) that go from each later document; only documents that
     lose lines.
 
     Rows without id or text lose nothing and own nothing. Rows alike in id and text are one document and stay as they are.
@@ -221,7 +228,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """All rows and columns of `docs`; texts of later documents without their repeated blocks (n_chars follows, if there).
 
-    A document whose lines are all repeated keeps its row with an empty text.
+    A document whose lines are all repeated keeps its row with an empty text. Blank lines between two lines that go, go too.
     """
     cuts = materialize(repeated_lines(docs, least_words))
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key().cast("long").alias("key"), "text")
@@ -229,8 +236,11 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     joined = packed.join(cuts.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "cut").hint("merge"), ["id", "key"], "left")
     # a column of its own, as each kept line is taken from it by number
     parted = joined.withColumn("lines", F.when(F.col("cut").isNotNull(), F.split("text", "\n")))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "cut"), lambda i: F.get("lines", i))
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    parted = parted.withColumn("filled", F.filter(every, lambda i: F.trim(F.get("lines", i)) != ""))
+    parted = parted.withColumn("gone", F.flatten(F.transform("cut", lambda n, k: F.when(F.get("cut", k + 1) == n + 1, F.sequence(F.get("filled", n), F.get("filled", n + 1) - 1)).otherwise(F.array(F.get("filled", n))))))
+    left = F.transform(F.array_except(every, "gone"), lambda i: F.get("lines", i))
+    text = F.when(F.col("cut").isNull(), F.col("text")).when(F.size("cut") == F.size("filled"), "").otherwise(F.array_join(left, "\n"))
     changed = parted.select("row", text.alias("text"), "cut")
     columns = []
     for f in docs.schema:

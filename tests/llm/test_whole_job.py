@@ -74,6 +74,19 @@ def test_a_passage_is_looked_up_whole(spark):
     assert left_of(spark, *owners, "\n".join(short), "\n".join(["own", *short, "end"]))[-2:] == ["\n".join(short), "own\nend"]
 
 
+def test_blocks_across_blank_lines(spark):
+    one, two = line("a", 20), line("b", 20)
+    passage = f"{one}\n\n{two}"
+    assert left_of(spark, passage, f"own\n{one}\n \n\n{two}\n\nend") == [passage, "own\n\nend"]
+
+
+def test_repeated_and_moved_blocks(spark):
+    single, block, other = line("u", 5), line("p", 60), "\n".join([line("q", 20), line("r", 20)])
+    assert left_of(spark, f"{single}\n{block}", f"{single}\nx\n{block}\ny\n{block}")[1] == f"{single}\nx\ny"
+    first = f"{other}\n{single}\n{block}"
+    assert left_of(spark, first, f"{block}\nown\n{other}\nown\n{other}") == [first, "own\nown"]
+
+
 def test_least_runs_cover_every_longer_block():
     draw = random.Random(1)
     for _ in range(200):
