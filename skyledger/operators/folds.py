@@ -71,6 +71,23 @@ def greedy_cap(df: DataFrame, keys: list[str], order: list[str], cost: str, cap:
     return folded.where("taken").drop("taken")
 
 
+def greedy_cap_in_place(df: DataFrame, keys: list[str], row: Column, cap: float | Column, extra: list[Column] = ()) -> DataFrame:
+    """The greedy cap over groups whose size another key bounds (a row a station on one date): each is folded as an array.
+
+    `row` is a struct that begins with the order and holds `cost`. Gives the keys and the fields of the rows taken.
+    """
+    grouped = df.groupBy(*keys, *extra).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    kind = grouped.schema["_rows"].dataType.simpleString()
+    start = F.struct(F.lit(0.0).alias("used"), F.array().cast(kind).alias("took"))
+
+    def step(acc: Column, r: Column) -> Column:
+        fits = acc["used"] + r["cost"] <= cap + 1e-9
+        return F.when(fits, F.struct((acc["used"] + r["cost"]).alias("used"), F.concat(acc["took"], F.array(r)).alias("took"))).otherwise(acc)
+
+    taken = grouped.withColumn("_took", F.aggregate("_rows", start, step, lambda acc: acc["took"])).drop("_rows")
+    return taken.withColumn("_r", F.explode("_took")).select(*keys, "_r.*")
+
+
 def equal_cost_cap(df: DataFrame, keys: list[str], order: list[Column], cost: float, cap: float) -> DataFrame:
     """The greedy cap when every row costs the same: the first `cap/cost` rows, no fold needed."""
     from skyledger.operators.select import top_n

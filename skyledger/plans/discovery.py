@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.operators import folds, select
+from skyledger.operators import folds, rule_cube, select
 from skyledger.operators.metrics import ratio
+from skyledger.session import materialize
 
 
 def date_folds(df: DataFrame, date: str, k: int, holdout: int = 0) -> DataFrame:
@@ -31,10 +32,9 @@ def common_dates(df: DataFrame, family: str, candidate: str, date: str) -> DataF
     return have.join(need, [family]).where(F.col("_have") == F.col("_need")).select(family, date)
 
 
-def rule_grid(spark: SparkSession, models: list[tuple[str, str]], sides: list[str], delays: list[str | None],
-              windows: list[tuple[str, str]], bands: list[tuple[float, float]], edges: list[float],
-              spreads: list[float | None]) -> DataFrame:
-    """Every combination of the options per (model, family), with a content id and its complexity.
+def rule_grid(rows: DataFrame, sides: list[str], delays: list[str | None], windows: list[tuple[str, str]],
+              bands: list[tuple[float, float]], edges: list[float], spreads: list[float | None]) -> DataFrame:
+    """Every combination of the options per (model_id, market_family) of `rows`, with a content id and its complexity.
 
     The grid is a product of short option lists known to the caller, so it is generated by explodes from the models.
     """
@@ -45,7 +45,7 @@ def rule_grid(spark: SparkSession, models: list[tuple[str, str]], sides: list[st
         types = [p.split(" ")[1] for p in ddl.split(", ")]
         return F.array(*[F.struct(*[F.lit(x).cast(t).alias(n) for n, t, x in zip(names, types, v if isinstance(v, tuple) else (v,))])
                          for v in values])
-    df = spark.createDataFrame(models, "model_id string, market_family string")
+    df = materialize(rows.select("model_id", "market_family").distinct())
     dims = {
         "side": (sides, "selected_side string"), "delay": (delays, "observation_delay_bucket string"),
         "window": (windows, "local_start string, local_end string"), "band": (bands, "entry_min double, entry_max double"),
@@ -66,53 +66,112 @@ def grid_size(*dims) -> int:
     return len(list(itertools.product(*dims)))
 
 
+CONDITIONS = {
+    "side": ["selected_side"], "delay": ["observation_delay_bucket"], "window": ["local_start", "local_end"],
+    "band": ["entry_min", "entry_max"], "edge": ["edge_minimum"], "spread": ["spread_maximum"]}
+
+
+def rule_dimensions(rules: DataFrame) -> list[rule_cube.Dimension]:
+    """The distinct conditions of the rules, dimension by dimension, as a row meets them.
+
+    Distinct conditions come to the driver; they are the option lists that a grid was made of. One more than are allowed is taken,
+    so that too many are refused.
+    """
+    parts = {n: F.struct(*cols, condition_label(n).alias("label")) for n, cols in CONDITIONS.items()}
+    seen = rules.agg(*[F.slice(F.sort_array(F.collect_set(c)), 1, rule_cube.MOST_OPTIONS + 1).alias(n) for n, c in parts.items()]).first()
+
+    def test(name: str, o) -> Column:
+        if name == "side":
+            return F.lit(True) if o.selected_side == "ANY" else F.col("selected_side") == o.selected_side
+        if name == "delay":
+            return F.lit(True) if o.observation_delay_bucket is None else F.col("observation_delay_bucket") == o.observation_delay_bucket
+        if name == "window":
+            return (F.col("local_hhmm") >= o.local_start) & (F.col("local_hhmm") < o.local_end)
+        if name == "band":
+            return (F.col("best_ask") >= o.entry_min) & (F.col("best_ask") <= o.entry_max)
+        if name == "edge":
+            return F.col("edge_at_best") + 1e-12 >= o.edge_minimum
+        return F.lit(True) if o.spread_maximum is None else F.col("spread") <= o.spread_maximum + 1e-12
+
+    return [rule_cube.tests(n, [(o.label, test(n, o)) for o in seen[n]], open=False) for n in CONDITIONS]
+
+
+def condition_label(dimension: str) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in CONDITIONS[dimension]])
+
+
+def rule_states(rules: DataFrame, dims: list[rule_cube.Dimension]) -> DataFrame:
+    """`rules` with the state of the cube that each stands for. A rule without any condition that rows can meet has none."""
+    state = F.lit(0).cast("long")
+    for d, radix in zip(dims, rule_cube.radices(dims), strict=True):
+        index = F.create_map(*[F.lit(x) for i, v in enumerate(d.labels) for x in (v, i)])
+        state = state + F.element_at(index, condition_label(d.name)).cast("long") * radix
+    return rules.withColumn("state", state)
+
+
 def match_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows joined to the rules they satisfy: an equi join on (model, family) with the range conditions beside it.
+    """Rows joined to the rules they satisfy, by equality alone.
 
-    The rules are the small side by construction; Spark broadcasts them when their size allows, and else sorts and
-    merges on (model, family) with skew handling.
+    A row is handed to the conditions it meets, one dimension after the other, which gives the states it meets; a state is a
+    rule or, where the rules are no full grid, nothing. So no range is tested on pairs of rows and rules.
     """
-    r = rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
-    on = [
-        F.col("model_id") == F.col("r_model_id"), F.col("market_family") == F.col("r_market_family"),
-        (F.col("r_selected_side") == "ANY") | (F.col("selected_side") == F.col("r_selected_side")),
-        F.col("r_observation_delay_bucket").isNull() | (F.col("observation_delay_bucket") == F.col("r_observation_delay_bucket")),
-        F.col("local_hhmm") >= F.col("r_local_start"), F.col("local_hhmm") < F.col("r_local_end"),
-        F.col("best_ask") >= F.col("r_entry_min"), F.col("best_ask") <= F.col("r_entry_max"),
-        F.col("edge_at_best") + 1e-12 >= F.col("r_edge_minimum"),
-        F.col("r_spread_maximum").isNull() | (F.col("spread") <= F.col("r_spread_maximum") + 1e-12)]
-    renamed = {"r_rule_id": "rule_id", "r_family_id": "family_id", "r_complexity": "complexity", "r_entry_max": "rule_cap"}
-    drop = [c for c in r.columns if c not in renamed]
-    return rows.join(r, on).withColumnsRenamed(renamed).drop(*drop)
+    dims = rule_dimensions(rules)
+    kept = rule_states(rules, dims).select(*STATE, "rule_id", "family_id", "complexity", F.col("entry_max").alias("rule_cap"))
+    met = rule_cube.cells(rows, dims).withColumn("state", F.lit(0).cast("long"))
+    for i, radix in enumerate(rule_cube.radices(dims)):
+        met = met.withColumn("_o", F.explode(f"_m{i}")).withColumn("state", F.col("state") + F.col("_o").cast("long") * radix).drop("_o", f"_m{i}")
+    return met.join(kept, ["model_id", "market_family", "state"]).drop("state")
+
+
+def rule_counts(rows: DataFrame, rules: DataFrame, row_id: str = "mapping_id") -> DataFrame:
+    """`rules` with `matched_rows` and two fingerprints `_a`, `_b` of the rows they match; rules that match none are left out.
+
+    Rows are reduced to cells before anything moves, and cells to states, so the pairs of rows and rules are never formed.
+    """
+    dims = rule_dimensions(rules)
+    found = rule_cube.supports(rows, ["model_id", "market_family"], row_id, dims).withColumnRenamed("matched", "matched_rows").drop("conditions")
+    return rule_states(rules, dims).join(found, ["model_id", "market_family", "state"]).drop("state")
 
 
 ORDER = ["ready", "snapshot_id", "mapping_id"]
 
 
-def rule_executions(rows: DataFrame, rules: DataFrame, target: float, fill: float, daily_cap: float) -> DataFrame:
-    """First match per (rule, station, date), its sweep at the rule's cap, then the whole-row daily cap.
+MODEL = ["model_id", "market_family"]
+STATE = [*MODEL, "state"]
+
+
+def first_matches(rows: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first matches by state, station and date with the sweep `_x` at the rules' cap; rules with their states).
 
-    `rows.sweeps` maps the price cap to (cost, shares, vwap). The first match is kept per map task before the shuffle,
-    so the rule by row pairs are never stored.
+    Rules are told apart by their state alone up to their scores, which is one number in place of the ids and conditions.
+    """
+    dims = rule_dimensions(rules)
+    named = materialize(rule_states(rules, dims))
+    caps = named.select(*STATE, F.format_number("entry_max", 8).alias("_cap")).distinct()
+    first = rule_cube.first_rows(rows, [*MODEL, "station", "market_date"], ORDER, dims, ["label", "sweeps"])
+    return first.join(caps, STATE).withColumn("_x", F.try_element_at("sweeps", F.col("_cap"))).drop("sweeps", "_cap"), named
+
+
+def rule_executions(first: DataFrame, target: float, fill: float, daily_cap: float) -> DataFrame:
+    """First matches that fill enough, under the whole-row daily cap of their rule.
+
+    A rule has one row a station at most on a date, so a date's rows are folded in place.
     """
-    slim = match_rules(rows, rules).select(
-        "rule_id", "family_id", "complexity", "rule_cap", "station", "market_date", *ORDER, "label", "sweeps")
-    first = select.first_by_scope(slim, ["rule_id", "station", "market_date"], [F.col(c) for c in ORDER])
-    hit = first.withColumn("_x", F.try_element_at("sweeps", F.format_number("rule_cap", 8)))
     ok = (F.col("_x.cost") >= target * fill) & F.col("_x.vwap").isNotNull()
-    flat = hit.where(ok).select(
-        "rule_id", "family_id", "complexity", "station", "market_date", *ORDER, "label", F.col("_x.cost").alias("cost"),
-        F.col("_x.shares").alias("shares"), F.col("_x.vwap").alias("vwap"))
-    taken = folds.greedy_cap(flat, ["rule_id", "market_date"], ORDER, "cost", daily_cap).drop("used")
-    return taken.withColumn("pnl", F.when(F.col("label") == 1, F.col("shares") - F.col("cost")).otherwise(-F.col("cost")))
+    row = F.struct(*ORDER, "station", "label", F.col("_x.cost").alias("cost"), F.col("_x.shares").alias("shares"), F.col("_x.vwap").alias("vwap"))
+    return with_pnl(folds.greedy_cap_in_place(first.where(ok), [*STATE, "market_date"], row, daily_cap))
+
+
+def with_pnl(df: DataFrame) -> DataFrame:
+    return df.withColumn("pnl", F.when(F.col("label") == 1, F.col("shares") - F.col("cost")).otherwise(-F.col("cost")))
 
 
 def daily_results(executions: DataFrame) -> DataFrame:
-    """Cost, PnL and ratio per rule and date, each rounded to 8 places before anything is built on them."""
-    return executions.groupBy("rule_id", "family_id", "complexity", "market_date").agg(
+    """Cost, PnL and ratio per rule and date, each rounded to 8 places before anything is built on them, and the date's stations."""
+    return executions.groupBy(*STATE, "market_date").agg(
         F.count(F.lit(1)).alias("trades"), F.round(F.sum("cost"), 8).alias("cost"), F.round(F.sum("pnl"), 8).alias("pnl"),
         F.round(F.coalesce(ratio(F.sum("pnl"), F.sum("cost")), F.lit(0.0)), 8).alias("rr"),
-        F.sum((F.col("pnl") > 0).cast("int")).alias("wins"), F.sum("vwap").alias("vwap_sum"))
+        F.sum((F.col("pnl") > 0).cast("int")).alias("wins"), F.sum("vwap").alias("vwap_sum"), F.collect_list("station").alias("stations"))
 
 
 WORST = -1_000_000_000.0
@@ -120,42 +179,33 @@ WORST = -1_000_000_000.0
 
 def cluster_lcb(daily: DataFrame, keys: list[str], rr: str = "rr") -> DataFrame:
     """Mean daily ratio less 1.645 standard errors; fewer than two dates give the worst bound."""
+    mean, bound = lcb_columns(rr)
+    return daily.groupBy(*keys).agg(mean, F.count(rr).alias("dates"), bound)
+
+
+def lcb_columns(rr: str = "rr") -> list[Column]:
     n = F.count(rr)
     bound = F.avg(rr) - 1.645 * F.stddev_samp(rr) / F.sqrt(n)
-    return daily.groupBy(*keys).agg(
-        F.round(F.avg(rr), 8).alias("mean_daily_rr"), n.alias("dates"),
-        F.when(n >= 2, F.round(bound, 8)).otherwise(F.lit(WORST)).alias("lcb_daily_rr"))
+    return [F.round(F.avg(rr), 8).alias("mean_daily_rr"), F.when(n >= 2, F.round(bound, 8)).otherwise(F.lit(WORST)).alias("lcb_daily_rr")]
 
 
 def score_rules(rows: DataFrame, rules: DataFrame, k: int, holdout: int, target: float = 25.0, fill: float = 0.9,
-                daily_cap: float = 100.0, penalty: float = 0.01, min_dates: int = 5, min_trades: int = 10,
-                fold_by_execution: bool = False) -> DataFrame:
-    """Score every rule on the discovery dates, with folds, stability, the cluster bound and the gate.
-
-    Folds run over all resolved dates, or over a rule's own executed dates in the compatibility form.
-    """
-    dates = date_folds(rows.where("label is not null"), "market_date", k, holdout)
+                daily_cap: float = 100.0, penalty: float = 0.01, min_dates: int = 5, min_trades: int = 10) -> DataFrame:
+    """Score every rule on the discovery dates, with folds, stability, the cluster bound and the gate."""
+    dates = materialize(date_folds(rows.where("label is not null"), "market_date", k, holdout))
     inside = rows.where("label is not null").join(dates.where("fold is not null"), ["market_date"])
-    executions = rule_executions(inside, rules, target, fill, daily_cap)
-    daily = daily_results(executions)
-    if fold_by_execution:
-        # a rule has at most one row per date here
-        w = Window.partitionBy("rule_id").orderBy("market_date")
-        n = F.count(F.lit(1)).over(Window.partitionBy("rule_id"))
-        daily = daily.withColumn("fold", F.least(F.floor((F.row_number().over(w) - 1) * k / n), F.lit(k - 1)).cast("long"))
-    else:
-        daily = daily.join(dates, ["market_date"])
-    per_fold = daily.groupBy("rule_id", "fold").agg(F.sum("pnl").alias("_p"))
-    stable = per_fold.groupBy("rule_id").agg(
+    first, named = first_matches(inside.drop("fold"), rules)
+    daily = materialize(daily_results(rule_executions(first, target, fill, daily_cap)))
+    per_fold = daily.join(dates, ["market_date"]).groupBy(*STATE, "fold").agg(F.sum("pnl").alias("_p"))
+    stable = per_fold.groupBy(*STATE).agg(
         F.count(F.lit(1)).alias("populated_folds"), F.sum((F.col("_p") > 0).cast("int")).alias("positive_folds"))
-    stations = executions.groupBy("rule_id", "station").agg(F.count(F.lit(1)).alias("_n")).groupBy("rule_id").agg(
+    stations = daily.select(*STATE, F.explode("stations").alias("_s")).groupBy(*STATE, "_s").agg(F.count(F.lit(1)).alias("_n")).groupBy(*STATE).agg(
         F.max("_n").alias("_top_station"))
-    total = daily.groupBy("rule_id", "family_id", "complexity").agg(
+    total = daily.groupBy(*STATE).agg(
         F.sum("trades").alias("trades"), F.count(F.lit(1)).alias("effective_dates"), F.round(F.sum("cost"), 8).alias("cost"),
         F.round(F.sum("pnl"), 8).alias("pnl"), ratio(F.sum("pnl"), F.sum("cost")).alias("rr"),
-        (F.sum("wins") / F.sum("trades")).alias("win_rate"), (F.sum("vwap_sum") / F.sum("trades")).alias("average_vwap"))
-    bound = cluster_lcb(daily, ["rule_id"]).select("rule_id", "mean_daily_rr", "lcb_daily_rr")
-    scored = total.join(stable, ["rule_id"]).join(stations, ["rule_id"]).join(bound, ["rule_id"])
+        (F.sum("wins") / F.sum("trades")).alias("win_rate"), (F.sum("vwap_sum") / F.sum("trades")).alias("average_vwap"), *lcb_columns())
+    scored = named.select(*STATE, "rule_id", "family_id", "complexity").join(total.join(stable, STATE).join(stations, STATE), STATE).drop(*STATE)
     steady = F.col("positive_folds") / F.col("populated_folds") >= 2 / 3
     return scored.withColumns({
         "stable": steady, "max_station_share": F.col("_top_station") / F.col("trades"),
@@ -164,6 +214,39 @@ def score_rules(rows: DataFrame, rules: DataFrame, k: int, holdout: int, target:
     }).drop("_top_station")
 
 
+def score_compatible(rows: DataFrame, rules: DataFrame, k: int, holdout: int, target: float = 25.0, daily_cap: float = 100.0,
+                     penalty: float = 0.01, min_dates: int = 5, min_trades: int = 10) -> DataFrame:
+    """The compatibility form: the daily cap counts first matches at their full cost, whether or not they execute; whatever the sweep
+    fills is taken; folds run over the dates a rule executed on; rules are compared by penalised return."""
+    dates = materialize(date_folds(rows.where("label is not null"), "market_date", k, holdout))
+    inside = rows.where("label is not null").join(dates.where("fold is not null").drop("fold"), ["market_date"])
+    first, named = first_matches(inside, rules)
+    placed = folds.equal_cost_cap(first, [*STATE, "market_date"], [F.col(c) for c in ORDER], target, daily_cap)
+    filled = placed.where((F.col("_x.cost") > 0) & F.col("_x.vwap").isNotNull()).select(*STATE, "market_date", "label", F.col("_x.cost").alias("cost"), F.col("_x.shares").alias("shares"))
+    daily = materialize(with_pnl(filled).groupBy(*STATE, "market_date").agg(
+        F.count(F.lit(1)).alias("trades"), F.sum("cost").alias("cost"), F.sum("pnl").alias("pnl"), F.sum((F.col("label") == 1).cast("int")).alias("wins")))
+    # a rule has a row a date here
+    w = Window.partitionBy(*STATE)
+    place, n = F.row_number().over(w.orderBy("market_date")) - 1, F.count(F.lit(1)).over(w)
+    folded = daily.withColumn("fold", F.least(F.floor(place * k / n), F.lit(k - 1)).cast("long"))
+    stable = folded.groupBy(*STATE, "fold").agg(F.sum("pnl").alias("_p")).groupBy(*STATE).agg(
+        F.count(F.lit(1)).alias("populated_folds"), F.sum((F.round("_p", 6) > 0).cast("int")).alias("positive_folds"))
+    total = folded.groupBy(*STATE).agg(
+        F.sum("trades").alias("trades"), F.count(F.lit(1)).alias("effective_dates"), F.round(F.sum("cost"), 6).alias("cost"), F.round(F.sum("pnl"), 6).alias("pnl"),
+        F.round(F.sum("pnl") / F.sum("cost"), 6).alias("rr"), F.sum("wins").alias("wins"))
+    scored = named.select(*STATE, "rule_id", "family_id", "complexity").join(total.join(stable, STATE), STATE).drop(*STATE)
+    steady = F.col("positive_folds") / F.col("populated_folds") >= 2 / 3
+    return scored.withColumns({
+        "stable": steady, "penalized_rr": F.round(F.coalesce("rr", F.lit(0.0)) - penalty * F.col("complexity"), 6),
+        "passes": steady & (F.col("effective_dates") >= min_dates) & (F.col("trades") >= min_trades) & (F.col("pnl") > 0)})
+
+
+def nominations(scored: DataFrame, challengers: int) -> DataFrame:
+    """Of each correlated family the first rule by (gate, penalised return, complexity, id); then the few best that pass."""
+    rank = [F.col("passes").desc(), F.col("penalized_rr").desc(), F.col("complexity"), F.col("rule_id")]
+    return select.first_by_scope(scored, ["family_id"], rank).where("passes").orderBy(*rank).limit(challengers)
+
+
 def rank_columns() -> list[Column]:
     return [F.col("penalized_lcb").desc(), F.col("pnl").desc(), F.col("complexity"), F.col("rule_id")]
 
@@ -176,8 +259,9 @@ def family_representatives(scored: DataFrame, limit: int | None = None) -> DataF
 
 def freeze_hash(reps: DataFrame) -> DataFrame:
     """One hash over the frozen choice: it depends on the set of rules and on nothing that happens later."""
+    # hashes of ids under exclusive or: no list of all ids is made
     ids = reps.select("rule_id").distinct()
-    return ids.agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("rule_id"))), 256).alias("freeze_hash"),
+    return ids.agg(F.sha2(F.concat_ws(",", F.bit_xor(F.xxhash64("rule_id")), F.bit_xor(F.xxhash64(F.lit("b"), "rule_id")), F.count(F.lit(1))), 256).alias("freeze_hash"),
                    F.count(F.lit(1)).alias("rules"))
 
 
@@ -186,23 +270,19 @@ def evaluate_holdout(rows: DataFrame, rules: DataFrame, reps: DataFrame, k: int,
     """Only the frozen representatives on the untouched last dates."""
     dates = date_folds(rows.where("label is not null"), "market_date", k, holdout)
     outside = rows.where("label is not null").join(dates.where("fold is null").select("market_date"), ["market_date"])
-    chosen = rules.join(reps.select("rule_id"), ["rule_id"], "left_semi")
-    daily = daily_results(rule_executions(outside, chosen, target, fill, daily_cap))
-    total = daily.groupBy("rule_id").agg(
+    chosen = materialize(rules.join(reps.select("rule_id"), ["rule_id"], "left_semi"))
+    first, named = first_matches(outside, chosen)
+    daily = daily_results(rule_executions(first, target, fill, daily_cap))
+    total = daily.groupBy(*STATE).agg(
         F.sum("trades").alias("trades"), F.count(F.lit(1)).alias("effective_dates"), F.round(F.sum("cost"), 8).alias("cost"),
-        F.round(F.sum("pnl"), 8).alias("pnl"), ratio(F.sum("pnl"), F.sum("cost")).alias("rr"))
-    return total.join(cluster_lcb(daily, ["rule_id"]).select("rule_id", "lcb_daily_rr"), ["rule_id"])
+        F.round(F.sum("pnl"), 8).alias("pnl"), ratio(F.sum("pnl"), F.sum("cost")).alias("rr"), lcb_columns()[1])
+    return named.select(*STATE, "rule_id").join(total, STATE).drop(*STATE)
 
 
-def collapse_equivalent(hits: DataFrame, rules: DataFrame, extra: list[str]) -> DataFrame:
+def collapse_equivalent(rows: DataFrame, rules: DataFrame, extra: list[str], row_id: str = "mapping_id") -> DataFrame:
     """Rules that select the same rows (and share target and cap) collapse to the least complex one.
 
-    The fingerprint is order-free and additive: count, and sums of two independent 64-bit hashes of the row ids, so
-    it combines map-side and never gathers a rule's rows.
+    Fingerprints are order-free: the count, and two independent 64-bit hashes of the row ids under exclusive or.
     """
-    a = F.xxhash64("row_id").cast("decimal(38,0)")
-    b = F.xxhash64(F.lit("b"), "row_id").cast("decimal(38,0)")
-    prints = hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(a).alias("_a"), F.sum(b).alias("_b"))
-    rows = rules.join(prints, ["rule_id"])
-    kept = select.first_by_scope(rows, ["_n", "_a", "_b", *extra], [F.col("complexity"), F.col("rule_id")])
-    return kept.withColumnRenamed("_n", "matched_rows").drop("_a", "_b")
+    kept = select.first_by_scope(rule_counts(rows, rules, row_id), ["matched_rows", "_a", "_b", *extra], [F.col("complexity"), F.col("rule_id")])
+    return kept.drop("_a", "_b")

@@ -134,13 +134,6 @@ def p17(spark, sf):
     return out.select("model_name", "strategy_bucket", "delay", "window", "band", "scope", "n", "resolved", "pnl")
 
 
-@query("p08_wide_search")
-def p08(spark, sf):
-    df = resolved(spark, sf).select(F.struct("id", "liquidity").alias("row_id"), "market_date", "station", "pnl", "entry", "model_name", "selected_side", bands.entry_band(F.col("entry")).alias("band"), "strategy_bucket")
-    fold = discovery.date_folds(df, "market_date", 4, 40)
-    return search.wide_search(df, ["model_name", "selected_side", "band", "strategy_bucket"], 50, "market_date", "station", "pnl", "entry", fold)
-
-
 def cards(spark, sf):
     """Scorecards with the base and conservative scenario side by side."""
     out = replay.forward_scorecards(forward_rows(spark, sf), candidates(spark), 25.0, 100.0, 5, 20)

@@ -253,76 +253,97 @@ def rule_rows(spark, sf):
         F.col("obs_delay_bucket").alias("observation_delay_bucket"), F.date_format("ts", "HH:mm").alias("local_hhmm"), ask.alias("best_ask"), (F.col("book_age") / 1000).alias("spread"), F.col("edge").alias("edge_at_best"), F.col("correct").alias("label"), sweep.alias("sweeps"))
 
 
-def grid(spark):
-    return discovery.rule_grid(spark, [("m0", "HIGH_TEMP"), ("m1", "HIGH_TEMP")], ["ANY", "BUY_NO"], [None, "10m"], [("00:00", "24:00"), ("06:00", "12:00")], [(0.05, 0.3), (0.05, 0.6)], [0.0, 0.1], [None, 0.1])
+def grid(rows):
+    return discovery.rule_grid(rows, ["ANY", "BUY_NO"], [None, "10m"], [("00:00", "24:00"), ("06:00", "12:00")], [(0.05, 0.3), (0.05, 0.6)], [0.0, 0.1], [None, 0.1])
 
 
-RULE_SQL = SIGNAL_SQL + """, rules AS (SELECT m AS model_id, s AS side, coalesce(dl, '') AS delay, w.a AS w0, w.b AS w1, bb.v AS cap, e AS edge_min, coalesce(sp, -1) AS spread_max, 1 + (s <> 'ANY')::INT + (dl IS NOT NULL)::INT + (w.a <> '00:00')::INT + (e > 0)::INT + (sp IS NOT NULL)::INT AS complexity FROM (VALUES ('m0'), ('m1')) m(m), (VALUES ('ANY'), ('BUY_NO')) s(s), (VALUES (NULL), ('10m')) d(dl), (VALUES ('00:00', '24:00'), ('06:00', '12:00')) w(a, b), (VALUES (0.3), (0.6)) bb(v), (VALUES (0.0), (0.1)) e(e), (VALUES (NULL), (0.1)) sp(sp)),
-  hits AS (SELECT r.*, v.* FROM v_signal v JOIN rules r ON v.model_name = r.model_id AND v.market_family = 'HIGH_TEMP' AND (side = 'ANY' OR selected_side = side) AND (delay = '' OR obs_delay_bucket = delay) AND strftime(ts, '%H:%M') >= w0 AND strftime(ts, '%H:%M') < w1 AND v.entry >= 0.05 AND v.entry <= cap AND v.edge + 1e-12 >= edge_min AND (spread_max < 0 OR book_age / 1000 <= spread_max + 1e-12))"""
-RK = "model_id, side, delay, w0, cap, edge_min, spread_max"
+RULE_SQL = SIGNAL_SQL + """, rules AS (SELECT m AS model_id, mf AS family, s AS side, coalesce(dl, '') AS delay, w.a AS w0, w.b AS w1, bb.v AS cap, e AS edge_min, coalesce(sp, -1) AS spread_max, 1 + (s <> 'ANY')::INT + (dl IS NOT NULL)::INT + (w.a <> '00:00')::INT + (e > 0)::INT + (sp IS NOT NULL)::INT AS complexity FROM (SELECT DISTINCT model_name AS m, market_family AS mf FROM v_signal) m, (VALUES ('ANY'), ('BUY_NO')) s(s), (VALUES (NULL), ('10m')) d(dl), (VALUES ('00:00', '24:00'), ('06:00', '12:00')) w(a, b), (VALUES (0.3), (0.6)) bb(v), (VALUES (0.0), (0.1)) e(e), (VALUES (NULL), (0.1)) sp(sp)),
+  hits AS (SELECT r.*, v.* FROM v_signal v JOIN rules r ON v.model_name = r.model_id AND v.market_family = r.family AND (side = 'ANY' OR selected_side = side) AND (delay = '' OR obs_delay_bucket = delay) AND strftime(ts, '%H:%M') >= w0 AND strftime(ts, '%H:%M') < w1 AND v.entry >= 0.05 AND v.entry <= cap AND v.edge + 1e-12 >= edge_min AND (spread_max < 0 OR book_age / 1000 <= spread_max + 1e-12))"""
+RK = "model_id, family, side, delay, w0, cap, edge_min, spread_max"
+SHOWN_SQL = "model_id, family, side, delay, w0 AS local_start, CAST(cap AS DOUBLE) AS cap, CAST(edge_min AS DOUBLE) AS edge_min, CAST(spread_max AS DOUBLE) AS spread_max"
 
 
-@query("j16_match_rules", f"WITH {RULE_SQL} SELECT model_id, side, delay, w0 AS local_start, CAST(cap AS DOUBLE) AS cap, CAST(edge_min AS DOUBLE) AS edge_min, CAST(spread_max AS DOUBLE) AS spread_max, count(*) AS n FROM hits GROUP BY ALL", "cap edge_min spread_max")
+def shown(df, rules, *columns):
+    """`df` with the parts of each rule in place of its id."""
+    parts = rules.select("rule_id", "model_id", F.col("market_family").alias("family"), F.col("selected_side").alias("side"), F.coalesce("observation_delay_bucket", F.lit("")).alias("delay"), "local_start", F.col("entry_max").alias("cap"),
+                         F.col("edge_minimum").alias("edge_min"), F.coalesce("spread_maximum", F.lit(-1.0)).alias("spread_max"), F.col("complexity").cast("long").alias("complexity"))
+    return df.select("rule_id", *columns).join(parts, ["rule_id"]).drop("rule_id")
+
+
+@query("j16_match_rules", f"WITH {RULE_SQL} SELECT {SHOWN_SQL}, complexity::BIGINT AS complexity, count(*) AS n, sum(entry) AS entry FROM hits GROUP BY ALL", "cap edge_min spread_max entry")
 def j16(spark, sf):
-    rules = grid(spark)
-    hits = discovery.match_rules(rule_rows(spark, sf), rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
-    return hits.join(rules, ["rule_id"]).select("model_id", F.col("selected_side").alias("side"), F.coalesce("observation_delay_bucket", F.lit("")).alias("delay"), "local_start", F.col("entry_max").alias("cap"),
-                                               F.col("edge_minimum").alias("edge_min"), F.coalesce("spread_maximum", F.lit(-1.0)).alias("spread_max"), "n")
+    rows = rule_rows(spark, sf)
+    rules = grid(rows)
+    hits = discovery.match_rules(rows, rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("best_ask").alias("entry"))
+    return shown(hits, rules, "n", "entry")
 
 
-@query("p04_rule_grid", f"WITH {RULE_SQL} SELECT model_id, complexity::BIGINT AS complexity, count(*) AS n FROM rules WHERE model_id IN (SELECT model_name FROM v_signal) GROUP BY ALL")
+@query("p04_rule_grid", f"WITH {RULE_SQL} SELECT model_id, family, complexity::BIGINT AS complexity, count(*) AS n FROM rules GROUP BY ALL")
 def p04(spark, sf):
-    models = signals(spark, sf).select(F.col("model_name").alias("model_id")).distinct()
-    return grid(spark).join(models, ["model_id"], "left_semi").groupBy("model_id", F.col("complexity").cast("long").alias("complexity")).agg(F.count(F.lit(1)).alias("n"))
+    return grid(rule_rows(spark, sf)).groupBy("model_id", F.col("market_family").alias("family"), F.col("complexity").cast("long").alias("complexity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SCORE_SQL = RULE_SQL + f""", dts AS (SELECT DISTINCT market_date FROM v_signal WHERE correct IS NOT NULL), ix AS (SELECT market_date, row_number() OVER (ORDER BY market_date) - 1 AS i, count(*) OVER () - 40 AS n FROM dts),
-  fo AS (SELECT market_date, CASE WHEN i < n THEN least(i * 4 // n, 3) END AS fold FROM ix), fh AS (SELECT *, row_number() OVER (PARTITION BY {RK}, station, h.market_date ORDER BY ts, id, liquidity) AS rn FROM hits h JOIN fo ON fo.market_date = h.market_date WHERE correct IS NOT NULL AND fold IS NOT NULL),
-  f1 AS (SELECT *, row_number() OVER (PARTITION BY {RK}, market_date ORDER BY ts, id, liquidity) AS dn FROM (SELECT {RK}, complexity, station, market_date_1 AS market_date, fold, ts, id, liquidity, entry, correct FROM (SELECT * EXCLUDE (market_date), fh.market_date AS market_date_1 FROM fh WHERE rn = 1))),
-  ex AS (SELECT *, CASE WHEN correct = 1 THEN 25.0 / entry - 25 ELSE -25.0 END AS pnl FROM f1 WHERE dn <= 4),
-  dy AS (SELECT {RK}, complexity, market_date, fold, count(*) AS trades, round(sum(25.0), 8) AS cost, round(sum(pnl), 8) AS pnl, round(sum(pnl) / sum(25.0), 8) AS rr FROM ex GROUP BY {RK}, complexity, market_date, fold),
-  pf AS (SELECT {RK}, count(*) AS populated, count(*) FILTER (WHERE p > 0) AS positive FROM (SELECT {RK}, fold, sum(pnl) AS p FROM dy GROUP BY {RK}, fold) GROUP BY {RK}),
-  tt AS (SELECT {RK}, complexity, sum(trades) AS trades, count(*) AS dates, sum(cost) AS cost, sum(pnl) AS pnl, avg(rr) AS mean_rr, avg(rr) - 1.645 * stddev_samp(rr) / sqrt(count(*)) AS lcb FROM dy GROUP BY {RK}, complexity)"""
+FOLD_SQL = RULE_SQL + """, dts AS (SELECT DISTINCT market_date FROM v_signal WHERE correct IS NOT NULL), ix AS (SELECT market_date, row_number() OVER (ORDER BY market_date) - 1 AS i, count(*) OVER () - 40 AS n FROM dts),
+  fo AS (SELECT market_date, CASE WHEN i < n THEN least(i * 4 // n, 3) END AS fold FROM ix)"""
+DAY_SQL = """{p}h AS (SELECT h.* EXCLUDE (market_date), h.market_date, fold, row_number() OVER (PARTITION BY {rk}, station, h.market_date ORDER BY ts, id, liquidity) AS rn FROM hits h JOIN fo ON fo.market_date = h.market_date WHERE correct IS NOT NULL AND {where}),
+  {p}1 AS (SELECT *, row_number() OVER (PARTITION BY {rk}, market_date ORDER BY ts, id, liquidity) AS dn FROM {p}h WHERE rn = 1),
+  {p}x AS (SELECT *, CASE WHEN correct = 1 THEN 25.0 / entry - 25 ELSE -25.0 END AS p1 FROM {p}1 WHERE dn <= 4),
+  {p}d AS (SELECT {rk}, complexity, market_date, fold, count(*) AS trades, round(sum(25.0), 8) AS cost, round(sum(p1), 8) AS pnl, round(sum(p1) / sum(25.0), 8) AS rr, count(*) FILTER (WHERE correct = 1) AS wins FROM {p}x GROUP BY {rk}, complexity, market_date, fold)"""
+SCORE_SQL = FOLD_SQL + ", " + DAY_SQL.format(p="f", rk=RK, where="fold IS NOT NULL") + f""",
+  pf AS (SELECT {RK}, count(*) AS populated, count(*) FILTER (WHERE p > 0) AS positive FROM (SELECT {RK}, fold, sum(pnl) AS p FROM fd GROUP BY {RK}, fold) GROUP BY {RK}),
+  tt AS (SELECT {RK}, complexity, sum(trades)::BIGINT AS trades, count(*) AS dates, round(sum(cost), 8) AS cost, round(sum(pnl), 8) AS pnl, avg(rr) AS mean_rr, round(avg(rr) - 1.645 * stddev_samp(rr) / sqrt(count(*)), 8) AS lcb FROM fd GROUP BY {RK}, complexity),
+  sc AS (SELECT tt.*, populated, positive, round(lcb - 0.01 * complexity, 8) AS pl, positive / populated >= 2 / 3 AND dates >= 5 AND trades >= 10 AND pnl > 0 AS passes FROM tt JOIN pf USING ({RK})),
+  best AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model_id, family, side, cap ORDER BY pl DESC, pnl DESC, complexity) AS rn FROM sc WHERE passes) z WHERE rn = 1)"""
 
 
-def _scored(spark, sf):
-    return discovery.score_rules(rule_rows(spark, sf), grid(spark), 4, 40)
+def _scored(rows, rules):
+    return discovery.score_rules(rows, rules, 4, 40)
 
 
-@query("p05_score_rules", f"""WITH {SCORE_SQL} SELECT tt.model_id, tt.side, tt.delay, tt.w0 AS local_start, CAST(tt.cap AS DOUBLE) AS cap, CAST(tt.edge_min AS DOUBLE) AS edge_min, CAST(tt.spread_max AS DOUBLE) AS spread_max, trades::BIGINT AS trades, dates AS effective_dates, cost, pnl, pnl / cost AS rr, mean_rr AS mean_daily_rr, lcb AS lcb_daily_rr, populated AS populated_folds, positive AS positive_folds,
-  lcb - 0.01 * complexity AS penalized_lcb FROM tt JOIN pf ON {" AND ".join(f"tt.{c.strip()} = pf.{c.strip()}" for c in RK.split(","))}""", "cap edge_min spread_max cost pnl rr mean_daily_rr lcb_daily_rr penalized_lcb", 5)
+@query("p05_score_rules", f"WITH {SCORE_SQL} SELECT {SHOWN_SQL}, complexity::BIGINT AS complexity, trades, dates AS effective_dates, cost, pnl, pnl / cost AS rr, mean_rr AS mean_daily_rr, lcb AS lcb_daily_rr, populated AS populated_folds, positive AS positive_folds, pl AS penalized_lcb, passes FROM sc",
+       "cap edge_min spread_max cost pnl rr mean_daily_rr lcb_daily_rr penalized_lcb", 5)
 def p05(spark, sf):
-    rules = grid(spark)
-    return _scored(spark, sf).drop("complexity", "family_id").join(rules, ["rule_id"]).select(
-        "model_id", F.col("selected_side").alias("side"), F.coalesce("observation_delay_bucket", F.lit("")).alias("delay"), "local_start", F.col("entry_max").alias("cap"), F.col("edge_minimum").alias("edge_min"),
-        F.coalesce("spread_maximum", F.lit(-1.0)).alias("spread_max"), "trades", "effective_dates", "cost", "pnl", "rr", "mean_daily_rr", "lcb_daily_rr", "populated_folds", "positive_folds", "penalized_lcb")
+    rows = rule_rows(spark, sf)
+    rules = grid(rows)
+    return shown(_scored(rows, rules), rules, "trades", "effective_dates", "cost", "pnl", "rr", "mean_daily_rr", "lcb_daily_rr", "populated_folds", "positive_folds", "penalized_lcb", "passes")
 
 
-@query("k04_family_representatives", f"""WITH {SCORE_SQL}, z AS (SELECT *, round(lcb - 0.01 * complexity, 6) AS pl FROM tt), r AS (SELECT *, row_number() OVER (PARTITION BY model_id, side, cap ORDER BY pl DESC, round(pnl, 6) DESC, complexity) AS rn FROM z)
-  SELECT model_id, side, CAST(cap AS DOUBLE) AS cap, pl AS penalized_lcb, round(pnl, 6) AS pnl, complexity::BIGINT AS complexity FROM r WHERE rn = 1""", "cap penalized_lcb pnl", 4)
+@query("k04_family_representatives", f"WITH {SCORE_SQL} SELECT model_id, family, side, CAST(cap AS DOUBLE) AS cap, pl AS penalized_lcb, pnl, complexity::BIGINT AS complexity FROM best", "cap penalized_lcb pnl", 4)
 def k04(spark, sf):
-    rules = grid(spark).select("rule_id", "model_id", F.col("selected_side").alias("side"), F.col("entry_max").alias("cap"))
-    best = discovery.family_representatives(_scored(spark, sf).withColumn("passes", F.lit(True)))
-    return best.join(rules, ["rule_id"]).select("model_id", "side", "cap", "penalized_lcb", "pnl", F.col("complexity").cast("long").alias("complexity"))
+    rows = rule_rows(spark, sf)
+    rules = grid(rows)
+    return shown(discovery.family_representatives(_scored(rows, rules)), rules, "penalized_lcb", "pnl").select("model_id", "family", "side", "cap", "penalized_lcb", "pnl", "complexity")
 
 
-@query("p07_evaluate_holdout")
+@query("p07_evaluate_holdout", f"""WITH {SCORE_SQL}, few AS (SELECT * FROM best ORDER BY pl DESC, pnl DESC, complexity LIMIT 12), {DAY_SQL.format(p="o", rk=RK, where="fold IS NULL")}
+  SELECT {SHOWN_SQL}, any_value(o.complexity)::BIGINT AS complexity, sum(o.trades)::BIGINT AS trades, count(*) AS effective_dates, sum(o.cost) AS cost, sum(o.pnl) AS pnl, sum(o.pnl) / sum(o.cost) AS rr, CASE WHEN count(*) >= 2 THEN avg(rr) - 1.645 * stddev_samp(rr) / sqrt(count(*)) ELSE -1e9 END AS lcb_daily_rr
+  FROM od o SEMI JOIN few USING ({RK}) GROUP BY {RK}""", "cap edge_min spread_max cost pnl rr lcb_daily_rr", 5)
 def p07(spark, sf):
-    reps = discovery.family_representatives(_scored(spark, sf).withColumn("passes", F.lit(True)), 12)
-    return discovery.evaluate_holdout(rule_rows(spark, sf), grid(spark), reps, 4, 40)
-
-
-@query("p09_discover_executed_folds")
+    rows = rule_rows(spark, sf)
+    rules = grid(rows)
+    reps = discovery.family_representatives(_scored(rows, rules), 12)
+    return shown(discovery.evaluate_holdout(rows, rules, reps, 4, 40), rules, "trades", "effective_dates", "cost", "pnl", "rr", "lcb_daily_rr")
+
+
+@query("p09_discover_executed_folds", f"""WITH {FOLD_SQL}, {DAY_SQL.format(p="c", rk=RK, where="fold IS NOT NULL")}, own AS (SELECT * EXCLUDE (fold), least((row_number() OVER w - 1) * 4 // count(*) OVER (PARTITION BY {RK}), 3) AS fold FROM cd WINDOW w AS (PARTITION BY {RK} ORDER BY market_date)),
+  pf AS (SELECT {RK}, count(*) AS populated, count(*) FILTER (WHERE p > 0) AS positive FROM (SELECT {RK}, fold, round(sum(pnl), 6) AS p FROM own GROUP BY {RK}, fold) z GROUP BY {RK}),
+  tt AS (SELECT {RK}, complexity, sum(trades)::BIGINT AS trades, count(*) AS effective_dates, round(sum(pnl), 6) AS pnl, round(sum(pnl) / sum(cost), 6) AS rr, sum(wins)::BIGINT AS wins FROM own GROUP BY {RK}, complexity),
+  z AS (SELECT tt.*, populated, positive, round(rr - 0.01 * complexity, 6) AS prr, positive / populated >= 2 / 3 AND effective_dates >= 5 AND trades >= 10 AND pnl > 0 AS passes FROM tt JOIN pf USING ({RK})),
+  fa AS (SELECT *, row_number() OVER (PARTITION BY model_id, family, side, cap ORDER BY passes DESC, prr DESC, complexity) AS rn FROM z)
+  SELECT {SHOWN_SQL}, complexity::BIGINT AS complexity, trades, effective_dates, pnl, rr, wins, populated AS populated_folds, positive AS positive_folds, prr AS penalized_rr FROM fa WHERE rn = 1 AND passes ORDER BY prr DESC, complexity LIMIT 20""", "cap edge_min spread_max pnl rr penalized_rr", 4)
 def p09(spark, sf):
-    scored = discovery.score_rules(rule_rows(spark, sf), grid(spark), 4, 40, fold_by_execution=True)
-    return discovery.family_representatives(scored.withColumn("passes", F.col("trades") > 0))
+    rows = rule_rows(spark, sf)
+    rules = grid(rows)
+    chosen = discovery.nominations(discovery.score_compatible(rows, rules, 4, 40), 20)
+    return shown(chosen, rules, "trades", "effective_dates", "pnl", "rr", "wins", "populated_folds", "positive_folds", "penalized_rr")
 
 
-@query("f13_collapse_equivalent")
+@query("f13_collapse_equivalent", f"""WITH {RULE_SQL}, fp AS (SELECT {RK}, complexity, count(*) AS matched_rows, bit_xor(hash(id, liquidity)) AS a, bit_xor(md5_number_lower(id || ':' || liquidity)) AS b FROM hits GROUP BY ALL)
+  SELECT any_value(model_id) AS model_id, any_value(family) AS family, CAST(cap AS DOUBLE) AS cap, min(complexity)::BIGINT AS complexity, matched_rows FROM fp GROUP BY matched_rows, a, b, cap""", "cap")
 def f13(spark, sf):
-    rules = grid(spark)
-    hits = discovery.match_rules(rule_rows(spark, sf), rules).select("rule_id", F.col("mapping_id").alias("row_id"))
-    return discovery.collapse_equivalent(hits, rules, ["entry_max"]).select("rule_id", "complexity", "matched_rows")
+    rows = rule_rows(spark, sf)
+    kept = discovery.collapse_equivalent(rows, grid(rows), ["entry_max"])
+    return kept.select("model_id", F.col("market_family").alias("family"), F.col("entry_max").alias("cap"), F.col("complexity").cast("long").alias("complexity"), "matched_rows")
 
 
 # ---- baskets ----
