@@ -53,6 +53,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_table(spark: SparkSession) -> str:
+    """A path for a table in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write a derived table once into the shared checkpoint folder and read it back.
 
@@ -60,6 +65,6 @@ def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     and push filters down) and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = new_table(spark)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
