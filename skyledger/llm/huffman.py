@@ -3,7 +3,7 @@
 Ids are coded by a canonical prefix code of at most `LONGEST_CODE` bits, built from the counts of ids over all documents.
 A file row is one document (a block): its bits start on a byte, and the bit offset of every `STRIDE`-th id is kept, so a
 block is decoded alone, and all its strides side by side, by look-ups in one table of 2^LONGEST_CODE entries. Rows lie in
-files by ascending doc_id. The code lengths define the code.
+files by ascending doc_id. The code lengths define the code and are stored beside the rows, so files are read by their path alone.
 """
 
 from __future__ import annotations
@@ -13,14 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from skyledger.llm.tokens import BYTE_BPE, encoder, public_path
-from skyledger.session import materialize
+from skyledger.session import materialize, new_table
 
 LONGEST_CODE = 16
 STRIDE = 64  # ids between checkpoints
+SLICE_IDS = 1 << 20  # ids coded at once; a longer document is a slice of its own
+FILE_IDS = 1 << 22  # ids of a file, about: rows of one doc_id are not parted
+WIDEST = 1 << 16  # ids are held in 16 bits
 END_ID = 2
 
 
@@ -97,21 +101,29 @@ def decoding_table(lengths: np.ndarray, longest: int = LONGEST_CODE) -> np.ndarr
     return out
 
 
-def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, bit offset of each id) of ids coded in a row; the last byte is filled with zero bits."""
+def encode_blocks(blocks: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+    """(bytes, bit offset of every STRIDE-th id) of each block of ids; blocks begin on bytes and end in zero bits."""
+    sizes = np.array([len(b) for b in blocks])
+    ids = np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
     bits = lengths[ids].astype(np.int64)
-    ends = np.cumsum(bits)
-    starts = ends - bits
-    word = starts >> 5
-    # each code lies in a pair of 32-bit words; codes that start in one word are added up without overlap
-    shifted = codes[ids].astype(np.uint64) << (64 - (starts & 31) - bits).astype(np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    pairs = np.add.reduceat(shifted, first)
-    out = np.zeros(int(ends[-1] + 31 >> 5) + 2, np.uint32)
-    at = word[first]
-    out[at] += (pairs >> np.uint64(32)).astype(np.uint32)
-    out[at + 1] += (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return out.astype(">u4").view(np.uint8)[: int(ends[-1] + 7 >> 3)], starts
+    ends = np.concatenate([[0], np.cumsum(bits)])
+    own_bits = np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
+    byte_at = np.concatenate([[0], np.cumsum(own_bits + 7 >> 3)])
+    begin_bits = np.cumsum(own_bits) - own_bits  # of blocks, if they were laid without gaps
+    starts = ends[:-1] + np.repeat(byte_at[:-1] * 8 - begin_bits, sizes)
+    out = np.zeros(int(byte_at[-1] * 8 + 31 >> 5) + 2, np.uint32)
+    if len(ids):
+        word = starts >> 5
+        # each code lies in a pair of 32-bit words; codes that start in one word are added up without overlap
+        shifted = codes[ids].astype(np.uint64) << (64 - (starts & 31) - bits).astype(np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        pairs = np.add.reduceat(shifted, first)
+        at = word[first]
+        out[at] += (pairs >> np.uint64(32)).astype(np.uint32)
+        out[at + 1] += (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    data = out.astype(">u4").tobytes()
+    id_at = np.concatenate([[0], np.cumsum(sizes)])
+    return [(data[byte_at[k] : byte_at[k + 1]], starts[id_at[k] : id_at[k + 1] : STRIDE] - 8 * byte_at[k]) for k in range(len(blocks))]
 
 
 def decode_blocks(payloads: list[bytes], checkpoints: list[np.ndarray], counts: list[int], table: np.ndarray, longest: int = LONGEST_CODE) -> list[np.ndarray]:
@@ -150,6 +162,8 @@ def token_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = [np.frombuffer(data + end, "<u4") for data in words.encode([t or "" for t in part.column(1).to_pylist()])]
+                if max(int(r.max()) for r in rows) >= WIDEST:
+                    raise ValueError(f"ids of {path} do not fit 16 bits")
                 ids = pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in rows], pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
 
@@ -173,34 +187,65 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def write_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, longest: int = LONGEST_CODE) -> tuple[DataFrame, np.ndarray]:
-    """(stored rows, code lengths). Rows (row, doc_id, n_ids, payload, checkpoints) lie by ascending doc_id; `row` numbers
-    them in this order, with gaps between files.
+def write_files(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, longest: int = LONGEST_CODE) -> str:
+    """Writes `blocks` (row, doc_id, n_ids, payload, checkpoints) and `code` (id, bits) below a folder, and returns the folder; the
+    default is one in the shared checkpoint folder. Blocks lie by ascending doc_id; `row` numbers them in this order, with gaps
+    between files.
 
-    Texts are encoded once into a stored table; global counts come from that; blocks are coded before they are sorted, so
-    only coded bits move. Rows that repeat an id follow each other in the order of their bits.
+    Texts are encoded once into a stored table; global counts and the bounds of files come from that; blocks are coded once, before
+    they are sorted, so only coded bits move. Rows that repeat an id follow each other in the order of their bits.
     """
+    path = path or new_table(docs.sparkSession)
     ids = materialize(token_table(docs, tokenizer, end_id), compression="zstd")
-    lengths = code_lengths(id_counts(ids), longest)
+    counts = id_counts(ids)
+    lengths = code_lengths(counts, longest)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical_codes(lengths)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                n_ids, payload, marks = [], [], []
-                for data in part.column(1).to_pylist():
-                    own = np.frombuffer(data, "<u2")
-                    stored, begins = encode_bits(own, codes, lengths)
-                    n_ids.append(len(own))
-                    payload.append(stored.tobytes())
-                    marks.append(begins[::STRIDE].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_ids, pa.int64()), pa.array(payload, pa.binary()), pa.array(marks, pa.binary())], ["doc_id", "n_ids", "payload", "checkpoints"])
-
-    coded = ids.select("doc_id", "ids").mapInArrow(code, f"doc_id {kind}, n_ids long, payload binary, checkpoints binary").withColumn("digest", F.xxhash64("payload"))
-    ranged = coded.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").drop("digest")
-    return materialize(ranged.withColumn("row", F.monotonically_increasing_id()), compression="uncompressed"), lengths
+            sizes = np.cumsum(batch.column(2).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                before = int(sizes[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(sizes, before + SLICE_IDS, "right")))
+                part = batch.slice(at, end - at)
+                coded = encode_blocks([np.frombuffer(data, "<u2") for data in part.column(1).to_pylist()], codes, lengths)
+                marks = [m.astype("<u4").tobytes() for _, m in coded]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([b for b, _ in coded], pa.binary()), pa.array(marks, pa.binary())], ["doc_id", "n_ids", "payload", "checkpoints"])
+                at = end
+
+    coded = ids.select("doc_id", "ids", "n_tokens").mapInArrow(code, f"doc_id {kind}, n_ids long, payload binary, checkpoints binary").withColumn("digest", F.xxhash64("payload"))
+    files = max(1, -(-int(counts.sum()) // FILE_IDS))
+    numeric = isinstance(docs.schema["doc_id"].dataType, NumericType)
+    bounds = file_bounds(ids, files) if numeric else []
+    file = sum((F.coalesce(F.col("doc_id") > b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
+    if len(bounds) > 100:  # a look-up of the bound below in place of as many comparisons
+        file = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: F.col("doc_id") > b)), F.lit(0))
+    dealt = coded.repartitionById(len(bounds) + 1, file) if numeric else coded.repartitionByRange(files, "doc_id")
+    ranged = dealt.sortWithinPartitions("doc_id", "digest").drop("digest")
+    ranged.withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{path}/blocks", compression="uncompressed")
+    used = np.flatnonzero(lengths)
+    code_rows = docs.sparkSession.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, bits int")
+    code_rows.coalesce(1).write.parquet(f"{path}/code")
+    return path
+
+
+def file_bounds(ids: DataFrame, files: int) -> list:
+    """Ascending ids of documents that part the table into about so many files; null ids come first."""
+    if files == 1:
+        return []
+    shares = [k / files for k in range(1, files)]
+    cut = ids.agg(F.percentile_approx("doc_id", shares, F.lit(100 * files)).alias("at")).first().at
+    return sorted(set(cut or []))
+
+
+def open_files(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """(blocks, code lengths) of a folder that `write_files` wrote."""
+    lengths = np.zeros(WIDEST, np.uint8)
+    for r in spark.read.parquet(f"{path}/code").collect():  # as many rows as ids are in use
+        lengths[r.id] = r.bits
+    return spark.read.parquet(f"{path}/blocks"), lengths
 
 
 def read_files(stored: DataFrame, lengths: np.ndarray, longest: int = LONGEST_CODE) -> DataFrame:
@@ -219,17 +264,17 @@ def read_files(stored: DataFrame, lengths: np.ndarray, longest: int = LONGEST_CO
     return stored.select("row", "doc_id", "n_ids", "payload", "checkpoints").mapInArrow(decode, f"row long, doc_id {kind}, n_ids long, ids binary")
 
 
-def starts(stored: DataFrame) -> DataFrame:
-    """(row, start): ids before each stored row. Sums run inside a file, and over the files, of which there is a row each."""
+def with_starts(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """`rows` and `start`: ids before each row. Sums run inside a file, and over the files, of which there is a row each."""
     part = F.shiftright("row", 33)  # the high bits of a row's number are its file's
-    rows = stored.select("row", "n_ids", part.alias("part"))
     earlier = F.sum("n_ids").over(Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    files = rows.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before.alias("before"))
-    return rows.withColumn("earlier", earlier).join(files, "part").select("row", (F.coalesce("before", F.lit(0)) + F.coalesce("earlier", F.lit(0))).alias("start"))
+    files = stored.groupBy(part.alias("part")).agg(F.sum("n_ids").alias("n_ids")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.withColumn("part", part).withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(files, "part").withColumn("start", F.col("before") + F.col("earlier")).drop("part", "earlier", "before")
 
 
-def digest(stored: DataFrame, lengths: np.ndarray) -> DataFrame:
+def digest(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each stored document, from its decoded ids."""
-    decoded = read_files(stored, lengths).select("row", "doc_id", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return decoded.join(starts(stored), "row").select("doc_id", "start", "n_tokens", "ids_crc32")
+    stored, lengths = open_files(spark, path)
+    decoded = read_files(stored, lengths).select("row", "doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"))
+    return with_starts(decoded, stored).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")

@@ -83,7 +83,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_files")
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids as they are read back from the Huffman-coded files, in the order of doc_id."""
-    return huffman.digest(*huffman.write_files(table(spark, sf_dir, "documents")))
+    return huffman.digest(spark, huffman.write_files(table(spark, sf_dir, "documents")))
 
 
 @query(

@@ -285,17 +285,44 @@ def test_toxic_spans_point_into_the_text():
 def test_token_files_give_back_every_id(odd_docs, no_docs):
     whole = tokens.WordEncoder(tokens.public_path(tokens.BYTE_BPE), True)._whole
     rows = [(d, whole([t or ""])[0] + (2).to_bytes(4, "little")) for d, t in texts_of(odd_docs)]
-    stored, lengths = huffman.write_files(odd_docs)
-    got = huffman.read_files(stored, lengths).orderBy("row").collect()
+    path = huffman.write_files(odd_docs)
+    got = huffman.read_files(*huffman.open_files(odd_docs.sparkSession.newSession(), path)).orderBy("row").collect()  # from the files alone
     assert collections.Counter((r.doc_id, bytes(r.ids)) for r in got) == collections.Counter(rows)
     ids = [r.doc_id for r in got]
     assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
-    digest = sorted(tuple(r) for r in huffman.digest(stored, lengths).select("start", "n_tokens", "ids_crc32").collect())
+    digest = sorted(tuple(r) for r in huffman.digest(odd_docs.sparkSession, path).select("start", "n_tokens", "ids_crc32").collect())
     at = 0
     for (start, n, crc), r in zip(digest, got, strict=True):
         assert (start, n, crc) == (at, len(r.ids) // 4, zlib.crc32(bytes(r.ids)))
         at += n
-    assert huffman.digest(*huffman.write_files(no_docs)).count() == 0
+    assert huffman.digest(no_docs.sparkSession, huffman.write_files(no_docs)).count() == 0
+
+
+def test_token_files_of_many_files_and_of_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(huffman, "FILE_IDS", 2000)
+    monkeypatch.setattr(huffman, "SLICE_IDS", 700)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = huffman.write_files(docs)
+    assert spark.read.parquet(f"{path}/blocks").select("row").selectExpr("row >> 33 AS f").distinct().count() > 5
+    whole = tokens.WordEncoder(tokens.public_path(tokens.BYTE_BPE), True)._whole
+    at = 0
+    found = {r.doc_id: r for r in huffman.digest(spark, path).collect()}
+    for doc, text in sorted(texts_of(docs)):
+        ids = whole([text or ""])[0] + (2).to_bytes(4, "little")
+        assert (found[doc].start, found[doc].n_tokens, found[doc].ids_crc32) == (at, len(ids) // 4, zlib.crc32(ids))
+        at += len(ids) // 4
+    named = huffman.write_files(docs.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text").limit(20))
+    assert huffman.digest(spark, named).count() == 20
+
+
+def test_ids_beyond_sixteen_bits_are_refused(odd_docs, monkeypatch):
+    class Wide:
+        def encode(self, texts):
+            return [(70_000).to_bytes(4, "little") for _ in texts]
+
+    monkeypatch.setattr(huffman, "encoder", lambda *_, **__: Wide())
+    with pytest.raises(Exception, match="16 bits"):
+        huffman.token_table(odd_docs).count()
 
 
 @pytest.mark.parametrize("longest", [9, 12, 16])
@@ -305,9 +332,10 @@ def test_code_lengths(longest):
     assert lengths.max() <= longest and np.isclose((0.5 ** lengths[lengths > 0].astype(float)).sum(), 1.0)
     assert ((lengths > 0) == (counts > 0)).all()
     ids = np.random.default_rng(2).choice(np.flatnonzero(counts), 1000)
-    stored, starts = huffman.encode_bits(ids, huffman.canonical_codes(lengths), lengths)
-    back = huffman.decode_blocks([stored.tobytes()], [starts[:: huffman.STRIDE].astype("<u4")], [1000], huffman.decoding_table(lengths, longest), longest)
-    assert (back[0] == ids).all()
+    parts = [ids[:1], ids[1:130], ids[130:131], ids[131:]]
+    blocks = huffman.encode_blocks(parts, huffman.canonical_codes(lengths), lengths)
+    back = huffman.decode_blocks([b for b, _ in blocks], [m.astype("<u4") for _, m in blocks], [len(p) for p in parts], huffman.decoding_table(lengths, longest), longest)
+    assert all((b == p).all() for b, p in zip(back, parts, strict=True))
     assert huffman.code_lengths(np.array([0, 5, 0])).tolist() == [0, 1, 0]
 
 
