@@ -1,17 +1,16 @@
 """Line dedup: later documents lose the line blocks that a patience alignment finds in earlier ones.
 
-Every line is hashed. A line that several documents hold belongs to the earliest of them (its owner: the smallest doc_id,
-then the content key); the others are aligned with that owner. So each document meets as many others as it has repeated
-lines at most, and no pair of two later copies is formed: what they share, they share with an earlier owner too.
-
-Alignment of a document with an owner is a patience diff: lines that stand once in either are anchors, rarest first where
-anchors cross (the longest rising run of owner positions, weighted by rarity), blocks grow from anchors over equal
-neighbouring lines, and blocks of `least_words` words or more are deleted. Document frequency of a line is counted over
-all documents; it never excludes a line.
-
-An alignment with the owners of single lines can part a passage that one earlier document holds whole, and drops anchors
-that cross. So every run of lines that just reaches `least_words`, from each line forwards and backwards, is looked up too:
-any block of `least_words` that stands line by line in an earlier document, wherever and how often, is a union of such runs.
+Every line is hashed. Partners are found through what is rare: from each line the shortest run of lines that reaches
+`least_words` words, forwards and backwards. A run that several documents hold belongs to the earliest of them (its owner: the
+smallest doc_id, then the content key), and each later holder is aligned with that owner. A document thus has as many partners
+as its runs have owners, and no two later copies are paired: what they share, they share with an earlier owner too.
+
+Alignment of a document with an owner is a patience diff over the runs they share: places in the document rise, and a longest
+rising chain of places in the owner is kept in order; runs of one diagonal that touch grow into one block. What the chain leaves
+(blocks that moved, or that the document repeats) is aligned for itself. Every block is thus a stretch of consecutive lines that
+stands line by line in the owner and has `least_words` words or more, and every such stretch of any earlier document is covered
+by blocks. Blocks are deleted from the later document.
+
 Blank lines are not counted in a block; those inside one go with it.
 """
 
@@ -67,42 +66,32 @@ def rising(positions: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common_blocks(here: list[int], hashes: list[int], there: list[int], once_there: list[bool], holders: list[int]) -> list[list[int]]:
-    """Blocks of row indexes of a document's lines that an owner holds in the same order.
+def align(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Blocks (first line, last line, first line in the owner) from the runs that a document shares with one owner, in the same form.
 
-    `here` are line numbers in the document (sorted), `there` the owner's first line number of the same line, `holders`
-    the documents that hold it. Anchors stand once on both sides; where none does, the rarest lines serve.
+    First the blocks that lie in the same order in both, then those that moved or repeat.
     """
-    seen: dict[int, int] = defaultdict(int)
-    for h in hashes:
-        seen[h] += 1
-    anchors = [i for i, h in enumerate(hashes) if seen[h] == 1 and once_there[i]]
-    if not anchors:
-        rarest = min(holders)
-        first: dict[int, int] = {}
-        for i, h in enumerate(hashes):
-            if holders[i] == rarest:
-                first.setdefault(h, i)
-        anchors = sorted(first.values())
-    kept = [anchors[i] for i in rising([there[a] for a in anchors])]
-    aligned: set[int] = set(kept)
-    for a in kept:  # grow over neighbours that are equal on both sides
-        for step in (1, -1):
-            i = a + step
-            while 0 <= i < len(here) and i not in aligned and here[i] == here[i - step] + step and there[i] - there[i - step] in (step, 0):
-                aligned.add(i)
-                i += step
-    # a repeated line shows the owner's first place only; inside or beside a block it continues it
-    for i in range(1, len(here)):
-        if i not in aligned and i - 1 in aligned and here[i] == here[i - 1] + 1 and not once_there[i]:
-            aligned.add(i)
-    blocks: list[list[int]] = []
-    for i in sorted(aligned):
-        if blocks and here[i] == here[blocks[-1][-1]] + 1:
-            blocks[-1].append(i)
+    longest: dict[tuple[int, int], int] = {}
+    for first, last, there in runs:
+        longest[first, there] = max(last, longest.get((first, there), last))
+    anchors = sorted((first, last, there) for (first, there), last in longest.items())
+    chain = set(rising([there for _, _, there in anchors]))
+    in_order = [a for k, a in enumerate(anchors) if k in chain]
+    blocks = grown(in_order)
+    covered = {line for first, last, _ in blocks for line in range(first, last + 1)}
+    left = [a for k, a in enumerate(anchors) if k not in chain and not covered.issuperset(range(a[0], a[1] + 1))]
+    return sorted(blocks + grown(left))
+
+
+def grown(anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Anchors of one diagonal that touch or overlap, as one block each."""
+    out: list[tuple[int, int, int]] = []
+    for first, last, there in sorted(anchors, key=lambda a: (a[0] - a[2], a[0])):
+        if out and out[-1][0] - out[-1][2] == first - there and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(last, out[-1][1]), out[-1][2])
         else:
-            blocks.append([i])
-    return blocks
+            out.append((first, last, there))
+    return out
 
 
 def least_runs(line_no: list[int], words: list[int], least_words: int) -> list[tuple[int, int]]:
@@ -144,10 +133,10 @@ def by_group(batches: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch
         yield done(rest)
 
 
-def whole_runs(held: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, text_key, cut) of runs of `least_words` or more that an earlier document holds line by line.
+def runs_of(held: DataFrame, least_words: int) -> DataFrame:
+    """Stored (doc_id, text_key, run, more, first, last): the least runs of each document, named by 128 bits of their lines' hashes.
 
-    `held` are the lines that several documents hold, with those of their owners.
+    `held` are the lines that several documents hold.
     """
     kind = held.schema["doc_id"].dataType.simpleString()
 
@@ -158,7 +147,7 @@ def whole_runs(held: DataFrame, least_words: int) -> DataFrame:
             c = {n: table.column(n).to_pylist() for n in ("doc_id", "text_key", "line_no", "words")}
             hashes = table.column("hash").to_numpy()
             ids = list(zip(c["doc_id"], c["text_key"], strict=True))
-            rows, keys, firsts, lasts = [], [], [], []
+            rows, names, firsts, lasts = [], [], [], []
             at = 0
             while at < len(ids):
                 end = at + 1
@@ -166,63 +155,65 @@ def whole_runs(held: DataFrame, least_words: int) -> DataFrame:
                     end += 1
                 for first, last in least_runs(c["line_no"][at:end], c["words"][at:end], least_words):
                     rows.append(at)
-                    keys.append(xxhash.xxh64_intdigest(hashes[at + first : at + last + 1].tobytes()))
+                    names.append(xxhash.xxh3_128_digest(hashes[at + first : at + last + 1].tobytes()))
                     firsts.append(c["line_no"][at + first])
                     lasts.append(c["line_no"][at + last])
                 at = end
             taken = table.select(["doc_id", "text_key"]).take(pa.array(rows, pa.int64())).combine_chunks()
             columns = [pa.array(taken.column(n).to_pylist(), table.schema.field(n).type) for n in ("doc_id", "text_key")]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], ["doc_id", "text_key", "run", "first", "last"])
+            halves = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([*columns, pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], ["doc_id", "text_key", "run", "more", "first", "last"])
 
         return by_group(batches, found)
 
     placed = held.select(F.xxhash64("doc_id", "text_key").alias("group"), "doc_id", "text_key", "line_no", "hash", "words")
-    found = materialize(placed.repartition("group").sortWithinPartitions("group", "doc_id", "text_key", "line_no").mapInArrow(runs, f"doc_id {kind}, text_key long, run long, first int, last int"))
-    owners = found.groupBy("run").agg(F.min(F.struct("doc_id", "text_key")).alias("o"), F.count("*").alias("times")).filter("times > 1")
-    owners = materialize(owners.select("run", F.col("o.doc_id").alias("owner"), F.col("o.text_key").alias("owner_key")))
-    return found.join(owners, "run").filter("doc_id <> owner or text_key <> owner_key").select("doc_id", "text_key", F.sequence("first", "last").alias("cut"))
+    return materialize(placed.repartition("group").sortWithinPartitions("group", "doc_id", "text_key", "line_no").mapInArrow(runs, f"doc_id {kind}, text_key long, run long, more long, first int, last int"))
 
 
-def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text_key, cut): line numbers (blank lines not counted) that go from each later document; only documents that
-    lose lines.
+BLOCK = "struct<first:int,last:int,owner:{kind},owner_key:long,there:int>"
+
+
+def aligned_blocks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, text_key, blocks, cut): for each document that shares blocks with earlier ones, the blocks (first and last line,
+    owner, first line there) and the lines in them, numbered without the blank ones.
 
     Rows without id or text lose nothing and own nothing. Rows alike in id and text are one document and stay as they are.
     """
     lines = materialize(lines_of(docs).distinct())
-    # a line's owner, and how many documents hold it: one row per document and line first, since a line may repeat in one
-    held = lines.groupBy("hash", "doc_id", "text_key").agg(F.min("line_no").alias("line_no"), F.count("*").alias("times"))
-    owners = held.groupBy("hash").agg(F.min(F.struct("doc_id", "text_key", "line_no", "times")).alias("o"), F.count("*").alias("holders")).filter("holders > 1")
-    owners = materialize(owners.select("hash", F.col("o.doc_id").alias("owner"), F.col("o.text_key").alias("owner_key"), F.col("o.line_no").alias("there"), (F.col("o.times") == 1).alias("once_there"), "holders"))
-    several = materialize(lines.join(owners, "hash"))
-    shared = several.filter("doc_id <> owner or text_key <> owner_key")
+    # a line counts once for a document, since it may repeat in one
+    several = lines.select("hash", "doc_id", "text_key").distinct().groupBy("hash").agg(F.count("*").alias("holders")).filter("holders > 1").select("hash")
+    runs = runs_of(lines.join(several, "hash", "left_semi"), least_words)
+    holds = runs.groupBy("run", "more").agg(F.min(F.struct("doc_id", "text_key", "first")).alias("o"), F.count("*").alias("times")).filter("times > 1")
+    owners = materialize(holds.select("run", "more", F.col("o.doc_id").alias("owner"), F.col("o.text_key").alias("owner_key"), F.col("o.first").alias("there")))
+    shared = runs.join(owners, ["run", "more"]).filter("doc_id <> owner or text_key <> owner_key")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    group = F.xxhash64("doc_id", "text_key")
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cut(table: pa.Table) -> pa.RecordBatch:
+    def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def aligned(table: pa.Table) -> pa.RecordBatch:
             c = {n: table.column(n).to_pylist() for n in table.column_names}
-            by_document: dict[tuple, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
-            for i in range(table.num_rows):
-                by_document[c["doc_id"][i], c["text_key"][i]][c["owner"][i], c["owner_key"][i]].append(i)
-            out: list[tuple] = []
-            for (doc, key), by_owner in by_document.items():
-                gone: set[int] = set()
-                for rows in by_owner.values():
-                    at = [c["line_no"][i] for i in rows]
-                    for block in common_blocks(at, [c["hash"][i] for i in rows], [c["there"][i] for i in rows], [c["once_there"][i] for i in rows], [c["holders"][i] for i in rows]):
-                        if sum(c["words"][rows[k]] for k in block) >= least_words:
-                            gone.update(at[k] for k in block)
-                if gone:
-                    out.append((doc, key, sorted(gone)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], table.schema.field("doc_id").type), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int32()))], ["doc_id", "text_key", "cut"])
-
-        return by_group(batches, cut)
-
-    placed = shared.select(group.alias("group"), "doc_id", "text_key", "line_no", "hash", "words", "owner", "owner_key", "there", "once_there", "holders")
-    aligned = placed.repartition("group").sortWithinPartitions("group", "doc_id", "text_key", "line_no").mapInArrow(align, f"doc_id {kind}, text_key long, cut array<int>")
-    cuts = aligned.unionByName(whole_runs(several, least_words))
-    return cuts.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
+            pairs: dict[tuple, dict[tuple, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
+            for doc, key, owner, owner_key, *run in zip(*(c[n] for n in ("doc_id", "text_key", "owner", "owner_key", "first", "last", "there")), strict=True):
+                pairs[doc, key][owner, owner_key].append(tuple(run))
+            found, cuts = [], []
+            for partners in pairs.values():
+                own = sorted((first, last, *owner, there) for owner, shared_runs in partners.items() for first, last, there in align(shared_runs))
+                found.append([dict(zip(("first", "last", "owner", "owner_key", "there"), b, strict=True)) for b in own])
+                cuts.append(sorted({line for b in own for line in range(b[0], b[1] + 1)}))
+            id_type = table.schema.field("doc_id").type
+            block = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("owner", id_type), ("owner_key", pa.int64()), ("there", pa.int32())])
+            columns = [pa.array([d for d, _ in pairs], id_type), pa.array([k for _, k in pairs], pa.int64()), pa.array(found, pa.list_(block)), pa.array(cuts, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "blocks", "cut"])
+
+        return by_group(batches, aligned)
+
+    placed = shared.select(F.xxhash64("doc_id", "text_key").alias("group"), "doc_id", "text_key", "first", "last", "owner", "owner_key", "there")
+    return placed.repartition("group").sortWithinPartitions("group", "doc_id", "text_key").mapInArrow(by_document, f"doc_id {kind}, text_key long, blocks array<{BLOCK.format(kind=kind)}>, cut array<int>")
+
+
+def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, text_key, cut): line numbers (blank lines not counted) that go from each later document; only documents that
+    lose lines."""
+    return aligned_blocks(docs, least_words).select("doc_id", "text_key", "cut")
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

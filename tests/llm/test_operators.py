@@ -210,8 +210,9 @@ def test_line_blocks_as_brute_force(spark, given):
 def test_patience_blocks():
     assert linededup.rising([3, 1, 4, 2, 5]) in ([0, 2, 4], [1, 2, 4], [1, 3, 4])
     # lines 10..12 stand in the owner in order, 20 crosses them
-    blocks = linededup.common_blocks([0, 1, 2, 5], [10, 11, 12, 20], [7, 8, 9, 1], [True] * 4, [2] * 4)
-    assert blocks == [[0, 1, 2]]
+    assert linededup.align([(0, 2, 7), (1, 3, 8), (5, 6, 1), (9, 9, 20)]) == [(0, 3, 7), (5, 6, 1), (9, 9, 20)]  # the second block moved
+    assert linededup.align([(0, 0, 4), (1, 1, 4), (2, 2, 4)]) == [(0, 0, 4), (1, 1, 4), (2, 2, 4)]  # a repeated line
+    assert linededup.align([(k, k, 0) for k in range(20_000)])[-1] == (19_999, 19_999, 0)
 
 
 def test_languages_on_the_held_out_fold(spark):

@@ -97,3 +97,47 @@ def test_least_runs_cover_every_longer_block():
             for b in range(a, 12):
                 inside = {i for x, y in runs if a <= x and y <= b for i in range(x, y + 1)}
                 assert inside == (set(range(a, b + 1)) if sum(words[a : b + 1]) >= 30 else set())
+
+
+def plain_left(texts, least=30):
+    """What is left of each text when every stretch of lines that an earlier one holds goes, by comparing all stretches."""
+    rows = [[x.strip() for x in t.split("\n") if x.strip()] for t in texts]
+    out = []
+    for k, own in enumerate(rows):
+        gone = set()
+        for other in rows[:k]:
+            stretches = {tuple(other[a:b]) for a in range(len(other)) for b in range(a + 1, len(other) + 1)}
+            for a in range(len(own)):
+                for b in range(a + 1, len(own) + 1):
+                    if tuple(own[a:b]) in stretches and sum(len(x.split()) for x in own[a:b]) >= least:
+                        gone.update(range(a, b))
+        out.append([x for i, x in enumerate(own) if i not in gone])
+    return out
+
+
+def test_blocks_of_random_documents_as_brute_force(spark):
+    draw = random.Random(8)
+    lines = [line(f"l{k}_", n) for k, n in enumerate((3, 5, 8, 8, 12, 15, 15, 20, 31, 40))]
+    texts = []
+    for _ in range(60):
+        own = [draw.choice(lines) for _ in range(draw.randrange(1, 9))]
+        if texts and draw.random() < 0.5:
+            other = draw.choice(texts).split("\n")
+            a = draw.randrange(len(other))
+            own[draw.randrange(len(own)) :] = other[a : a + draw.randrange(1, 6)]
+        texts.append("\n".join(own))
+    texts = list(dict.fromkeys(texts))
+    assert [[x for x in t.split("\n") if x] for t in left_of(spark, *texts)] == plain_left(texts)
+
+
+def test_neighbours_that_no_earlier_document_has_stay(spark):
+    p, q, x, y = line("p", 20), line("q", 15), line("x", 5), line("y", 5)
+    later = "\n".join([p, q, line("own", 7)])
+    assert left_of(spark, "\n".join([p, x, q, y, q]), later)[1] == later
+
+
+def test_blocks_name_their_places(spark):
+    p, q = line("p", 31), line("q", 15)
+    rows = spark.createDataFrame([(1, f"{q}\n{p}\n{q}"), (2, f"own\n{p}\n{q}\n{p}")], "doc_id long, text string")
+    (got,) = linededup.aligned_blocks(rows).collect()
+    assert (got.doc_id, got.cut, [(b.first, b.last, b.owner, b.there) for b in got.blocks]) == (2, [1, 2, 3], [(1, 2, 1, 1), (2, 3, 1, 0)])
