@@ -25,35 +25,23 @@ def _dot(params: Column, xs: list[Column]) -> Column:
 
 
 def fit_logistic(examples: DataFrame, groups: list[str], xs: list[str], y: str, w: str, l2: float = 1.0, iterations: int = 100,
-                 tolerance: float = 1e-9, train_date: str | None = None, eval_dates: DataFrame | None = None) -> DataFrame:
+                 tolerance: float = 1e-9, train_date: str | None = None, eval_dates: DataFrame | None = None, resolved_at: str | None = None) -> DataFrame:
     """Weighted logistic fits with a free intercept: `groups`, `coefficients` (intercept first), `status`, `rows`, `weight`.
 
-    Equal examples are merged first. With `train_date` and `eval_dates(eval_date)` each evaluation date is its own fit over all
-    earlier rows (expanding window): the evaluation dates are as many as the calendar, travel as one array, and are expanded
-    inside the aggregate's input, so the copies never leave their task.
+    With `train_date` and `eval_dates(eval_date)` each evaluation date is its own fit over the rows of earlier dates; with
+    `resolved_at` and `eval_dates(eval_date, first_at)` only over those whose label was known before the first decision of the
+    evaluation date. Examples that are alike, and known to the same evaluation dates, are merged into one weighted row before a
+    date is put beside them, and once more after: a Newton step reads one row per distinct example and date, never the examples.
     """
-    keep = [*groups, *([train_date] if train_date else [])]
-    merged = materialize(examples.groupBy(*keep, *xs, y).agg(F.sum(w).alias("_w"), F.count(F.lit(1)).alias("_n")))
     k = len(xs) + 1
     gcols = [*groups, *(["eval_date"] if train_date else [])]
-
-    def with_params(params: DataFrame) -> DataFrame:
-        if train_date is None:
-            return merged.join(params, groups)
-        packed = params.groupBy(*groups).agg(F.collect_list(F.struct("eval_date", "coefficients")).alias("_all"))
-        rows = merged.join(packed, groups) if groups else merged.join(F.broadcast(packed), F.lit(True))
-        rows = rows.withColumn("_f", F.explode(F.filter("_all", lambda f: f["eval_date"] > F.col(train_date)))).drop("_all")
-        return rows.withColumns({"eval_date": F.col("_f.eval_date"), "coefficients": F.col("_f.coefficients")})
-
-    zeros = F.array(*[F.lit(0.0)] * k)
-    base = merged.select(*groups).distinct() if groups else None
+    sums_of = [F.sum("_w").alias("_w"), F.sum("_n").alias("_n")]
+    single = examples.withColumns({"_w": F.col(w).cast("double"), "_n": F.lit(1).cast("long")})
     if train_date is None:
-        params = base.withColumn("coefficients", zeros)
-    elif groups:
-        params = base.join(eval_dates, F.lit(True)).withColumn("coefficients", zeros)
+        merged = materialize(single.groupBy(*groups, *xs, y).agg(*sums_of))
     else:
-        params = eval_dates.withColumn("coefficients", zeros)
-    params = materialize(params.select(*gcols, "coefficients"))
+        merged = materialize(_known_before(single, groups, xs, y, train_date, resolved_at, eval_dates, sums_of))
+    params = materialize(merged.select(*gcols).distinct().withColumn("coefficients", F.array(*[F.lit(0.0)] * k)))
     cols = [F.lit(1.0), *[F.col(x) for x in xs]]
     field_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in params.schema.fields if f.name in gcols)
     out_schema = ", ".join(p for p in (field_types, "coefficients array<double>, moved double, status string, rows long, weight double") if p)
@@ -84,7 +72,7 @@ def fit_logistic(examples: DataFrame, groups: list[str], xs: list[str], y: str,
     fits = None
     for _ in range(iterations):
         p = sigmoid(_dot(F.col("coefficients"), [F.col(x) for x in xs]))
-        rows = with_params(params).withColumns({"_e": F.col("_w") * (F.col(y) - p), "_v": F.col("_w") * p * (1 - p)})
+        rows = merged.join(params, gcols).withColumns({"_e": F.col("_w") * (F.col(y) - p), "_v": F.col("_w") * p * (1 - p)})
         aggs = [F.sum(F.col("_e") * c).alias(f"g{i}") for i, c in enumerate(cols)]
         aggs += [F.sum(F.col("_v") * cols[i] * cols[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
         sums = rows.groupBy(*gcols).agg(
@@ -99,18 +87,47 @@ def fit_logistic(examples: DataFrame, groups: list[str], xs: list[str], y: str,
     return fits.withColumn("status", settled).drop("moved")
 
 
+def _known_before(single: DataFrame, groups: list[str], xs: list[str], y: str, train_date: str, resolved_at: str | None, eval_dates: DataFrame, sums: list[Column]) -> DataFrame:
+    """(groups, eval_date, xs, y, _w, _n): the distinct examples that each evaluation date may learn from, by both clocks.
+
+    The calendar is one short array. An example's resolution counts only by its place among the calendar's first decisions, so
+    examples resolved between two of them are alike.
+    """
+    clock = "first_at" if resolved_at else "eval_date"
+    calendar = eval_dates.agg(F.array_sort(F.collect_list(F.struct("eval_date", F.col(clock).alias("first_at")))).alias("_all"))
+    rows = single.select(*groups, *xs, y, "_w", "_n", F.col(train_date).alias("_day"), *([F.col(resolved_at).alias("_known")] if resolved_at else []))
+    if resolved_at:
+        # the first decisions that do not come after the resolution have not seen the label
+        place = F.size(F.filter("_all", lambda f: f["first_at"] <= F.col("_known")))
+        placed = rows.select("_known").distinct().join(F.broadcast(calendar), F.lit(True)).select("_known", place.alias("_place"))
+        rows = rows.join(placed, ["_known"])
+        ranked = F.transform("_all", lambda f: F.struct(f["eval_date"].alias("eval_date"), F.size(F.filter("_all", lambda g: g["first_at"] <= f["first_at"])).alias("place")))
+        calendar = calendar.select(ranked.alias("_all"))
+    extra = ["_place"] if resolved_at else []
+    alike = rows.groupBy(*groups, "_day", *extra, *xs, y).agg(*sums)
+
+    def sees(f: Column) -> Column:
+        return (f["eval_date"] > F.col("_day")) & ((f["place"] > F.col("_place")) if resolved_at else F.lit(True))
+
+    spread = alike.join(F.broadcast(calendar), F.lit(True)).withColumn("eval_date", F.explode(F.transform(F.filter("_all", sees), lambda f: f["eval_date"]))).drop("_all")
+    return spread.groupBy(*groups, "eval_date", *xs, y).agg(*sums)
+
+
 def walk_forward_calibration(rows: DataFrame, date: str, p: str, y: str, w: str, market: str | None = None, min_rows: int = 30,
-                             l2: float = 1.0, eps: float = 1e-6) -> DataFrame:
+                             l2: float = 1.0, eps: float = 1e-6, decided_at: str | None = None, resolved_at: str | None = None) -> DataFrame:
     """Platt (and market-aware) probabilities of each row from fits on strictly earlier dates, with the named fallback.
 
-    Without enough earlier rows or with one class only the raw probability stands.
+    With both clocks a label teaches a date only if it was resolved before that date's first decision. Rows without a label are
+    calibrated and teach nothing. Without enough earlier rows or with one class only the raw probability stands.
     """
     xs = {"_x1": logit(F.col(p), eps)}
     if market is not None:
         xs["_x2"] = logit(F.col(market), eps)
     ready = rows.withColumns(xs)
-    dates = rows.select(F.col(date).alias("eval_date")).distinct()
-    fits = fit_logistic(ready.select(date, *xs, y, w), [], list(xs), y, w, l2, train_date=date, eval_dates=dates)
+    both = bool(decided_at and resolved_at)
+    dates = rows.groupBy(F.col(date).alias("eval_date")).agg(F.min(decided_at).alias("first_at")) if both else rows.select(F.col(date).alias("eval_date")).distinct()
+    known = ready.where(F.col(y).isNotNull())
+    fits = fit_logistic(known.select(date, *xs, y, w, *([resolved_at] if both else [])), [], list(xs), y, w, l2, train_date=date, eval_dates=dates, resolved_at=resolved_at if both else None)
     fits = fits.withColumnRenamed("eval_date", date).withColumnRenamed("rows", "train_rows").drop("weight")
     joined = ready.join(fits, [date], "left")
     usable = F.col("status").isin("FITTED", "NOT_CONVERGED") & (F.col("train_rows") >= min_rows)  # the last coefficients stand; the reason tells
@@ -148,7 +165,7 @@ def calibrated_replay(rows: DataFrame, date: str, p: str, ask: str, y: str, scop
     from skyledger.operators.metrics import ratio
 
     fitted = walk_forward_calibration(rows.withColumn("_one", F.lit(1.0)), date, p, y, "_one").withColumn("cal_edge", F.col("calibrated") - F.col(ask))
-    best = select.first_by_scope(fitted, scope, [F.col("cal_edge").desc_nulls_last(), *order])
+    best = select.first_by_scope(fitted, scope, [F.round("cal_edge", 9).desc_nulls_last(), *order])
     grid = best.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: F.col("cal_edge") >= e)))
     pnl = F.col(y) - F.col(ask)
     return grid.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.sum(pnl).alias("pnl"), ratio(F.sum(pnl), F.sum(ask)).alias("rr"),
@@ -164,6 +181,6 @@ def fit_clusters(clusters: DataFrame, date: str, mass: str, y: str, context: lis
     dates = clusters.select(F.col(date).alias("eval_date")).distinct()
     fits = fit_logistic(ready.select(date, *xs, y, "_one"), [], xs, y, "_one", 1.0, train_date=date, eval_dates=dates).withColumnRenamed("eval_date", date)
     joined = ready.join(fits.select(date, "coefficients", "status", F.col("rows").alias("_rows")), [date], "left")
-    ok = (F.col("status") == "FITTED") & (F.col("_rows") >= min_rows)
+    ok = F.col("status").isin("FITTED", "NOT_CONVERGED") & (F.col("_rows") >= min_rows)
     value = sigmoid(_dot(F.col("coefficients"), [F.col(x) for x in xs]))
     return joined.withColumn("context_calibrated", F.when(ok, value).otherwise(F.col(mass))).drop(*xs, "coefficients", "status", "_rows", "_one")

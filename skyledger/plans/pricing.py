@@ -47,7 +47,7 @@ def uncertainty_reserve(daily: DataFrame, keys: list[str], date: str, residual:
 
     With the two clocks a date counts only once its labels were all resolved (`resolved_at`) before the first decision of the
     date at hand (`decided_at`). The input has one row per key and date, so a key's rows are as many as the calendar's dates;
-    they pass once, in order, through a sorted list.
+    they pass once, in order, through a sorted list. A date without a residual gets a reserve and counts for none.
     """
     clocks = [decided_at, resolved_at] if decided_at and resolved_at else []
     schema = daily.select(*keys, date).schema.add("prior_dates", "long").add("reserve", "double")
@@ -64,7 +64,7 @@ def uncertainty_reserve(daily: DataFrame, keys: list[str], date: str, residual:
             n = len(counted)
             priors.append(n)
             reserves.append(max(minimum, counted[max(0, math.ceil(quantile * n) - 1)] if n else 0.0))
-            if getattr(row, residual) is not None:
+            if not pd.isna(getattr(row, residual)):
                 heapq.heappush(waiting, (getattr(row, resolved_at) if clocks else now, max(float(getattr(row, residual)), 0.0)))
         return rows[[*keys, date]].assign(prior_dates=priors, reserve=reserves)
 

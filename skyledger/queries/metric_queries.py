@@ -181,13 +181,14 @@ def u04(spark, sf):
     return dedupe_training(df, ["decision_key", "market_date"], "role", ORDER).groupBy("model_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w10_uncertainty_reserve", f"""WITH {RES_SQL}, d AS (SELECT model_name, market_date, avg(fair - correct) AS r, min(ts) AS first_at, max(ts) + INTERVAL 1 DAY AS resolved_at FROM v_res GROUP BY ALL),
-  x AS (SELECT a.model_name, a.market_date, list(greatest(b.r, 0) ORDER BY greatest(b.r, 0)) AS s FROM d a JOIN d b ON b.model_name = a.model_name AND b.market_date < a.market_date AND b.resolved_at < a.first_at GROUP BY ALL)
+@query("w10_uncertainty_reserve", f"""WITH {RES_SQL}, d AS (SELECT model_name, market_date, avg(CASE WHEN minute_of_day % 3 > 0 THEN fair - correct END) AS r, min(ts) AS first_at, max(ts) + INTERVAL 1 DAY AS resolved_at FROM v_signal GROUP BY ALL),
+  x AS (SELECT a.model_name, a.market_date, list(greatest(b.r, 0) ORDER BY greatest(b.r, 0)) AS s FROM d a JOIN d b ON b.r IS NOT NULL AND b.model_name = a.model_name AND b.market_date < a.market_date AND b.resolved_at < a.first_at GROUP BY ALL)
   SELECT d.model_name, d.market_date, coalesce(len(s), 0)::BIGINT AS prior_dates, greatest(0.02, coalesce(s[CAST(greatest(0, ceil(0.8 * len(s)) - 1) AS INTEGER) + 1], 0)) AS reserve FROM d LEFT JOIN x ON x.model_name = d.model_name AND x.market_date = d.market_date""", "reserve", dates="market_date")
 def w10(spark, sf):
-    """Residual quantile of dates resolved (a day after their last decision) before the first decision of the date."""
+    """Residual quantile of dates resolved (a day after their last decision) before the first decision of the date; dates whose
+    usable decisions are all unresolved have no residual."""
     from skyledger.plans.pricing import uncertainty_reserve
 
-    daily = resolved(spark, sf).groupBy("model_name", "market_date").agg(
-        F.avg(F.col("fair") - F.col("correct")).alias("residual"), F.min("ts").alias("first_at"), (F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("resolved_at"))
+    daily = signals(spark, sf).groupBy("model_name", "market_date").agg(
+        F.avg(F.when(F.col("minute_of_day") % 3 > 0, F.col("fair") - F.col("correct"))).alias("residual"), F.min("ts").alias("first_at"), (F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("resolved_at"))
     return uncertainty_reserve(daily, ["model_name"], "market_date", "residual", 0.8, 0.02, "first_at", "resolved_at")

@@ -12,49 +12,102 @@ from skyledger.queries.dist_queries import lines
 from skyledger.queries.feature_queries import local_obs
 from skyledger.queries.metric_queries import resolved
 from skyledger.queries.registry import query
-from skyledger.queries.replay_queries import baskets_in, candidates, forward_rows
+from skyledger.queries.replay_queries import BASKET_SQL, baskets_in, candidates, forward_rows
 from skyledger.queries.signal_queries import ORDER, positions
 from skyledger.queries.views import SIGNAL_SQL, signals, table
 from skyledger.sources import tables
 
 
+def logit_sql(p: str, eps: str = "1e-6") -> str:
+    q = f"least(greatest({p}, {eps}), 1 - {eps})"
+    return f"ln({q} / (1 - {q}))"
+
+
+def newton_sql(name: str, src: str, groups: list[str], k: int, l2: str = "1.0", steps: int = 14) -> str:
+    """Steps of Newton's method for logistic fits of `src` (groups, x1.., y, w, n), one table a step; `name` has the last coefficients
+    b0.., and rows, weight and both classes' weights of each group. `k` counts the coefficients, 2 or 3."""
+    g = ", ".join(groups)
+    x = ["1", "x1", "x2"][:k]
+    b = [f"b{i}" for i in range(k)]
+    p = "1 / (1 + exp(-(" + " + ".join(f"b{i} * {x[i]}" for i in range(k)) + ")))"
+    grad = ", ".join(f"sum(w * (y - p) * {x[i]}) - {l2 if i else 0} * any_value(b{i}) AS g{i}" for i in range(k))
+    hess = ", ".join(f"sum(w * p * (1 - p) * {x[i]} * {x[j]}) + {(l2 if i else '0') if i == j else '0'} + {'1e-12' if i == j else '0'} AS h{i}{j}" for i in range(k) for j in range(i, k))
+    if k == 2:
+        det, step = "(h00 * h11 - h01 * h01)", ["(g0 * h11 - g1 * h01)", "(h00 * g1 - h01 * g0)"]
+    else:
+        c = ["(h11 * h22 - h12 * h12)", "(h02 * h12 - h01 * h22)", "(h01 * h12 - h02 * h11)", "(h00 * h22 - h02 * h02)", "(h01 * h02 - h00 * h12)", "(h00 * h11 - h01 * h01)"]
+        det = f"(h00 * {c[0]} + h01 * {c[1]} + h02 * {c[2]})"
+        step = [f"(g0 * {c[0]} + g1 * {c[1]} + g2 * {c[2]})", f"(g0 * {c[1]} + g1 * {c[3]} + g2 * {c[4]})", f"(g0 * {c[2]} + g1 * {c[4]} + g2 * {c[5]})"]
+    out = [f"{name}_0 AS (SELECT {g}, {', '.join(f'CAST(0 AS DOUBLE) AS {c}' for c in b)} FROM {src} GROUP BY ALL)"]
+    for s in range(steps):
+        size = "greatest(" + ", ".join(f"abs(s{i})" for i in range(k)) + ")"
+        out.append(f"{name}_{s + 1} AS MATERIALIZED (SELECT {g}, {', '.join(f'CASE WHEN one THEN b{i} ELSE b{i} + s{i} * CASE WHEN {size} > 4 THEN 4 / {size} ELSE 1 END END AS b{i}' for i in range(k))} FROM (SELECT *, {', '.join(f'{step[i]} / {det} AS s{i}' for i in range(k))} FROM "
+                   f"(SELECT {g}, {', '.join(f'any_value(b{i}) AS b{i}' for i in range(k))}, {grad}, {hess}, min(y) = max(y) AS one FROM (SELECT s.*, {', '.join(b)}, {p} AS p FROM {src} s JOIN {name}_{s} USING ({g})) t GROUP BY {g}) u) v)")
+    out.append(f"{name} AS (SELECT {g}, {', '.join(b)}, rows, weight, one FROM {name}_{steps} JOIN (SELECT {g}, CAST(sum(n) AS BIGINT) AS rows, sum(w) AS weight, min(y) = max(y) AS one FROM {src} GROUP BY {g}) t USING ({g}))")
+    return ", ".join(out)
+
+
+def walk_sql(name: str, src: str, day: str, k: int, extra: str = "TRUE", calendar: str = "") -> str:
+    """Fits `name` of each eval_date over the rows of earlier dates in `src` (day, x1.., y, w), with a further test on r and e."""
+    x = ", ".join(["x1", "x2"][: k - 1])
+    days = calendar or f"SELECT DISTINCT {day} AS eval_date FROM {src}"
+    return f"{name}_e AS ({days}), {name}_s AS MATERIALIZED (SELECT eval_date, {x}, y, sum(w) AS w, count(*) AS n FROM {src} r JOIN {name}_e e ON r.{day} < e.eval_date AND ({extra}) GROUP BY ALL), " + newton_sql(name, f"{name}_s", ["eval_date"], k)
+
+
 def monthly(spark, sf):
-    """Resolved signals whose date is the month, so a walk forward has about eighty fits."""
-    return resolved(spark, sf).withColumn("month", F.trunc("ts", "month"))
+    """Resolved signals whose date is the month, so a walk forward has about eighty fits; labels are known 20 days after."""
+    return resolved(spark, sf).withColumns({"month": F.trunc("ts", "month"), "resolved_at": F.col("ts") + F.expr("INTERVAL 20 DAY")})
+
 
+MONTH_SQL = SIGNAL_SQL + f""", mr AS (SELECT *, CAST(date_trunc('month', ts) AS DATE) AS month, {logit_sql('fair')} AS x1, {logit_sql('entry')} AS x2, correct AS y, ts + INTERVAL 20 DAY AS resolved_at FROM v_signal WHERE correct IS NOT NULL)"""
+APPLIED = "CASE WHEN f.rows >= 30 AND NOT f.one THEN 1 / (1 + exp(-(b0 + b1 * x1{more}))) ELSE {raw} END"
 
-@query("m01_walk_forward_calibration")
+
+@query("m01_walk_forward_calibration", f"""WITH {MONTH_SQL}, wr AS (SELECT *, CAST(cost AS DOUBLE) AS w FROM mr), {walk_sql('f', 'wr', 'month', 3, 'r.resolved_at < e.first_at', 'SELECT month AS eval_date, min(ts) AS first_at FROM wr GROUP BY month')},
+  c AS (SELECT r.month, CASE WHEN f.rows IS NULL THEN 'NO_PRIOR_DATES' WHEN f.rows < 30 THEN 'INSUFFICIENT_ROWS' WHEN f.one THEN 'SINGLE_CLASS' ELSE 'FITTED' END AS reason, fair, f.rows AS train, {APPLIED.format(more=' + b2 * x2', raw='fair')} AS cal FROM wr r LEFT JOIN f ON f.eval_date = r.month)
+  SELECT month, reason, count(*) AS n, max(train) AS train_rows, avg(cal) AS calibrated, avg(fair) AS raw FROM c GROUP BY ALL""", "calibrated raw", dates="month")
 def m01(spark, sf):
-    out = calibrate.walk_forward_calibration(monthly(spark, sf), "month", "fair", "correct", "cost", "entry")
-    return out.groupBy("month", F.coalesce("fallback_reason", F.lit("FITTED")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.avg("calibrated").alias("calibrated"), F.avg("fair").alias("raw"))
+    out = calibrate.walk_forward_calibration(monthly(spark, sf), "month", "fair", "correct", "cost", "entry", decided_at="ts", resolved_at="resolved_at")
+    return out.groupBy("month", F.coalesce("fallback_reason", F.lit("FITTED")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.max("train_rows").alias("train_rows"), F.avg("calibrated").alias("calibrated"), F.avg("fair").alias("raw"))
+
+
+PLATT_SQL = SIGNAL_SQL + f""", pr AS (SELECT model_name, station, {logit_sql('fair')} AS x1, correct AS y FROM v_signal WHERE correct IS NOT NULL), ps AS MATERIALIZED (SELECT model_name, station, x1, y, CAST(count(*) AS DOUBLE) AS w, count(*) AS n FROM (SELECT * FROM pr UNION ALL SELECT model_name, '*', x1, y FROM pr) z GROUP BY ALL), """ + newton_sql("f", "ps", ["model_name", "station"], 2)
 
 
-@query("m02_fit_platt")
+@query("m02_fit_platt", f"WITH {PLATT_SQL} SELECT model_name, station, b0 AS intercept, b1 AS slope, rows FROM f WHERE rows >= 30 AND NOT one", "intercept slope")
 def m02(spark, sf):
     return calibrate.fit_platt(resolved(spark, sf), "fair", "correct", ["model_name", "station"])
 
 
-@query("m03_apply_calibration")
+@query("m03_apply_calibration", f"""WITH {PLATT_SQL}, k AS (SELECT * FROM f WHERE rows >= 400 AND NOT one), a AS (SELECT s.model_name, CASE WHEN e.b0 IS NOT NULL THEN 'exact' WHEN d.b0 IS NOT NULL THEN 'fallback' ELSE 'raw' END AS calibration_scope,
+  CASE WHEN coalesce(e.b0, d.b0) IS NULL THEN fair ELSE 1 / (1 + exp(-(coalesce(e.b0, d.b0) + coalesce(e.b1, d.b1) * {logit_sql('fair')}))) END AS cal FROM v_signal s LEFT JOIN k e ON e.model_name = s.model_name AND e.station = s.station LEFT JOIN k d ON d.model_name = s.model_name AND d.station = '*')
+  SELECT model_name, calibration_scope, count(*) AS n, avg(cal) AS calibrated FROM a GROUP BY ALL""", "calibrated")
 def m03(spark, sf):
-    fits = calibrate.fit_platt(resolved(spark, sf), "fair", "correct", ["model_name", "station"], 700)
+    fits = calibrate.fit_platt(resolved(spark, sf), "fair", "correct", ["model_name", "station"], 400)
     out = calibrate.apply_calibration(signals(spark, sf), fits, "fair", ["model_name", "station"])
     return out.groupBy("model_name", "calibration_scope").agg(F.count(F.lit(1)).alias("n"), F.avg("calibrated").alias("calibrated"))
 
 
-@query("a18_calibration_line")
+@query("a18_calibration_line", f"WITH {SIGNAL_SQL}, ls AS MATERIALIZED (SELECT model_name, {logit_sql('fair', '1e-12')} AS x1, correct AS y, CAST(sum(cost) AS DOUBLE) AS w, count(*) AS n FROM v_signal WHERE correct IS NOT NULL GROUP BY ALL), {newton_sql('f', 'ls', ['model_name'], 2, '1e-6')} SELECT model_name, b0 AS intercept, b1 AS slope, CASE WHEN one THEN 'SINGLE_CLASS' ELSE 'FITTED' END AS status, rows, weight FROM f", "intercept slope weight")
 def a18b(spark, sf):
     from skyledger.functions.prob import logit
 
     rows = resolved(spark, sf).select("model_name", logit(F.col("fair"), 1e-12).alias("x"), "correct", "cost")
-    return calibrate.fit_logistic(rows, ["model_name"], ["x"], "correct", "cost", l2=1e-6)
+    fits = calibrate.fit_logistic(rows, ["model_name"], ["x"], "correct", "cost", l2=1e-6)
+    return fits.select("model_name", F.col("coefficients")[0].alias("intercept"), F.col("coefficients")[1].alias("slope"), "status", "rows", "weight")
 
 
-@query("p18_calibrated_replay")
+@query("p18_calibrated_replay", f"""WITH {MONTH_SQL}, wr AS (SELECT *, CAST(1 AS DOUBLE) AS w FROM mr), {walk_sql('f', 'wr', 'month', 2)}, c AS (SELECT r.*, {APPLIED.format(more='', raw='fair')} - entry AS ce FROM wr r LEFT JOIN f ON f.eval_date = r.month),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station, market_date ORDER BY round(ce, 9) DESC, ts, id, liquidity) AS rn FROM c) z WHERE rn = 1)
+  SELECT CAST(t AS DOUBLE) AS threshold, count(*) AS n, sum(correct - entry) AS pnl, sum(correct - entry) / sum(entry) AS rr, avg(CAST(correct AS DOUBLE)) AS hit_rate FROM b, (VALUES (0.0), (0.05), (0.1), (0.2)) v(t) WHERE ce >= t GROUP BY t""", "threshold pnl rr hit_rate")
 def p18(spark, sf):
     return calibrate.calibrated_replay(monthly(spark, sf), "month", "fair", "entry", "correct", ["station", "market_date"], ORDER, [0.0, 0.05, 0.1, 0.2])
 
 
-@query("m11_fit_clusters")
+@query("m11_fit_clusters", f"""WITH {BASKET_SQL}, mr AS (SELECT model_name, CAST(date_trunc('month', ts) AS DATE) AS month, CASE WHEN hit THEN 1 ELSE 0 END AS y, least(fair_mass, 0.999) AS mass, ask_sum, {logit_sql('least(fair_mass, 0.999)')} AS x1, CAST(ask_sum AS DOUBLE) AS x2, CAST(1 AS DOUBLE) AS w FROM v_basket),
+  {walk_sql('f', 'mr', 'month', 2)}, {walk_sql('h', 'mr', 'month', 3)}
+  SELECT model_name, count(*) AS n, avg({APPLIED.format(more='', raw='mass')}) AS by_mass, avg(CASE WHEN h.rows >= 30 AND NOT h.one THEN 1 / (1 + exp(-(h.b0 + h.b1 * x1 + h.b2 * x2))) ELSE mass END) AS by_context
+  FROM mr LEFT JOIN f ON f.eval_date = month LEFT JOIN h ON h.eval_date = month GROUP BY model_name""".replace("exp(-(b0 + b1 * x1))", "exp(-(f.b0 + f.b1 * x1))"), "by_mass by_context")
 def m11(spark, sf):
     b = replay.top_n_basket(baskets_in(spark, sf), 3).withColumns({"month": F.trunc("ts", "month"), "y": F.col("hit").cast("int"), "mass": F.least(F.col("fair_mass"), F.lit(0.999))})
     out = calibrate.fit_clusters(b.select("month", "mass", "y", "ask_sum", "model_name"), "month", "mass", "y", ["ask_sum"])
