@@ -158,12 +158,12 @@ def token_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = encoder(path, blank_joins=True), np.array([end_id], "<u4").tobytes()
+        if max(end_id, *words.tokenizer.get_vocab().values()) >= WIDEST:
+            raise ValueError(f"ids of {path} do not fit 16 bits")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = [np.frombuffer(data + end, "<u4") for data in words.encode([t or "" for t in part.column(1).to_pylist()])]
-                if max(int(r.max()) for r in rows) >= WIDEST:
-                    raise ValueError(f"ids of {path} do not fit 16 bits")
                 ids = pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in rows], pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
 
@@ -196,7 +196,7 @@ def write_files(docs: DataFrame, path: str | None = None, tokenizer: str | None
     they are sorted, so only coded bits move. Rows that repeat an id follow each other in the order of their bits.
     """
     path = path or new_table(docs.sparkSession)
-    ids = materialize(token_table(docs, tokenizer, end_id), compression="zstd")
+    ids = materialize(token_table(docs, tokenizer, end_id), compression="snappy")
     counts = id_counts(ids)
     lengths = code_lengths(counts, longest)
     kind = docs.schema["doc_id"].dataType.simpleString()
