@@ -116,19 +116,73 @@ def forward_scorecards(rows: DataFrame, candidates: DataFrame, position_cost: fl
         "review_state", F.when(F.col("blockers") == "", "READY").otherwise("CONTINUE_COLLECTING")).drop("_cost", "_pnl")
 
 
-def evaluate_candidates(rows: DataFrame, candidates: DataFrame, position_cost: float, daily_cap: float, station_cap: float) -> DataFrame:
-    """Each candidate alone under its own daily and station-date caps, with counts of what the caps rejected."""
-    first = matching_signals(rows, candidates)
-    sized = first.withColumn("cost", F.least(F.lit(position_cost), F.col("liquidity")))
-    run = folds.two_cap_fold(sized.select("candidate_id", "station", "market_date", *ORDER, "cost", "best_ask", "label"),
-                             ["candidate_id", "market_date"], ["station"], ORDER, "cost", daily_cap, station_cap,
-                             scan.day_slice(F.col("ts")))
-    taken = F.col("cap_reason").isNull()
-    total = first.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("matched"))
-    pnl = F.when(F.col("label") == 1, F.col("cost") / F.col("best_ask") - F.col("cost")).when(F.col("label") == 0, -F.col("cost"))
-    out = run.groupBy("candidate_id").agg(
-        F.sum(taken.cast("int")).alias("executed"), F.sum(F.when(taken, F.col("cost"))).alias("cost"), F.sum(F.when(taken, pnl)).alias("pnl"))
-    return total.join(out, ["candidate_id"], "left").withColumn("cap_rejected", F.col("matched") - F.col("executed"))
+@dataclass(frozen=True)
+class ForwardDefaults:
+    """What a candidate that names no size or cap of its own takes, and the execution version that counts."""
+
+    execution_version: str
+    target: float = 25.0
+    daily_cap: float = 100.0
+    station_date_cap: float = 150.0
+
+
+REJECTIONS = ("EXECUTION_SUMMARY_UNAVAILABLE", "NO_CAPPED_EXECUTABLE_ASK", "DAILY_RISK_CAP", "STATION_DATE_CAP")
+UNMEASURED = ("VENUE_SETTLEMENT_UNAVAILABLE", "MARKOUTS_UNAVAILABLE")
+
+
+def sweep_key(cap: Column, target: Column) -> Column:
+    """Name of a stored sweep: its price cap and target with eight places."""
+    def fixed(c: Column) -> Column:
+        return F.format_string("%.8f", c)
+
+    return F.concat(F.lit("cap="), fixed(cap), F.lit("|target="), fixed(target))
+
+
+def evaluate_candidates(rows: DataFrame, candidates: DataFrame, defaults: ForwardDefaults) -> DataFrame:
+    """Each candidate's exact rule on the rows since its activation, alone under its own size and caps.
+
+    The first matching row of a (station, date) stands for it, whether or not it executes. It is rejected, for the first reason that
+    holds, where no sweep is stored at the candidate's cap and target, where the sweep buys nothing, where the date's cost would pass
+    the daily cap, or the station's the station-date cap. A candidate of another execution version has no rows that count. Gives
+    one row for each candidate, those without a match too: rows before and since activation, executions with their cost, PnL and
+    ratio, a count for each rejection, and the blockers.
+
+    `rows.sweeps` maps sweep names to (cost, shares, vwap). Candidates carry what `matching_signals` reads, and execution_version,
+    price_cap, target, daily_cap and station_date_cap, all but the first null where the default (for the price cap: entry_max) holds.
+    """
+    own = candidates.withColumns({
+        "price_cap": F.coalesce("price_cap", "entry_max"), "target": F.coalesce("target", F.lit(defaults.target)), "daily_cap": F.coalesce("daily_cap", F.lit(defaults.daily_cap)),
+        "station_date_cap": F.coalesce("station_date_cap", F.lit(defaults.station_date_cap)), "counts": F.col("execution_version") == defaults.execution_version})
+    always = own.withColumns({"_since": F.col("activated_at"), "activated_at": F.lit("0001-01-01").cast("timestamp")})
+    matched = matching_signals(rows, always.select("candidate_id", "family_id", "model_id", "market_family", "side", "entry_min", "entry_max", "edge_min", "activated_at", "complexity"))
+    facts = own.select("candidate_id", "activated_at", "price_cap", "target", "daily_cap", "station_date_cap", "counts")
+    matched = matched.join(facts, ["candidate_id"])
+    since = F.col("ts") >= F.col("activated_at")
+    seen = matched.groupBy("candidate_id").agg(F.sum((~since).cast("long")).alias("rows_before"), F.sum((since & F.col("counts")).cast("long")).alias("rows_since"))
+    first = select.first_by_scope(matched.where(since & F.col("counts")), ["candidate_id", "station", "market_date"], [F.col(c) for c in ORDER])
+    got = first.withColumn("_x", F.try_element_at("sweeps", sweep_key(F.col("price_cap"), F.col("target"))))
+    cost = F.coalesce(F.col("_x.cost"), F.lit(0.0))
+    known = F.when(F.col("_x").isNull(), REJECTIONS[0]).when((cost <= 0) | F.col("_x.vwap").isNull(), REJECTIONS[1])
+    pnl = F.when(F.col("label") == 1, F.col("_x.shares") - cost).otherwise(-cost)
+    row = F.struct(*ORDER, known.alias("reason"), cost.alias("cost"), pnl.alias("pnl"))
+    # a date has a row a station at most
+    dates = got.groupBy("candidate_id", "market_date", "daily_cap", "station_date_cap").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    kind = "array<struct<reason:string,cost:double,pnl:double>>"
+
+    def step(acc: Column, r: Column) -> Column:
+        reason = F.coalesce(r["reason"], F.when(acc["used"] + r["cost"] > F.col("daily_cap") + 1e-9, REJECTIONS[2]).when(r["cost"] > F.col("station_date_cap") + 1e-9, REJECTIONS[3]))
+        used = acc["used"] + F.when(reason.isNull(), r["cost"]).otherwise(0.0)
+        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(reason.alias("reason"), r["cost"].alias("cost"), r["pnl"].alias("pnl")))).alias("out"))
+
+    run = dates.select("candidate_id", "market_date", F.explode(F.aggregate("_rows", F.struct(F.lit(0.0).alias("used"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])).alias("_r"))
+    taken = F.col("_r.reason").isNull()
+    score = run.groupBy("candidate_id").agg(
+        F.sum(taken.cast("long")).alias("executed"), F.countDistinct(F.when(taken, F.col("market_date"))).alias("dates"), F.round(F.sum(F.when(taken, F.col("_r.cost"))), 8).alias("cost"),
+        F.round(F.sum(F.when(taken, F.col("_r.pnl"))), 8).alias("pnl"), *[F.sum((F.col("_r.reason") == r).cast("long")).alias(r.lower()) for r in REJECTIONS])
+    counts = ["rows_before", "rows_since", "executed", "dates", *[r.lower() for r in REJECTIONS]]
+    out = own.select("candidate_id", "family_id", "counts").join(seen, ["candidate_id"], "left").join(score, ["candidate_id"], "left").fillna(0, counts)
+    blockers = F.array_compact(F.array(F.when(~F.col("counts"), "EXECUTION_VERSION_MISMATCH"), F.when(F.col("rows_since") == 0, "NO_POST_ACTIVATION_MATCHING_DECISIONS"), *[F.lit(u) for u in UNMEASURED]))
+    return out.withColumns({"rr": ratio(F.col("pnl"), F.col("cost")), "blockers": F.concat_ws(",", F.sort_array(blockers)), "disposition": F.lit("CONTINUE_COLLECTING")}).drop("counts")
 
 
 def incremental_after_peer(subject: DataFrame, peer: DataFrame, station_cap: float, daily_cap: float, slice_by: Column, order: list[Column]) -> DataFrame:
@@ -171,43 +225,46 @@ class PortfolioCaps:
     minimum: float = 5.0
 
 
+SKIPS = ("CAPACITY", "DEPTH")
+
+
 def portfolio_replay(rows: DataFrame, caps: PortfolioCaps) -> DataFrame:
     """Allocate positions of all specs, in spec order inside a date, under five shared caps, depth and a minimum order.
 
-    Rows carry spec_rank, target, depth, entry, pnl and the cap keys. A row too small by its own target or depth is dropped at
-    once. An exact bucket is taken as a prefix of its rows, each at least the minimum, so only its first `bucket/minimum` rows can
-    be allocated; the fold sees those rows only, one date at a time.
+    Rows carry spec_rank, target, depth, entry, pnl and the cap keys; rows without a price or result are no candidates. Every other
+    row comes back with what it was given and, if that is nothing, why: no room in some cap or less than the minimum (CAPACITY), or
+    room but nothing to buy (DEPTH).
+
+    A date's rows stream through one sorted pass that holds the exposure alone: every cap has the date in its key.
     """
     wanted = F.least(F.col("target"), F.lit(caps.order), F.col("depth"))
-    usable = rows.where((F.col("entry") > 0) & F.col("pnl").isNotNull()).withColumn("wanted", wanted).where(
-        (F.col("wanted") >= caps.minimum) & (F.col("wanted") > 0))
+    usable = rows.where((F.col("entry") > 0) & F.col("pnl").isNotNull()).withColumn("wanted", wanted)
     order = ["spec_rank", *ORDER]
-    bucket = ["market_date", "market_family", "station", "selected_bucket", "selected_side"]
-    slim = select.top_n(usable, bucket, [F.col(c) for c in order], int(caps.bucket // caps.minimum)).drop("rank")
-
     minimum, limits = caps.minimum, (caps.daily, caps.station_date, caps.side, caps.bucket)
 
     def step(state, value):
-        want, family, station, bucket_label, side = value
+        want, depth, family, station, bucket_label, side = value
         keys = (("d",), ("sd", family, station), ("sds", family, station, side), ("b", family, station, bucket_label, side))
-        room = min(limit - state.get(k, 0.0) for k, limit in zip(keys, limits))
+        room = max(0.0, min(limit - state.get(k, 0.0) for k, limit in zip(keys, limits)))
         size = min(want, room)
         if size < minimum or size <= 0:
-            return (0.0,)
+            return 0.0, "DEPTH" if room > 0 and depth <= 0 else "CAPACITY"
         for k in keys:
             state[k] = state.get(k, 0.0) + size
-        return (size,)
-    run = folds.ordered_fold(slim, ["market_date"], order, dict, step, ["wanted", "market_family", "station", "selected_bucket", "selected_side"], "allocated double")
-    return run.where("allocated > 0").withColumn("pnl_usd", F.col("pnl") / F.col("entry") * F.col("allocated"))
+        return size, None
+
+    run = folds.ordered_fold(usable, ["market_date"], order, dict, step, ["wanted", "depth", "market_family", "station", "selected_bucket", "selected_side"], "allocated double, skip string")
+    return run.withColumn("pnl_usd", F.when(F.col("allocated") > 0, F.col("pnl") / F.col("entry") * F.col("allocated")))
 
 
 def portfolio_summary(rows: DataFrame, allocated: DataFrame, keys: list[str]) -> DataFrame:
-    """Totals per spec with the rows that found no capacity or no depth."""
-    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidate_rows"), F.sum((F.col("depth") <= 0).cast("int")).alias("no_depth_rows"))
-    got = allocated.groupBy(*keys).agg(F.count(F.lit(1)).alias("allocated_rows"), F.sum("allocated").alias("risk_usd"), F.sum("pnl_usd").alias("pnl_usd"),
-                                       F.sum((F.col("pnl_usd") > 0).cast("int")).alias("wins"))
-    return base.join(got, keys, "left").fillna(0, ["allocated_rows", "wins"]).fillna(0.0, ["risk_usd", "pnl_usd"]).withColumn(
-        "skipped_rows", F.col("candidate_rows") - F.col("allocated_rows"))
+    """Totals per spec, with the rows that were no candidates, found no capacity or found no depth."""
+    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    got = F.col("allocated") > 0
+    run = allocated.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("candidate_rows"), F.sum(got.cast("int")).alias("allocated_rows"), F.sum("allocated").alias("risk_usd"), F.sum("pnl_usd").alias("pnl_usd"), F.sum((F.col("pnl_usd") > 0).cast("int")).alias("wins"),
+        *[F.sum((F.col("skip") == s).cast("int")).alias(f"skipped_{s.lower()}_rows") for s in SKIPS], F.avg(F.when(got, F.col("entry"))).alias("avg_entry"), F.avg(F.when(got, F.col("depth"))).alias("avg_depth"))
+    return base.join(run, keys, "left").fillna(0, ["candidate_rows", "allocated_rows", "wins", *[f"skipped_{s.lower()}_rows" for s in SKIPS]]).fillna(0.0, ["risk_usd", "pnl_usd"])
 
 
 # ---- roles ----

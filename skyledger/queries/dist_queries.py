@@ -193,7 +193,18 @@ def d12(spark, sf):
     return dist(spark, sf).select("obs_id", dists.bucket_mass(F.col("p"), lo, hi, 0).alias("mass"))
 
 
-@query("d13_fit_convex_weight")
+def _narrowing_sql(rounds: int = 3, steps: int = 20) -> str:
+    """The grid of each round around the best weight of the round before."""
+    out = ["w0 AS (SELECT 0.5::DOUBLE AS weight, 0.5::DOUBLE AS width, 0.0::DOUBLE AS log_loss)"]
+    for k in range(rounds):
+        out.append(f"e{k} AS (SELECT greatest(0.0, weight - width) AS lo, least(1.0, weight + width) AS hi FROM w{k})")
+        out.append(f"l{k} AS (SELECT lo + (hi - lo) * i / {steps} AS w, (hi - lo) / {steps} AS width, avg(-ln(greatest(least((lo + (hi - lo) * i / {steps}) * a + (1 - (lo + (hi - lo) * i / {steps})) * b, 1.0), 1e-12))) AS loss FROM ab, e{k}, (SELECT unnest(range(0, {steps + 1})) AS i) GROUP BY ALL)")
+        out.append(f"w{k + 1} AS (SELECT w AS weight, width, loss AS log_loss FROM l{k} ORDER BY loss, w LIMIT 1)")
+    return ", ".join(out)
+
+
+@query("d13_fit_convex_weight", f"""WITH {DIST_SQL}, ab AS (SELECT obs_id, max(p) FILTER (WHERE cell = target) AS a, max(p) FILTER (WHERE cell = (target + k) % 21) AS b FROM v_p GROUP BY obs_id), {_narrowing_sql()}
+  SELECT weight, log_loss FROM w3""", "weight log_loss", 5)
 def d13(spark, sf):
     rows = dist(spark, sf).withColumns({"a": F.try_element_at("p", F.col("target") + 1), "b": F.try_element_at("p", F.pmod(F.col("target") + F.col("k"), F.lit(CELLS)) + 1)})
     return dists.fit_convex_weight(rows, "a", "b")

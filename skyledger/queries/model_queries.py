@@ -174,7 +174,13 @@ def m10(spark, sf):
         F.count(F.lit(1)).alias("dates"), F.avg("log_loss_delta").alias("log_loss_delta"), F.avg("brier_delta").alias("brier_delta"))
 
 
-@query("p22_surprise_cohort")
+SUN_SQL = """a AS (SELECT id, liquidity, cost, correct, q, 35 + entry * 5 AS lat, -90.0 AS lon, ts + to_minutes(q) AS t FROM v_signal, (SELECT unnest([-30, 30, 90, 150]) AS q) k WHERE correct IS NOT NULL), b AS (SELECT *, dayofyear(t) AS d, hour(t) * 60.0 + minute(t) + second(t) / 60.0 AS m FROM a), g AS (SELECT *, 2 * pi() / 365.0 * (d - 1 + (m / 60.0 - 12.0) / 24.0) AS g FROM b),
+  s AS (SELECT *, m + 229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) + 4.0 * lon AS sm, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS dec FROM g),
+  z AS (SELECT *, greatest(0.0, 1361.0 * (1.0 + 0.033 * cos(2 * pi() * d / 365.0)) * (sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(radians((sm - floor(sm / 1440) * 1440) / 4.0 - 180.0)))) AS toa FROM s),
+  e AS (SELECT id, liquidity, cost, correct, max(toa) FILTER (WHERE q < 0) AS seen, avg(toa) FILTER (WHERE q > 0) AS ahead FROM z GROUP BY ALL)"""
+
+
+@query("p22_surprise_cohort", f"""WITH {SIGNAL_SQL}, {SUN_SQL} SELECT CASE WHEN cost * 2 <= 25 THEN 'CLEAR' WHEN cost * 2 >= 75 THEN 'CLOUDY' ELSE 'MIXED' END AS regime, count(*) AS n, avg((300 + cost * 5) / seen - (320 + liquidity) / ahead) AS surprise, avg(correct) AS rate FROM e WHERE seen >= 50 AND ahead >= 50 GROUP BY ALL""", "surprise rate", 4)
 def p22(spark, sf):
     return cohort(spark, sf).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg("surprise").alias("surprise"), F.avg("correct").alias("rate"))
 
@@ -189,13 +195,13 @@ def p17(spark, sf):
 
 def cards(spark, sf):
     """Scorecards with the base and conservative scenario side by side."""
-    out = replay.forward_scorecards(forward_rows(spark, sf), candidates(spark), 25.0, 100.0, 5, 20)
+    out = replay.forward_scorecards(forward_rows(spark, sf), candidates(spark, sf), 25.0, 100.0, 5, 20)
     one = ["candidate_id"]
     def pick(name, alias):
         return [F.max(F.when(F.col("scenario") == name, F.col(c))).alias(f"{alias}_{k}") for c, k in (("venue_cost", "cost"), ("venue_pnl", "pnl"), ("venue_rr", "rr"), ("mean_pnl", "mean"), ("standard_error", "se"))]
     wide = out.groupBy(*one).agg(*pick("base", "base"), *pick("conservative", "conservative"), F.max("venue_resolved").alias("venue_resolved"), F.max("disagreements").alias("disagreements"),
                                  F.max("blockers").alias("blockers"), F.max("review_state").alias("review_state"), F.max("max_station_share").alias("max_station_share"), F.max("max_market_date_share").alias("max_market_date_share"))
-    return wide.join(candidates(spark).select("candidate_id", "family_id", "complexity"), one).withColumn("enough_evidence", F.lit(True))
+    return wide.join(candidates(spark, sf).select("candidate_id", "family_id", "complexity"), one).withColumn("enough_evidence", F.lit(True))
 
 
 @query("p15_transition_decisions")
@@ -206,14 +212,14 @@ def p15(spark, sf):
 @query("p24_role_transitions")
 def p24(spark, sf):
     decided = replay.transition_decisions(cards(spark, sf))
-    roles = candidates(spark).select("candidate_id", "family_id", F.when(F.col("candidate_id") == "c0", "CHAMPION").otherwise("CHALLENGER").alias("role"), F.lit(1).alias("negative_streak"))
-    common = decided.select("candidate_id", F.lit("c0").alias("peer_id"), F.col("base_pnl").alias("pnl_delta"), F.col("base_rr").alias("rr_delta"), F.lit(True).alias("simpler"))
+    roles = candidates(spark, sf).select("candidate_id", "family_id", F.when(F.col("candidate_id").startswith("m0:"), "CHAMPION").otherwise("CHALLENGER").alias("role"), F.lit(1).alias("negative_streak"))
+    common = decided.select("candidate_id", F.concat(F.lit("m0:"), F.element_at(F.split("candidate_id", ":"), 2)).alias("peer_id"), F.col("base_pnl").alias("pnl_delta"), F.col("base_rr").alias("rr_delta"), F.lit(True).alias("simpler"))
     return replay.role_transitions(roles, decided, common)
 
 
 @query("p10_evaluate_manifest")
 def p10(spark, sf):
-    runs = replay.forward_executions(forward_rows(spark, sf), candidates(spark), 25.0, 100.0, (("base", 1.0),))
+    runs = replay.forward_executions(forward_rows(spark, sf), candidates(spark, sf), 25.0, 100.0, (("base", 1.0),))
     return runs.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("executions"), F.sum("cost").alias("cost"), F.min("ts").alias("first_execution"))
 
 
@@ -254,9 +260,12 @@ def x16(spark, sf):
     return pricing.post_only_quotes(sheets, specs).groupBy("spec", "skip_reason").agg(F.count(F.lit(1)).alias("n"), F.sum("quote_price").alias("price"))
 
 
-@query("s12_row_set_hash")
+ROW_JSON = """'{"c_acctbal":' || CAST(c_acctbal AS VARCHAR) || ',"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}'"""
+
+
+@query("s12_row_set_hash", f"SELECT count(*) AS rows, " + ", ".join(f"CAST(sum(CAST('0x' || substr(md5({ROW_JSON}), {a}, 15) AS HUGEINT)) AS VARCHAR) AS {n}" for a, n in ((1, "sum_a"), (16, "sum_b"))) + " FROM customer")
 def s12(spark, sf):
-    return tables.row_set_hash(table(spark, sf, "orders"))
+    return tables.row_set_hash(table(spark, sf, "customer").select("c_acctbal", "c_custkey", "c_mktsegment", "c_nationkey"))
 
 
 @query("j10_explode_sources", f"""WITH {SIGNAL_SQL}, g AS (SELECT model_name, station, list(id) AS ids FROM v_signal GROUP BY ALL), x AS (SELECT model_name, unnest(ids) AS sid FROM g) SELECT model_name, count(*) AS sources, count(DISTINCT sid) AS distinct_sources FROM x GROUP BY model_name""")

@@ -401,20 +401,62 @@ def forward_rows(spark, sf):
                                      (F.col("book_age") >= 147).alias("disagreement"), "liquidity", asks.alias("asks"))
 
 
-def candidates(spark):
-    rows = [(f"c{i}", "f0" if i < 2 else "f1", f"m{i}", "HIGH_TEMP", "ANY" if i % 2 else "BUY_NO", 0.05, 0.6, 0.0, i) for i in range(4)]
-    df = spark.createDataFrame(rows, "candidate_id string, family_id string, model_id string, market_family string, side string, entry_min double, entry_max double, edge_min double, complexity int")
-    return df.withColumn("activated_at", F.lit("1996-06-01").cast("timestamp"))
+CANDIDATE = """
+concat(model_name, ':', market_family) AS candidate_id
+| concat(market_family, CASE WHEN model_name IN ('m0', 'm1') THEN ':f0' ELSE ':f1' END) AS family_id
+| model_name AS model_id
+| market_family
+| CASE WHEN model_name IN ('m1', 'm3') THEN 'ANY' ELSE 'BUY_NO' END AS side
+| CAST(0.05 AS DOUBLE) AS entry_min
+| CAST(0.6 AS DOUBLE) AS entry_max
+| CAST(0.0 AS DOUBLE) AS edge_min
+| CAST(CASE WHEN model_name IN ('m0', 'm2') THEN 1 ELSE 2 END AS INT) AS complexity
+| CASE WHEN model_name = 'm3' AND market_family = 'LOW_TEMP' THEN 'taker_v0' ELSE 'taker_v1' END AS execution_version
+| CAST(CASE WHEN model_name = 'm1' THEN 0.4 END AS DOUBLE) AS price_cap
+| CAST(CASE WHEN model_name = 'm3' THEN 50.0 END AS DOUBLE) AS target
+| CAST(CASE WHEN model_name = 'm2' THEN 60.0 END AS DOUBLE) AS daily_cap
+| CAST(CASE WHEN model_name = 'm3' THEN 30.0 END AS DOUBLE) AS station_date_cap
+| CAST(CASE WHEN model_name = 'm2' AND market_family = 'LOW_TEMP' THEN '2020-01-01' ELSE '1996-06-01' END AS TIMESTAMP) AS activated_at
+"""
+CANDIDATE_COLUMNS = [c.strip() for c in CANDIDATE.strip().split("\n|")]
+CANDIDATE_SQL = "cand AS (SELECT " + ", ".join(CANDIDATE_COLUMNS).replace("AS INT)", "AS INTEGER)") + " FROM (SELECT DISTINCT model_name, market_family FROM v_signal) c)"
+
+
+def candidates(spark, sf):
+    """One candidate for each model and family of the signals, some with sizes and caps of their own."""
+    return signals(spark, sf).select("model_name", "market_family").distinct().selectExpr(*CANDIDATE_COLUMNS)
 
 
 @query("p11_forward_scorecards")
 def p11(spark, sf):
-    return replay.forward_scorecards(forward_rows(spark, sf), candidates(spark), 25.0, 100.0, 5, 20)
+    return replay.forward_scorecards(forward_rows(spark, sf), candidates(spark, sf), 25.0, 100.0, 5, 20)
 
 
-@query("p21_evaluate_candidates")
+SWEEPS = [(c, t) for c in (0.4, 0.6) for t in (25.0, 50.0)]
+
+
+@query("p21_evaluate_candidates", f"""WITH {SIGNAL_SQL}, {CANDIDATE_SQL}, own AS (SELECT * REPLACE (coalesce(price_cap, entry_max) AS price_cap, coalesce(target, 25.0) AS target, coalesce(daily_cap, 100.0) AS daily_cap, coalesce(station_date_cap, 150.0) AS station_date_cap), execution_version = 'taker_v1' AS counts FROM cand),
+  m AS (SELECT o.*, s.station, s.market_date, s.ts, s.id, s.liquidity, s.minute_of_day, s.entry, s.correct, s.ts >= o.activated_at AS since FROM v_signal s JOIN own o ON o.model_id = s.model_name AND o.market_family = s.market_family AND (side = 'ANY' OR selected_side = side) AND edge >= edge_min AND entry >= entry_min AND entry <= entry_max WHERE correct IS NOT NULL),
+  seen AS (SELECT candidate_id, count(*) FILTER (WHERE NOT since) AS rows_before, count(*) FILTER (WHERE since AND counts) AS rows_since FROM m GROUP BY ALL),
+  f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id, station, market_date ORDER BY ts, id, liquidity) AS rn FROM m WHERE since AND counts) z WHERE rn = 1),
+  x AS (SELECT *, CASE WHEN entry <= price_cap THEN greatest(least(target, liquidity - 8), 0) ELSE 0 END AS c, CASE WHEN minute_of_day % 11 = 0 THEN 'EXECUTION_SUMMARY_UNAVAILABLE' WHEN entry > price_cap OR liquidity <= 8 THEN 'NO_CAPPED_EXECUTABLE_ASK' END AS known FROM f),
+  g AS (SELECT candidate_id, market_date, daily_cap, station_date_cap, list({{'k': known, 'c': c, 'p': CASE WHEN correct = 1 THEN c / entry - c ELSE -c END}} ORDER BY ts, id, liquidity) AS t FROM x GROUP BY ALL),
+  h AS (SELECT candidate_id, market_date, unnest(list_reduce(t, lambda a, r: {{'u': a.u + CASE WHEN r.k IS NULL AND a.u + r.c <= daily_cap + 1e-9 AND r.c <= station_date_cap + 1e-9 THEN r.c ELSE 0 END,
+      't': list_append(a.t, {{'k': CASE WHEN r.k IS NOT NULL THEN r.k WHEN a.u + r.c > daily_cap + 1e-9 THEN 'DAILY_RISK_CAP' WHEN r.c > station_date_cap + 1e-9 THEN 'STATION_DATE_CAP' END, 'c': r.c, 'p': r.p}})}}, {{'u': CAST(0 AS DOUBLE), 't': CAST([] AS STRUCT(k VARCHAR, c DOUBLE, p DOUBLE)[])}}).t) AS r FROM g),
+  sc AS (SELECT candidate_id, count(*) FILTER (WHERE r.k IS NULL) AS executed, count(DISTINCT CASE WHEN r.k IS NULL THEN market_date END) AS dates, sum(CASE WHEN r.k IS NULL THEN r.c END) AS cost, sum(CASE WHEN r.k IS NULL THEN r.p END) AS pnl,
+    {', '.join(f"count(*) FILTER (WHERE r.k = '{x}') AS {x.lower()}" for x in replay.REJECTIONS)} FROM h GROUP BY candidate_id)
+  SELECT own.candidate_id, family_id, coalesce(rows_before, 0) AS rows_before, coalesce(rows_since, 0) AS rows_since, coalesce(executed, 0) AS executed, coalesce(dates, 0) AS dates, cost, pnl, pnl / cost AS rr, {', '.join(f"coalesce(sc.{x.lower()}, 0) AS {x.lower()}" for x in replay.REJECTIONS)},
+    concat(CASE WHEN counts THEN '' ELSE 'EXECUTION_VERSION_MISMATCH,' END, 'MARKOUTS_UNAVAILABLE,', CASE WHEN coalesce(rows_since, 0) = 0 THEN 'NO_POST_ACTIVATION_MATCHING_DECISIONS,' ELSE '' END, 'VENUE_SETTLEMENT_UNAVAILABLE') AS blockers, 'CONTINUE_COLLECTING' AS disposition
+  FROM own LEFT JOIN seen USING (candidate_id) LEFT JOIN sc USING (candidate_id)""", "cost pnl rr", 4)
 def p21(spark, sf):
-    return replay.evaluate_candidates(forward_rows(spark, sf), candidates(spark), 25.0, 100.0, 60.0)
+    def sweep(cap, target):
+        cost = F.when(F.col("entry") <= cap, F.greatest(F.least(F.lit(target), F.col("liquidity") - 8), F.lit(0.0))).otherwise(0.0)
+        return F.struct(cost.alias("cost"), (cost / F.col("entry")).alias("shares"), F.when(cost > 0, F.col("entry")).alias("vwap"))
+
+    stored = F.create_map(*[v for c, t in SWEEPS for v in (F.lit(f"cap={c:.8f}|target={t:.8f}"), sweep(c, t))])
+    rows = signals(spark, sf).where("correct IS NOT NULL").withColumn("sweeps", F.when(F.col("minute_of_day") % 11 > 0, stored).otherwise(F.create_map().cast("map<string,struct<cost:double,shares:double,vwap:double>>")))
+    rows = rows.select(F.struct("id", "liquidity").alias("row_id"), "ts", "station", "market_date", "market_family", F.col("model_name").alias("model_id"), "selected_side", "edge", F.col("entry").alias("best_ask"), F.col("correct").alias("label"), "sweeps")
+    return replay.evaluate_candidates(rows, candidates(spark, sf), replay.ForwardDefaults("taker_v1"))
 
 
 def capped(spark, sf, model):
@@ -430,19 +472,35 @@ def p12(spark, sf):
     return out.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), F.sum("shares").alias("shares"))
 
 
-@query("p13_shared_caps")
+@query("p13_shared_caps", f"""WITH {SIGNAL_SQL}, g AS (SELECT market_date, list({{'a': CAST(model_name[2:] AS INTEGER), 's': station, 'c': CAST(cost AS DOUBLE)}} ORDER BY model_name, ts, id, liquidity) AS t FROM v_signal GROUP BY ALL),
+  h AS (SELECT unnest(list_reduce(t, lambda acc, r: {{'t': list_append(acc.t, {{'a': r.a, 's': r.s, 'c': r.c, 'k': CASE WHEN acc.d + r.c > 400 + 1e-9 THEN 'SHARED_DAILY_RISK_CAP' WHEN list_sum(list_append(list_transform(list_filter(acc.t, lambda q: q.k = 'TAKEN' AND q.s = r.s), lambda q: q.c), r.c)) > 60 + 1e-9 THEN 'SHARED_STATION_DATE_CAP' ELSE 'TAKEN' END}}),
+      'd': acc.d + CASE WHEN acc.d + r.c > 400 + 1e-9 OR list_sum(list_append(list_transform(list_filter(acc.t, lambda q: q.k = 'TAKEN' AND q.s = r.s), lambda q: q.c), r.c)) > 60 + 1e-9 THEN 0 ELSE r.c END}}, {{'t': CAST([] AS STRUCT(a INTEGER, s VARCHAR, c DOUBLE, k VARCHAR)[]), 'd': CAST(0 AS DOUBLE)}}).t) AS r FROM g)
+  SELECT r.a AS activation_rank, r.k AS reason, count(*) AS n, sum(r.c) AS cost FROM h GROUP BY ALL""", "cost")
 def p13(spark, sf):
-    rows = signals(spark, sf).select(F.substring("model_name", 2, 1).cast("int").alias("activation_rank"), "market_date", "station", "ts", F.struct("id", "liquidity").alias("row_id"), F.col("id"), "liquidity", "cost")
-    flat = rows.drop("row_id").withColumn("row_id", F.col("id") * 1000 + F.col("liquidity"))
-    return replay.shared_caps(flat, 400.0, 60.0).groupBy("activation_rank", F.coalesce("cap_reason", F.lit("TAKEN")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
+    rows = signals(spark, sf).select(F.substring("model_name", 2, 1).cast("int").alias("activation_rank"), "market_date", "station", "ts", F.struct("id", "liquidity").alias("row_id"), "cost")
+    return replay.shared_caps(rows, 400.0, 60.0).groupBy("activation_rank", F.coalesce("cap_reason", F.lit("TAKEN")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
+
+
+def _room(limit, *same):
+    test = " AND ".join(["TRUE", *[f"q.{k} = r.{k}" for k in same]])
+    return f"({limit} - list_sum(list_append(list_transform(list_filter(acc, lambda q: {test}), lambda q: q.z), 0.0)))"
+
+
+ROOM = f"greatest(0, least({_room(500.0)}, {_room(150.0, 'f', 's')}, {_room(120.0, 'f', 's', 'd')}, {_room(80.0, 'f', 's', 'd', 'b')}))"
 
 
-@query("p14_portfolio_replay")
+@query("p14_portfolio_replay", f"""WITH {SIGNAL_SQL}, w AS (SELECT *, CASE WHEN minute_of_day % 10 = 0 THEN 0.0 ELSE liquidity END AS depth FROM v_signal), g AS (SELECT market_date, list({{'m': model_name, 'f': market_family, 's': station, 'b': selected_bucket, 'd': selected_side, 'e': entry, 'p': pnl, 'y': CAST(depth AS DOUBLE), 'w': CAST(least(25.0, 50.0, depth) AS DOUBLE), 'z': CAST(0 AS DOUBLE), 'r': CAST(0 AS DOUBLE)}} ORDER BY model_name, ts, id, liquidity) AS t FROM w WHERE entry > 0 AND pnl IS NOT NULL GROUP BY ALL),
+  h AS (SELECT unnest(list_reduce(t, lambda acc, r: list_append(acc, {{'m': r.m, 'f': r.f, 's': r.s, 'b': r.b, 'd': r.d, 'e': r.e, 'p': r.p, 'y': r.y, 'w': r.w, 'z': CASE WHEN least(r.w, {ROOM}) < 5 THEN CAST(0 AS DOUBLE) ELSE least(r.w, {ROOM}) END, 'r': CAST({ROOM} AS DOUBLE)}}),
+      CAST([] AS STRUCT(m VARCHAR, f VARCHAR, s VARCHAR, b VARCHAR, d VARCHAR, e DOUBLE, p DOUBLE, y DOUBLE, w DOUBLE, z DOUBLE, r DOUBLE)[]))) AS r FROM g),
+  c AS (SELECT model_name AS spec, count(*) AS rows FROM v_signal GROUP BY ALL)
+  SELECT spec, any_value(rows) AS rows, count(*) AS candidate_rows, count(*) FILTER (WHERE r.z > 0) AS allocated_rows, sum(r.z) AS risk_usd, sum(CASE WHEN r.z > 0 THEN r.p / r.e * r.z END) AS pnl_usd, count(*) FILTER (WHERE r.z > 0 AND r.p > 0) AS wins,
+    count(*) FILTER (WHERE r.z = 0 AND NOT (r.r > 0 AND r.y <= 0)) AS skipped_capacity_rows, count(*) FILTER (WHERE r.z = 0 AND r.r > 0 AND r.y <= 0) AS skipped_depth_rows, avg(CASE WHEN r.z > 0 THEN r.e END) AS avg_entry, avg(CASE WHEN r.z > 0 THEN r.y END) AS avg_depth
+  FROM h JOIN c ON c.spec = r.m GROUP BY spec""", "risk_usd pnl_usd avg_entry avg_depth", 4)
 def p14(spark, sf):
+    depth = F.when(F.col("minute_of_day") % 10 == 0, F.lit(0.0)).otherwise(F.col("liquidity"))
     rows = signals(spark, sf).select(F.col("model_name").alias("spec"), F.substring("model_name", 2, 1).cast("int").alias("spec_rank"), "market_date", "market_family", "station", "selected_bucket", "selected_side", "ts",
-                                     (F.col("id") * 1000 + F.col("liquidity")).alias("row_id"), F.lit(25.0).alias("target"), F.col("liquidity").alias("depth"), "entry", "pnl")
-    got = replay.portfolio_replay(rows, replay.PortfolioCaps())
-    return replay.portfolio_summary(rows, got, ["spec"])
+                                     F.struct("id", "liquidity").alias("row_id"), F.lit(25.0).alias("target"), depth.alias("depth"), "entry", "pnl")
+    return replay.portfolio_summary(rows, replay.portfolio_replay(rows, replay.PortfolioCaps()), ["spec"])
 
 
 @query("p16_policy_positions", f"""WITH {SIGNAL_SQL}, x AS (SELECT 'a' AS policy, *, NULL AS bk, NULL AS sd FROM v_signal WHERE model_name = 'm1' AND strategy_bucket <> 'PROGRESS' AND entry >= 0.1 UNION ALL SELECT 'b', *, selected_bucket, selected_side FROM v_signal WHERE strategy_bucket = 'PROGRESS' AND edge >= 0.05),

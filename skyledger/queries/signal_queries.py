@@ -512,7 +512,7 @@ def x13(spark, sf):
         F.max(F.unix_micros(ready)).alias("last_ready_us"), F.countDistinct(ready).alias("decisions"))
 
 
-@query("x14_stable_id", None)
+@query("x14_stable_id", f"""WITH {SIGNAL_SQL}, j AS (SELECT station, sha256('{{"id":' || id || ',"liquidity":' || CAST(liquidity AS VARCHAR) || ',"station":"' || station || '"}}') AS sid FROM v_signal) SELECT station, count(DISTINCT sid) AS ids, min(sid) AS first_id FROM j GROUP BY station""")
 def x14(spark, sf):
     df = signals(spark, sf).select("station", money.stable_id("id", "liquidity", "station").alias("sid"))
     return df.groupBy("station").agg(F.countDistinct("sid").alias("ids"), F.min("sid").alias("first_id"))

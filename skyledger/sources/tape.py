@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENT = ("struct<collector_session_id:string,token_id:string,market_id:string,event_type:string,raw_payload:string,feed_timestamp:string,received_at_utc:string,"
@@ -13,18 +17,51 @@ def read_tape(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Events of JSON-lines segments and a quarantine of lines that fail a check, each with its reason.
 
     Every line is `{"event": ..., "sha256": ...}`; the checksum covers the event text as it stands in the line, so it is cut out
-    and never re-serialised. Compressed segments are one task each.
+    and never re-serialised. The byte offset of a line is the length of those before it in its file; an event that states another
+    one is refused, as is a last line without its end. Events that state none are not held against it. Lines of a file are put in
+    order by the block they were read from and their place in it, so segments (one rotation each) are as long as a task. Compressed
+    segments are one block, and their last line is judged by its text alone.
     """
-    lines = spark.read.text(path).withColumn("segment", F.input_file_name()).where(F.trim("value") != "")
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("segment"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    before = Window.partitionBy("segment").orderBy("_block", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    lines = rows.withColumn("byte_offset", F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0)).cast("long")).where(F.trim("value") != "")
     body = F.regexp_extract("value", r'^\s*\{"event":\s*(\{.*\})\s*,\s*"sha256":\s*"[0-9a-f]*"\s*\}\s*$', 1)
     stated = F.regexp_extract("value", r'"sha256":\s*"([0-9a-f]*)"\s*\}\s*$', 1)
-    rows = lines.withColumns({"_body": body, "_sha": stated}).withColumn("_e", F.from_json("_body", EVENT))
+    checked = lines.withColumns({"_body": body, "_sha": stated}).withColumn("_e", F.from_json("_body", EVENT))
+    cut = ~F.col("segment").endswith(".gz") & (F.col("byte_offset") + F.octet_length("value") >= F.col("_size"))
     reason = (
-        F.when(F.col("_body") == "", "truncated_or_malformed_line").when(F.sha2("_body", 256) != F.col("_sha"), "checksum_mismatch")
-        .when(F.col("_e.token_id").isNull() | F.col("_e.receipt_sequence").isNull(), "missing_event_fields"))
-    rows = rows.withColumn("reason", reason)
-    good = rows.where("reason is null").select("segment", "_e.*").withColumn("received_at", F.col("received_at_utc").try_cast("timestamp"))
-    return good, rows.where("reason is not null").select("segment", "value", "reason")
+        F.when((F.col("_body") == "") | cut, "truncated_or_malformed_line").when(F.sha2("_body", 256) != F.col("_sha"), "checksum_mismatch")
+        .when(F.col("_e.token_id").isNull() | F.col("_e.receipt_sequence").isNull(), "missing_event_fields")
+        .when(F.col("_e.append_offset") != F.col("byte_offset"), "stored_offset_mismatch"))
+    judged = checked.withColumn("reason", reason)
+    good = judged.where("reason is null").select("segment", "_e.*").withColumn("received_at", F.col("received_at_utc").try_cast("timestamp"))
+    return good, judged.where("reason is not null").select("segment", "byte_offset", "value", "reason")
+
+
+def write_segments(events: DataFrame, path: str, rotation_seconds: int = 300) -> None:
+    """Events as envelope lines that state their byte offset, one file for each session and rotation bucket, in receipt order.
+
+    `events` has the columns of an event but the offset, and received_at. A bucket is written by one task, which carries the length
+    of what it wrote.
+    """
+    head = F.to_json(F.struct(*[F.col(c) for c in events.columns if c not in ("received_at", "append_offset")]))
+    rows = partition_columns(events, rotation_seconds).select("collector_session_id", "part", "receipt_sequence", head.alias("head"))
+    dealt = rows.repartition("collector_session_id", "part").sortWithinPartitions("collector_session_id", "part", "receipt_sequence")
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, offset = None, 0
+        for batch in batches:
+            out = []
+            for session, part, text in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), strict=True):
+                if (session, part) != bucket:
+                    bucket, offset = (session, part), 0
+                body = f'{text[:-1]},"append_offset":{offset}}}'
+                out.append('{"event": %s, "sha256": "%s"}' % (body, hashlib.sha256(body.encode()).hexdigest()))
+                offset += len(out[-1].encode()) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["collector_session_id", "part", "value"])
+
+    written = dealt.mapInArrow(lines, "collector_session_id string, part long, value string")
+    written.write.mode("append").partitionBy("collector_session_id", "part").text(path)
 
 
 def encode_tape(events: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skyledger.operators.books import _number, parse_events
+from skyledger.session import materialize
 
 OUTPUT = ("token_id string, receipt_sequence long, received_at timestamp, kind string, coverage string, bids array<struct<price:double,size:double>>, "
           "asks array<struct<price:double,size:double>>")
@@ -84,3 +85,43 @@ def transition_coverage(open_intervals: DataFrame, changes: DataFrame) -> DataFr
 
     rows = open_intervals.select("token_id", "state", "started_at").unionByName(changes.select("token_id", "state", "started_at")).distinct()
     return scan.neighbour(rows, ["token_id"], scan.day_slice(F.col("started_at")), [F.col("started_at"), F.col("state")], "ended_at", F.col("started_at"), following=True)
+
+
+def upsert_coverage(changes: DataFrame, path: str, checkpoint: str):
+    """Streaming sink of coverage intervals: each batch of changes (token_id, state, started_at) closes open intervals and opens new ones.
+
+    A batch writes the intervals it closed and the state it leaves (one open interval a token) under its own number, replacing
+    what is there, from the state of the batch before. A batch that is delivered again thus writes the same and changes nothing.
+    Changes of a token arrive in the order of their times; one that is not newer than the open interval is no change.
+    """
+    kind = "token_id string, state string, started_at timestamp"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held = [n for n in batch_numbers(spark, f"{path}/open") if n < number]
+        opened = spark.read.schema(kind).parquet(f"{path}/open/batch={max(held)}") if held else spark.createDataFrame([], kind)
+        last = opened.select("token_id", F.col("started_at").alias("_last"))
+        newer = batch.select("token_id", "state", "started_at").join(last, ["token_id"], "left").where("_last IS NULL OR started_at > _last").drop("_last")
+        joined = materialize(transition_coverage(opened, newer))
+        joined.where("ended_at IS NOT NULL").write.mode("overwrite").parquet(f"{path}/closed/batch={number}")
+        joined.where("ended_at IS NULL").select("token_id", "state", "started_at").write.mode("overwrite").parquet(f"{path}/open/batch={number}")
+
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def batch_numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches that wrote below a folder, listed through Spark's file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(where) if s.getPath().getName().startswith("batch="))
+
+
+def read_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """(token_id, state, started_at, ended_at): all closed intervals and those the last batch left open."""
+    kind = "token_id string, state string, started_at timestamp"
+    closed = spark.read.schema(f"{kind}, ended_at timestamp").parquet(*[f"{path}/closed/batch={n}" for n in batch_numbers(spark, f"{path}/closed")])
+    opened = spark.read.schema(kind).parquet(f"{path}/open/batch={batch_numbers(spark, f'{path}/open')[-1]}").withColumn("ended_at", F.lit(None).cast("timestamp"))
+    return closed.unionByName(opened)

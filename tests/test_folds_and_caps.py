@@ -69,18 +69,20 @@ def test_portfolio_replay_equals_loop(spark):
     data = [(rnd.randrange(3), "d0" if rnd.random() < 0.7 else "d1", "HIGH", rnd.choice("ab"), rnd.choice(["60-61F", "62-63F"]), rnd.choice(["BUY_YES", "BUY_NO"]),
              i, rnd.choice([3.0, 10.0, 25.0]), rnd.choice([0.0, 4.0, 8.0, 100.0]), 0.5, rnd.choice([0.5, -0.5])) for i in range(600)]
     df = spark.createDataFrame(data, "spec_rank int, market_date string, market_family string, station string, selected_bucket string, selected_side string, row_id long, target double, depth double, entry double, pnl double")
-    got = {r.row_id: r.allocated for r in replay.portfolio_replay(df.withColumn("ts", F.timestamp_seconds("row_id")), caps).collect()}
-    used, want = {}, {}
+    out = replay.portfolio_replay(df.withColumn("ts", F.timestamp_seconds("row_id")), caps).collect()
+    got, skips = {r.row_id: r.allocated for r in out if r.allocated > 0}, {r.row_id: r.skip for r in out if r.skip}
+    used, want, why = {}, {}, {}
     for spec, d, fam, st, b, side, i, target, depth, _, _ in sorted(data, key=lambda r: (r[1], r[0], r[6])):
         keys = [("d", d), ("sd", fam, st, d), ("sds", fam, st, d, side), ("b", fam, st, d, b, side)]
         room = min(c - used.get(k, 0.0) for k, c in zip(keys, (caps.daily, caps.station_date, caps.side, caps.bucket)))
         size = min(target, caps.order, depth, room)
         if size < caps.minimum or size <= 0:
+            why[i] = "CAPACITY" if room <= 0 or depth > 0 else "DEPTH"
             continue
         for k in keys:
             used[k] = used.get(k, 0.0) + size
         want[i] = size
-    assert got == want
+    assert got == want and skips == why and len(out) == len(data)
 
 
 def test_incremental_after_peer_equals_loop(spark):
@@ -105,3 +107,27 @@ def test_incremental_after_peer_equals_loop(spark):
 def test_day_slice_is_monotone(spark):
     df = spark.range(5).select(scan.day_slice(F.timestamp_seconds(F.col("id") * 50_000)).alias("s"))
     assert [r.s for r in df.collect()] == sorted(r.s for r in df.collect())
+
+
+def test_candidates_are_rejected_for_the_first_reason(spark):
+    day = "2024-01-0"
+    rows = [  # id, ts, station, date, ask, sweep (None: none stored), label
+        (1, f"{day}1 09:00:00", "a", 1, 0.5, 25.0, 1),  # before activation
+        (2, f"{day}2 09:00:00", "a", 1, 0.5, 25.0, 1), (3, f"{day}2 10:00:00", "a", 1, 0.5, 25.0, 0),  # the second of its station and date
+        (4, f"{day}2 11:00:00", "b", 1, 0.5, None, 1), (5, f"{day}2 12:00:00", "c", 1, 0.5, 0.0, 1),
+        (6, f"{day}2 13:00:00", "d", 1, 0.5, 20.0, 0), (7, f"{day}2 14:00:00", "e", 1, 0.5, 25.0, 1), (8, f"{day}2 15:00:00", "f", 1, 0.5, 5.0, 1),
+        (9, f"{day}3 09:00:00", "a", 2, 0.5, 45.0, 1), (10, f"{day}3 09:00:00", "a", 2, 0.9, 25.0, 1),
+    ]
+    df = spark.createDataFrame([(i, t, s, d, a, x, y) for i, t, s, d, a, x, y in rows], "row_id long, ts string, station string, market_date int, best_ask double, x double, label int").selectExpr(
+        "row_id", "CAST(ts AS TIMESTAMP) AS ts", "station", "market_date", "'m' AS model_id", "'H' AS market_family", "'YES' AS selected_side", "0.1D AS edge", "best_ask", "label",
+        "CASE WHEN x IS NULL THEN CAST(map() AS MAP<STRING, STRUCT<cost: DOUBLE, shares: DOUBLE, vwap: DOUBLE>>) ELSE map('cap=0.60000000|target=25.00000000', struct(x AS cost, x / best_ask AS shares, CASE WHEN x > 0 THEN best_ask END AS vwap)) END AS sweeps")
+    kinds = "candidate_id string, family_id string, model_id string, market_family string, side string, entry_min double, entry_max double, edge_min double, complexity int, execution_version string, price_cap double, target double, daily_cap double, station_date_cap double"
+    made = [("own", "f", "m", "H", "ANY", 0.0, 0.6, 0.0, 1, "v1", None, None, 50.0, 30.0), ("old", "f", "m", "H", "ANY", 0.0, 0.6, 0.0, 1, "v0", None, None, None, None), ("none", "f", "z", "H", "ANY", 0.0, 0.6, 0.0, 1, "v1", None, None, None, None)]
+    given = spark.createDataFrame(made, kinds).withColumn("activated_at", F.lit("2024-01-02").cast("timestamp"))
+    got = {r.candidate_id: r for r in replay.evaluate_candidates(df, given, replay.ForwardDefaults("v1")).collect()}
+    own = got["own"]
+    assert (own.rows_before, own.rows_since, own.executed, own.dates, own.cost, own.pnl) == (1, 8, 3, 1, 50.0, 25.0 - 20.0 + 5.0)
+    assert (own.execution_summary_unavailable, own.no_capped_executable_ask, own.daily_risk_cap, own.station_date_cap) == (1, 1, 1, 1)
+    assert own.blockers == "MARKOUTS_UNAVAILABLE,VENUE_SETTLEMENT_UNAVAILABLE"
+    assert (got["old"].rows_since, got["old"].executed) == (0, 0) and got["old"].blockers.startswith("EXECUTION_VERSION_MISMATCH,MARKOUTS_UNAVAILABLE,NO_POST")
+    assert got["none"].blockers.startswith("MARKOUTS_UNAVAILABLE,NO_POST")

@@ -49,6 +49,18 @@ def test_single_class_falls_back(spark):
     assert [(r.fallback_reason, r.calibrated) for r in out] == [("NO_PRIOR_DATES", 0.5), ("INSUFFICIENT_ROWS", 0.6)]
 
 
+def test_a_label_resolved_after_the_first_decision_teaches_nothing(spark):
+    rows = [(d, h, r, 0.3 + 0.1 * (h % 4), (d + h) % 2) for d in range(1, 6) for h in range(12) for r in [d * 100 + (250 if h % 3 == 0 else 50)]]
+    df = spark.createDataFrame([(d, d * 100 + h, r, p, y, 1.0) for d, h, r, p, y in rows], "d int, at int, known int, p double, y int, w double")
+    out = calibrate.walk_forward_calibration(df, "d", "p", "y", "w", min_rows=4, decided_at="at", resolved_at="known")
+    seen = {d: sum(e < d and known < d * 100 for e, _, known, _, _ in rows) for d in range(1, 6)}
+    assert {r.d: r.train_rows or 0 for r in out.select("d", "train_rows").distinct().collect()} == seen
+    late = df.withColumn("y", F.when(F.col("known") >= 400, 1 - F.col("y")).otherwise(F.col("y")))
+    other = calibrate.walk_forward_calibration(late, "d", "p", "y", "w", min_rows=4, decided_at="at", resolved_at="known")
+    values = [sorted(r.calibrated for r in o.where("d = 4").collect()) for o in (out, other)]
+    assert np.allclose(values[0], values[1]) and seen[4] > 4
+
+
 def test_changing_holdout_labels_leaves_the_choice(spark):
     rows = rule_rows(spark, "/root/testdata/sf0.01").where("model_id = 'm0'")
     rules = grid(rows).where("model_id = 'm0' and observation_delay_bucket is null and spread_maximum is null")

@@ -63,11 +63,17 @@ def test_unresolved_dates_do_not_count(spark):
     assert [(r.prior_dates, r.reserve) for r in got] == [(0, 0.02), (1, 0.10), (1, 0.10), (2, 0.10), (4, 0.50)]
 
 
+def test_dates_without_a_residual_count_for_none(spark):
+    given = [0.5, None, 0.1, 0.9, 0.2, 0.3, 0.05, 0.4]
+    df = spark.createDataFrame([("k", dt.date(2024, 1, 1 + i), r) for i, r in enumerate(given)], "model string, d date, r double")
+    got = pricing.uncertainty_reserve(df, ["model"], "d", "r", 0.8, 0.0).orderBy("d").collect()
+    assert [r.prior_dates for r in got] == [0, 1, 1, 2, 3, 4, 5, 6] and [r.reserve for r in got] == [0.0, 0.5, 0.5, 0.5, 0.9, 0.9, 0.5, 0.5]
+
+
 def test_evidence_labels_and_families(spark):
     rows = [(0, 3, 9, None, None), (4, 0, 9, 9.0, 9.0), (5, 0, 2, 9.0, 9.0), (5, 0, 3, 0.3, 0.26), (5, 0, 3, -0.1, -0.1), (5, 0, 3, -0.1, None), (5, 6, 3, 0.1, 0.1), (5, 5, 3, 0.2, 0.26)]
-    df = spark.createDataFrame(rows, "resolved int, pending int, stations int, r double, s double")
-    label = leaderboard.evidence_label({c: F.col(c) for c in ("resolved", "pending", "stations")}, F.col("r"), F.col("s"))
-    assert [r[0] for r in df.select(label).collect()] == ["PENDING", "TINY_N", "CONCENTRATED", "PROMISING", "WEAK", "WATCH", "PENDING_HEAVY", "WATCH"]
+    df = spark.createDataFrame(rows, "resolved int, pending int, stations int, rr double, sharpe double")
+    assert [r[0] for r in df.select(leaderboard.evidence_label()).collect()] == ["PENDING", "TINY_N", "CONCENTRATED", "PROMISING", "WEAK", "WATCH", "PENDING_HEAVY", "WATCH"]
     names = ["x_metar+hrrr_1", "hrrr_rich_2", "hrrr_v2", "obs_x", "x_obs_", "low_1", "global_a", None]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(leaderboard.family_of(F.col("n"))).collect()]
     assert got == ["metar_hrrr_rich", "hrrr_rich", "hrrr_v2_basic", "obs_pm_us12", "other", "low", "global", "other"]

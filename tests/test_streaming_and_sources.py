@@ -10,7 +10,7 @@ from skyledger.functions import buckets, weather
 from skyledger.operators import books, tape_joins
 from skyledger.queries.views import tape as tape_view
 from skyledger.sources import markets, tables, tape
-from skyledger.streaming.books import stream_books, transition_coverage
+from skyledger.streaming.books import read_coverage, stream_books, transition_coverage, upsert_coverage
 from skyledger.streaming.guards import dedupe, interval_metrics
 
 SF = "/root/testdata/sf0.001"
@@ -91,6 +91,49 @@ def test_tape_segments_round_trip_and_quarantine(spark, tmp_path):
     assert again.count() == 3 and none.count() == 0
 
 
+def test_offsets_and_cut_lines(spark, tmp_path):
+    rows = [("s", "t", "book", "{}", f"2024-01-01T00:0{i % 3}:{i:02d}.000000Z", i, "VALID" + "é" * (i % 4)) for i in range(40)]
+    events = spark.createDataFrame(rows, "collector_session_id string, token_id string, event_type string, raw_payload string, received_at_utc string, receipt_sequence long, coverage_state string")
+    tape.write_segments(events.withColumn("received_at", F.col("received_at_utc").cast("timestamp")), str(tmp_path / "seg"), 60)
+    files = sorted((tmp_path / "seg").rglob("*.txt"))
+    good, refused = tape.read_tape(spark, str(tmp_path / "seg"))
+    assert len(files) == 3 and good.count() == 40 and refused.count() == 0
+    (tmp_path / "bad").mkdir()
+    lines = files[0].read_bytes().splitlines(keepends=True)
+    (tmp_path / "bad" / "gap.txt").write_bytes(b"".join(lines[:3] + lines[4:]))  # a line is gone, so all after it stand elsewhere
+    (tmp_path / "bad" / "cut.txt").write_bytes(b"".join(lines)[:-1])  # whole JSON, but no end of the line
+    good, refused = tape.read_tape(spark, str(tmp_path / "bad"))
+    by = {}
+    for r in refused.collect():
+        by.setdefault(r.segment.rsplit("/", 1)[1], []).append(r.reason)
+    assert by == {"gap.txt": ["stored_offset_mismatch"] * (len(lines) - 4), "cut.txt": ["truncated_or_malformed_line"]}
+    assert good.count() == 3 + len(lines) - 1
+    offsets = {r.byte_offset for r in refused.where("reason = 'truncated_or_malformed_line'").collect()}
+    assert offsets == {sum(map(len, lines[:-1]))}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        assert tape.read_tape(spark, str(tmp_path / "seg"))[0].count() == 40  # read in many blocks
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_batch_delivered_again_changes_nothing(spark, tmp_path):
+    mk = lambda rows: spark.createDataFrame(rows, "token_id string, state string, s long").withColumn("started_at", F.timestamp_seconds("s")).drop("s")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    first, second = mk([("t", "RESYNCING", 0), ("u", "VALID", 5)]), mk([("t", "VALID", 10), ("t", "VALID", 10), ("t", "GAPPED", 20)])
+
+    def run(state):
+        stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        upsert_coverage(stream, out, str(tmp_path / state)).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.token_id, r.state, r.ended_at is None) for r in read_coverage(spark, out).collect())
+
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(src)
+    want = [("t", "GAPPED", True), ("t", "RESYNCING", False), ("t", "VALID", False), ("u", "VALID", True)]
+    assert run("a") == want
+    assert run("b") == want  # the stream's own record is lost and every batch comes again
+
+
 def test_messages_fan_out(spark):
     msgs = [json.dumps([{"event_type": "book", "asset_id": "a", "bids": [{"price": "0.4", "size": "1"}], "asks": []}]),
             json.dumps({"event_type": "price_change", "price_changes": [{"asset_id": "a", "side": "BUY", "price": "0.4", "size": "2"}, {"token_id": "b", "side": "SELL", "price": "0.5", "size": "0"}]}),
