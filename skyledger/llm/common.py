@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FOLDS = 5
@@ -29,9 +29,16 @@ def lower_ascii(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(folded)
 
 
-def first_ranked(df: DataFrame, group: str, order: Column, most: int) -> DataFrame:
-    """The `most` first rows of every group; Spark limits each map task before its shuffle."""
-    from pyspark.sql import Window
+def first_ranked(df: DataFrame, group: str, hashed: Column, order: list[str], most: int) -> DataFrame:
+    """The `most` first rows of every group, by a hash of 64 bits and then `order`.
 
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(order)))
-    return ranked.filter(F.col("_rank") <= most).drop("_rank")
+    Rows are counted by group and the hash's first 12 bits, and only those below the bound that this sets are ranked: `most`
+    and a 4096th of the group, wherever its rows lie.
+    """
+    rows = df.withColumn("_hash", hashed).withColumn("_bits", F.shiftright("_hash", 52))
+    counts = rows.groupBy(group, "_bits").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_bits").rowsBetween(Window.unboundedPreceding, -1))
+    within = counts.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < most).select(group, "_bits")
+    near = rows.join(within, [group, "_bits"], "left_semi")
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_hash", *order)))
+    return ranked.filter(F.col("_rank") <= most).drop("_rank", "_hash", "_bits")

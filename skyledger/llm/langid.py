@@ -22,7 +22,7 @@ from skyledger.llm.tokens import public_path
 
 PIECES = "piece_bpe_32k.model"
 DOCS_A_LANGUAGE = 400  # labelled rows the fit takes of each language, at most
-LONGEST = 8  # letters of a piece
+SCALED = 40  # letters; the sums of longer words are kept as logarithms
 ROUNDS = 3
 FLOOR = 1e-7  # probability of a letter that is no piece, and of a piece a language never used
 MOST_WORDS = 250_000  # words a worker remembers before it starts anew
@@ -40,7 +40,7 @@ def letter_pieces(path: str | None = None) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_path(PIECES))
     names = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in names if LETTERS.fullmatch(p.lstrip("▁")) and p == p.lower() and p.count("▁") <= 1 and len(p) <= LONGEST + p.startswith("▁")})
+    return sorted({p for p in names if LETTERS.fullmatch(p.lstrip("▁")) and p == p.lower() and p.count("▁") <= 1})
 
 
 class Lattice:
@@ -51,6 +51,7 @@ class Lattice:
         self.hashes = np.array([self._hash("▁" + p[1:] if p.startswith("▁") else p) for p in pieces], np.uint64)
         order = np.argsort(self.hashes)
         self.sorted, self.ids = self.hashes[order], order + 1
+        self.longest = max((len(p.lstrip("▁")) for p in pieces), default=1)
         if len(np.unique(self.sorted)) < len(pieces):
             raise ValueError("two pieces hash alike")
 
@@ -77,7 +78,7 @@ class Lattice:
                 found: list[dict[int, np.ndarray]] = [{} for _ in range(n + 2)]
                 for start in range(n + 1):
                     h = np.zeros(len(rows), np.uint64)
-                    for end in range(start + 1, min(n + 1, start + LONGEST + (start == 0)) + 1):
+                    for end in range(start + 1, min(n + 1, start + self.longest + (start == 0)) + 1):
                         h = h * self.factor + codes[:, end - 1]
                         found[end][start] = self.find(h)
                 yield rows, n, found
@@ -97,8 +98,8 @@ def forward(found: list[dict[int, np.ndarray]], n: int, table: np.ndarray) -> tu
             p = table[ids]
             if end - start == 1:
                 p = np.maximum(p, FLOOR)
-            total += alpha[start] * p * (np.exp(log_scale[start] - base) if n > 40 else 1.0)
-        if n > 40:  # rescaled, as long words would run out of range
+            total += alpha[start] * p * (np.exp(log_scale[start] - base) if n > SCALED else 1.0)
+        if n > SCALED:  # rescaled, as long words would run out of range
             total = np.maximum(total, 1e-300)
             alpha.append(np.ones_like(total))
             log_scale.append(base + np.log(total))
@@ -126,7 +127,8 @@ def expected_counts(model: UnigramModel, words: list[str], counts: np.ndarray) -
     """Expected uses of each piece by language; `counts` has a row per word and a column per language."""
     uses = np.zeros_like(model.table)
     for rows, n, found in model.lattice.edges(words):
-        if n > 40:
+        if n > SCALED:
+            _long_counts(model.table, found, n, counts[rows], uses)
             continue
         _, alpha, _ = forward(found, n, model.table)
         beta = [np.zeros_like(alpha[0]) for _ in range(n + 2)]
@@ -146,6 +148,22 @@ def expected_counts(model: UnigramModel, words: list[str], counts: np.ndarray) -
     return uses
 
 
+def _long_counts(table: np.ndarray, found: list[dict[int, np.ndarray]], n: int, counts: np.ndarray, uses: np.ndarray) -> None:
+    """Adds the expected uses of pieces in long words; forward and backward sums are logarithms."""
+    whole, _, ahead = forward(found, n, table)
+    behind = [np.full_like(whole, -np.inf) for _ in range(n + 2)]
+    behind[n + 1][:] = 0.0
+    with np.errstate(divide="ignore"):
+        for end in range(n + 1, 0, -1):
+            for start, ids in found[end].items():
+                p = table[ids]
+                flow = np.log(np.maximum(p, FLOOR) if end - start == 1 else p) + behind[end]
+                behind[start] = np.logaddexp(behind[start], flow)
+                share = np.exp(ahead[start] + flow - whole) * counts
+                for k in range(share.shape[1]):
+                    uses[:, k] += np.bincount(ids, share[:, k], len(uses))
+
+
 def fit(texts: list[tuple[str, str]], totals: dict[str, int], pieces: list[str], rounds: int = ROUNDS) -> UnigramModel:
     """From (language, text) pairs and the labelled rows of each language."""
     languages = sorted(totals)
@@ -170,8 +188,8 @@ def learn(docs: DataFrame, pieces: list[str] | None = None, most: int = DOCS_A_L
     """Fits on at most `most` documents a language, in the order of a hash of their ids; never on the held-out fold."""
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull())
     totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    ranked = first_ranked(labelled.filter("text is not null").select("lang", "doc_id").distinct(), "lang", F.struct(F.xxhash64("doc_id"), "doc_id"), most)
-    chosen = labelled.filter("text is not null").join(F.broadcast(ranked.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi")  # at most `most` short rows a language
+    ranked = first_ranked(labelled.filter("text is not null").select("lang", "doc_id").distinct(), "lang", F.xxhash64("doc_id"), ["doc_id"], most)
+    chosen = labelled.filter("text is not null").join(ranked.select("lang", "doc_id"), ["lang", "doc_id"], "left_semi")  # at most `most` short rows a language
     texts = [(r.lang, r.text) for r in chosen.select("lang", "text").collect()]
     return fit(sorted(texts), totals, pieces or letter_pieces())
 

@@ -74,10 +74,11 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every whole text, from a chain fitted on labelled documents of the other four folds."""
+    """Toxicity of every whole text and the places of its toxic spans, from a chain fitted on labelled documents of the other four folds."""
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, table(spark, sf_dir, "labels")), with_spans=True)
+    spans = F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
 
 
 @query("op8_token_files")

@@ -228,19 +228,25 @@ class Tagger:
         p, ends = self.texts(texts)
         return 1 / (1 + np.exp(-np.clip(document_features(p, ends) @ self.model.document, -30, 30)))
 
-    def spans(self, text: str | None, least: float = 0.5) -> list[tuple[int, int]]:
-        """Character offsets [start, end) of runs of tokens whose marginal is at least `least`."""
-        p, _ = self.texts([text])
-        out: list[tuple[int, int]] = []
-        joined = False
-        for m, q in zip(TOKEN.finditer(folded(text or "")), p.tolist(), strict=False):
-            if q >= least:
-                if joined:
+    def tagged(self, texts: list[str | None], least: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+        """(scores, spans) of texts: spans are character offsets [start, end) of runs of tokens whose marginal is at least `least`."""
+        p, ends = self.texts(texts)
+        scores = 1 / (1 + np.exp(-np.clip(document_features(p, ends) @ self.model.document, -30, 30)))
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        high = p >= least
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(high), "right")).tolist():
+            joined, out = False, spans[k]
+            for m, toxic in zip(TOKEN.finditer(folded(texts[k] or "")), high[begins[k] : int(ends[k])].tolist(), strict=False):
+                if toxic and joined:
                     out[-1] = (out[-1][0], m.end())
-                else:
+                elif toxic:
                     out.append((m.start(), m.end()))
-            joined = q >= least
-        return out
+                joined = toxic
+        return scores, spans
+
+    def spans(self, text: str | None, least: float = 0.5) -> list[tuple[int, int]]:
+        return self.tagged([text], least)[1][0]
 
 
 def fit(rows: list[tuple[int, str]], prior: float) -> ToxicModel:
@@ -273,9 +279,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out())
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     with_text = known.join(docs.filter("text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    order = F.struct(F.xxhash64("doc_id"), "doc_id")
-    chosen = first_ranked(with_text, "toxic", order, max(MOST_TOXIC, MOST_CLEAN)).withColumn("nth", F.xxhash64("doc_id"))
-    picked = first_ranked(chosen.filter("toxic = 1"), "toxic", order, MOST_TOXIC).unionByName(chosen.filter("toxic <> 1")).select("doc_id", "toxic", "nth")
+    sides = [first_ranked(with_text.filter(side), "toxic", F.xxhash64("doc_id"), ["doc_id"], most) for side, most in (("toxic = 1", MOST_TOXIC), ("toxic <> 1", MOST_CLEAN))]
+    picked = sides[0].unionByName(sides[1]).select("doc_id", "toxic", F.xxhash64("doc_id").alias("nth"))
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")  # a few thousand ids at most
     texts = sorted((r.nth, int(r.toxic == 1), r.text) for r in rows.collect())
     toxic = totals.get(1, 0)
@@ -300,9 +305,10 @@ def score(docs: DataFrame, model: ToxicModel, with_spans: bool = False) -> DataF
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = part.column(text_at).to_pylist()
-                columns, names = [*part.columns, pa.array(tagger.scores(texts), pa.float64())], [*kept, "toxic_score"]
+                scores, found = tagger.tagged(texts) if with_spans else (tagger.scores(texts), [])
+                columns, names = [*part.columns, pa.array(scores, pa.float64())], [*kept, "toxic_score"]
                 if with_spans:
-                    spans = [[{"start": a, "stop": b} for a, b in tagger.spans(t)] for t in texts]
+                    spans = [[{"start": a, "stop": b} for a, b in own] for own in found]
                     columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))))
                     names.append("toxic_spans")
                 yield pa.RecordBatch.from_arrays(columns, names)
