@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import text_key
@@ -89,11 +89,28 @@ def directory(assigned: DataFrame) -> DataFrame:
     return shards.crossJoin(F.broadcast(most)).select("shard", "depth", (node * width).alias("first_slot"), (node * width + width - 1).alias("last_slot"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """(at, id, key, copy) of stored rows (at, id, key): rows alike are numbered from 0, file by file, so that copies of one text are
+    never in one task."""
+    file = F.shiftright("at", 33)
+    placed = rows.select("at", "id", "key", file.alias("file"))
+    counts = placed.groupBy("id", "key", "file").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("id", "key").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select(F.col("id").alias("b_id"), F.col("key").alias("b_key"), F.col("file").alias("b_file"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("id", "key", "file").orderBy("at")) - 1
+    own = placed.withColumn("within", within)
+    joined = own.join(base, own.id.eqNullSafe(base.b_id) & (own.key == base.b_key) & (own.file == base.b_file))
+    return joined.select("at", "id", "key", (F.col("ahead") + F.col("within")).alias("copy"))
+
+
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Rows with all their columns as Parquet below `path`, one folder per shard (the column `shard`, replaced if there)."""
-    place = assign(docs, limit).groupBy("doc_id", "text_key").agg(F.collect_list("shard").alias("shards"))
+    """Rows with all their columns as Parquet below `path`, one folder per shard (the column `shard`, replaced if there).
+
+    Rows alike in id and text take the places of their copies one by one, so a shard holds what was assigned to it.
+    """
+    place = assign(docs, limit).select(F.col("doc_id").alias("p_id"), F.col("text_key").alias("p_key"), F.col("copy").alias("p_copy"), "shard")
     packed = docs.select(F.struct(*[c for c in docs.columns if c != "shard"]).alias("row"), F.col("doc_id").alias("id"), text_key().alias("key"))
-    joined = packed.join(place, packed.id.eqNullSafe(place.doc_id) & (packed.key == place.text_key))
-    # copies are alike, so each row may take any of its copies' shards; a hash over the row's place deals them out
-    nth = F.pmod(F.monotonically_increasing_id(), F.size("shards").cast("long")).cast("int")
-    joined.select("row.*", F.get("shards", nth).alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    stored = materialize(packed.withColumn("at", F.monotonically_increasing_id()))
+    copies = numbered(stored)
+    where = copies.join(place, copies.id.eqNullSafe(place.p_id) & (copies.key == place.p_key) & (copies.copy == place.p_copy)).select("at", "shard")
+    stored.select("at", "row").join(where, "at").select("row.*", "shard").repartition("shard").write.partitionBy("shard").parquet(path)

@@ -439,6 +439,18 @@ def test_written_shards(odd_docs, tmp_path):
     assert back.count() == odd_docs.count() and {*back.columns} == {*odd_docs.columns, "shard"}
 
 
+def test_written_shards_keep_the_limit(spark, tmp_path):
+    rows = [(k % 40, "x" * (30 + k % 40), k) for k in range(400)] + [(1000, "y" * 50, k) for k in range(300)] + [(None, "z" * 20, 1)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra long").repartition(5)
+    sharding.write_shards(docs, str(tmp_path / "out"), limit=500)
+    back = spark.read.schema("doc_id long, text string, extra long, shard string").parquet(str(tmp_path / "out")).collect()
+    sizes = collections.Counter()
+    for r in back:
+        sizes[r.shard] += len(r.text)
+    assert max(sizes.values()) <= 500
+    assert collections.Counter((r.doc_id, r.text, r.extra) for r in back) == collections.Counter(rows)
+
+
 def test_secret_scan(spark, odd_docs, no_docs):
     import random
 
