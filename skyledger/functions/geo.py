@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skyledger.functions.arrays import let
+
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = (
@@ -68,4 +70,5 @@ def radiation_surprise(dsr_mean: Column, shortwave: Column, latitude: Column, lo
     seen = toa_irradiance(latitude, longitude, shifted(-trailing_minutes / 2))
     ahead = sum((toa_irradiance(latitude, longitude, shifted(m)) for m in (90, 150)),
                 toa_irradiance(latitude, longitude, shifted(30))) / 3.0
-    return F.when((seen >= 50.0) & (ahead >= 50.0), dsr_mean / seen - shortwave / ahead)
+    # named once, as either stands in the test and in the ratio
+    return let(F.array(seen, ahead), lambda sun: F.when((sun[0] >= 50.0) & (sun[1] >= 50.0), dsr_mean / sun[0] - shortwave / sun[1]))
