@@ -139,19 +139,51 @@ def b08(spark, sf):
     return books.decision_summaries(book, CAPS, TARGETS).fillna("", ["rejection_reason"])
 
 
-@query("b05_walk_ladder")
+def _qp(x):
+    return f"round_even(greatest(0.0, least(1.0, {x})) + 1e-12, 4)"
+
+
+def _qu(x):
+    return f"round_even(greatest(0.0, {x}) + 1e-12, 2)"
+
+
+def _qs(x):
+    return f"round_even(greatest(0.0, {x}) + 1e-12, 6)"
+
+
+def walk_sql(orders: str) -> str:
+    """The quantised walk of `orders` (okey, token_id, lim, target, cap) over the asks of a book, a level a step: `walked` (okey, shares,
+    cost, lft, levels)."""
+    return f"""al AS (SELECT token_id, tick / 100.0 AS price, CAST(size AS DOUBLE) AS size, row_number() OVER (PARTITION BY token_id ORDER BY tick) AS at FROM bk WHERE side = 'SELL'),
+  walk AS (SELECT okey, token_id, {_qp('lim')} AS lq, {_qp('cap')} AS cq, {_qu('target')} AS tq, 0 AS n, CAST(0 AS DOUBLE) AS shares, CAST(0 AS DOUBLE) AS cost, {_qs(_qu('target') + ' / ' + _qp('lim'))} AS lft, 0 AS levels, false AS done FROM {orders} WHERE {_qp('lim')} > 0
+    UNION ALL
+    SELECT okey, token_id, lq, cq, tq, n + 1, CASE WHEN use THEN {_qs('shares + fin')} ELSE shares END, CASE WHEN use THEN {_qu('cost + ' + _qu('fin * p'))} ELSE cost END, CASE WHEN use THEN {_qs('lft - fin')} ELSE lft END, levels + CAST(use AS INTEGER), stop OR (use AND {_qs('lft - fin')} <= 0)
+    FROM (SELECT *, NOT (stop OR skip) AS use FROM (SELECT *, coalesce(done OR budget <= 0 OR (NOT skip AND ((ov AND (p <= cq OR shares <= 0)) OR (ov AND part <= 0))), false) AS stop, CASE WHEN ov THEN part ELSE take END AS fin
+    FROM (SELECT *, (cost + take * p) / nullif(shares + take, 0) > cq AS ov, least(take, {_qs('(cq * shares - cost) / nullif(p - cq, 0)')}) AS part, p <= 0 OR take <= 0 AS skip
+    FROM (SELECT w.*, {_qp('price')} AS p, {_qu('tq - cost')} AS budget, least(lft, {_qs('size')}, {_qs(_qu('tq - cost') + ' / nullif(' + _qp('price') + ', 0)')}) AS take FROM walk w JOIN al ON al.token_id = w.token_id AND al.at = w.n + 1) a) b) c) d),
+  walked AS (SELECT okey, arg_max(shares, n) AS shares, arg_max(cost, n) AS cost, arg_max(lft, n) AS lft, arg_max(levels, n) AS levels FROM walk GROUP BY okey)"""
+
+
+@query("b05_walk_ladder", f"""WITH RECURSIVE {AT_SQL}, o AS (SELECT token_id AS okey, token_id, min(tick) / 100.0 AS lim, 50.0 AS target, min(tick) / 100.0 + 0.02 AS cap FROM bk WHERE side = 'SELL' GROUP BY token_id), {walk_sql('o')}
+  SELECT s.token_id, coalesce(shares, 0) AS shares, coalesce(cost, 0) AS cost, CASE WHEN shares > 0 THEN {_qp('cost / shares')} END AS avg_price, coalesce(levels, 0) AS levels, coalesce(lft, 0) AS remaining FROM s LEFT JOIN walked ON okey = s.token_id""", "shares cost avg_price remaining", 4)
 def b05(spark, sf):
     book = books.book_at(tape(spark, sf), F.col("received_at") <= F.lit("2024-01-20 00:00:00").cast("timestamp"))
     best = F.try_element_at("asks", F.lit(1))["price"]
     return book.withColumn("w", books.walk_ladder(F.col("asks"), best, F.lit(50.0), best + 0.02)).select("token_id", "w.*")
 
 
-@query("b06_liquidity_summary")
+@query("b06_liquidity_summary", f"""WITH RECURSIVE {AT_SQL}, q AS (SELECT token_id, max(tick) FILTER (WHERE side = 'BUY') / 100.0 AS best_bid, min(tick) FILTER (WHERE side = 'SELL') / 100.0 AS best_ask FROM bk GROUP BY token_id),
+  o AS (SELECT token_id || ':' || cap_name || ':' || target AS okey, token_id, best_bid, best_ask, best_ask AS lim, cap_name, target, {_qp('best_ask + off')} AS cap FROM q, (VALUES ('ask', 0.0), ('ask_plus_0_01', 0.01), ('ask_plus_0_03', 0.03), ('ask_plus_0_05', 0.05)) c(cap_name, off), (VALUES (25.0), (50.0), (100.0), (250.0), (500.0)) t(target) WHERE best_ask IS NOT NULL), {walk_sql('o')},
+  dp AS (SELECT okey, {_qu('sum(price * size)')} AS depth FROM o JOIN al ON al.token_id = o.token_id AND {_qp('price')} <= cap GROUP BY okey)
+  SELECT o.token_id, cap_name, CAST(target AS DOUBLE) AS target_usd, best_bid, best_ask, best_ask - best_bid AS spread, coalesce(depth, 0) AS depth_at_cap, w.cost AS fillable_usd, w.shares AS filled_shares, CASE WHEN w.shares > 0 THEN {_qp('w.cost / w.shares')} END AS vwap, w.levels AS levels_consumed, w.cost + 1e-9 >= target AS fully_fillable
+  FROM o LEFT JOIN walked w ON w.okey = o.okey LEFT JOIN dp ON dp.okey = o.okey""", "target_usd best_bid best_ask spread depth_at_cap fillable_usd filled_shares vwap", 4)
 def b06(spark, sf):
     return books.liquidity_summary(books.book_at(tape(spark, sf), F.col("received_at") <= F.lit("2024-01-20 00:00:00").cast("timestamp")))
 
 
-@query("b10_ladder_fill")
+@query("b10_ladder_fill", f"""WITH RECURSIVE {AT_SQL}, {DEC_SQL}, o AS (SELECT decision_id AS okey, token_id, round(0.5 + CAST(k AS DOUBLE) / 101 / 2, 2) AS lim, 20.0 + decision_id % 80 AS target, round(0.5 + CAST(k AS DOUBLE) / 101 / 2, 2) + 0.02 AS cap FROM v_dec), {walk_sql('o')},
+  h AS (SELECT DISTINCT token_id FROM al), f AS (SELECT CASE WHEN h.token_id IS NULL THEN 'MISSING_ASKS' WHEN shares <= 0 OR cost < 1 THEN 'INSUFFICIENT_DEPTH' WHEN lft <= 0 THEN 'FILLED' ELSE 'PARTIAL' END AS reason, cost FROM o LEFT JOIN h ON h.token_id = o.token_id LEFT JOIN walked w ON w.okey = o.okey)
+  SELECT CASE WHEN reason IN ('FILLED', 'PARTIAL') THEN reason ELSE 'REJECTED' END AS state, reason, count(*) AS n, sum(CASE WHEN reason IN ('FILLED', 'PARTIAL') THEN cost ELSE 0 END) AS cost FROM f GROUP BY reason""", "cost", 2)
 def b10(spark, sf):
     df = tape(spark, sf)
     book = books.book_at(df, F.col("received_at") <= F.lit("2024-01-20 00:00:00").cast("timestamp"))
