@@ -493,7 +493,7 @@ ROOM = f"greatest(0, least({_room(500.0)}, {_room(150.0, 'f', 's')}, {_room(120.
   h AS (SELECT unnest(list_reduce(t, lambda acc, r: list_append(acc, {{'m': r.m, 'f': r.f, 's': r.s, 'b': r.b, 'd': r.d, 'e': r.e, 'p': r.p, 'y': r.y, 'w': r.w, 'z': CASE WHEN least(r.w, {ROOM}) < 5 THEN CAST(0 AS DOUBLE) ELSE least(r.w, {ROOM}) END, 'r': CAST({ROOM} AS DOUBLE)}}),
       CAST([] AS STRUCT(m VARCHAR, f VARCHAR, s VARCHAR, b VARCHAR, d VARCHAR, e DOUBLE, p DOUBLE, y DOUBLE, w DOUBLE, z DOUBLE, r DOUBLE)[]))) AS r FROM g),
   c AS (SELECT model_name AS spec, count(*) AS rows FROM v_signal GROUP BY ALL)
-  SELECT spec, any_value(rows) AS rows, count(*) AS candidate_rows, count(*) FILTER (WHERE r.z > 0) AS allocated_rows, sum(r.z) AS risk_usd, sum(CASE WHEN r.z > 0 THEN r.p / r.e * r.z END) AS pnl_usd, count(*) FILTER (WHERE r.z > 0 AND r.p > 0) AS wins,
+  SELECT spec, any_value(rows) AS rows, count(*) AS candidate_rows, count(*) FILTER (WHERE r.z > 0) AS allocated_rows, sum(r.z) AS risk_usd, coalesce(sum(CASE WHEN r.z > 0 THEN r.p / r.e * r.z END), 0) AS pnl_usd, count(*) FILTER (WHERE r.z > 0 AND r.p > 0) AS wins,
     count(*) FILTER (WHERE r.z = 0 AND NOT (r.r > 0 AND r.y <= 0)) AS skipped_capacity_rows, count(*) FILTER (WHERE r.z = 0 AND r.r > 0 AND r.y <= 0) AS skipped_depth_rows, avg(CASE WHEN r.z > 0 THEN r.e END) AS avg_entry, avg(CASE WHEN r.z > 0 THEN r.y END) AS avg_depth
   FROM h JOIN c ON c.spec = r.m GROUP BY spec""", "risk_usd pnl_usd avg_entry avg_depth", 4)
 def p14(spark, sf):
