@@ -22,6 +22,7 @@ from skyledger.llm.tokens import public_path
 
 PIECES = "piece_bpe_32k.model"
 DOCS_A_LANGUAGE = 400  # labelled rows the fit takes of each language, at most
+SMALL_ROWS = 200_000  # ids that may be broadcast; texts move to more of them by a shuffle
 SCALED = 40  # letters; the sums of longer words are kept as logarithms
 ROUNDS = 3
 FLOOR = 1e-7  # probability of a letter that is no piece, and of a piece a language never used
@@ -189,7 +190,10 @@ def learn(docs: DataFrame, pieces: list[str] | None = None, most: int = DOCS_A_L
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull())
     totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     ranked = first_ranked(labelled.filter("text is not null").select("lang", "doc_id").distinct(), "lang", F.xxhash64("doc_id"), ["doc_id"], most)
-    chosen = labelled.filter("text is not null").join(ranked.select("lang", "doc_id"), ["lang", "doc_id"], "left_semi")  # at most `most` short rows a language
+    ids = ranked.select("lang", "doc_id")  # at most `most` a language
+    if most * len(totals) <= SMALL_ROWS:
+        ids = F.broadcast(ids)
+    chosen = labelled.filter("text is not null").join(ids, ["lang", "doc_id"], "left_semi")
     texts = [(r.lang, r.text) for r in chosen.select("lang", "text").collect()]
     return fit(sorted(texts), totals, pieces or letter_pieces())
 
