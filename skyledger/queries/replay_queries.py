@@ -511,7 +511,11 @@ def p16(spark, sf):
     return out.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.sum("entry").alias("entry"), F.sum("pnl").alias("pnl"))
 
 
-@query("p23_phase1_replay")
+@query("p23_phase1_replay", f"""WITH {SIGNAL_SQL}, f AS (SELECT *, least(1.0, fair + 0.05) AS other, id % 5 AS cancels, id % 9 AS trades FROM v_signal WHERE market_family = 'HIGH_TEMP' AND selected_side = 'BUY_NO'),
+  r AS (SELECT *, round_even((fair + other) / 2, 4) AS raw, sqrt(((fair - (fair + other) / 2) ** 2 + (other - (fair + other) / 2) ** 2) / 2) AS gap FROM f), c AS (SELECT *, round_even(least(0.95, greatest(0.05, raw)), 4) AS cal FROM r),
+  h AS (SELECT *, cal - round_even(0.03 + least(0.06, gap) + greatest(0.0, least(0.08, raw - cal)) + CASE WHEN id % 11 = 0 THEN 0.03 ELSE 0 END, 4) - round_even(0.02 + least(0.04, greatest(0.0, book_age / 1000) * 0.5) + least(0.03, cancels * 0.005) + least(0.02, trades * 0.002), 4) AS net FROM c),
+  q AS (SELECT *, round(floor(greatest(0.0, net) / 0.01 + 1e-12) * 0.01, 10) AS quote FROM h), o AS (SELECT *, row_number() OVER (PARTITION BY station, market_date, market_family, selected_bucket, selected_side ORDER BY {SQL_ORDER}) AS rn FROM q WHERE quote > 0)
+  SELECT station, count(*) AS n, sum(CASE WHEN correct = 1 THEN 1 - quote WHEN correct = 0 THEN -quote END) AS pnl, sum(quote) AS quotes FROM o WHERE rn = 1 GROUP BY station""", "pnl quotes", 4)
 def p23(spark, sf):
     rows = signals(spark, sf).withColumns({
         "model_fairs": F.create_map(F.lit("a"), F.col("fair"), F.lit("b"), F.least(F.lit(1.0), F.col("fair") + 0.05)), "spread": F.col("book_age") / 1000, "just_depleted": F.lit(False),
