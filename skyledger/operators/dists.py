@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.arrays import let, total
-from skyledger.functions.prob import normal_cdf
+from skyledger.functions.prob import normal_cdf, standard_cdf
 from skyledger.operators import scan
 
 # fixed values: the integer support in degrees Fahrenheit.
@@ -101,8 +103,9 @@ def normal_bucket_prob(mu: Column, sigma: Column, lower: Column, upper: Column)
 
 def normal_support(mu: Column, sigma: Column, low: int = LOW, high: int = HIGH) -> Column:
     """Normal mass per integer cell with half-degree edges; end cells hold the tails; sigma at least one half."""
-    scale = F.greatest(sigma, F.lit(0.5))
-    edges = F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda v: normal_cdf(v + 0.5, mu, scale))
+    # location and scale are named once a row: in the lambda they would be computed anew for every cell
+    shape = F.struct(mu.alias("mu"), (F.greatest(sigma, F.lit(0.5)) * math.sqrt(2.0)).alias("scale"))
+    edges = let(shape, lambda at: F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda v: standard_cdf((v + 0.5 - at["mu"]) / at["scale"])))
 
     def cells(cuts: Column) -> Column:
         upto = F.concat(cuts, F.array(F.lit(1.0)))

@@ -25,7 +25,7 @@ v_p AS (SELECT *, w / sum(w) OVER (PARTITION BY obs_id) AS p FROM v_cells)"""
 
 def weighted(p, name):
     """Position-weighted digest of an array: it changes when any cell moves."""
-    return F.aggregate(F.zip_with(p, F.sequence(F.lit(0), F.size(p) - 1), lambda x, i: x * F.pow(i + 1.0, F.lit(2.0))), F.lit(0.0), lambda a, x: a + x).alias(name)
+    return F.aggregate(F.transform(p, lambda x, i: x * F.pow(i + 1.0, F.lit(2.0))), F.lit(0.0), lambda a, x: a + x).alias(name)
 
 
 LINES_SQL = """v_lines AS (SELECT l_orderkey AS ladder_id, l_linenumber AS line, l_quantity - 3 AS score, l_discount * 10 AS s1, l_tax * 12 AS s2, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,
