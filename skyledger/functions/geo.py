@@ -22,6 +22,11 @@ def wrap(value: Column, period: float) -> Column:
     return value - F.floor(value / period) * period
 
 
+def wrap_once(value: Column, period: float) -> Column:
+    """`wrap` of a value that is long to compute, which is named first."""
+    return let(value, lambda v: wrap(v, period))
+
+
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlon = F.radians(lon2 - lon1)
     y = F.sin(dlon) * F.cos(F.radians(lat2))
@@ -49,17 +54,21 @@ def _series(angle: Column, coefficients) -> Column:
 
 
 def toa_irradiance(latitude: Column, longitude: Column, ts: Column) -> Column:
-    """Top-of-atmosphere horizontal irradiance in W/m2, zero below the horizon."""
-    day = F.dayofyear(ts)
-    minute = F.hour(ts) * 60.0 + F.minute(ts) + F.second(ts) / 60.0
-    gamma = (2.0 * math.pi / 365.0) * (day - 1 + (minute / 60.0 - 12.0) / 24.0)
-    solar = wrap(minute + 229.18 * _series(gamma, TIME_SERIES) + 4.0 * longitude, 1440.0)
-    hour_angle = F.radians(solar / 4.0 - 180.0)
-    declination = _series(gamma, DECLINATION_SERIES)
-    lat = F.radians(latitude)
-    cosine = F.sin(lat) * F.sin(declination) + F.cos(lat) * F.cos(declination) * F.cos(hour_angle)
-    distance = 1.0 + 0.033 * F.cos(2.0 * math.pi * day / 365.0)
-    return F.greatest(F.lit(0.0), 1361.0 * distance * cosine)
+    """Top-of-atmosphere horizontal irradiance in W/m2, zero below the horizon.
+
+    Clock, angle and declination are named (`let`), as each stands in many terms of the series.
+    """
+    clock = F.struct(F.dayofyear(ts).alias("day"), (F.hour(ts) * 60.0 + F.minute(ts) + F.second(ts) / 60.0).alias("minute"),
+                     F.radians(latitude).alias("lat"), longitude.cast("double").alias("lon"))
+
+    def height(at: Column, gamma: Column) -> Column:
+        solar = wrap_once(at["minute"] + 229.18 * _series(gamma, TIME_SERIES) + 4.0 * at["lon"], 1440.0)
+        hour_angle = F.radians(solar / 4.0 - 180.0)
+        cosine = let(_series(gamma, DECLINATION_SERIES), lambda declination: (
+            F.sin(at["lat"]) * F.sin(declination) + F.cos(at["lat"]) * F.cos(declination) * F.cos(hour_angle)))
+        distance = 1.0 + 0.033 * F.cos(2.0 * math.pi * at["day"] / 365.0)
+        return F.greatest(F.lit(0.0), 1361.0 * distance * cosine)
+    return let(clock, lambda at: let((2.0 * math.pi / 365.0) * (at["day"] - 1 + (at["minute"] / 60.0 - 12.0) / 24.0), lambda gamma: height(at, gamma)))
 
 
 def radiation_surprise(dsr_mean: Column, shortwave: Column, latitude: Column, longitude: Column,

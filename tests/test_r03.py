@@ -15,3 +15,13 @@ def test_normal_support_names_its_inputs_once(spark):
     top, low = (r.p for r in out.collect())
     assert sum(top) == pytest.approx(1.0) and len(top) == 151
     assert max(range(151), key=top.__getitem__) - 20 in (72, 73) and max(range(151), key=low.__getitem__) - 20 == -3
+
+
+def test_sun_height_reads_each_clock_once(spark):
+    from skyledger.functions.geo import radiation_surprise
+
+    rows = spark.createDataFrame([("2024-06-01 18:00:00", 300.0)], "t string, x double").withColumn("t", F.col("t").cast("timestamp"))
+    s = radiation_surprise(F.col("x"), F.lit(320.0), F.lit(40.0), F.lit(-90.0), F.col("t"))
+    plan = rows.select(s.alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("hour(") == 4  # one trailing height, three ahead
+    assert rows.select(s.alias("s")).first().s is not None
