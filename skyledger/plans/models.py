@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.bands import entry_window
 from skyledger.operators import dists
+from skyledger.session import materialize
 
 
 def _features(columns: list[str]) -> list:
@@ -102,8 +103,11 @@ def fit_spatial(df: DataFrame, features: list[str], residual: str, eligible: Col
 
 
 def fit_surprise(df: DataFrame, base: list[str], surprise: str, regime: str, target: str, date: str, boundary: Column) -> DataFrame:
-    """Baseline logistic against one with the surprise and its interactions, rows weighted to equal dates."""
-    rows = _doubles(df, [*base, surprise, target])
+    """Baseline logistic against one with the surprise and its interactions, rows weighted to equal dates.
+
+    Imputation, fit and scoring read the rows many times, so they are stored once.
+    """
+    rows = materialize(_doubles(df, [*base, surprise, target]))
     sizes = rows.groupBy(date).agg((1.0 / F.count(F.lit(1))).alias("_weight"))
     rows = rows.join(sizes, [date]).withColumns({"_si": F.col(surprise) * (F.col(regime) == "CLEAR").cast("double"), "_sm": F.col(surprise) * (F.col(regime) == "CLOUDY").cast("double")})
     train, newer = rows.where(F.col(date) < boundary), rows.where(F.col(date) >= boundary)

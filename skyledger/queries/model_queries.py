@@ -164,12 +164,15 @@ def m09(spark, sf):
 def cohort(spark, sf):
     """Signals with a radiation surprise built from their own columns."""
     s = radiation_surprise(300 + F.col("cost") * 5, 320 + F.col("liquidity"), 35 + F.col("entry") * 5, F.lit(-90.0), F.col("ts"))
-    return resolved(spark, sf).withColumns({"surprise": s, "regime": bands.cloud_regime(F.col("cost") * 2)}).where("surprise is not null")
+    # a filter on the surprise would compute it twice; an explode of none or one does not
+    known = F.explode(F.array_compact(F.array(s)))
+    return resolved(spark, sf).withColumn("regime", bands.cloud_regime(F.col("cost") * 2)).withColumn("surprise", known)
 
 
 @query("m10_fit_surprise")
 def m10(spark, sf):
-    out = models.fit_surprise(cohort(spark, sf), ["fair", "entry"], "surprise", "regime", "correct", "market_date", day("2000-01-01"))
+    rows = cohort(spark, sf).select("fair", "entry", "surprise", "regime", "correct", "market_date")
+    out = models.fit_surprise(rows, ["fair", "entry"], "surprise", "regime", "correct", "market_date", day("2000-01-01"))
     return metrics.paired_delta(out, "challenger_probability", "baseline_probability", "correct", "market_date").agg(
         F.count(F.lit(1)).alias("dates"), F.avg("log_loss_delta").alias("log_loss_delta"), F.avg("brier_delta").alias("brier_delta"))
 
