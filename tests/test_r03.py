@@ -25,3 +25,36 @@ def test_sun_height_reads_each_clock_once(spark):
     plan = rows.select(s.alias("s"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("hour(") == 4  # one trailing height, three ahead
     assert rows.select(s.alias("s")).first().s is not None
+
+
+def test_rejected_book_has_no_fill_fraction(spark):
+    from skyledger.operators import books
+
+    level = "array<struct<price:double,size:double>>"
+    rows = spark.createDataFrame([("a", [(0.4, 1.0)], []), ("b", [(0.4, 1.0)], [(0.5, 100.0)])], f"token_id string, bids {level}, asks {level}")
+    got = {r.token_id: r for r in books.decision_summaries(rows, [0.6], [25.0]).collect()}
+    assert got["a"].status == "REJECTED" and got["a"].fill_fraction is None
+    assert got["b"].fill_fraction == 1.0
+
+
+def _events(spark, folder, rows):
+    for name in ("events",):
+        spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double, props string").coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_max_gap_of_a_single_interval_is_zero(spark, tmp_path):
+    import datetime as dt
+
+    import duckdb
+
+    from skyledger.queries import ORACLES, QUERIES
+
+    start = dt.datetime(2024, 1, 1)
+    kinds = ["signup", "view", "signup", "error", "signup", "error"]
+    rows = [(i, 1 if i < 2 else 2, k, start + dt.timedelta(minutes=i), 5.0, '{"k": 7}') for i, k in enumerate(kinds)]
+    _events(spark, tmp_path, rows)
+    got = sorted(map(tuple, QUERIES["t06_max_gap"](spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"create view events as select event_id, user_id, event_type, ts::timestamp as ts, value, props from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(db.execute(ORACLES["t06_max_gap"]).fetchall())
+    assert got == [("1", 1, 0.0), ("2", 2, 60.0)]
