@@ -270,7 +270,7 @@ def decision_summaries(books: DataFrame, caps: list[float], targets: list[float]
         "token_id", F.when(F.col("rejection_reason").isNull(), "SUCCESS").otherwise("REJECTED").alias("status"),
         "rejection_reason", "best_bid", "best_ask", F.col("_g.cap").alias("cap"), F.col("_g.target").alias("target"),
         F.col("_s.cost").alias("cost_usd"), F.col("_s.shares").alias("shares"), F.col("_s.vwap").alias("vwap"),
-        F.least(F.col("_s.cost") / F.col("_g.target"), F.lit(1.0)).alias("fill_fraction"))
+        F.when(F.col("_g").isNotNull(), F.least(F.col("_s.cost") / F.col("_g.target"), F.lit(1.0))).alias("fill_fraction"))
 
 
 def ladder_fill(orders: DataFrame, asks: str, mode: str, minimum_usd: float, cap_slippage: float = 0.0) -> DataFrame:
