@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.times import climate_date
-from skyledger.operators import intervals, select
+from skyledger.operators import select
 from skyledger.operators.dists import threshold_examples
 
 
@@ -127,19 +132,78 @@ def summarize_forecast(points: DataFrame, key: list[str]) -> DataFrame:
 def dsr_window(decisions: DataFrame, scans: DataFrame, minutes: int = 60, minimum: int = 3) -> DataFrame:
     """Trailing scans whose end lies in [t-60m, t] and that were available by t: median, mean, deviation and change.
 
-    Scans arrive every few minutes, so a window holds about a dozen rows; the join runs on (station, bucket).
+    One row a decision row. A decision needs scans of its own span-wide slot of time and of the slot before, so scans go to two
+    slots each and no pair of decision and scan is formed; inside a (station, slot) the window slides over the sorted scans.
     """
     span = minutes * 60_000_000
-    asked = decisions.select("decision_id", "station", F.unix_micros("decided_at").alias("_t"))
-    rows = intervals.bucketed_range_join(
-        scans.select("station", "scan_end", "available_at", "dsr", "scan_id"), asked, ["station"], F.unix_micros("scan_end"), F.col("_t") - span, F.col("_t"), span)
-    rows = rows.where(F.unix_micros("available_at") <= F.col("_t"))
-    order = F.struct("scan_end", "scan_id")
-    out = rows.groupBy("decision_id").agg(
-        F.count(F.lit(1)).alias("scan_count"), F.percentile("dsr", F.lit(0.5)).alias("dsr_median"), F.avg("dsr").alias("dsr_mean"),
-        F.stddev_pop("dsr").alias("dsr_std"), F.max_by("dsr", order).alias("dsr_latest"),
-        (F.max_by("dsr", order) - F.min_by("dsr", order)).alias("dsr_change"), F.max("scan_end").alias("latest_scan_end"))
-    return out.where(F.col("scan_count") >= minimum)
+    # a scan counts from `_in`, when it has ended and is available, and until it is a span old
+    end = F.unix_micros("scan_end")
+    seen = scans.where("station is not null and scan_end is not null and available_at is not null").select(
+        "station", end.alias("_end"), F.greatest(end, F.unix_micros("available_at")).alias("_in"), "scan_id", F.col("dsr").cast("double").alias("dsr"),
+        F.explode(F.array(F.floor(end / span), F.floor(end / span) + 1)).alias("_slot")).where(F.col("_in") < (F.col("_slot") + 1) * span)
+    at = F.unix_micros("decided_at")
+    asked = decisions.where("station is not null and decided_at is not null").select("station", "decision_id", at.alias("_t"), F.floor(at / span).alias("_slot"))
+    kind = decisions.schema["decision_id"].dataType.simpleString()
+    schema = f"decision_id {kind}, scan_count long, dsr_median double, dsr_mean double, dsr_std double, dsr_latest double, dsr_change double, latest_scan_end long"
+
+    def slide(asked: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        return slide_window(asked, seen, span, minimum)
+    out = asked.groupBy("station", "_slot").cogroup(seen.groupBy("station", "_slot")).applyInPandas(slide, schema)
+    return out.withColumn("latest_scan_end", F.timestamp_micros("latest_scan_end"))
+
+
+def slide_window(asked: pd.DataFrame, scans: pd.DataFrame, span: int, minimum: int) -> pd.DataFrame:
+    """The window of each decision of one (station, slot), from scans that enter and leave it once. A NaN counts as no value.
+
+    Sums are of differences to the first value and in long doubles, so that what leaves takes away what it brought.
+    """
+    asked = asked.sort_values("_t", kind="stable")
+    scans = scans.sort_values(["_end", "scan_id"], kind="stable")
+    ends, enters, values = (scans[c].to_numpy() for c in ("_end", "_in", "dsr"))
+    entering = np.argsort(enters, kind="stable").tolist()
+    finite = values[np.isfinite(values)]
+    base = float(finite[0]) if len(finite) else 0.0
+    ends_l, enters_l, values_l = ends.tolist(), enters.tolist(), values.tolist()
+    moved = (values - base).astype(np.longdouble)
+    present, ordered = [], []  # ranks of the scans in the window, and their values from low to high
+    gone, n_next, total, squares, odd = 0, 0, np.longdouble(0), np.longdouble(0), 0
+    rows = []
+    for t, ident in zip(asked["_t"].tolist(), asked["decision_id"].tolist(), strict=True):
+        while n_next < len(entering) and enters_l[entering[n_next]] <= t:
+            i, n_next = entering[n_next], n_next + 1
+            if ends_l[i] < t - span:
+                continue
+            insort(present, i, lo=gone)
+            if values_l[i] == values_l[i]:
+                insort(ordered, values_l[i])
+                if math.isinf(values_l[i]):
+                    odd += 1
+                else:
+                    total, squares = total + moved[i], squares + moved[i] * moved[i]
+        while gone < len(present) and ends_l[present[gone]] < t - span:
+            i, gone = present[gone], gone + 1
+            if values_l[i] == values_l[i]:
+                del ordered[bisect_left(ordered, values_l[i])]
+                if math.isinf(values_l[i]):
+                    odd -= 1
+                else:
+                    total, squares = total - moved[i], squares - moved[i] * moved[i]
+        if gone > 4096:
+            del present[:gone]
+            gone = 0
+        count, n = len(present) - gone, len(ordered)
+        if count == 0 or count < minimum:
+            continue
+        first, last = values_l[present[gone]], values_l[present[-1]]
+        if n == 0:
+            middle = mean = deviation = math.nan
+        else:
+            middle = ordered[n // 2] if n % 2 else ordered[n // 2 - 1] + 0.5 * (ordered[n // 2] - ordered[n // 2 - 1])
+            mean = float(base + total / n) if not odd else sum(ordered) / n
+            spread = max(squares / n - (total / n) ** 2, np.longdouble(0))
+            deviation = 0.0 if ordered[0] == ordered[-1] else float(np.sqrt(spread)) if not odd else math.nan
+        rows.append((ident, count, middle, mean, deviation, last, last - first, ends_l[present[-1]]))
+    return pd.DataFrame(rows, columns=["decision_id", "scan_count", "dsr_median", "dsr_mean", "dsr_std", "dsr_latest", "dsr_change", "latest_scan_end"])
 
 
 def neighbor_features(decisions: DataFrame, observations: DataFrame, model_points: DataFrame, sites: DataFrame, max_age_us: int = 5_400_000_000) -> DataFrame:

@@ -58,3 +58,26 @@ def test_max_gap_of_a_single_interval_is_zero(spark, tmp_path):
     db.execute(f"create view events as select event_id, user_id, event_type, ts::timestamp as ts, value, props from '{tmp_path}/events.parquet/*.parquet'")
     assert got == sorted(db.execute(ORACLES["t06_max_gap"]).fetchall())
     assert got == [("1", 1, 0.0), ("2", 2, 60.0)]
+
+
+def test_trailing_window_forms_no_pairs(spark):
+    import datetime as dt
+
+    from skyledger.plans import features
+
+    base = dt.datetime(2024, 1, 1, 5, 0)
+    scans = [("s", base + dt.timedelta(minutes=7 * i), base + dt.timedelta(minutes=7 * i + (90 if i % 5 == 0 else 2)), None if i % 11 == 3 else float(i * i % 17), i) for i in range(60)]
+    asked = [(i, "s", base + dt.timedelta(minutes=9 * i)) for i in range(50)]
+    out = features.dsr_window(spark.createDataFrame(asked, "decision_id long, station string, decided_at timestamp"),
+                              spark.createDataFrame(scans, "station string, scan_end timestamp, available_at timestamp, dsr double, scan_id long"), 60, 3)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.decision_id: r for r in out.collect()}
+    import numpy as np
+    for ident, _, t in asked:
+        held = [s for s in scans if t - dt.timedelta(minutes=60) <= s[1] <= t and s[2] <= t]
+        assert (ident in got) == (len(held) >= 3)
+        if len(held) >= 3:
+            r, known = got[ident], [s[3] for s in held if s[3] is not None]
+            assert r.scan_count == len(held) and r.dsr_latest == held[-1][3]
+            assert (r.dsr_median, r.dsr_mean, r.dsr_std) == pytest.approx((np.median(known), np.mean(known), np.std(known)))
+            assert r.dsr_change == (None if held[-1][3] is None or held[0][3] is None else held[-1][3] - held[0][3])
