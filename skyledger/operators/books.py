@@ -12,6 +12,7 @@ LEVELS = "array<struct<price:string,size:string>>"
 PAYLOAD = (f"struct<bids:{LEVELS},asks:{LEVELS},side:string,price:string,size:string,"
            "price_change:struct<side:string,price:string,size:string>>")
 BOOK_LEVEL = "array<struct<price:double,size:double>>"
+BLOCK = 256  # events of a token whose books are made together
 
 
 def _number(text: Column) -> Column:
@@ -86,7 +87,7 @@ def book_validity(events: DataFrame, strict: bool = False, slice_by: Column | No
 
 
 def level_updates(validity: DataFrame) -> DataFrame:
-    """One row per level set or delete that took effect: (token_id, epoch, seq, received_at, side, price, size)."""
+    """One row per level set or delete that took effect: (token_id, epoch, seq, event_number, received_at, side, price, size)."""
     def levels(field: str, side: str) -> Column:
         rows = F.transform(F.col(f"_p.{field}"), lambda x: F.struct(
             F.lit(side).alias("side"), _number(x["price"]).alias("price"), _number(x["size"]).alias("size")))
@@ -94,8 +95,8 @@ def level_updates(validity: DataFrame) -> DataFrame:
     delta = F.array(F.struct(F.col("delta_side").alias("side"), F.col("delta_price").alias("price"), F.col("delta_size").alias("size")))
     changes = F.when(F.col("is_full"), F.concat(levels("bids", "BUY"), levels("asks", "SELL"))).when(
         F.col("is_delta") & F.col("applied"), delta)
-    return validity.select("token_id", "epoch", "receipt_sequence", "received_at", F.explode(changes).alias("_l")).select(
-        "token_id", "epoch", "receipt_sequence", "received_at", "_l.*")
+    at = ["token_id", "epoch", "receipt_sequence", "event_number", "received_at"]
+    return validity.select(*at, F.explode(changes).alias("_l")).select(*at, "_l.*")
 
 
 def book_at(events: DataFrame, boundary: Column, strict: bool = False) -> DataFrame:
@@ -104,7 +105,7 @@ def book_at(events: DataFrame, boundary: Column, strict: bool = False) -> DataFr
     Levels are the last update per (token, side, price) of the epoch in force, a partial aggregate; the arrays are as
     long as the book is deep.
     """
-    upto = materialize(book_validity(events.where(boundary), strict))
+    upto = materialize(book_validity(events.where(boundary), strict).drop("raw_payload"))
     state = upto.groupBy("token_id").agg(F.max_by(
         F.struct("epoch", "valid", "invalid_reason", F.col("receipt_sequence").alias("as_of_sequence")),
         "receipt_sequence").alias("s")).select("token_id", "s.*")
@@ -139,15 +140,22 @@ def level_intervals(validity: DataFrame) -> DataFrame:
 
 
 def books_at_events(validity: DataFrame, points: DataFrame) -> DataFrame:
-    """Sorted level arrays at chosen events (token_id, receipt_sequence, received_at), by a range join on level spans."""
-    from skyledger.operators.intervals import bucketed_range_join
-
-    spans = level_intervals(validity)
-    joined = bucketed_range_join(
-        points.select("token_id", "receipt_sequence", "received_at"), spans, ["token_id"], F.unix_micros("received_at"),
-        F.unix_micros("started_at"), F.unix_micros("ended_at"))
-    live = joined.where((F.col("receipt_sequence") >= F.col("from_seq")) & (
-        F.col("to_seq").isNull() | (F.col("receipt_sequence") < F.col("to_seq"))))
+    """Sorted level arrays at chosen events (token_id, epoch, receipt_sequence, event_number) of the validity table.
+
+    A level stands from its update's event to its next update in the epoch or the epoch's end. Points and spans meet by the
+    number of the event in its token: a span is dealt to the blocks of `BLOCK` events it touches, so spans are as many as the
+    updates however long they last, and a block holds as many points as events.
+    """
+    rows = level_updates(validity)
+    block = F.floor(F.col("event_number") / BLOCK)
+    same = scan.neighbour(rows.select("token_id", "epoch", "side", "price", "size", "event_number"), ["token_id", "epoch", "side", "price"],
+                          block, [F.col("event_number")], "_next", F.col("event_number"), following=True).where("size > 0")
+    ends = points.groupBy("token_id", "epoch").agg(F.max("event_number").alias("_end"))
+    spans = same.join(ends, ["token_id", "epoch"]).withColumn("_until", F.least(F.col("_next") - 1, F.col("_end"))).where("event_number <= _until")
+    spans = spans.select("token_id", "side", "price", "size", F.col("event_number").alias("_from"), "_until", F.explode(
+        F.sequence(block, F.floor(F.col("_until") / BLOCK))).alias("_block"))
+    asked = points.select("token_id", "receipt_sequence", "event_number", block.alias("_block"))
+    live = asked.join(spans, ["token_id", "_block"]).where("event_number between _from and _until")
     return _arrays(live, ["token_id", "receipt_sequence"])
 
 
