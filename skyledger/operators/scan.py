@@ -10,11 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COMBINE = {
-    "sum": (F.sum, lambda local, carry: F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))),
-    "max": (F.max, lambda local, carry: F.greatest(local, carry)),
-    "min": (F.min, lambda local, carry: F.least(local, carry)),
-}
+COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def day_slice(ts: Column) -> Column:
@@ -23,40 +19,40 @@ def day_slice(ts: Column) -> Column:
 
 def running(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column],
             aggregates: dict[str, tuple], inclusive: bool = True) -> DataFrame:
-    """Add running columns `{name: (sum|max|min, input[, inclusive])}` in row order per key, in one pass."""
-    kinds = {n: (spec[0], spec[2] if len(spec) > 2 else inclusive) for n, spec in aggregates.items()}
+    """Add running columns `{name: (sum|max|min, input[, inclusive])}` in row order per key, in one pass.
+
+    What the slices before add up to enters a slice as one row ahead of its own, so the rows themselves move once; a join of
+    rows and totals by null-safe keys would deal them a second time.
+    """
+    kinds = {n: (COMBINE[spec[0]], spec[2] if len(spec) > 2 else inclusive) for n, spec in aggregates.items()}
     sliced = df.withColumn("_slice", slice_by).withColumns({f"_in_{n}": spec[1] for n, spec in aggregates.items()})
-    part = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    upto = {True: part.rowsBetween(Window.unboundedPreceding, 0), False: part.rowsBetween(Window.unboundedPreceding, -1)}
-    local = sliced.withColumns({f"_at_{n}": COMBINE[k][0](f"_in_{n}").over(upto[i]) for n, (k, i) in kinds.items()})
-    totals = sliced.groupBy(*keys, "_slice").agg(*[COMBINE[k][0](f"_in_{n}").alias(f"_tot_{n}") for n, (k, _) in kinds.items()])
+    totals = sliced.groupBy(*keys, "_slice").agg(*[fn(f"_in_{n}").alias(f"_tot_{n}") for n, (fn, _) in kinds.items()])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_k_slice"), *[
-        COMBINE[k][0](f"_tot_{n}").over(before).alias(f"_carry_{n}") for n, (k, _) in kinds.items()])
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_slice") == F.col("_k_slice")]
-    joined = local.join(carry, on, "left")
-    out = {n: COMBINE[k][1](F.col(f"_at_{n}"), F.col(f"_carry_{n}")) for n, (k, _) in kinds.items()}
-    drop = ["_slice", "_k_slice", *[f"_k_{k}" for k in keys]]
-    for n in aggregates:
-        drop += [f"_in_{n}", f"_at_{n}", f"_carry_{n}"]
-    return joined.withColumns(out).drop(*drop)
+    carry = totals.select(*keys, "_slice", *[fn(f"_tot_{n}").over(before).alias(f"_in_{n}") for n, (fn, _) in kinds.items()], F.lit(0).alias("_own"))
+    carry = carry.where(F.coalesce(*[F.when(F.col(f"_in_{n}").isNotNull(), True) for n in kinds], F.lit(False)))
+    everything = sliced.withColumn("_own", F.lit(1)).unionByName(carry, allowMissingColumns=True)
+    part = Window.partitionBy(*keys, "_slice").orderBy("_own", *order)
+    upto = {True: part.rowsBetween(Window.unboundedPreceding, 0), False: part.rowsBetween(Window.unboundedPreceding, -1)}
+    out = {}
+    for n, (fn, i) in kinds.items():
+        value = fn(f"_in_{n}").over(upto[i])
+        out[n] = F.coalesce(value, F.lit(0)) if aggregates[n][0] == "sum" else value
+    return everything.withColumns({f"_at_{n}": c for n, c in out.items()}).where("_own = 1").withColumns({n: F.col(f"_at_{n}") for n in out}).drop(
+        "_slice", "_own", *[f"_{k}_{n}" for n in out for k in ("in", "at")])
 
 
 def neighbour(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], name: str, value: Column,
               following: bool = False) -> DataFrame:
     """Value of the row before (or after) per key across slices: a lag or lead that never puts a key in one task."""
-    sliced = df.withColumns({"_slice": slice_by, "_val": F.struct(value.alias("v")), "_rank": F.struct(*order)})
+    sliced = df.withColumns({"_slice": slice_by, "_val": F.struct(value.alias("v")), "_rank": F.struct(*order), "_own": F.lit(1)})
     step = F.lead if following else F.lag
-    local = sliced.withColumn("_near", step("_val").over(Window.partitionBy(*keys, "_slice").orderBy("_rank")))
     edge = F.min_by if following else F.max_by
     ends = sliced.groupBy(*keys, "_slice").agg(edge("_val", "_rank").alias("_edge"))
-    by_slice = Window.partitionBy(*keys).orderBy("_slice")
-    carry = ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_k_slice"),
-                        step("_edge").over(by_slice).alias("_carry"))
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_slice") == F.col("_k_slice")]
-    joined = local.join(carry, on, "left")
-    return joined.withColumn(name, F.coalesce("_near", "_carry")["v"]).drop(
-        "_slice", "_val", "_rank", "_near", "_k_slice", "_carry", *[f"_k_{k}" for k in keys])
+    carry = ends.select(*keys, "_slice", step("_edge").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_val"), F.lit(2 if following else 0).alias("_own"))
+    # the row from the other slice stands beside the slice's own, as in `running`
+    everything = sliced.unionByName(carry.where("_val is not null"), allowMissingColumns=True)
+    near = step("_val").over(Window.partitionBy(*keys, "_slice").orderBy("_own", "_rank"))
+    return everything.withColumn("_near", near).where("_own = 1").withColumn(name, F.col("_near.v")).drop("_slice", "_val", "_rank", "_own", "_near")
 
 
 def drawdown(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], pnl: Column) -> DataFrame:

@@ -81,3 +81,36 @@ def test_trailing_window_forms_no_pairs(spark):
             assert r.scan_count == len(held) and r.dsr_latest == held[-1][3]
             assert (r.dsr_median, r.dsr_mean, r.dsr_std) == pytest.approx((np.median(known), np.mean(known), np.std(known)))
             assert r.dsr_change == (None if held[-1][3] is None or held[0][3] is None else held[-1][3] - held[0][3])
+
+
+def test_books_of_a_quiet_token_do_not_grow_with_the_time_of_others(spark):
+    """A level that stands for years is one span: spans are dealt by events, not by hours up to the last event of all tokens."""
+    import datetime as dt
+
+    from skyledger.operators import books
+
+    full = '{"bids": [{"price": "0.4", "size": "10"}], "asks": [{"price": "0.6", "size": "8"}]}'
+    rows = [("a", 1, dt.datetime(2000, 1, 1), "book", "VALID", full), ("b", 2, dt.datetime(2400, 1, 1), "book", "VALID", full)]
+    events = spark.createDataFrame(rows, "token_id string, receipt_sequence long, received_at timestamp, event_type string, coverage_state string, raw_payload string")
+    state = books.book_validity(events, reasons=False).cache()
+    out = books.checkpoints(state, 5)
+    got = {r.token_id: (len(r.bids), len(r.asks)) for r in out.collect()}
+    assert got == {"a": (1, 1), "b": (1, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "3600000000" not in plan
+
+
+def test_running_deals_rows_once(spark):
+    from skyledger.operators import scan
+
+    rows = spark.createDataFrame([(k, t, float(t % 7) if t % 5 else None) for k in ("a", None) for t in range(40)], "k string, t long, x double")
+    out = scan.running(rows, ["k"], F.floor(F.col("t") / 8), [F.col("t")], {"total": ("sum", F.col("x")), "low": ("min", F.col("x"), False)})
+    near = scan.neighbour(rows, ["k"], F.floor(F.col("t") / 8), [F.col("t")], "after", F.col("x"), following=True)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() + near._jdf.queryExecution().optimizedPlan().toString()
+    got, after = {(r.k, r.t): r for r in out.collect()}, {(r.k, r.t): r.after for r in near.collect()}
+    assert len(got) == len(after) == 80
+    for k, t in got:
+        past = [float(i % 7) for i in range(t + 1) if i % 5]
+        assert got[k, t].total == sum(past)
+        assert got[k, t].low == min((float(i % 7) for i in range(t) if i % 5), default=None)
+        assert after[k, t] == (float((t + 1) % 7) if t < 39 and (t + 1) % 5 else None)
