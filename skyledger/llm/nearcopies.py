@@ -1,9 +1,11 @@
-"""Near copies of a corpus: classes of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
-
-A SimHash of 64 bits cannot hold this bound: at a similarity of 0.8 some 10 bits differ, often more. So candidates share
-one of 40 keys of 5 minima each over the shingle hashes (a pair at 0.8 is missed with a chance of 1.2e-7, a closer one with
-less), and every link is checked on the whole shingle sets before it counts. Equal sets are one node. Candidates are
-joined first, so a text goes to the others of its candidate class once; larger ones are dealt as pairs of tiles.
+"""Near copies of a corpus by SimHash, and by shingle sets where 64 bits cannot tell.
+
+Texts whose SimHash fingerprints (op6: three-word shingles) differ in at most 3 bits are linked by op6's exact Hamming join.
+Such fingerprints miss most pairs whose five-word shingles have a Jaccard similarity of 0.8: some 10 bits differ, often more.
+Those are found besides: candidates share one of 40 keys of 5 minima each over the shingle hashes (a pair at 0.8 is missed
+with a chance of 1.2e-7, a closer one with less), and every such link is checked on the whole shingle sets before it counts.
+Equal sets are one node. Candidates are joined first, so a text goes to the others of its candidate class once; larger ones
+are dealt as pairs of tiles. Classes are those of both kinds of links.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import text_key
-from skyledger.llm.simhash import components, shingle_hashes
+from skyledger.llm.simhash import RADIUS, components, fingerprint, hamming_links, shingle_hashes
 from skyledger.session import materialize
 
 SHINGLE = 5
@@ -46,24 +48,27 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_key, node, size, keys) of every row: the hash and size of its shingle set, and its candidate keys."""
+    """(doc_id, text_key, node, size, keys, fp) of every row: the hash and size of its shingle set, its candidate keys, and its
+    SimHash fingerprint."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, fps = [], [], [], []
             for t in batch.column(2):
-                own = np.unique(shingle_hashes(t.as_py() or "", width))
+                text = t.as_py() or ""
+                own = np.unique(shingle_hashes(text, width))
+                fps.append(fingerprint(text))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
                 sizes.append(len(own))
                 keys.append(band_keys(own).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), listed], ["doc_id", "text_key", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), listed, pa.array(fps, pa.int64())], ["doc_id", "text_key", "node", "size", "keys", "fp"])
 
-    return docs.select("doc_id", text_key().cast("long").alias("text_key"), "text").mapInArrow(sketched, f"doc_id {kind}, text_key long, node long, size long, keys array<long>")
+    return docs.select("doc_id", text_key().cast("long").alias("text_key"), "text").mapInArrow(sketched, f"doc_id {kind}, text_key long, node long, size long, keys array<long>, fp long")
 
 
 def links_among(sets: dict[int, np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -130,8 +135,21 @@ def checked_links(docs: DataFrame, members: DataFrame, least: float, width: int,
     return placed.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long").distinct()
 
 
+def simhash_links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b) links of the nodes of `rows` (node, fp) whose fingerprints differ in at most `radius` bits.
+
+    A fingerprint is stood for by its smallest node: its other nodes are linked to that, and near fingerprints by theirs.
+    """
+    pairs = materialize(rows.select("node", "fp").distinct())
+    heads = materialize(pairs.groupBy("fp").agg(F.min("node").alias("head")))
+    same = pairs.join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = hamming_links(heads.select("fp"), radius)
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("head_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("head_b")), "b")
+    return same.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+
+
 def near_copies(docs: DataFrame, least: float = LEAST, width: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """(doc_id, text_key, root, component_id) of every row: its class, and the smallest doc_id of it.
+    """(doc_id, text_key, root, component_id) of every row: its class by SimHash and checked links, and the smallest doc_id of it.
 
     A row without an id counts as larger than all others; a class of such rows alone has a null component. Null texts and
     texts without words are alike.
@@ -144,7 +162,7 @@ def near_copies(docs: DataFrame, least: float = LEAST, width: int = SHINGLE, til
     classes = components(candidates)
     classes = classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct())
     members = materialize(nodes.join(classes, "node").select("node", "root", "size", "at"))
-    roots = components(checked_links(docs, members, least, width, tile))
+    roots = components(simhash_links(rows).unionByName(checked_links(docs, members, least, width, tile)))
     rooted = materialize(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first"))
     named = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     ids = materialize(rooted.join(named, "root").select("node", "root", "component_id"))

@@ -37,8 +37,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the row with the smallest doc_id
-    (then content key), once. Rows without an id are dropped where another row of their class has one."""
+    """Of each class of near copies (SimHash fingerprints within 3 bits, or five-word shingles with a Jaccard similarity of 0.8
+    or more) the row with the smallest doc_id (then content key), once. Rows without an id are dropped where another row of their class has one."""
     near = materialize(nearcopies.near_copies(docs))
     first = near.filter("doc_id = component_id").groupBy("root").agg(F.min("text_key").alias("first_key"))
     rows = near.groupBy("doc_id", "text_key", "root", "component_id").agg(F.count("*").alias("times"))

@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from skyledger.llm import secrets
+from skyledger.llm import nearcopies, secrets, simhash
 
 
 def test_long_candidates_are_used_whole(spark):
@@ -24,3 +24,12 @@ def test_long_candidates_are_used_whole(spark):
         assert r.transition == pytest.approx(math.fsum(table.get(low[i : i + 2], -8.0) for i in range(len(v) - 1)) / len(v))
         assert r.distinct_share == pytest.approx(len(set(v)) / len(v))
         assert r.digit_share == pytest.approx(sum(c.isdigit() for c in v) / len(v))
+
+
+def test_near_copies_join_fingerprints_within_three_bits(spark):
+    """One shingle makes most of both texts, so their fingerprints are equal, though their shingle sets are far apart."""
+    texts = ["a " * 60 + " ".join(f"{c}{i}" for i in range(20)) for c in "bc"] + [" ".join(f"d{i}" for i in range(50))]
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[2]).bit_count()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == {0: 0, 1: 0, 2: 2}
