@@ -16,6 +16,8 @@ from skyledger.session import materialize
 
 LENGTH = 2048
 END_ID = 0
+MOST_WORDS = 120_000  # words a worker remembers here: the pipeline packs last, in executors that earlier stages have filled
+ROWS_AT_ONCE = 500  # texts whose ids are in memory at once
 ROWS_A_TASK = 20_000  # pieces that meet in one packing task, about; more pieces make more tasks
 
 
@@ -28,8 +30,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LE
     path = tokenizer or public_path(WORD_BPE)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, blank_joins=False).encode, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        encode, end = encoder(path, False, MOST_WORDS).encode, np.array([end_id], "<u4").tobytes()
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             texts = batch.column(1).to_pylist()
             kept, piece, start, count, ids = [], [], [], [], []
             for row, data in enumerate(encode([t or "" for t in texts])):

@@ -24,9 +24,10 @@ WIDE_BLANKS = re.compile("[ ᠎ -‏ -  -⁠　﻿]")
 class WordEncoder:
     """Little-endian unsigned 32-bit ids of texts. `blank_joins`: the tokenizer keeps a blank with the word after it."""
 
-    def __init__(self, path: str, blank_joins: bool):
+    def __init__(self, path: str, blank_joins: bool, most_words: int | None = None):
         from tokenizers import Tokenizer
 
+        self.most_words = most_words
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
         self.blank_joins = blank_joins
@@ -87,14 +88,14 @@ class WordEncoder:
             found.update({w: ids[w[:-1]] + point[w[-1]] for w in dotted})
             if odd:
                 found.update(self._marked(odd, before))
-        if len(known) > MOST_WORDS:
+        if len(known) > (self.most_words or MOST_WORDS):
             self.passing.append((known, list(found)))
         known.update(found)
         return known
 
     def _stem_lookup(self, stems: set[str]) -> dict[str, bytes]:
         new = [s for s in stems if s not in self.stem_ids]
-        if len(self.stem_ids) > MOST_WORDS:
+        if len(self.stem_ids) > (self.most_words or MOST_WORDS):
             self.passing.append((self.stem_ids, new))
         self._stems(new)
         return self.stem_ids
@@ -164,10 +165,10 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str, blank_joins: bool) -> WordEncoder:
+def encoder(path: str, blank_joins: bool, most_words: int | None = None) -> WordEncoder:
     """One encoder per worker process and file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path, blank_joins)
+        _ENCODERS[path] = WordEncoder(path, blank_joins, most_words)
     return _ENCODERS[path]
 
 

@@ -4,8 +4,9 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from skyledger.llm import nearcopies, secrets, simhash
+from skyledger.llm import nearcopies, packing, secrets, simhash, tokens
 
 
 def test_long_candidates_are_used_whole(spark):
@@ -33,3 +34,14 @@ def test_near_copies_join_fingerprints_within_three_bits(spark):
     assert (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[2]).bit_count()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def test_packing_remembers_a_bounded_number_of_words(spark):
+    path = tokens.public_path(tokens.WORD_BPE)
+    e = tokens.WordEncoder(path, False, most_words=50)
+    e.encode([" ".join(f"first{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100))])
+    held = len(e.known)
+    texts = [" ".join(f"then{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))]
+    assert e.encode(texts) == e._whole(texts) and len(e.known) == held
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(1200)], "doc_id long, text string").coalesce(1)
+    assert packing.ROWS_AT_ONCE < 1200 and packing.token_pieces(docs).agg(F.count_distinct("doc_id")).first()[0] == 1200
