@@ -16,21 +16,22 @@ from skyledger.session import materialize
 
 LENGTH = 2048
 END_ID = 0
-MOST_WORDS = 120_000  # words a worker remembers here: the pipeline packs last, in executors that earlier stages have filled
+STAGE_WORDS = 120_000  # words a worker remembers where the pipeline packs: last, in executors that earlier stages have filled
 ROWS_AT_ONCE = 500  # texts whose ids are in memory at once
 ROWS_A_TASK = 20_000  # pieces that meet in one packing task, about; more pieces make more tasks
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, most_words: int | None = None) -> DataFrame:
     """One row (doc_id, piece, start, length, ids) per `length` tokens of a text; ids are little-endian unsigned 32-bit.
 
     A null or empty text is the end id alone. Rows that repeat an id each give their own pieces. Only doc_id and text are
-    read, so other columns may have any name.
+    read, so other columns may have any name. A worker remembers `most_words` words (the encoder's own number where none is
+    given); words beyond them are encoded anew for each batch, which takes time but no memory.
     """
     path = tokenizer or public_path(WORD_BPE)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, False, MOST_WORDS).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, False, most_words).encode, np.array([end_id], "<u4").tobytes()
         for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             texts = batch.column(1).to_pylist()
             kept, piece, start, count, ids = [], [], [], [], []
@@ -112,9 +113,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
     return pack(materialize(token_pieces(docs, tokenizer, length)), length)
 
 
-def packing_digest(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
+def packing_digest(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, most_words: int | None = None) -> DataFrame:
     """The same packing with a checksum of each piece's ids in place of the ids, taken before pieces are dealt."""
-    pieces = token_pieces(docs, tokenizer, length).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = token_pieces(docs, tokenizer, length, most_words=most_words).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(materialize(pieces), length)
 
 

@@ -61,4 +61,4 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of all documents that are left, with a checksum of each piece's ids."""
-    return packing.packing_digest(docs)
+    return packing.packing_digest(docs, most_words=packing.STAGE_WORDS)

@@ -166,8 +166,8 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str, blank_joins: bool, most_words: int | None = None) -> WordEncoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
+    """One encoder per worker process, file and number of words; a worker that another query left keeps none of another number."""
+    if path not in _ENCODERS or _ENCODERS[path].most_words != most_words:
         _ENCODERS[path] = WordEncoder(path, blank_joins, most_words)
     return _ENCODERS[path]
 
