@@ -9,7 +9,7 @@ from skyledger.operators import tape_joins
 from skyledger.queries.registry import query
 from skyledger.queries.tape_queries import CHK_SQL, COV_SQL, validity
 from skyledger.queries.views import OBS_SQL, SIGNAL_SQL, TAPE_SQL, observations, signals, table, tape
-from skyledger.session import new_table
+from skyledger.session import materialize, new_table
 from skyledger.sources import tables
 from skyledger.sources import tape as tapes
 from skyledger.streaming.books import read_coverage, stream_books, upsert_coverage
@@ -105,23 +105,28 @@ def s08(spark, sf):
     return signals(spark, sf).join(dimension, ["station"]).groupBy("timezone").agg(F.count(F.lit(1)).alias("n"), F.sum("entry").alias("entry"))
 
 
-def arriving(spark, events, times: int = 1):
-    """Events as files that arrive in receipt order, all of them `times` over, as a stream of one file a trigger."""
+def take_in(spark, deliveries, stream) -> None:
+    """Each delivery is written as the files of all its tasks, then `stream` takes in what is new as one batch, going on from its
+    checkpoint. So the order of deliveries holds without one file, or one task, for each of them."""
     path = new_table(spark)
-    cuts = [0, *events.agg(F.percentile_approx("receipt_sequence", [0.34, 0.67])).first()[0], 1 << 62]
-    for _ in range(times):
-        for low, high in zip(cuts, cuts[1:], strict=False):
-            events.where((F.col("receipt_sequence") >= low) & (F.col("receipt_sequence") < high)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for rows in deliveries:
+        rows.write.mode("append").parquet(path)
+        stream(spark.readStream.schema(rows.schema).parquet(path)).trigger(availableNow=True).start().awaitTermination()
+
+
+def thirds(rows, by, at) -> list:
+    """The rows in three parts by the order of `by`, cut about where the shares `at` end."""
+    cuts = [0, *rows.agg(F.percentile_approx(by, at)).first()[0], 1 << 62]
+    return [rows.where((by >= low) & (by < high)) for low, high in zip(cuts, cuts[1:], strict=False)]
 
 
 @query("t03_stream_books", f"""WITH {COV_SQL}, {CHK_SQL}, k AS (SELECT token_id, 'checkpoint' AS kind FROM v_chk UNION ALL SELECT token_id, 'coverage' FROM v_cov UNION ALL SELECT token_id, 'late' FROM v_state) SELECT token_id, kind, count(*) AS n FROM k GROUP BY ALL""")
 def t03(spark, sf):
     """Books over a stream that delivers every event twice: the second delivery is late throughout and changes nothing."""
-    events = tape(spark, sf).select("token_id", "receipt_sequence", "received_at", "event_type", "coverage_state", "raw_payload")
+    events = materialize(tape(spark, sf).select("token_id", "receipt_sequence", "received_at", "event_type", "coverage_state", "raw_payload"))
     path = new_table(spark)
-    out = stream_books(arriving(spark, events, 2), 5, "400 days").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows")
-    out.trigger(availableNow=True).start().awaitTermination()
+    parts = thirds(events, F.col("receipt_sequence"), [0.34, 0.67])
+    take_in(spark, [*parts, *parts], lambda arriving: stream_books(arriving, 5, "400 days").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows"))
     return spark.read.parquet(f"{path}/rows").groupBy("token_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 

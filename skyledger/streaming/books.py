@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,8 +31,12 @@ def stream_books(events: DataFrame, every: int = 100, idle: str = "1 hour") -> D
     rows = parsed.select(
         "token_id", "receipt_sequence", "received_at", "is_full", "is_delta", "bad_reason", "delta_side",
         F.col("delta_price").cast("double").alias("delta_price"), F.col("delta_size").cast("double").alias("delta_size"),
+        F.coalesce(F.unix_millis("received_at"), F.lit(0)).alias("at_ms"),
         *[F.transform(f"_p.{c}", lambda x: F.struct(_number(x["price"]).cast("double").alias("price"), _number(x["size"]).cast("double").alias("size"))).alias(f"full_{c}") for c in ("bids", "asks")])
 
+    names = rows.columns
+    Event = namedtuple("Event", names)  # made in each worker from these names
+
     def ladder(levels) -> dict[float, float]:
         return {float(x["price"]): float(x["size"]) for x in (levels if levels is not None else []) if x["price"] is not None and x["size"] is not None and x["size"] > 0}
 
@@ -45,7 +50,9 @@ def stream_books(events: DataFrame, every: int = 100, idle: str = "1 hour") -> D
         else:
             bids, asks, valid, seen, coverage, count, last = {}, {}, False, False, None, 0, -1
         out = []
-        for row in pd.concat(list(batches)).sort_values("receipt_sequence").itertuples(index=False):
+        # a token has few events in a batch, so no frame and no class is made for it
+        events = [row for batch in batches for row in zip(*[batch[c].tolist() for c in names], strict=True)]
+        for row in map(Event._make, sorted(events, key=lambda e: e[1])):
             def emit(kind, show=False):
                 out.append((row.token_id, row.receipt_sequence, row.received_at, kind, coverage,
                             [{"price": p, "size": s} for p, s in sorted(bids.items(), reverse=True)] if show else None,
@@ -71,7 +78,8 @@ def stream_books(events: DataFrame, every: int = 100, idle: str = "1 hour") -> D
             if valid and (row.is_full or count % every == 0):
                 emit("checkpoint", True)
         state.update((json.dumps(bids), json.dumps(asks), valid, seen, coverage, count, int(last)))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + idle_ms + 1)
+        # the watermark is zero in the first batch and lags by the bound: a token's own last time says when it is idle
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), *(e[names.index("at_ms")] for e in events), 0) + idle_ms + 1)
         yield pd.DataFrame(out, columns=["token_id", "receipt_sequence", "received_at", "kind", "coverage", "bids", "asks"])
     return rows.groupBy("token_id").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
