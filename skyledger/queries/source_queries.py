@@ -132,15 +132,10 @@ def t03(spark, sf):
 
 @query("t07_coverage_upsert", f"""WITH {COV_SQL} SELECT token_id, state, count(*) AS n, count(ended_at) AS closed, sum(epoch(ended_at) - epoch(started_at)) AS seconds FROM v_cov GROUP BY ALL""", "seconds", 3)
 def t07(spark, sf):
-    """Coverage intervals kept by a streaming upsert; every file of changes is delivered twice."""
-    changes = tape_joins.coverage_intervals(validity(tape(spark, sf))).select("token_id", "state", "started_at")
+    """Coverage intervals kept by a streaming upsert; every delivery of changes comes twice."""
+    changes = materialize(tape_joins.coverage_intervals(validity(tape(spark, sf))).select("token_id", "state", "started_at"))
     path = new_table(spark)
-    at = [c for c in changes.agg(F.percentile_approx(F.unix_micros("started_at"), [0.3, 0.6])).first()[0]]
-    micros = F.unix_micros("started_at")
-    for low, high in zip([0, *at], [*at, 1 << 62], strict=True):
-        for _ in range(2):
-            changes.where((micros >= low) & (micros < high)).coalesce(1).write.mode("append").parquet(f"{path}/changes")
-    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/changes")
-    upsert_coverage(stream, f"{path}/coverage", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    parts = thirds(changes, F.unix_micros("started_at"), [0.3, 0.6])
+    take_in(spark, [p for part in parts for p in (part, part)], lambda arriving: upsert_coverage(arriving, f"{path}/coverage", f"{path}/state"))
     seconds = (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6
     return read_coverage(spark, f"{path}/coverage").groupBy("token_id", "state").agg(F.count(F.lit(1)).alias("n"), F.count("ended_at").alias("closed"), F.sum(seconds).alias("seconds"))

@@ -23,3 +23,17 @@ def test_deliveries_of_many_files_keep_a_token_that_is_not_idle(spark):
     source_queries.take_in(spark, parts, lambda arriving: files.append(arriving) or stream(arriving))
     got = {(r.token_id, r.kind): r["count"] for r in spark.read.parquet(f"{path}/rows").groupBy("token_id", "kind").count().collect()}
     assert len(files) == 3 and got == {("a", "coverage"): 1, ("a", "checkpoint"): 8, ("a", "late"): 8, ("b", "coverage"): 1, ("b", "checkpoint"): 8}
+
+
+def test_coverage_changes_are_made_once(spark, tmp_path, monkeypatch):
+    from skyledger.queries import QUERIES
+
+    rows = [(i, i % 3, kind, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 5.0, '{"k": 7}') for i, kind in enumerate(["signup", "error", "view"] * 8)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    stored, delivered = [], []
+    keep, take = source_queries.materialize, source_queries.take_in
+    monkeypatch.setattr(source_queries, "materialize", lambda df: stored.append(keep(df)) or stored[-1])
+    monkeypatch.setattr(source_queries, "take_in", lambda s, parts, stream: delivered.extend(parts) or take(s, parts, stream))
+    out = QUERIES["t07_coverage_upsert"](spark, str(tmp_path))
+    assert out.agg({"n": "sum"}).first()[0] == stored[0].count() and len(delivered) == 6
+    assert all("Window" not in p._jdf.queryExecution().optimizedPlan().toString() for p in delivered)
