@@ -12,7 +12,7 @@ LEVELS = "array<struct<price:string,size:string>>"
 PAYLOAD = (f"struct<bids:{LEVELS},asks:{LEVELS},side:string,price:string,size:string,"
            "price_change:struct<side:string,price:string,size:string>>")
 BOOK_LEVEL = "array<struct<price:double,size:double>>"
-BLOCK = 256  # events of a token whose books are made together
+BLOCK = 64  # events of a token whose books are made together
 
 
 def _number(text: Column) -> Column:
@@ -140,11 +140,12 @@ def level_intervals(validity: DataFrame) -> DataFrame:
 
 
 def books_at_events(validity: DataFrame, points: DataFrame) -> DataFrame:
-    """Sorted level arrays at chosen events (token_id, epoch, receipt_sequence, event_number) of the validity table.
+    """`points` (token_id, epoch, event_number and other columns of the validity table) with the sorted level arrays `bids` and `asks`.
 
     A level stands from its update's event to its next update in the epoch or the epoch's end. Points and spans meet by the
     number of the event in its token: a span is dealt to the blocks of `BLOCK` events it touches, so spans are as many as the
-    updates however long they last, and a block holds as many points as events.
+    updates however long they last, and a block holds as many points as events. Both sides of a block are gathered in one row,
+    and its books are made there: no row per point and level is dealt or sorted.
     """
     rows = level_updates(validity)
     block = F.floor(F.col("event_number") / BLOCK)
@@ -152,20 +153,35 @@ def books_at_events(validity: DataFrame, points: DataFrame) -> DataFrame:
                           block, [F.col("event_number")], "_next", F.col("event_number"), following=True).where("size > 0")
     ends = points.groupBy("token_id", "epoch").agg(F.max("event_number").alias("_end"))
     spans = same.join(ends, ["token_id", "epoch"]).withColumn("_until", F.least(F.col("_next") - 1, F.col("_end"))).where("event_number <= _until")
-    spans = spans.select("token_id", "side", "price", "size", F.col("event_number").alias("_from"), "_until", F.explode(
-        F.sequence(block, F.floor(F.col("_until") / BLOCK))).alias("_block"))
-    asked = points.select("token_id", "receipt_sequence", "event_number", block.alias("_block"))
-    live = asked.join(spans, ["token_id", "_block"]).where("event_number between _from and _until")
-    return _arrays(live, ["token_id", "receipt_sequence"])
+    span = F.struct((F.col("side") == "BUY").alias("buy"), F.col("event_number").alias("from"), F.col("_until").alias("until"), F.struct(
+        F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size")).alias("level"))
+    held = spans.select("token_id", span.alias("_span"), F.explode(F.sequence(block, F.floor(F.col("_until") / BLOCK))).alias("_block")).groupBy(
+        "token_id", "_block").agg(F.collect_list("_span").alias("_spans"))
+    asked = points.select("token_id", block.alias("_block"), F.struct(*points.columns).alias("_point")).groupBy(
+        "token_id", "_block").agg(F.collect_list("_point").alias("_points"))
+
+    def side(live: Column, buy: bool) -> Column:
+        levels = F.transform(F.filter(live, lambda s: s["buy"] if buy else ~s["buy"]), lambda s: s["level"])
+        return F.sort_array(levels, asc=not buy)
+
+    def book(point: Column) -> Column:
+        live = F.filter("_spans", lambda s: point["event_number"].between(s["from"], s["until"]))
+        both = F.transform(F.array(live), lambda x: F.struct(point.alias("point"), side(x, True).alias("bids"), side(x, False).alias("asks")))
+        return F.get(both, F.lit(0))
+    made = asked.join(held, ["token_id", "_block"], "left").select(F.explode(F.transform("_points", book)).alias("_made"))
+    return made.select("_made.point.*", *[F.coalesce(F.col(f"_made.{c}"), F.array().cast(BOOK_LEVEL)).alias(c) for c in ("bids", "asks")])
+
+
+def checkpoint_marks(validity: DataFrame, every: int) -> DataFrame:
+    """Events (token_id, epoch, event_number, event_offset, captured_at) that get a checkpoint: each full-book event and every
+    `every`-th event of a token, while the book is valid."""
+    marks = validity.where(F.col("valid") & (F.col("is_full") | (F.col("event_number") % every == 0)))
+    return marks.select("token_id", "epoch", "event_number", F.col("receipt_sequence").alias("event_offset"), F.col("received_at").alias("captured_at"))
 
 
 def checkpoints(validity: DataFrame, every: int) -> DataFrame:
     """Full book after each full-book event and after every `every` events of a token, while the book is valid."""
-    marks = validity.where(F.col("valid") & (F.col("is_full") | (F.col("event_number") % every == 0)))
-    books = books_at_events(validity, marks)
-    return marks.select("token_id", "receipt_sequence", "received_at").join(books, ["token_id", "receipt_sequence"], "left").select(
-        "token_id", F.col("receipt_sequence").alias("event_offset"), F.col("received_at").alias("captured_at"),
-        *[F.coalesce(F.col(c), F.array().cast(BOOK_LEVEL)).alias(c) for c in ("bids", "asks")])
+    return books_at_events(validity, checkpoint_marks(validity, every)).select("token_id", "event_offset", "captured_at", "bids", "asks")
 
 
 # ---- ladder kernels over sorted arrays ----

@@ -75,11 +75,13 @@ def book_at_post_ready(decisions: DataFrame, checkpoints: DataFrame, coverage: D
                        max_delay_seconds: float = 30.0) -> DataFrame:
     """First checkpoint at or after ready within the delay bound, inside one VALID interval begun before ready.
 
-    `decisions` need token_id and quote_ready. Adds the books, the execution time and delay, or a reason.
+    `decisions` need token_id and quote_ready. Adds the execution time and delay, or a reason, and what else `checkpoints` hold: books are
+    looked up for the checkpoint that was found, and never carried through the search for it.
     """
+    sides = [c for c in ("bids", "asks") if c in checkpoints.columns]
+    carried = [c for c in checkpoints.columns if c not in ("token_id", "epoch", "event_number", "captured_at", *sides)]
     rows = asof_join(decisions, checkpoints, ["token_id"], F.col("quote_ready"), F.col("captured_at"),
-                     {"bids": F.col("bids"), "asks": F.col("asks"), "event_offset": F.col("event_offset")}, "forward",
-                     tie=[F.col("event_offset")])
+                     {c: F.col(c) for c in carried}, "forward", tie=[F.col("event_offset")])
     rows = materialize(rows)
     delay = (F.col("matched_us") - F.unix_micros("quote_ready")) / 1e6
     rows = rows.withColumns({"execution_delay_s": delay, "execution_at": F.timestamp_micros("matched_us")})
@@ -93,7 +95,10 @@ def book_at_post_ready(decisions: DataFrame, checkpoints: DataFrame, coverage: D
         .when(F.col("interval_id").isNull(), "no_continuous_valid_interval_through_execution"))
     rows = rows.withColumn("reason", reason)
     ok = F.col("reason").isNull()
-    return rows.withColumns({c: F.when(ok, F.col(c)) for c in ("bids", "asks", "execution_at", "execution_delay_s")}).drop(
+    if sides:
+        books_of = checkpoints.groupBy("token_id", "event_offset").agg(*[F.first(c).alias(c) for c in sides])
+        rows = rows.join(books_of, ["token_id", "event_offset"], "left")
+    return rows.withColumns({c: F.when(ok, F.col(c)) for c in (*sides, "execution_at", "execution_delay_s")}).drop(
         "matched_us", "interval_start", "latest_interval_end_us")
 
 
@@ -205,15 +210,20 @@ DECAY_SECONDS = (0, 5, 15, 30, 60, 120, 300, 600, 900)
 
 def edge_decay_points(decisions: DataFrame, checkpoints: DataFrame, coverage: DataFrame, target: float = 25.0, reserve: float = 0.0,
                       offsets: tuple[int, ...] = DECAY_SECONDS, max_delay_seconds: float = 30.0) -> DataFrame:
-    """Executable edge at fixed offsets after ready; an offset without a usable book is right-censored with its reason."""
+    """Executable edge at fixed offsets after ready; an offset without a usable book is right-censored with its reason.
+
+    Each book is swept once, where it is made, and only cost and price of that go on.
+    """
+    swept = materialize(checkpoints.withColumn("_s", books.sweep_asks(F.col("asks"), F.lit(1.0), F.lit(target))).select(
+        "token_id", "event_offset", "captured_at", F.col("_s.cost").alias("_cost"), F.col("_s.vwap").alias("_vwap")))
     grid = decisions.withColumn("offset_seconds", F.explode(F.array(*[F.lit(o) for o in offsets])))
     moved = grid.withColumn("quote_ready", F.timestamp_micros(F.unix_micros("quote_ready") + F.col("offset_seconds").cast("long") * 1_000_000))
-    rows = book_at_post_ready(moved, checkpoints, coverage, 60, max_delay_seconds)
-    rows = rows.withColumn("_s", F.when(F.col("reason").isNull(), books.sweep_asks(F.col("asks"), F.lit(1.0), F.lit(target))))
-    full = F.col("_s.cost") >= target - 1e-6
+    rows = book_at_post_ready(moved, swept, coverage, 60, max_delay_seconds)
+    ok = F.col("reason").isNull()
+    full = ok & (F.col("_cost") >= target - 1e-6)
     return rows.withColumns({
-        "status": F.when(F.col("reason").isNull(), "VALID").otherwise("RIGHT_CENSORED"), "fillable_usd": F.col("_s.cost"),
-        "net_edge": F.when(full, F.col("fair") - reserve - F.col("_s.vwap"))}).drop("_s", "bids", "asks")
+        "status": F.when(ok, "VALID").otherwise("RIGHT_CENSORED"), "fillable_usd": F.when(ok, F.col("_cost")),
+        "net_edge": F.when(full, F.col("fair") - reserve - F.col("_vwap"))}).drop("_cost", "_vwap")
 
 
 def edge_decay(points: DataFrame, target: float = 25.0) -> DataFrame:
@@ -238,14 +248,18 @@ def censor_reasons(points: DataFrame) -> DataFrame:
 
 def edge_half_life(points: DataFrame) -> DataFrame:
     """First offset at half the initial edge, time to a non-positive edge, and whether anything was censored."""
-    initial = F.max(F.when(F.col("offset_seconds") == 0, F.col("net_edge")))
-    with_start = scan.with_totals(points, ["decision_id"], initial_edge=initial)
+    edges = F.collect_list(F.when(F.col("net_edge").isNotNull(), F.struct(F.col("offset_seconds").alias("at"), F.col("net_edge").alias("edge"))))
+    per = points.groupBy("decision_id").agg(  # a decision has as many points as there are offsets
+        F.max(F.when(F.col("offset_seconds") == 0, F.col("net_edge"))).alias("initial_edge"), edges.alias("_edges"),
+        (F.max((F.col("status") != "VALID").cast("int")) == 1).alias("_censored"))
     first = F.col("initial_edge")
-    half = F.min(F.when((first > 0) & (F.col("net_edge") <= first / 2), F.col("offset_seconds")))
-    gone = F.min(F.when((first > 0) & (F.col("net_edge") <= 0), F.col("offset_seconds")).when(first <= 0, F.lit(0)))
-    return with_start.groupBy("decision_id").agg(
-        F.max("initial_edge").alias("initial_edge"), half.alias("half_life_seconds"), gone.alias("nonpositive_seconds"),
-        (F.max("initial_edge").isNull() | (F.max((F.col("status") != "VALID").cast("int")) == 1)).alias("right_censored"))
+
+    def earliest(bound: Column) -> Column:
+        return F.array_min(F.transform(F.filter("_edges", lambda p: p["edge"] <= bound), lambda p: p["at"]))
+    return per.select(
+        "decision_id", "initial_edge", F.when(first > 0, earliest(first / 2)).alias("half_life_seconds"),
+        F.when(first > 0, earliest(F.lit(0.0))).when(first <= 0, F.lit(0)).alias("nonpositive_seconds"),
+        (first.isNull() | F.col("_censored")).alias("right_censored"))
 
 
 def tape_lifecycle(tokens: DataFrame, coverage: DataFrame, cohort_end: Column, max_gap_seconds: float = 30.0) -> DataFrame:

@@ -114,3 +114,52 @@ def test_running_deals_rows_once(spark):
         assert got[k, t].total == sum(past)
         assert got[k, t].low == min((float(i % 7) for i in range(t) if i % 5), default=None)
         assert after[k, t] == (float((t + 1) % 7) if t < 39 and (t + 1) % 5 else None)
+
+
+def _tape_state(spark):
+    import datetime as dt
+
+    from skyledger.operators import books
+
+    start = dt.datetime(2024, 1, 1)
+    full = '{"bids": [{"price": "0.4", "size": "100"}], "asks": [{"price": "0.6", "size": "80"}, {"price": "0.7", "size": "90"}]}'
+    change = '{"price_change": {"side": "SELL", "price": "0.5", "size": "%d"}}'
+    rows = [("a", i, start + dt.timedelta(minutes=i), "price_change" if i % 100 else "book", "VALID", change % (i % 3) if i % 100 else full) for i in range(200)]
+    return start, books.book_validity(spark.createDataFrame(rows, "token_id string, receipt_sequence long, received_at timestamp, event_type string, coverage_state string, raw_payload string"), reasons=False).cache()
+
+
+def test_books_of_points_are_made_in_their_block(spark):
+    from skyledger.operators import books
+
+    _, state = _tape_state(spark)
+    out = books.checkpoints(state, 5)
+    got = {r.event_offset: (sorted(map(tuple, r.bids)), list(map(tuple, r.asks))) for r in out.collect()}
+    want = {}
+    for i in range(200):
+        if i % 100 == 0 or (i + 1) % 5 == 0:
+            low = [(0.5, float(i % 3))] if i % 100 and i % 3 else []
+            want[i] = ([(0.4, 100.0)], low + [(0.6, 80.0), (0.7, 90.0)])
+    assert got == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # ends of epochs, and spans with points: books are not joined to events again
+
+
+def test_books_are_not_carried_through_the_search_for_a_checkpoint(spark, monkeypatch):
+    import datetime as dt
+
+    from skyledger.operators import books, tape_joins
+
+    start, state = _tape_state(spark)
+    coverage = tape_joins.coverage_intervals(state)
+    decisions = spark.createDataFrame([(1, "a", start + dt.timedelta(minutes=50, seconds=1), 0.9), (2, "a", start + dt.timedelta(days=9), 0.9), (3, None, start, 0.9)],
+                                      "decision_id long, token_id string, quote_ready timestamp, fair double")
+    written = []
+    keep = tape_joins.materialize
+    monkeypatch.setattr(tape_joins, "materialize", lambda df: written.append(df.columns) or keep(df))
+    chk = books.checkpoints(state, 5)
+    got = {r.decision_id: r for r in tape_joins.book_at_post_ready(decisions, chk, coverage, 60, 600.0).collect()}
+    assert [got[1].event_offset, [tuple(x) for x in got[1].asks]] == [54, [(0.6, 80.0), (0.7, 90.0)]] and got[1].reason is None
+    assert {got[i].reason for i in (2, 3)} == {"no_post_ready_checkpoint"} and got[2].asks is None
+    points = {(r.decision_id, r.offset_seconds): r for r in tape_joins.edge_decay_points(decisions, chk, coverage, 25.0, 0.0, (0, 600), 600.0).collect()}
+    assert points[1, 0].net_edge == pytest.approx(0.3) and points[2, 0].net_edge is None and len(points) == 6
+    assert not any({"bids", "asks"} & set(columns) for columns in written)
