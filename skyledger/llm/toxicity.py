@@ -13,7 +13,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,18 +127,14 @@ def telling_units(docs: list[tuple[int, list[str]]]) -> set[str]:
 def fit_chain(docs: list[tuple[int, list[str]]], marked: set[str], steps: int = STEPS) -> tuple[dict[str, float], float, np.ndarray]:
     """Weights, bias and transition factors of the chain, by gradient steps on the likelihood of the labelled tokens."""
     index: dict[str, int] = {}
-    ids, toxic_tag = [], []
-    for label, words in docs:
-        for w in words:
-            ids.append(index.setdefault(w, len(index)))
-        ids.append(index.setdefault("\n", len(index)))
+    size = sum(len(words) + 1 for _, words in docs)
+    at = np.fromiter((index.setdefault(w, len(index)) for _, words in docs for w in (*words, "\n")), np.int32, size)
     names = list(index)
     stop_id = np.array([w in STOPS for w in names])
     word_tag = np.array([not s and any(u in marked for u in units(w)) for w, s in zip(names, stop_id, strict=True)])
-    at = np.array(ids, np.int64)
-    labels = np.array([label for label, words in docs for _ in range(len(words) + 1)])
+    of_toxic = np.repeat([label == 1 for label, _ in docs], [len(words) + 1 for _, words in docs])
     stop = stop_id[at]
-    toxic_tag = (word_tag[at] & (labels == 1)).astype(float)
+    tags = word_tag[at] & of_toxic
     seen = Counter(u for w, s in zip(names, stop_id, strict=True) if not s for u in units(w))
     # a feature is a marked unit, or one of several words; each word then has a short list of features
     features = {u: k for k, u in enumerate(sorted(u for u, c in seen.items() if u in marked or c >= 3))}
@@ -146,7 +142,6 @@ def fit_chain(docs: list[tuple[int, list[str]]], marked: set[str], steps: int =
     rows, cols = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
     weights, bias, trans = np.zeros(len(features)), -4.0, np.zeros((2, 2))
     inner = ~stop[1:] & ~stop[:-1]
-    tags = toxic_tag.astype(int)
     seen_pairs = np.array([[float((inner & (tags[:-1] == a) & (tags[1:] == b)).sum()) for b in (0, 1)] for a in (0, 1)])
     n, m1, m2, t1, t2 = max(1, int((~stop).sum())), 0.0, 0.0, 0.0, 0.0
     b1 = b2 = 0.0
@@ -158,9 +153,11 @@ def fit_chain(docs: list[tuple[int, list[str]]], marked: set[str], steps: int =
         p = fwd * bwd / (1 + fwd * bwd)
         # pair marginals of neighbours in one sentence
         a, e = fwd[:-1], emission[1:] * bwd[1:]
-        joint = np.stack([np.full_like(a, factors[0, 0]), factors[0, 1] * e, factors[1, 0] * a, factors[1, 1] * a * e])
-        joint = (joint / joint.sum(axis=0))[:, inner].sum(axis=1).reshape(2, 2)
-        miss = np.where(stop, 0.0, toxic_tag - p)
+        a, e = a[inner], e[inner]
+        whole = factors[0, 0] + factors[0, 1] * e + factors[1, 0] * a + factors[1, 1] * a * e
+        joint = np.array([[(factors[0, 0] / whole).sum(), (factors[0, 1] * e / whole).sum()], [(factors[1, 0] * a / whole).sum(), (factors[1, 1] * a * e / whole).sum()]])
+        del a, e, whole, emission, fwd, bwd
+        miss = np.where(stop, 0.0, tags - p)
         by_word = np.bincount(at, miss, len(names))
         g = np.bincount(cols, by_word[rows], len(features)) - 1e-1 * weights if len(rows) else weights
         gb, gt = miss.sum(), seen_pairs - joint - 1e-1 * trans
@@ -249,11 +246,12 @@ class Tagger:
         return self.tagged([text], least)[1][0]
 
 
-def fit(rows: list[tuple[int, str]], prior: float) -> ToxicModel:
+def fit(rows: Iterable[tuple[int, str]], prior: float) -> ToxicModel:
     """From (label, text) rows; `prior` is the share of toxic among all labelled training documents."""
     once: dict[tuple[int, int], tuple[int, list[str]]] = {}
+    shared: dict[str, str] = {}  # a word is in memory once, not once a token
     for label, text in rows:
-        ws = tokens(text)
+        ws = [shared.setdefault(w, w) for w in tokens(text)]
         once.setdefault((label, _near_key(ws)), (label, ws))
     docs = list(once.values())
     chain_docs, other = [d for k, d in enumerate(docs) if k % 3 < 2], [d for k, d in enumerate(docs) if k % 3 == 2]

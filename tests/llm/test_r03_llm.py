@@ -45,3 +45,22 @@ def test_packing_remembers_a_bounded_number_of_words(spark):
     assert e.encode(texts) == e._whole(texts) and len(e.known) == held
     docs = spark.createDataFrame([(i, f"text number {i}") for i in range(1200)], "doc_id long, text string").coalesce(1)
     assert packing.ROWS_AT_ONCE < 1200 and packing.token_pieces(docs).agg(F.count_distinct("doc_id")).first()[0] == 1200
+
+
+def test_a_fit_holds_a_word_once():
+    """The texts of the fit are in the driver's memory, where a token took a string of its own."""
+    import random
+    import tracemalloc
+
+    from skyledger.llm import toxicity
+
+    r = random.Random(7)
+    words = [f"ordinary{i}" for i in range(300)]
+    rows = [(k % 2, " ".join(r.choices([*words, *(["vile"] * 30 if k % 2 else [])], k=500))) for k in range(400)]
+    tracemalloc.start()
+    model = toxicity.fit(iter(rows), 0.5)
+    peak = tracemalloc.get_traced_memory()[1] / (400 * 500)
+    tracemalloc.stop()
+    assert peak < 90, peak  # bytes a token
+    scores = toxicity.Tagger(model).scores([rows[0][1], rows[1][1], None])
+    assert scores[0] < 0.5 < scores[1]
