@@ -25,18 +25,19 @@ def _dot(params: Column, xs: list[Column]) -> Column:
 
 
 def fit_logistic(examples: DataFrame, groups: list[str], xs: list[str], y: str, w: str, l2: float = 1.0, iterations: int = 100,
-                 tolerance: float = 1e-9, train_date: str | None = None, eval_dates: DataFrame | None = None, resolved_at: str | None = None) -> DataFrame:
+                 tolerance: float = 1e-9, train_date: str | None = None, eval_dates: DataFrame | None = None, resolved_at: str | None = None, n: str | None = None) -> DataFrame:
     """Weighted logistic fits with a free intercept: `groups`, `coefficients` (intercept first), `status`, `rows`, `weight`.
 
     With `train_date` and `eval_dates(eval_date)` each evaluation date is its own fit over the rows of earlier dates; with
     `resolved_at` and `eval_dates(eval_date, first_at)` only over those whose label was known before the first decision of the
     evaluation date. Examples that are alike, and known to the same evaluation dates, are merged into one weighted row before a
     date is put beside them, and once more after: a Newton step reads one row per distinct example and date, never the examples.
+    `n` names a column that counts the examples a row stands for.
     """
     k = len(xs) + 1
     gcols = [*groups, *(["eval_date"] if train_date else [])]
     sums_of = [F.sum("_w").alias("_w"), F.sum("_n").alias("_n")]
-    single = examples.withColumns({"_w": F.col(w).cast("double"), "_n": F.lit(1).cast("long")})
+    single = examples.withColumns({"_w": F.col(w).cast("double"), "_n": (F.col(n) if n else F.lit(1)).cast("long")})
     if train_date is None:
         merged = materialize(single.groupBy(*groups, *xs, y).agg(*sums_of))
     else:
@@ -172,15 +173,22 @@ def calibrated_replay(rows: DataFrame, date: str, p: str, ask: str, y: str, scop
                                          F.avg(F.col(y).cast("double")).alias("hit_rate"))
 
 
-def fit_clusters(clusters: DataFrame, date: str, mass: str, y: str, context: list[str], min_rows: int = 30) -> DataFrame:
-    """Walk-forward basket calibration by mass alone and with context features, one row per cluster."""
-    plain = walk_forward_calibration(clusters.withColumn("_one", F.lit(1.0)), date, mass, y, "_one", None, min_rows)
-    plain = plain.withColumnRenamed("calibrated", "mass_calibrated").drop("fallback_reason", "train_rows")
-    xs = [f"_c{i}" for i in range(len(context) + 1)]
-    ready = plain.withColumns({xs[0]: logit(F.col(mass))} | {x: F.col(c).cast("double") for x, c in zip(xs[1:], context)})
-    dates = clusters.select(F.col(date).alias("eval_date")).distinct()
-    fits = fit_logistic(ready.select(date, *xs, y, "_one"), [], xs, y, "_one", 1.0, train_date=date, eval_dates=dates).withColumnRenamed("eval_date", date)
-    joined = ready.join(fits.select(date, "coefficients", "status", F.col("rows").alias("_rows")), [date], "left")
-    ok = F.col("status").isin("FITTED", "NOT_CONVERGED") & (F.col("_rows") >= min_rows)
-    value = sigmoid(_dot(F.col("coefficients"), [F.col(x) for x in xs]))
-    return joined.withColumn("context_calibrated", F.when(ok, value).otherwise(F.col(mass))).drop(*xs, "coefficients", "status", "_rows", "_one")
+def fit_clusters(clusters: DataFrame, date: str, mass: str, y: str, context: list[str], min_rows: int = 30, n: str | None = None) -> DataFrame:
+    """Walk-forward basket calibration by mass alone and with context features, one row per cluster.
+
+    `n` names a column that counts the clusters a row stands for. Both fits and their dates come from one table of distinct
+    clusters, so `clusters` is read once for it and once for the result, and not again by the fits.
+    """
+    counted = clusters.withColumn("_n", (F.col(n) if n else F.lit(1)).cast("long"))
+    alike = materialize(counted.groupBy(date, mass, *context, y).agg(F.sum("_n").alias("_n")))
+    xs = {"_x0": logit(F.col(mass))} | {f"_x{i}": F.col(c).cast("double") for i, c in enumerate(context, 1)}
+    known = alike.where(F.col(y).isNotNull()).withColumns(xs)
+    dates = alike.select(F.col(date).alias("eval_date")).distinct()
+    out = clusters.withColumns(xs)
+    for name, used in (("mass_calibrated", [*xs][:1]), ("context_calibrated", [*xs])):
+        fits = fit_logistic(known.select(date, *used, y, "_n"), [], used, y, "_n", train_date=date, eval_dates=dates, n="_n")
+        out = out.join(fits.select(F.col("eval_date").alias(date), "coefficients", "status", F.col("rows").alias("_rows")), [date], "left")
+        usable = F.col("status").isin("FITTED", "NOT_CONVERGED") & (F.col("_rows") >= min_rows)
+        value = sigmoid(_dot(F.col("coefficients"), [F.col(x) for x in used]))
+        out = out.withColumn(name, F.when(usable, value).otherwise(F.col(mass))).drop("coefficients", "status", "_rows")
+    return out.drop(*xs)

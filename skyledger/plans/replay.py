@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -325,16 +326,19 @@ def latest_scorecards(cards: DataFrame, kind: str) -> DataFrame:
 def top_n_basket(snapshots: DataFrame, n: int, won: Column | None = None) -> DataFrame:
     """The n best tradable buckets of each snapshot by (-fair, ask, label); snapshots with fewer are dropped.
 
-    Candidates stay an array on their snapshot (a ladder is short), so the choice is a sort inside the row: no shuffle.
+    Candidates stay an array on their snapshot (a ladder is short), so the choice is a sort inside the row: no shuffle. The chosen
+    are exploded out of an array of one entry or none: a test on them would be pushed below their projection and sort every row twice.
     `won(bucket label, final)` decides the hit over the column `final`.
     """
     good = F.filter("candidates", lambda c: c["bucket"].isNotNull() & (c["fair_yes"] >= 0) & (c["yes_ask"] > 0) & (c["yes_ask"] < 1))
     keyed = F.transform(good, lambda c: F.struct((-c["fair_yes"]).alias("a"), c["yes_ask"].alias("b"), c["bucket"].alias("c"), c["won"].alias("w")))
-    rows = snapshots.withColumn("_top", F.slice(F.array_sort(keyed), 1, n)).where(F.size("_top") == n)
-    asks = F.aggregate("_top", F.lit(0.0), lambda a, x: a + x["b"])
-    fair = F.aggregate("_top", F.lit(0.0), lambda a, x: a - x["a"])
-    return rows.withColumns({"ask_sum": asks, "fair_mass": fair, "basket_edge": fair - asks, "hit": F.exists("_top", lambda x: x["w"]),
-                             "buckets": F.transform("_top", lambda x: x["c"])}).drop("_top", "candidates")
+    best = F.when(F.size("candidates") >= n, F.array(F.slice(F.sort_array(keyed), 1, n)))
+    rows = snapshots.withColumn("_best", best).select("*", F.explode(F.filter("_best", lambda t: F.size(t) == n)).alias("_top"))
+    top = [F.get("_top", F.lit(i)) for i in range(n)]
+    asks = reduce(lambda total, t: total + t["b"], top, F.lit(0.0))
+    fair = reduce(lambda total, t: total - t["a"], top, F.lit(0.0))
+    return rows.withColumns({"ask_sum": asks, "fair_mass": fair, "basket_edge": fair - asks, "hit": reduce(lambda any_won, t: any_won | t["w"], top, F.lit(False)),
+                             "buckets": F.col("_top")["c"]}).drop("_best", "_top", "candidates")
 
 
 def select_baskets(df: DataFrame, selector: str, scope: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from skyledger.queries.registry import query
 from skyledger.queries.replay_queries import BASKET_SQL, baskets_in, candidates, forward_rows
 from skyledger.queries.signal_queries import ORDER, positions
 from skyledger.queries.views import SIGNAL_SQL, signals, table
+from skyledger.session import materialize
 from skyledger.sources import tables
 
 
@@ -110,8 +111,10 @@ def p18(spark, sf):
   FROM mr LEFT JOIN f ON f.eval_date = month LEFT JOIN h ON h.eval_date = month GROUP BY model_name""".replace("exp(-(b0 + b1 * x1))", "exp(-(f.b0 + f.b1 * x1))"), "by_mass by_context")
 def m11(spark, sf):
     b = replay.top_n_basket(baskets_in(spark, sf), 3).withColumns({"month": F.trunc("ts", "month"), "y": F.col("hit").cast("int"), "mass": F.least(F.col("fair_mass"), F.lit(0.999))})
-    out = calibrate.fit_clusters(b.select("month", "mass", "y", "ask_sum", "model_name"), "month", "mass", "y", ["ask_sum"])
-    return out.groupBy("model_name").agg(F.count(F.lit(1)).alias("n"), F.avg("mass_calibrated").alias("by_mass"), F.avg("context_calibrated").alias("by_context"))
+    alike = materialize(b.groupBy("model_name", "month", "mass", "y", "ask_sum").agg(F.count(F.lit(1)).alias("n")))
+    out = calibrate.fit_clusters(alike, "month", "mass", "y", ["ask_sum"], n="n")
+    by_mass, by_context = (F.sum(F.col(c) * F.col("n")) / F.sum("n") for c in ("mass_calibrated", "context_calibrated"))
+    return out.groupBy("model_name").agg(F.sum("n").alias("n"), by_mass.alias("by_mass"), by_context.alias("by_context"))
 
 
 def day(text):

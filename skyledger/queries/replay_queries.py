@@ -351,9 +351,9 @@ def f13(spark, sf):
 def baskets_in(spark, sf, n_candidates=5):
     """Signals as snapshots with a short candidate ladder around their own bucket."""
     lo = 60 + F.col("minute_of_day") % 20
-    cand = F.transform(F.sequence(F.lit(0), F.lit(n_candidates - 1)), lambda i: F.struct(
+    cand = F.array(*[F.struct(
         F.concat((lo + i).cast("string"), F.lit("-"), (lo + i + 1).cast("string"), F.lit("F")).alias("bucket"), (F.pmod(F.col("fair") * 10 + i * 3, F.lit(10.0)) / 25).alias("fair_yes"),
-        (F.pmod(F.col("entry") * 10 + i * 7, F.lit(10.0)) / 20).alias("yes_ask"), F.coalesce(60 + F.col("cost") % 22 == lo + i, F.lit(False)).alias("won")))
+        (F.pmod(F.col("entry") * 10 + i * 7, F.lit(10.0)) / 20).alias("yes_ask"), F.coalesce(60 + F.col("cost") % 22 == lo + i, F.lit(False)).alias("won")) for i in range(n_candidates)])
     return signals(spark, sf).select(F.struct("id", "liquidity").alias("snapshot_id"), "id", "liquidity", "ts", "station", "market_date", "model_name", "obs_delay_bucket", cand.alias("candidates"))
 
 
