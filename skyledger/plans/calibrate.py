@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.prob import logit, sigmoid
@@ -91,26 +91,31 @@ def fit_logistic(examples: DataFrame, groups: list[str], xs: list[str], y: str,
 def _known_before(single: DataFrame, groups: list[str], xs: list[str], y: str, train_date: str, resolved_at: str | None, eval_dates: DataFrame, sums: list[Column]) -> DataFrame:
     """(groups, eval_date, xs, y, _w, _n): the distinct examples that each evaluation date may learn from, by both clocks.
 
-    The calendar is one short array. An example's resolution counts only by its place among the calendar's first decisions, so
-    examples resolved between two of them are alike.
+    The calendar is one short array. With one clock an example counts from the first evaluation date after it, so its weight is a
+    running sum, put beside the dates up to its next change. With two, an example's resolution counts only by its place among the
+    calendar's first decisions, so examples resolved between two of them are alike.
     """
-    clock = "first_at" if resolved_at else "eval_date"
-    calendar = eval_dates.agg(F.array_sort(F.collect_list(F.struct("eval_date", F.col(clock).alias("first_at")))).alias("_all"))
     rows = single.select(*groups, *xs, y, "_w", "_n", F.col(train_date).alias("_day"), *([F.col(resolved_at).alias("_known")] if resolved_at else []))
-    if resolved_at:
-        # the first decisions that do not come after the resolution have not seen the label
-        place = F.size(F.filter("_all", lambda f: f["first_at"] <= F.col("_known")))
-        placed = rows.select("_known").distinct().join(F.broadcast(calendar), F.lit(True)).select("_known", place.alias("_place"))
-        rows = rows.join(placed, ["_known"])
-        ranked = F.transform("_all", lambda f: F.struct(f["eval_date"].alias("eval_date"), F.size(F.filter("_all", lambda g: g["first_at"] <= f["first_at"])).alias("place")))
-        calendar = calendar.select(ranked.alias("_all"))
-    extra = ["_place"] if resolved_at else []
-    alike = rows.groupBy(*groups, "_day", *extra, *xs, y).agg(*sums)
-
-    def sees(f: Column) -> Column:
-        return (f["eval_date"] > F.col("_day")) & ((f["place"] > F.col("_place")) if resolved_at else F.lit(True))
-
-    spread = alike.join(F.broadcast(calendar), F.lit(True)).withColumn("eval_date", F.explode(F.transform(F.filter("_all", sees), lambda f: f["eval_date"]))).drop("_all")
+    if not resolved_at:
+        alike = materialize(rows.groupBy(*groups, "_day", *xs, y).agg(*sums))
+        calendar = eval_dates.agg(F.array_sort(F.collect_list("eval_date")).alias("_all"))
+        first = F.size(F.filter("_all", lambda d: d <= F.col("_day"))) + 1
+        placed = alike.select("_day").distinct().join(F.broadcast(calendar), F.lit(True)).select("_day", first.alias("_first"))
+        steps = alike.join(placed, ["_day"]).groupBy(*groups, *xs, y, "_first").agg(*sums)
+        order = Window.partitionBy(*groups, *xs, y).orderBy("_first")
+        upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        stands = steps.withColumns({"_w": F.sum("_w").over(upto), "_n": F.sum("_n").over(upto), "_next": F.lead("_first").over(order)})
+        dates = F.slice("_all", F.col("_first"), F.coalesce("_next", F.size("_all") + 1) - F.col("_first"))
+        return stands.join(F.broadcast(calendar), F.lit(True)).select(*groups, F.explode(dates).alias("eval_date"), *xs, y, "_w", "_n")
+    calendar = eval_dates.agg(F.array_sort(F.collect_list(F.struct("eval_date", "first_at"))).alias("_all"))
+    # the first decisions that do not come after the resolution have not seen the label
+    place = F.size(F.filter("_all", lambda f: f["first_at"] <= F.col("_known")))
+    placed = rows.select("_known").distinct().join(F.broadcast(calendar), F.lit(True)).select("_known", place.alias("_place"))
+    ranked = F.transform("_all", lambda f: F.struct(f["eval_date"].alias("eval_date"), F.size(F.filter("_all", lambda g: g["first_at"] <= f["first_at"])).alias("place")))
+    calendar = calendar.select(ranked.alias("_all"))
+    alike = rows.join(placed, ["_known"]).groupBy(*groups, "_day", "_place", *xs, y).agg(*sums)
+    sees = F.filter("_all", lambda f: (f["eval_date"] > F.col("_day")) & (f["place"] > F.col("_place")))
+    spread = alike.join(F.broadcast(calendar), F.lit(True)).withColumn("eval_date", F.explode(F.transform(sees, lambda f: f["eval_date"]))).drop("_all")
     return spread.groupBy(*groups, "eval_date", *xs, y).agg(*sums)
 
 

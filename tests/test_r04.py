@@ -93,3 +93,24 @@ def test_a_basket_is_sorted_once_and_equals_plain_python(spark):
             want[i] = (sum(t[1] for t in top), -sum(t[0] for t in top), True if True in won else None if None in won else False, [t[2] for t in top])
     got = {r.id: (r.ask_sum, r.fair_mass, r.hit, r.buckets) for r in out.collect()}
     assert got == want and len(want) > 30
+
+
+def test_examples_stand_beside_later_dates_by_running_sums(spark):
+    rng = np.random.default_rng(5)
+    data = [(["a", "b"][i % 2], None if i % 17 == 0 else int(rng.integers(0, 25)), int(rng.integers(3)), int(rng.integers(2)), float(rng.integers(1, 4)), 1) for i in range(200)]
+    rows = spark.createDataFrame(data, "g string, d int, x int, y int, _w double, _n long")
+    days = [3, 4, 9, 10, 20]
+    dates = spark.createDataFrame([(d,) for d in [*days, None]], "eval_date int")
+    sums = [F.sum("_w").alias("_w"), F.sum("_n").alias("_n")]
+    out = calibrate._known_before(rows, ["g"], ["x"], "y", "d", None, dates, sums)
+    want = {}
+    for g, d, x, y, w, n in data:
+        for e in days:
+            if d is not None and d < e:
+                at = want.get((g, e, x, y), (0.0, 0))
+                want[g, e, x, y] = (at[0] + w, at[1] + n)
+    got = out.select("g", "eval_date", "x", "y", "_w", "_n").collect()
+    assert len(got) == len(want) and {tuple(r[:4]): tuple(r[4:]) for r in got} == want
+    # the dates are the last thing made: rows by example and date are never made for every earlier date and added up after
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[:plan.index("Generate")]
